@@ -1,8 +1,8 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
 Rules vote that a text is good (1) or bad (-1), or abstain (0). A two-class mixture, in which rules are independent given
-the class, is fitted to the counts of vote patterns by expectation-maximisation: it estimates how often each rule casts
-each vote on good and on bad texts, and how frequent the classes are. A text is kept when the posterior probability that
+the class, is fitted to the counts of vote patterns by expectation-maximisation: it estimates how accurate each rule's
+votes are on good and on bad texts, and how frequent the classes are; abstentions are no evidence. A text is kept when the posterior probability that
 it is good reaches 0.5, unless the base limits reject it. The fit runs over pattern counts, at most 3^rules rows whatever
 the corpus, counted over all documents; every round is one aggregate, from which only its sums reach the driver.
 """
@@ -103,8 +103,9 @@ def fit(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
         n_good = min(max(n_good, 1e-9), n - 1e-9)
         model = {"prior": math.log((n_good + 1) / (n - n_good + 1)), "odds": {}}
         for k, r in enumerate(rules):
-            pairs = [(cells[6 * k + 2 * v], cells[6 * k + 2 * v + 1]) for v in range(3)]
-            model["odds"][r] = [math.log((g + 1) / (n_good + 3)) - math.log((b + 1) / (n - n_good + 3)) for g, b in pairs]
+            (bad_g, bad_b), _, (good_g, good_b) = ((cells[6 * k + 2 * v], cells[6 * k + 2 * v + 1]) for v in range(3))
+            g, b = bad_g + good_g + 2, bad_b + good_b + 2  # of the votes cast; an abstention says nothing
+            model["odds"][r] = [math.log((bad_g + 1) / g) - math.log((bad_b + 1) / b), 0.0, math.log((good_g + 1) / g) - math.log((good_b + 1) / b)]
         if before is not None and abs(n_good - before) <= SETTLED * n:
             break
         before = n_good
