@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import exact_dedup, licenses, mixing, packing, quality_rules, simhash, token_files
+from evidex.llm import exact_dedup, html_extract, licenses, mixing, packing, pii, quality_model, quality_rules, simhash, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -24,10 +24,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": lambda spark, sf: simhash.near_duplicates(_documents(spark, sf)),
         "op2_quality_rules": lambda spark, sf: quality_rules.judged(_documents(spark, sf)),
         "op3_token_files": lambda spark, sf: token_files.token_files(_documents(spark, sf), _tokenizer("byte_bpe_50k.json"), end_id=0),
+        "op4_personal_data": lambda spark, sf: pii.find_personal_data(_documents(spark, sf)),
         "op5_exact_dedup": lambda spark, sf: exact_dedup.exact_duplicates(_documents(spark, sf)),
         "op6_license_scan": lambda spark, sf: licenses.scan(_documents(spark, sf)),
+        "op7_html_text": lambda spark, sf: html_extract.extract(spark.read.parquet(f"{sf}/pages.parquet")),
         "op8_source_mix": lambda spark, sf: mixing.mix(_documents(spark, sf)),
         "op9_packing": lambda spark, sf: packing.pack_documents(_documents(spark, sf), _tokenizer("word_bpe_49k.json"), end_id=1),
+        "op10_quality_classifier": lambda spark, sf: quality_model.quality_scores(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
     }
 
 
