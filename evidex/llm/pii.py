@@ -202,7 +202,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text sanitised by the spans found; all columns are kept, null texts stay null."""
-    spans = find_personal_data(docs, id_col, text_col).where("spans <> ''").select(F.col("doc_id").alias("held_id"), "spans").distinct()
+    spans = find_personal_data(docs, id_col, text_col).where("spans <> ''").select(F.col("doc_id").alias("held_id"), F.col("spans").alias("held_spans")).distinct()
     clean = F.pandas_udf(lambda t, s: t.where(s.isna(), [sanitise(a, b) if b and a else a for a, b in zip(t, s, strict=True)]), "string")
     both = docs.join(spans, docs[id_col].eqNullSafe(spans["held_id"]), "left")
-    return both.select(*(clean(docs[c], F.col("spans")).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return both.select(*(clean(docs[c], F.col("held_spans")).alias(c) if c == text_col else docs[c] for c in docs.columns))
