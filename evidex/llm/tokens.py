@@ -13,7 +13,9 @@ from array import array
 import numpy as np
 
 #: Words that a cache keeps at most, about 0.2 KB each.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
+#: Marks that end a word of letters in a piece of their own.
+_marks = ".,;:!?#*$%&|"
 _parts = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -22,6 +24,7 @@ class _Cache(dict):
 
     def __init__(self, encode, before: str):
         self.encode, self.before, self.old = encode, before, {}
+        self.marks, self.lower = self, False
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= CACHE_WORDS // 2:
@@ -29,7 +32,13 @@ class _Cache(dict):
             self.clear()
         ids = self.old.get(part)
         if ids is None:
-            ids = self.encode(self.before + part)
+            stem = part.rstrip(_marks)
+            if stem and stem != part and stem.lower().isalpha():  # letters and the marks after them are never merged
+                ids = self[stem] + self.marks[part[len(stem) :]]
+            elif self.lower and part.isascii() and part != part.lower():
+                ids = self[part.lower()]
+            else:
+                ids = self.encode(self.before + part)
         self[part] = ids
         return ids
 
@@ -43,7 +52,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.bare, self.spaced = _Cache(self._encode, ""), _Cache(self._encode, " ")
+        self.bare = self.spaced = _Cache(self._encode, "")
+        if self._encode(" a") == self._encode("a"):  # white space is dropped, and so is case
+            self.bare.lower = self._encode("A") == self._encode("a")
+        else:
+            self.spaced = _Cache(self._encode, " ")
+            self.spaced.marks = self.bare
 
     def _encode(self, part: str) -> bytes:
         return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
