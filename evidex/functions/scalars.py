@@ -55,7 +55,7 @@ def symbol_root(symbol: Column) -> Column:
     """@ESH25 and ES are ES: without a leading @ and a month code with a two-digit year, in upper case."""
     t = F.upper(F.trim(symbol))
     root = F.regexp_extract(t, r"^@?([A-Z0-9]+?)(?:[FGHJKMNQUVXZ]\d{2})?$", 1)
-    return F.when(root != "", root).otherwise(F.ltrim(F.lit("@"), t))
+    return F.when(root != "", root).otherwise(F.ltrim(t, F.lit("@")))
 
 
 def axis_class(name: Column) -> Column:
