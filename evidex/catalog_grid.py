@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.catalog_trades import rounded
+from evidex.catalog_trades import TRADES, rounded
 from evidex.operators import components as K
 from evidex.operators import grid as G
 from evidex.operators import region as R
 from evidex.operators import wfc as W
-from evidex.plans import views
+from evidex.plans import grid_battery, trade_battery, views
 from evidex.session import cut
-from evidex.sources import tables
+from evidex.sources import report, tables
 
 N_NULL, N_BOOT, MIN_TRADES = 99, 25, 200
 #: A schedule of three windows, the last of which the data ends in: (window, oos_start, oos_end, in_len, in_type, anchored, grid_row).
@@ -45,7 +45,7 @@ def rounded_pairs(p: DataFrame) -> DataFrame:
 
 def _region(spark, sf) -> DataFrame:
     r = R.region(_pairs(spark, sf), tables.combos(spark, sf))
-    return cut(r.withColumns({"x_pooled": F.round("x_pooled", 4), "y_pooled": F.round("y_pooled", 4)}))
+    return cut(r.withColumns({"x_pooled": F.round("x_pooled", 9), "y_pooled": F.round("y_pooled", 9)}))
 
 
 def _blocks(spark, sf, centre=False) -> DataFrame:
@@ -157,6 +157,28 @@ def _pooled(spark, sf) -> DataFrame:
     return rounded(W.pooled_test(W.correlations(p), _flip_rho(spark, sf), _windows(spark, sf)))
 
 
+def _trade_battery_json(spark, sf) -> DataFrame:
+    return trade_battery.run(tables.trades(spark, sf), tables.bars(spark, sf), n_perm=50).json()
+
+
+def _timing_json(spark, sf) -> DataFrame:
+    return trade_battery.run_timing(tables.trades(spark, sf), tables.bars(spark, sf), max_k=3).json()
+
+
+def _grid_battery_json(spark, sf) -> DataFrame:
+    t = [cut(f(spark, sf)) for f in (tables.combos, tables.grid_daily, tables.grid_exits, tables.days)]
+    return grid_battery.run(*t, scheme="two", n_null=49, n_boot=10).json()
+
+
+def _report_round_trip(spark, sf) -> DataFrame:
+    """Each strategy's trades written as a report and parsed again."""
+    t = tables.trades(spark, sf)
+    text = report.report_text(t.withColumns({"file": F.col("strategy_id").cast("string"), "interval": F.lit("60 min.")}))
+    back, _, bad = report.parse_trades(text)
+    report.refuse(bad, report.ReportFormatError)
+    return rounded(back.select("file", "trade_id", "direction", "entry_time", "exit_time", "contracts", "gross_pnl", "net_pnl"), 2)
+
+
 def queries() -> dict:
     c, d, w = tables.combos, tables.grid_daily, _windows
     return {
@@ -168,7 +190,7 @@ def queries() -> dict:
         "surface_metrics": lambda spark, sf: rounded(_metrics(spark, sf), 6),
         "exit_counts": lambda spark, sf: G.exit_counts(tables.grid_exits(spark, sf), c(spark, sf), w(spark, sf)),
         "min_trade_holes": lambda spark, sf: rounded(_holes(spark, sf).select("project", "window", "combo_id", "x", "y"), 3),
-        "neighbourhood_pool": lambda spark, sf: rounded(_region(spark, sf).select("window", "combo_id", "x_pooled", "y_pooled"), 4),
+        "neighbourhood_pool": lambda spark, sf: rounded(_region(spark, sf).select("window", "combo_id", "x_pooled", "y_pooled"), 9),
         "region_topk": lambda spark, sf: _region(spark, sf).where("in_region").select("window", "combo_id", "place", "k"),
         "region_lift": lambda spark, sf: rounded(R.lifts(_region(spark, sf))),
         "overlap_precision": lambda spark, sf: rounded(R.precision(_region(spark, sf), R.distinct_patterns(d(spark, sf), w(spark, sf)))),
@@ -200,6 +222,10 @@ def queries() -> dict:
         "ols_line_view": lambda spark, sf: rounded(views.ols_line(_pairs(spark, sf), G.WINDOW, "x", "y")),
         "rolling_view": lambda spark, sf: rounded(views.ranked_profile(_pairs(spark, sf), G.WINDOW)),
         "outline_view": _outline,
+        "json_export": _trade_battery_json,
+        "timing_json": _timing_json,
+        "grid_json": _grid_battery_json,
+        "report_round_trip": _report_round_trip,
     }
 
 
@@ -226,7 +252,7 @@ NEAR = ", nb AS (SELECT c.combo_id, n.combo_id AS near FROM cb c JOIN cb n ON ab
 REGION = (
     PAIRS
     + NEAR
-    + """, pp AS (SELECT p."window", nb.combo_id, round(avg(p.x), 4) AS x_pooled, round(avg(p.y), 4) AS y_pooled FROM nb JOIN pr p ON p.combo_id = nb.near GROUP BY 1, 2),
+    + """, pp AS (SELECT p."window", nb.combo_id, round(avg(p.x), 9) AS x_pooled, round(avg(p.y), 9) AS y_pooled FROM nb JOIN pr p ON p.combo_id = nb.near GROUP BY 1, 2),
 rg AS (SELECT pr.*, x_pooled, y_pooled, row_number() OVER (PARTITION BY pr."window" ORDER BY x_pooled DESC, pr.combo_id) AS place, greatest(1, CAST(round_even(count(*) OVER (PARTITION BY pr."window") * 0.2, 0) AS INTEGER)) AS k FROM pr JOIN pp ON pp."window" = pr."window" AND pp.combo_id = pr.combo_id),
 lf AS (SELECT "window", min(k) AS k, avg(CASE WHEN place <= k THEN y END) AS rm, avg(y) AS gm, stddev_pop(y) AS sd, avg((y > 0)::INT) AS ps FROM rg GROUP BY 1), li AS (SELECT *, coalesce((rm - gm) / nullif(sd, 0), 0) AS lift FROM lf)"""
 )
@@ -295,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
     sched = "(VALUES " + ", ".join(f"({w}, DATE '{a}', DATE '{b}', {n}, '{t}', {str(z).lower()}, {r})" for w, a, b, n, t, z, r in SCHEDULE) + ') s("window", oos_start, oos_end, in_len, in_type, anchored, grid_row)'
     corr_cols = f'n_points, {_r("spearman", "pearson", digits=9)}, n_pos_is, {_r("pos_oos_frac", digits=9)}, n_points < 8 OR n_pos_is < 4 AS insufficient'
     return {
+        "report_round_trip": f"WITH {TRADES} SELECT strategy_id::VARCHAR AS file, trade_id, direction, entry_time, exit_time, contracts::INTEGER AS contracts, gross_pnl, round(gross_pnl - 2 * (2.2 + 0.5::DOUBLE), 2) AS net_pnl FROM t",
         "grid_axes": f"WITH {CELLS}, x AS (SELECT 0 AS axis, a AS v FROM cb UNION ALL SELECT 1, b FROM cb) SELECT 'P1' AS project, axis::INTEGER AS axis, count(DISTINCT v) AS size, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high, count(*) AS n_iter, (SELECT count(DISTINCT a) * count(DISTINCT b) = count(*) FROM cb) AS is_full FROM x GROUP BY axis",
         "grid_positions": f"WITH {CELLS} SELECT combo_id, pa AS a, pb AS b FROM cb",
         "wf_windows": f"""WITH {CELLS}, w AS (SELECT s.*, CASE WHEN anchored THEN (SELECT min(date) FROM dy) WHEN in_type = 'Week' THEN oos_start - 7 * in_len WHEN in_type = 'Month' THEN CAST(oos_start - to_months(in_len) AS DATE) END AS is_start, oos_start - 1 AS is_end, least(oos_end, (SELECT max(date) FROM dy)) AS oos_stop FROM {sched}),
@@ -306,7 +333,7 @@ SELECT 'P1' AS project, j."window", is_first, is_last, oos_first, oos_last, oos_
         "surface_metrics": f"WITH {SURF} SELECT 'P1' AS project, \"window\", side, combo_id, {_r('net_profit', 'max_dd', 'avg_dd')}, n_days, round(CASE WHEN avg_dd < 0 THEN net_profit / -avg_dd END, 6) AS np_over_avgdd FROM sm",
         "exit_counts": f"WITH {HOLES} SELECT 'P1' AS project, \"window\", side, combo_id, n AS n_trades FROM nx",
         "min_trade_holes": f"WITH {HOLES} SELECT 'P1' AS project, \"window\", combo_id, {_r('x', 'y', digits=3)} FROM pr",
-        "neighbourhood_pool": f'WITH {REGION} SELECT "window", combo_id, {_r("x_pooled", "y_pooled", digits=4)} FROM rg',
+        "neighbourhood_pool": f'WITH {REGION} SELECT "window", combo_id, {_r("x_pooled", "y_pooled", digits=9)} FROM rg',
         "region_topk": f'WITH {REGION} SELECT "window", combo_id, place::INTEGER AS place, k FROM rg WHERE place <= k',
         "region_lift": f"WITH {REGION} SELECT 'P1' AS project, \"window\", k, {lift_cols} FROM li",
         "overlap_precision": f"""WITH {REGION}, dp AS (SELECT "window", count(DISTINCT s) AS nd FROM (SELECT "window", combo_id, list(round_even(pnl, 2) ORDER BY day_idx) AS s FROM ds WHERE side = 'oos' GROUP BY 1, 2) GROUP BY 1), o AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY y_pooled DESC, combo_id) AS p2 FROM rg)

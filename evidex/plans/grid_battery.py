@@ -93,7 +93,7 @@ def run(combos: DataFrame, daily: DataFrame, exits: DataFrame, days: DataFrame,
     centre = K.centres(r, ridge_is, combos, "x_pooled")
     per_window = lambda d, name: R.window_p(d, lifts, "null_lift", "lift").select(*G.WINDOW, F.col("p").alias(name))
     rules = G.best_pick(whole).select(*G.WINDOW, F.lit("best_is").alias("rule"), F.col("pick").alias("combo_id")).union(r.where("place = 1").select(*G.WINDOW, F.lit("best_pooled"), "combo_id")).union(windows.where("pick is not null").select(*G.WINDOW, F.lit("pick"), "pick")).union(centre.select(*G.WINDOW, F.lit("centre"), "centre"))
-    pct = R.pick_percentiles(r, rules).groupBy(*G.WINDOW).agg(F.map_from_entries(F.collect_list(F.struct("rule", "pct"))).alias("pct"))
+    pct = R.pick_percentiles(r, rules).groupBy(*G.WINDOW).agg(F.array_sort(F.collect_list(F.struct("rule", "pct"))).alias("pct"))
     region = lifts.join(per_window(flip, "p_lift"), G.WINDOW).join(per_window(boot, "p_lift_boot"), G.WINDOW).join(patterns, G.WINDOW).join(precision, G.WINDOW).join(p_precision, G.WINDOW, "left").join(R.ridge_overlap(r, ridge_is, ridge_oos, combos), G.WINDOW, "left").join(centre.select(*G.WINDOW, "centre", "is_peak"), G.WINDOW).join(pct, G.WINDOW, "left")
     read = R.reading(F.col("p_lift"), F.col("region_oos_mean"), F.col("grid_oos_mean"), R.scoreable(F.col("n_distinct"), F.col("k")), alpha)
     region = cut(region.withColumns({"reading": read, "margin": F.col("region_oos_mean") - F.col("grid_oos_mean"), "jaccard": F.when(R.scoreable(F.col("n_distinct"), F.col("k")), F.col("jaccard"))}))

@@ -36,10 +36,9 @@ class Battery:
 
     def json(self) -> DataFrame:
         """(strategy_id, json): each strategy's whole result."""
-        one = self.verdicts.join(self.meta, "strategy_id")
-        many = {k: getattr(self, k) for k in ("checks", "random_entry", "windows", "window_score", "regimes", "yearly", "cost_curve", "cost_summary")}
+        many = {k: getattr(self, k) for k in ("verdicts", "checks", "random_entry", "windows", "window_score", "regimes", "yearly", "cost_curve", "cost_summary")}
         dd = self.drawdown.select("strategy_id", *(c for c in self.drawdown.columns if c != "strategy_id"))
-        return to_json(nested(one, many | {"drawdown": dd}, ["strategy_id"]), ["strategy_id"])
+        return to_json(nested(self.meta, many | {"drawdown": dd}, ["strategy_id"]), ["strategy_id"])
 
 
 def checked(trades: DataFrame, bars: DataFrame, summary: DataFrame | None, settings: DataFrame | None, min_trades: int, strict: bool) -> tuple[DataFrame, DataFrame]:
