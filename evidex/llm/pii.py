@@ -4,7 +4,8 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. Each s
 near an entity reveals it as far as the two occur together more than chance has it: with p over documents,
 PMI(t, e) = log2(p(t, e) / (p(t) p(e))), against the entity's information IC(e) = -log2 p(e). Where PMI / IC reaches
 GENERALISE the term is replaced by a word for its shape, from REMOVE on it is removed, in documents that hold the entity.
-Counts are over all documents; copies of a passage count once, and a pair must be seen in MIN_CONTEXTS different passages,
+Counts are over all documents; copies and near copies of a passage count once (by a min-hash of the terms around the
+entity), and a pair must be seen in MIN_CONTEXTS different passages,
 since what was seen once or twice says nothing about chance.
 """
 
@@ -71,7 +72,8 @@ def term(word: str) -> str:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORDS) -> list[tuple[str, str, int]]:
-    """(entity, term, passage): terms within `near` words of an entity; passage is a hash of the words around it."""
+    """(entity, term, passage): terms within `near` words of an entity; passage is the least hash of the terms around it,
+    which near copies of a passage mostly share."""
     out = set()
     for kind, start, end in spans:
         low, high = max(0, start - 40 * near), end + 40 * near
@@ -79,7 +81,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORD
         after = _word.findall(text[end:high])[:near]
         entity = f"{kind}:{re.sub('[^a-z0-9@.]', '', text[start:end].lower())}"
         terms = {term(w) for w in before + after}
-        passage = xxhash.xxh3_64_intdigest(" ".join(sorted(terms))) - (1 << 63)
+        passage = min(map(xxhash.xxh3_64_intdigest, terms), default=0) - (1 << 63)
         taken = {term(w) for k, a, b in spans for w in _word.findall(text[a:b])}
         out |= {(entity, t, passage) for t in terms if len(t) >= 3 and t not in taken and any(map(str.isalpha, t))}
     return sorted(out)
@@ -123,11 +125,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_C
     terms = cut(pairs.select(F.col("term").alias("wanted")).distinct())
     clean = F.expr(f"""lower(trim(BOTH '{_edges.replace("'", "''")}' FROM w))""")
     words = docs.select(F.explode(F.array_distinct(F.split("t", r"[\x20\x09-\x0D]+"))).alias("w")).select(clean.alias("term"))
-    if terms.count() <= SMALL_TABLE:
-        words = words.join(F.broadcast(terms), F.col("term") == F.col("wanted"), "left_semi")
-    else:
-        words = words.groupBy("term").count().join(terms, F.col("term") == F.col("wanted"), "left_semi").selectExpr("term", "count as c")
-    n_terms = words.groupBy("term").agg((F.sum("c") if "c" in words.columns else F.count("*")).alias("n_term"))
+    n_terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, F.col("term") == F.col("wanted"), "left_semi")
     n = float(max(2, found.count()))
     pmi = F.log2(n * F.col("together") / (F.greatest("n_term", "together") * F.col("n_entity")))
     information = F.log2(n / F.col("n_entity"))
