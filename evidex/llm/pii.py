@@ -125,7 +125,10 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_C
     terms = cut(pairs.select(F.col("term").alias("wanted")).distinct())
     clean = F.expr(f"""lower(trim(BOTH '{_edges.replace("'", "''")}' FROM w))""")
     words = docs.select(F.explode(F.array_distinct(F.split("t", r"[\x20\x09-\x0D]+"))).alias("w")).select(clean.alias("term"))
-    n_terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, F.col("term") == F.col("wanted"), "left_semi")
+    wanted = F.col("term") == F.col("wanted")
+    if terms.count() <= SMALL_TABLE:  # then other words need no counting
+        words = words.join(F.broadcast(terms), wanted, "left_semi")
+    n_terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, wanted, "left_semi")
     n = float(max(2, found.count()))
     pmi = F.log2(n * F.col("together") / (F.greatest("n_term", "together") * F.col("n_entity")))
     information = F.log2(n / F.col("n_entity"))
