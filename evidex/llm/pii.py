@@ -4,8 +4,8 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. Each s
 near an entity reveals it as far as the two occur together more than chance has it: with p over documents,
 PMI(t, e) = log2(p(t, e) / (p(t) p(e))), against the entity's information IC(e) = -log2 p(e). Where PMI / IC reaches
 GENERALISE the term is replaced by a word for its shape, from REMOVE on it is removed, in documents that hold the entity.
-Counts are over all documents; copies and near copies of a passage count once (by a min-hash of the terms around the
-entity), and a pair must be seen in MIN_CONTEXTS different passages,
+Counts are over all documents; copies and near copies of a passage mostly count once (by min-hashes of the terms
+around the entity, the median count over SIGNATURES of them, since one of them may fall on a term that all passages share), and a pair must be seen in MIN_CONTEXTS different passages,
 since what was seen once or twice says nothing about chance.
 """
 
@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 NEAR_WORDS = 6
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: Min-hashes of a passage, an odd number.
+SIGNATURES = 5
 #: Rows up to which a counted table is broadcast.
 SMALL_TABLE = 50_000
 _local = re.compile(r"[A-Za-z0-9._%+-]")
@@ -71,9 +73,9 @@ def term(word: str) -> str:
     return word.strip(_edges).lower()
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORDS) -> list[tuple[str, str, int]]:
-    """(entity, term, passage): terms within `near` words of an entity; passage is the least hash of the terms around it,
-    which near copies of a passage mostly share."""
+def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORDS) -> list[tuple[str, str, tuple[int, ...]]]:
+    """(entity, term, passage): terms within `near` words of an entity; passage holds the least hash of the terms around
+    it for each of SIGNATURES seeds, which near copies of a passage mostly share."""
     out = set()
     for kind, start, end in spans:
         low, high = max(0, start - 40 * near), end + 40 * near
@@ -81,7 +83,7 @@ def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORD
         after = _word.findall(text[end:high])[:near]
         entity = f"{kind}:{re.sub('[^a-z0-9@.]', '', text[start:end].lower())}"
         terms = {term(w) for w in before + after}
-        passage = min(map(xxhash.xxh3_64_intdigest, terms), default=0) - (1 << 63)
+        passage = tuple(min((xxhash.xxh3_64_intdigest(t, seed) for t in terms), default=0) - (1 << 63) for seed in range(SIGNATURES))
         taken = {term(w) for k, a, b in spans for w in _word.findall(text[a:b])}
         out |= {(entity, t, passage) for t in terms if len(t) >= 3 and t not in taken and any(map(str.isalpha, t))}
     return sorted(out)
@@ -91,7 +93,7 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string,passage:long>>"
+FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string,passage:array<long>>>"
 
 
 def base_rows(docs: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def base_rows(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("passage", pa.int64())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("passage", pa.list_(pa.int64()))])))])
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -117,8 +119,10 @@ def base_rows(docs: DataFrame) -> DataFrame:
 def revealing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(entity, term, share): terms whose share of the entity's information reaches GENERALISE."""
     near = found.select(F.explode("near").alias("x")).select("x.*").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= min_contexts)
-    entities = near.select("entity", "passage").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    counts = F.array(*(F.count_distinct(F.col("passage")[i]) for i in range(SIGNATURES)))
+    passages = F.sort_array(counts)[SIGNATURES // 2]
+    pairs = near.groupBy("entity", "term").agg(passages.alias("together")).where(F.col("together") >= min_contexts)
+    entities = near.groupBy("entity").agg(passages.alias("n_entity"))
     pairs = cut(pairs.join(entities, "entity"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
