@@ -1,15 +1,16 @@
-"""Main text of web pages: a suffix array over the pages of a host finds boilerplate, markup tells what is the article.
-
-A page's visible text is cut into blocks. Blocks in its article (or main) element are its main text. The text around it
-is a stream of tokens: menus, headers, notices, footers, and, where a page has no article element, its own text too. The
-streams of a host are joined and their suffixes sorted; a run of MIN_RUN tokens or more that occurs on two different
-pages of the host is boilerplate and is removed. Of the runs that stay, those in elements which the markup names as menu,
-footer, advert, form or comment go as well; the rest is the main text of pages without an article element. The article
-element's own text is kept whole, since passages that articles share are text.
-
-Equal streams of a host are counted before anything is shuffled. A host whose different streams hold over HOST_TOKENS
-tokens is not sorted in one task: its runs of MIN_RUN tokens are dealt out by hash, counted and joined back, which covers
-the same tokens, since a longer run repeats if and only if all its parts of MIN_RUN tokens do.
+"""Main text of web pages: a suffix array over the pages of a host finds boilerplate, markup narrows down what is left.
+
+A page's visible text is cut into blocks. The words of all blocks, those of the article element included, are a stream;
+the streams of a host's different pages are joined and their suffixes sorted. A run of MIN_RUN words that stands on
+MIN_SHARE of the host's different pages is boilerplate. It is removed where such runs cover a whole block, or LONG_RUN
+words of one; shorter runs within a block are set phrases of prose and stay. Blocks of under MIN_RUN words are compared as
+wholes. From an article element, and of short blocks, only goes what at least FIRM pages share, since two articles may
+share a passage. Of what is left, the text of the article (or main) element is the main text, and on pages without one
+everything outside elements which the markup names as menu, footer, advert, form or comment.
+
+A host with over HOST_TOKENS words is sorted in chunks of pages. What stands on a share of all pages stands on that share
+of some chunk's pages, so the chunks name candidates, which are then counted over all pages of the host: the result is
+that of one array.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 
 from evidex.session import cut, ship
 
-MIN_RUN = 6
+MIN_RUN, LONG_RUN = 6, 12
+MIN_SHARE, FIRM = 0.5, 3
 HOST_TOKENS = 500_000
-#: Rows up to which a counted table is broadcast.
-SMALL_TABLE = 20_000
+#: Runs up to which a table of runs is broadcast.
+SMALL_TABLE = 500_000
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z)""", re.S)
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select".split())
@@ -40,11 +42,12 @@ HINTS = frozenset("ad ads advert advertisement advertising banner breadcrumb bre
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 
-def is_boilerplate(name: str, attributes: str) -> bool:
-    """Whether an element is menu, header, footer, advert, form, comment or hidden, by its name and attributes."""
+def is_boilerplate(name: str, attributes: str, nested: bool = False) -> bool:
+    """Whether an element is menu, header, footer, advert, form, comment or hidden, by its name and attributes; an article
+    element only where it is nested in another one, as comments are."""
     if name in BOILERPLATE:
         return True
-    if not attributes or attributes.isspace() or name in ("html", "body", "main", "article"):
+    if not attributes or attributes.isspace() or name in ("html", "body", "main") or name == "article" and not nested:
         return False
     for key, value in _attribute.findall(attributes):
         value = value.strip("\"'").lower()
@@ -60,8 +63,14 @@ def blocks(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     text: list[str] = []
     stack: list[tuple[str, str]] = []
+    opened: dict[str, int] = {}
     zone, at = "plain", 0
 
+    def pop() -> str:
+        name, before = stack.pop()
+        opened[name] -= 1
+        return before
+
     def flush() -> None:
         if words := " ".join(entities.unescape("".join(text)).split()):
             out.append((zone, words))
@@ -82,17 +91,18 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if m[1]:
             if any(name == n for n, _ in stack):
                 while stack and stack[-1][0] != name:
-                    stack.pop()
-                _, zone = stack.pop()
+                    pop()
+                zone = pop()
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = end.start() if end else len(page)
         elif name not in VOID and not m[3].endswith("/"):
             if stack and stack[-1][0] == "p" and name not in INLINE:
-                _, zone = stack.pop()
+                zone = pop()
             if len(stack) < 2000:
                 stack.append((name, zone))
-            if is_boilerplate(name, m[3]):
+                opened[name] = opened.get(name, 0) + 1
+            if is_boilerplate(name, m[3], opened.get("article", 0) > (name == "article")):
                 flush()
                 zone = "named"
             elif name in ("article", "main") and zone != "named":
@@ -101,31 +111,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def parts(page: str) -> tuple[str | None, list[list[tuple[bool, str]]]]:
-    """The article's text, or None where the page has no such element; and the streams around it: (plain, block) lists."""
-    found = blocks(page)
-    zones = {z for z, _ in found}
-    own = "article" if "article" in zones else "main" if "main" in zones else None
-    main = " ".join(t for z, t in found if z in ("article", "main") and (z == own or own == "main")) if own else None
-    streams: list[list[tuple[bool, str]]] = [[]]
-    for z, t in found:
-        if z == own:
-            streams.append([])
-        else:
-            streams[-1].append((z == "plain", t))
-    return main, [s for s in streams if s]
-
+def sorted_runs(tokens: np.ndarray, owner: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the suffixes with at least `run` tokens in their stream, in suffix order, and where groups of equal runs
+    begin among them. Suffixes are sorted by doubling, as far as `run` tokens; neighbours in that order share a run.
 
-def covered(tokens: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray, run: int) -> np.ndarray:
-    """Which tokens lie in a run of `run` tokens that occurs on two pages.
-
-    tokens: the joined streams as numbers; owner: the stream of each token; low, high: the least and the greatest page of
-    each stream. Suffixes are sorted by doubling, as far as `run` tokens; equal neighbours in that order share a run.
+    tokens: the joined streams as numbers; owner: the stream of each token. Starts of one group ascend.
     """
     n = len(tokens)
-    out = np.zeros(n + 1, np.int64)
     if n < run:
-        return out[:n].astype(bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank, size = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1
     while size < run:
         step = min(size, run - size)
@@ -135,9 +129,17 @@ def covered(tokens: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.nda
         size += step
     starts = np.flatnonzero(owner[: n - run + 1] == owner[run - 1 :])
     order = starts[np.argsort(rank[starts], kind="stable")]
+    return order, np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0]) if len(order) else order
+
+
+def covered(tokens: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens lie in a run of `run` tokens that occurs on two pages; low, high: the least and the greatest page of
+    each stream."""
+    n = len(tokens)
+    out = np.zeros(n + 1, np.int64)
+    order, at = sorted_runs(tokens, owner, run)
     if not len(order):
         return out[:n].astype(bool)
-    at = np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0])
     twice = np.minimum.reduceat(low[owner[order]], at) != np.maximum.reduceat(high[owner[order]], at)
     hit = order[np.repeat(twice, np.diff(np.r_[at, len(order)]))]
     np.add.at(out, hit, 1)
@@ -145,65 +147,127 @@ def covered(tokens: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.nda
     return np.cumsum(out[:n]) > 0
 
 
-def streams_of(pages: DataFrame) -> DataFrame:
-    """(page_id, host, stream, page, plain): every stream around a page's article; page is a hash of all its visible text."""
+def run_keys(words: np.ndarray, run: int) -> np.ndarray:
+    """A hash of each run of `run` words, by their hashes."""
+    n, out = len(words) - run + 1, np.uint64(run)
+    if n < 1:
+        return np.zeros(0, np.int64)
+    for i in range(run):
+        out = (out ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.astype(np.int64)
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def block_key(block: str) -> int:
+    """A hash of a short block, which no run has."""
+    return xxhash.xxh3_64_intdigest("\n" + block) - (1 << 63)
+
+
+def short_blocks(text: str, run: int) -> set[int]:
+    """The hashes of blocks of under `run` words; blocks stand on lines of their own."""
+    return {block_key(b) for b in text.split("\n") if b and b.count(" ") + 1 < run}
+
+
+def page_text(page: str) -> str:
+    """All visible text, a block on each line."""
+    return "\n".join(t for _, t in blocks(page))
+
+
+def chunk_runs(texts: list[str], run: int, share: float) -> dict[int, int]:
+    """How many of the texts hold each run of `run` words and each short block, for those which `share` of them hold."""
+    need = share * len(texts)
+    counts: dict[int, int] = {}
+    for t in texts:
+        for k in short_blocks(t, run):
+            counts[k] = counts.get(k, 0) + 1
+    out = {k: c for k, c in counts.items() if c >= need}
+    words = [word_keys(t.split()) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), list(map(len, words)))
+    tokens = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    order, at = sorted_runs(tokens, owner, run)
+    if len(order):
+        first = np.r_[True, np.diff(owner[order]) != 0]
+        first[at] = True
+        pages = np.add.reduceat(first.astype(np.int64), at)
+        many = pages >= need
+        starts = order[at[many]]
+        keys = run_keys(np.concatenate([tokens[i : i + run] for i in starts]), run)[::run] if len(starts) else ()
+        out |= dict(zip(map(int, keys), pages[many].tolist(), strict=True))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def keyed(p: DataFrame, with_text: bool, run: int = MIN_RUN) -> DataFrame:
+    """(host, key, n, text) of each page, its copies within a task left out: a hash of its visible text, its words, and the text where wanted; with a column
+    `runs` in p, found: which of these the page holds."""
+    searched = "runs" in p.columns
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for b in batches:
             rows = []
-            for page_id, host, page in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2), strict=True):
-                main, around = parts(page.as_py() or "")
-                texts = [" ".join(t for _, t in s) for s in around]
-                key = xxhash.xxh3_64_intdigest("\0".join([main or "", *texts])) - (1 << 63)
-                rows += [(page_id, host, t, key, main is None and any(p for p, _ in s)) for t, s in zip(texts, around, strict=True)]
+            for i, (host, page) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                text = page_text(page.as_py() or "")
+                key = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                if (host, key) in seen:
+                    continue
+                seen.add((host, key))
+                found = None
+                if searched:
+                    wanted = b.column(2)[i].values.to_numpy()
+                    here = np.r_[run_keys(word_keys(text.split()), run), np.array(list(short_blocks(text, run)), np.int64)]
+                    found = wanted[np.isin(wanted, here)].tolist()
+                rows.append((host, key, len(text.split()), text if with_text else None, found))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "host", "stream", "page", "plain"])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "key", "n", "text", "found"])
 
-    return pages.mapInArrow(run, "page_id long, host string, stream string, page long, plain boolean")
+    return p.select("host", "html", *["runs"] * searched).mapInArrow(pages, "host string, key long, n long, text string, found array<long>")
 
 
-def boilerplate(streams: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TOKENS) -> DataFrame:
-    """(host, stream, gone): the numbers of the tokens to remove, for each stream in which some plain text repeats."""
-    each = streams.groupBy("host", "stream").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("plain").alias("plain"))
-    each = cut(each.withColumn("n", F.size(F.split("stream", " "))))
-    sizes = each.groupBy("host").agg(F.sum("n").alias("host_n"))
-    large = cut(sizes.where(F.col("host_n") > host_tokens).select(F.col("host").alias("large_host")))
+def boilerplate(p: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TOKENS, share: float = MIN_SHARE) -> DataFrame:
+    """(host, run, pages): runs of words and short blocks, by hash, which a share of the host's different pages hold."""
+    hosts = keyed(p, False).select("host", "key", "n").dropDuplicates(["host", "key"]).groupBy("host")
+    hosts = cut(hosts.agg(F.count("*").alias("host_n"), F.greatest(F.lit(1), F.ceil(F.sum("n") / host_tokens)).cast("long").alias("chunks")).where("host_n > 1"))
+    few = F.broadcast(hosts) if hosts.count() <= SMALL_TABLE else hosts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, rows = None, []
-        for r in (r for b in batches for r in b.to_pylist()):
-            if r["host"] != host and rows:
-                yield sorted_host(rows)
-                rows = []
-            host = r["host"]
-            rows.append(r)
-        if rows:
-            yield sorted_host(rows)
-
-    def sorted_host(rows: list[dict]) -> pa.RecordBatch:
-        words = [r["stream"].split(" ") for r in rows]
-        owner = np.repeat(np.arange(len(rows)), list(map(len, words)))
-        names: dict[str, int] = {}
-        tokens = np.array([names.setdefault(w, len(names)) for ws in words for w in ws], np.int64)
-        hit = covered(tokens, owner, np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows]), min_run)
-        ends = np.cumsum([0, *map(len, words)])
-        out = [(r["host"], r["stream"], gone) for i, r in enumerate(rows) if r["plain"] and (gone := np.flatnonzero(hit[ends[i] : ends[i + 1]]).tolist())]
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32()))], ["host", "stream", "gone"])
-
-    shape = "host string, stream string, gone array<int>"
-    if large.isEmpty():
-        return each.repartition("host").sortWithinPartitions("host", "stream").mapInArrow(run, shape)
-    small = each.join(large, F.col("host") == F.col("large_host"), "left_anti")
-    by_host = small.repartition("host").sortWithinPartitions("host", "stream").mapInArrow(run, shape)
-    wide = each.where(F.col("n") >= min_run).join(large, F.col("host") == F.col("large_host"), "left_semi").withColumn("w", F.split("stream", " "))
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - (min_run - 1)), lambda i: F.xxhash64(F.slice("w", i, min_run)))).alias("at", "h")
-    runs = wide.select("host", "stream", "low", "high", "plain", at)
-    twice = runs.groupBy("host", "h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "h")
-    hit = runs.where("plain").select("host", "stream", "at", "h").join(twice, ["host", "h"])
-    tokens = F.explode(F.sequence(F.col("at"), F.col("at") + (min_run - 1))).alias("token")
-    return by_host.union(hit.select("host", "stream", tokens).groupBy("host", "stream").agg(F.array_sort(F.collect_set("token")).alias("gone")))
+        at, last, texts = None, None, []
+
+        def result() -> pa.RecordBatch:
+            found = chunk_runs(texts, min_run, share)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.string()), pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["host", "run", "pages"])
+
+        for b in batches:
+            for host, chunk, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                if (host, chunk) != at:
+                    if texts:
+                        yield result()
+                    at, last, texts = (host, chunk), None, []
+                if key != last:
+                    texts.append(text.as_py())
+                    last = key
+        if texts:
+            yield result()
+
+    each = keyed(p, True).join(few, "host").select("host", F.pmod("key", "chunks").alias("chunk"), "key", "text")
+    found = cut(each.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "key").mapInArrow(run, "host string, run long, pages long").join(few, "host"))
+    enough = F.col("pages") >= F.greatest(F.lit(2.0), F.col("host_n") * F.lit(share))
+    out = found.where("chunks = 1").where(enough).select("host", "run", "pages")
+    if hosts.where("chunks > 1").isEmpty():
+        return out
+    wanted = found.where("chunks > 1").groupBy("host").agg(F.collect_set("run").alias("runs"))
+    holds = keyed(with_runs(p, wanted, found.count()).where("runs is not null"), False, min_run).select("host", "key", "found").dropDuplicates(["host", "key"])
+    counted = holds.select("host", F.explode("found").alias("run")).groupBy("host", "run").agg(F.count("*").alias("pages"))
+    return out.union(counted.join(few, "host").where(enough).select("host", "run", "pages"))
+
+
+def with_runs(p: DataFrame, hosts: DataFrame, n: int) -> DataFrame:
+    """p with the columns of its host, null where there are none; n: the runs in them."""
+    return p.join(F.broadcast(hosts) if n <= SMALL_TABLE else hosts, "host", "left")
 
 
 def extract(pages: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -218,33 +282,47 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TO
     ship(spark)
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    streams = cut(streams_of(p.select("page_id", "host", "html")))
-    gone = boilerplate(streams, min_run, host_tokens)
-    mark = F.struct(F.xxhash64("stream").alias("key"), "gone")
-    hits = streams.where("plain").select("page_id", "host", "stream").join(gone, ["host", "stream"])
-    hits = cut(hits.groupBy(F.col("page_id").alias("hit_id")).agg(F.collect_set(mark).alias("marks")))
-    few = F.broadcast(hits) if hits.count() <= SMALL_TABLE else hits
-    marked = p.join(few, F.col("page_id").eqNullSafe(F.col("hit_id")), "left").select("page_id", "url", "html", "marks")
+    gone = cut(boilerplate(p, min_run, host_tokens))
+    firm = F.collect_list(F.when(F.col("pages") >= FIRM, F.col("run"))).alias("firm")
+    marked = with_runs(p, gone.groupBy("host").agg(F.collect_list("run").alias("runs"), firm), gone.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(page.as_py() or "", marks.as_py()) for page, marks in zip(b.column(2), b.column(3), strict=True)]
+            texts = []
+            for page, runs, firm in zip(b.column(2), b.column(3), b.column(4), strict=True):
+                marks = (runs.values.to_numpy(), firm.values.to_numpy()) if runs.is_valid else None
+                texts.append(main_text(page.as_py() or "", marks, min_run))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return marked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
-
-
-def main_text(page: str, marks: list[dict] | None) -> str:
-    """The page's main text; marks: for streams, by hash, the tokens that are boilerplate."""
-    main, around = parts(page)
-    if main is not None:
-        return main
-    gone, kept = {m["key"]: set(m["gone"]) for m in marks or ()}, []
-    for stream in around:
-        text = " ".join(t for _, t in stream)
-        drop, at = gone.get(np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64).item(), ()), 0
-        for plain, block in stream:
-            words = block.split(" ")
-            kept += [w for i, w in enumerate(words, at) if plain and i not in drop]
-            at += len(words)
+    return marked.select("page_id", "url", "html", "runs", "firm").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+def main_text(page: str, marks: tuple[np.ndarray, np.ndarray] | None, min_run: int = MIN_RUN) -> str:
+    """The page's main text; marks: the host's boilerplate, by hash: all of it, and what FIRM pages share."""
+    found = blocks(page)
+    zones = {z for z, _ in found}
+    own = "article" if "article" in zones else "main" if "main" in zones else "plain"
+    if marks is None:
+        return " ".join(t for z, t in found if z == own)
+    words = [t.split(" ") for _, t in found]
+    keys = run_keys(word_keys([w for ws in words for w in ws]), min_run)
+    firm = set(marks[1].tolist())
+    hit = np.isin(keys, marks[0] if own == "plain" else marks[1])
+    over = np.zeros(sum(map(len, words)) + 1, np.int64)
+    starts = np.flatnonzero(hit)
+    np.add.at(over, starts, 1)
+    np.add.at(over, starts + min_run, -1)
+    gone, at, kept = np.cumsum(over[:-1]) > 0, 0, []
+    for (zone, text), ws in zip(found, words, strict=True):
+        drop = gone[at : at + len(ws)]
+        at += len(ws)
+        if zone != own or drop.all() or len(ws) < min_run and block_key(text) in firm:
+            continue
+        if drop.any():
+            edges = np.flatnonzero(np.diff(np.r_[0, drop.astype(np.int8), 0])).reshape(-1, 2)
+            drop = np.zeros(len(ws), bool)
+            for a, b in edges:
+                drop[a:b] = b - a >= LONG_RUN
+            text = " ".join(w for w, d in zip(ws, drop, strict=True) if not d)
+        kept.append(text)
     return " ".join(kept)

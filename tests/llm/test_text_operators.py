@@ -160,3 +160,24 @@ def test_classifier_edges(spark):
     one = spark.createDataFrame([(2, 1), (2, None), (2, 7), (None, 1)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in Q.quality_scores(docs, one).collect())
     assert Q.quality_scores(docs.limit(0), one).collect() == []
+
+
+def test_comment_articles():
+    assert H.main_text('<article>own<article class="comment">rude</article> words</article>', None) == "own words"
+    assert H.main_text('<article class="comment">own</article>', None) == "own"
+
+
+@pytest.mark.parametrize("host_tokens", [10**6, 300])
+def test_boilerplate_within_articles_goes(spark, host_tokens):
+    rng = random.Random(4)
+    rows, phrase = [], "as the old saying goes in this town"
+    for i in range(24):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        shared = "a passage which a quarter of all articles of this host share in full word by word" if i % 4 == 0 else f"s{i}"
+        own = f"{' '.join(w[:15])} {phrase} {' '.join(w[15:])}"
+        notice = "get our letter with the best stories of the week every day before noon"
+        html = f"<article><p>{own} {notice}</p><p>{shared}</p><p>Share this</p><p>All stories of the day in your mail box</p></article>"
+        rows.append((i, f"http://h/{i}", html, f"{own} {shared}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract(pages, host_tokens=host_tokens).collect()}
+    assert got == {i: t for i, _, _, t in rows}
