@@ -39,6 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu head".split())
 HINTS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Elements that end those which may stay unclosed.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 
@@ -89,8 +91,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if name not in INLINE:
             flush()
         if m[1]:
-            if any(name == n for n, _ in stack):
-                while stack and stack[-1][0] != name:
+            if opened.get(name):
+                while stack[-1][0] != name:
                     pop()
                 zone = pop()
         elif name in RAW:
@@ -99,9 +101,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
         elif name not in VOID and not m[3].endswith("/"):
             if stack and stack[-1][0] == "p" and name not in INLINE:
                 zone = pop()
-            if len(stack) < 2000:
-                stack.append((name, zone))
-                opened[name] = opened.get(name, 0) + 1
+            for closed in CLOSES.get(name, ()):
+                if stack and stack[-1][0] == closed:
+                    zone = pop()
+            stack.append((name, zone))
+            opened[name] = opened.get(name, 0) + 1
             if is_boilerplate(name, m[3], opened.get("article", 0) > (name == "article")):
                 flush()
                 zone = "named"

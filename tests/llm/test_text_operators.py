@@ -162,9 +162,12 @@ def test_classifier_edges(spark):
     assert Q.quality_scores(docs.limit(0), one).collect() == []
 
 
-def test_comment_articles():
+def test_comment_articles_and_deep_lists():
     assert H.main_text('<article>own<article class="comment">rude</article> words</article>', None) == "own words"
     assert H.main_text('<article class="comment">own</article>', None) == "own"
+    deep = "<article>" + "<div>" * 2500 + "a<aside>side</aside>b" + "</div>" * 2500 + "c</article>"
+    assert H.main_text(deep, None) == "a b c"
+    assert H.main_text('<article><ul><li class="promo">x<li>y</ul></article>', None) == "y"
 
 
 @pytest.mark.parametrize("host_tokens", [10**6, 300])
