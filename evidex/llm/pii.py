@@ -4,9 +4,10 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. Each s
 near an entity reveals it as far as the two occur together more than chance has it: with p over documents,
 PMI(t, e) = log2(p(t, e) / (p(t) p(e))), against the entity's information IC(e) = -log2 p(e). Where PMI / IC reaches
 GENERALISE the term is replaced by a word for its shape, from REMOVE on it is removed, in documents that hold the entity.
-Counts are over all documents; copies and near copies of a passage mostly count once (by min-hashes of the terms
-around the entity, the median count over SIGNATURES of them, since one of them may fall on a term that all passages share), and a pair must be seen in MIN_CONTEXTS different passages,
-since what was seen once or twice says nothing about chance.
+Counts are over all documents, and all in one unit: a row weighs one over the number of rows with its text or a near copy
+of it, so a group of copies weighs as much as one text. Near copies are told by min-hashes of the whole text's runs of four
+words, of which two must agree. A pair must be seen in MIN_CONTEXTS different texts, since what was seen once or twice says
+nothing about chance.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 NEAR_WORDS = 6
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
-#: Min-hashes of a passage, an odd number.
+#: Min-hashes of a text.
 SIGNATURES = 5
 #: Rows up to which a counted table is broadcast.
 SMALL_TABLE = 50_000
@@ -73,19 +75,35 @@ def term(word: str) -> str:
     return word.strip(_edges).lower()
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORDS) -> list[tuple[str, str, tuple[int, ...]]]:
-    """(entity, term, passage): terms within `near` words of an entity; passage holds the least hash of the terms around
-    it for each of SIGNATURES seeds, which near copies of a passage mostly share."""
+def text_key(text: str) -> int:
+    """A hash of a text, the one which Spark's xxhash64 gives."""
+    return (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
+
+
+def signature(text: str) -> list[int]:
+    """The least hash of the text's runs of four words, for each of SIGNATURES seeds; near copies mostly share these."""
+    words = np.array([xxhash.xxh3_64_intdigest(w) for w in _word.findall(text)], np.uint64)
+    n, runs = max(1, len(words) - 3), np.uint64(1)
+    for i in range(min(4, len(words))):
+        runs = (runs ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    out = []
+    for seed in range(1, SIGNATURES + 1):
+        x = (runs ^ np.array([seed * 0xD6E8FEB86659FD93 % 2**64], np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append(int((x ^ x >> np.uint64(32)).min().astype(np.int64)))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORDS) -> list[tuple[str, str]]:
+    """(entity, term): terms within `near` words of an entity."""
     out = set()
+    taken = {term(w) for k, a, b in spans for w in _word.findall(text[a:b])}
     for kind, start, end in spans:
         low, high = max(0, start - 40 * near), end + 40 * near
         before = _word.findall(text[low:start])[low > 0 :][-near:]
         after = _word.findall(text[end:high])[:near]
         entity = f"{kind}:{re.sub('[^a-z0-9@.]', '', text[start:end].lower())}"
-        terms = {term(w) for w in before + after}
-        passage = tuple(min((xxhash.xxh3_64_intdigest(t, seed) for t in terms), default=0) - (1 << 63) for seed in range(SIGNATURES))
-        taken = {term(w) for k, a, b in spans for w in _word.findall(text[a:b])}
-        out |= {(entity, t, passage) for t in terms if len(t) >= 3 and t not in taken and any(map(str.isalpha, t))}
+        out |= {(entity, t) for t in map(term, before + after) if t and t not in taken}
     return sorted(out)
 
 
@@ -93,7 +111,7 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string,passage:array<long>>>"
+FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string>>, signature array<long>"
 
 
 def base_rows(docs: DataFrame) -> DataFrame:
@@ -101,39 +119,49 @@ def base_rows(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("passage", pa.list_(pa.int64()))])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))), ("signature", pa.list_(pa.int64()))])
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 near = contexts(text, spans)
-                row = {"doc_id": doc_id, "key": xxhash.xxh3_64_intdigest(text) - (1 << 63), "base": _join(spans), "base_sha256": hashlib.sha256(_join(spans).encode()).hexdigest()}
+                row = {"doc_id": doc_id, "key": text_key(text), "signature": signature(text), "base": _join(spans), "base_sha256": hashlib.sha256(_join(spans).encode()).hexdigest()}
                 row |= {f"n_{k}": sum(s[0] == k for s in spans) for k in KINDS}
-                rows.append(row | {"entities": sorted({e for e, _, _ in near}), "near": [dict(zip(("entity", "term", "passage"), x, strict=True)) for x in near]})
+                rows.append(row | {"entities": sorted({e for e, _ in near}), "near": [dict(zip(("entity", "term"), x, strict=True)) for x in near]})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return docs.mapInArrow(run, FOUND)
 
 
+def weights(found: DataFrame) -> DataFrame:
+    """(key, weight) of texts with copies or near copies: one over the rows that share two of the text's min-hashes."""
+    each = found.select("key", F.posexplode("signature").alias("seed", "least"))
+    shared = each.groupBy("seed", "least").agg(F.count("*").alias("rows")).where("rows > 1")
+    sizes = each.join(shared, ["seed", "least"]).groupBy("key").agg(F.collect_set(F.struct("rows", "seed")).alias("x")).where(F.size("x") > 1)
+    return sizes.select("key", (1 / F.sort_array("x", False)[1]["rows"]).alias("weight"))
+
+
 def revealing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(entity, term, share): terms whose share of the entity's information reaches GENERALISE."""
-    near = found.select(F.explode("near").alias("x")).select("x.*").distinct()
-    counts = F.array(*(F.count_distinct(F.col("passage")[i]) for i in range(SIGNATURES)))
-    passages = F.sort_array(counts)[SIGNATURES // 2]
-    pairs = near.groupBy("entity", "term").agg(passages.alias("together")).where(F.col("together") >= min_contexts)
-    entities = near.groupBy("entity").agg(passages.alias("n_entity"))
+    copies = cut(weights(found))
+    few = F.broadcast(copies) if copies.count() <= SMALL_TABLE else copies
+    weight = F.sum(F.coalesce("weight", F.lit(1.0)))
+    held = found.where(F.size("near") > 0).join(few, "key", "left")
+    pairs = held.select("weight", F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(weight.alias("together")).where(F.col("together") > min_contexts - 1e-6)
+    entities = held.select("weight", F.explode("entities").alias("entity")).groupBy("entity").agg(weight.alias("n_entity"))
     pairs = cut(pairs.join(entities, "entity"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
     terms = cut(pairs.select(F.col("term").alias("wanted")).distinct())
-    clean = F.expr(f"""lower(trim(BOTH '{_edges.replace("'", "''")}' FROM w))""")
-    words = docs.select(F.explode(F.array_distinct(F.split("t", r"[\x20\x09-\x0D]+"))).alias("w")).select(clean.alias("term"))
+    clean = lambda w: F.lower(F.btrim(w, F.lit(_edges)))
+    each = docs.withColumn("key", F.xxhash64("t")).join(few, "key", "left")
+    words = each.select("weight", F.explode(F.array_distinct(F.transform(F.split("t", r"[\x20\x09-\x0D]+"), clean))).alias("term"))
     wanted = F.col("term") == F.col("wanted")
     if terms.count() <= SMALL_TABLE:  # then other words need no counting
         words = words.join(F.broadcast(terms), wanted, "left_semi")
-    n_terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, wanted, "left_semi")
-    n = float(max(2, found.count()))
+    n_terms = words.groupBy("term").agg(weight.alias("n_term")).join(terms, wanted, "left_semi")
+    n = max(2.0, found.join(few, "key", "left").agg(weight).first()[0])
     pmi = F.log2(n * F.col("together") / (F.greatest("n_term", "together") * F.col("n_entity")))
     information = F.log2(n / F.col("n_entity"))
     shared = pairs.join(n_terms, "term").select("entity", "term", F.when(information > 0, pmi / information).otherwise(0.0).alias("share"))
@@ -176,7 +204,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The query's rows: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, for every row of docs.
 
     spans holds the base spans, then those of `generalised` and `removed` terms. Null and empty texts have no spans.
-    Repeated rows get equal results, and count once where passages are counted. A null doc_id stays null; rows of one
+    Repeated rows get equal results, and count as one text. A null doc_id stays null; rows of one
     doc_id with different texts are told apart by their texts. No documents give no rows. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -195,7 +223,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for b in batches:
             keys, spans = [], []
             for key, text, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                same = xxhash.xxh3_64_intdigest(text) - (1 << 63) == key
+                same = text_key(text) == key
                 keys.append(key)
                 spans.append(_join(term_spans(text, dict(terms))) if same else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(spans, pa.string())], ["held_id", "held_key", "more"])

@@ -184,3 +184,22 @@ def test_boilerplate_within_articles_goes(spark, host_tokens):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(3)
     got = {r.page_id: r.text for r in H.extract(pages, host_tokens=host_tokens).collect()}
     assert got == {i: t for i, _, _, t in rows}
+
+
+def test_personal_data_terms_in_copies_and_signature_lines(spark):
+    rng = random.Random(5)
+
+    def text(n=60, *more):
+        return " ".join([*(f"n{rng.randrange(5000)}x" for _ in range(n)), *more])
+
+    held = [text(60, "call Quill, Quill 4711 zq at quill@corp.example.com") for _ in range(3)]
+    line = [text(60, "signed by our clerk Orlan Vess under vess@corp.example.com any day") for _ in range(8)]
+    once = text(60, "ask Nimbus for nim@corp.example.com")
+    near = [once.replace(once.split()[5], f"edit{i}", 1) for i in range(8)]
+    rows = [t for t in held for _ in range(40)] + line + near + [text() for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: P.sanitise(rows[r.doc_id], r.spans) for r in P.find_personal_data(docs).collect()}
+    for i, _ in enumerate(rows[:120]):
+        assert not {"Quill", "Quill,", "4711", "zq"} & set(got[i].split())
+    assert all("Orlan" not in got[i] and "Vess" not in got[i] for i in range(120, 128))
+    assert all("Nimbus" in got[i] for i in range(128, 136))
