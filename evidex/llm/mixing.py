@@ -92,11 +92,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs as often as they are taken, with all columns. Documents go by doc_id; those without words are left out."""
-    taken = mix(docs, **options).where("size > 0").groupBy("doc_id").agg(F.first(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = taken.where("times > 0").select(F.col("doc_id").alias("taken_id"), F.array_repeat(F.lit(0), F.col("times")).alias("times"))
-    out = docs.join(taken, docs["doc_id"] == taken["taken_id"])
-    return out.select(*(docs[c] for c in docs.columns), F.explode("times").alias("copy_")).drop("copy_")
+    """The mix itself: rows of docs as often as they are taken, with all columns. Rows go by doc_id and size, those of a
+    null doc_id by text and source; rows equal in these are taken equally often, the lesser. Those without words are left out."""
+    keyed = docs.withColumn("row_key_", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source"))).withColumn("size_", word_count(F.col("text")))
+    taken = mix(keyed, id_col="row_key_", **options).where("size > 0").groupBy("doc_id", "size").agg(F.min(F.col("taken") / F.col("size")).cast("int").alias("times_"))
+    taken = taken.where("times_ > 0").select(F.col("doc_id").alias("row_key_"), F.col("size").alias("size_"), F.array_repeat(F.lit(0), F.col("times_")).alias("times_"))
+    out = keyed.join(taken, ["row_key_", "size_"])
+    return out.select(*docs.columns, F.explode("times_").alias("copy_")).drop("copy_")
 
 
 def oracle_sql(share: float = 1.5, most: float = 2.0, seed: str = "mix") -> str:

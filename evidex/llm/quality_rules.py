@@ -134,6 +134,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all columns. Documents go by doc_id, which is taken to name one text."""
-    gone = judged(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The rows of docs that are kept, with all columns. Rows go by their texts, so doc_ids may be null or repeated."""
+    keyed = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = judged(keyed, "text_key_").where("not kept").select(F.col("doc_id").alias("text_key_")).distinct()
+    return keyed.join(gone, "text_key_", "left_anti").select(*docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.llm.components import connected_components
+from evidex.llm.rows import one_of_each
 from evidex.session import cut, ship
 
 BUCKET_LIMIT = 20_000
@@ -218,6 +219,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each component the document with the smallest doc_id; all columns are kept."""
-    stay = simhash_components(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["stay_id"], "left_semi")
+    """The rows of docs that stay: of each component one row, that of the smallest doc_id (null last); all columns are kept.
+    Rows go by doc_id and text."""
+    keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = cut(simhash_components(keyed, radius, "row_key_").withColumnRenamed("doc_id", "row_key_"))
+    ids = keyed.select("row_key_", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key_"))
+    stay = found.join(ids, "row_key_").groupBy("component_id").agg(first.alias("x")).select("x.row_key_")
+    again = found.groupBy("row_key_").agg(F.count("*").alias("n")).where("n > 1").select("row_key_")
+    return one_of_each(keyed.join(stay, "row_key_", "left_semi"), again, "row_key_", ["text"]).select(*docs.columns)

@@ -64,3 +64,29 @@ def test_run(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = C.run(spark, str(tmp_path))
     assert out.count() > 0 and [s for s, _ in C.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "packing"] and C.ORACLE_SQL is None
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+
+    def text(n=60):
+        return " ".join(["The", *(f"the{rng.randrange(9000)}a" for _ in range(n)), "of and to in end."])
+
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b.upper()), (1, c), (1, c), (1, d), (2, d), (3, e), (3, "### *** " * 20), (None, "### " * 30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SHAPE).repartition(2)
+    stages = dict(C.STAGES)
+
+    def out(stage, df):
+        got = stages[stage](spark, df, "")
+        assert got.columns == docs.columns
+        return Counter((r.doc_id, low(r.text)) for r in got.collect())
+
+    assert out("quality_rules", docs) == Counter((i, low(t)) for i, t in rows if "###" not in t)
+    good = docs.where("text not like '%###%'")
+    want = Counter((i, low(t)) for i, t in [(None, a), (None, b), (1, c), (2, d), (3, e)])
+    assert out("exact_dedup", good) == want
+    near = out("near_dedup", good.where("text = lower(text) or text like 'The%'"))
+    assert near == Counter((i, low(t)) for i, t in [(None, a), (None, b), (1, c), (1, d), (3, e)])
+    assert set(out("mixing", good.dropDuplicates(["doc_id", "text"]))) <= {(i, low(t)) for i, t in rows}
+    assert any(i is None for i, _ in out("mixing", good))
