@@ -37,30 +37,64 @@ def ball(rng, centre, n, flips):
 
 
 @pytest.mark.parametrize("flips", [2, 5, 9])
-def test_index_finds_every_link(flips):
+@pytest.mark.parametrize("frontier", [1 << 20, 100])
+def test_index_finds_every_link(flips, frontier, monkeypatch):
+    """Two orders in one task: with either alone some links are lost, with both none is."""
+    monkeypatch.setattr(S, "FRONTIER", frontier)
     rng = random.Random(flips)
     fps = ball(rng, 0xF0F0F0F0F0F0F0F0, 300, flips) + [rng.getrandbits(64) for _ in range(200)]
     fps = np.array(sorted(set(fps)), np.uint64)
-    a, b = S.link_buckets([np.zeros(len(fps), int)], fps, 3)
-    got = S.Forest(len(fps))
+    turned, n = np.repeat([False, True], len(fps)), len(fps)
+    y = np.r_[fps, fps << np.uint64(32) | fps >> np.uint64(32)]
+    a, b = S.link_nodes([turned], y, np.tile(np.arange(n), 2), np.ones(2 * n, bool), 3)
+    got = S.Forest(n)
     got.merge(a, b)
-    want = brute_components(list(range(len(fps))), [int(x) for x in fps])
-    assert [want[i] for i in range(len(fps))] == [want[r] for r in got.root]
+    want = brute_components(list(range(n)), [int(x) for x in fps])
+    assert [want[i] for i in range(n)] == [want[r] for r in got.root]
     assert len(np.unique(got.root)) == len(set(want.values()))
 
 
-def test_masks_cover_the_radius():
-    rng = random.Random(1)
-    for n in (10**3, 10**9, 10**12):
-        for _ in range(200):
-            x = rng.getrandbits(64)
-            y = x ^ sum(1 << k for k in rng.sample(range(64), 3))
-            assert any(x & m == y & m for m in S.masks(3, n))
+def test_deal_brings_each_linked_pair_together_once(spark, monkeypatch):
+    """In each order, two fingerprints within what it allows meet in one node: one of them its own, the other at most once."""
+    monkeypatch.setattr(S, "NODE_LIMIT", 6)
+    rng = random.Random(3)
+    fps = sorted(set(ball(rng, 0x123456789ABCDEF0, 60, 4) + [rng.getrandbits(64) for _ in range(120)]))
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, node long")
+    rows = S.dealt(nodes, len(fps), 3).collect()
+    assert max(r.depth for r in rows) > 32
+    held = defaultdict(lambda: ([], []))
+    for r in rows:
+        held[r.turned, r.depth, r.at][r.apart > 0].append(r.node)
+    assert max(len(own) for own, _ in held.values()) <= 12
+    met = defaultdict(int)
+    for (turned, *_), (own, other) in held.items():
+        for k, i in enumerate(own):
+            for j in own[:k] + other:
+                met[turned, min(i, j), max(i, j)] += 1
+    assert set(met.values()) == {1}
+    for i, x in enumerate(fps):
+        for j in range(i):
+            d = x ^ fps[j]
+            if d.bit_count() <= 3:
+                assert (d >> 32).bit_count() > 1 or met[False, j, i] == 1
+                assert (d & (1 << 32) - 1).bit_count() > 1 or met[True, j, i] == 1
+
+
+def test_links_come_from_the_tree(spark, monkeypatch):
+    """Without the tree's search nothing is linked."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(300) if k != i)) for i in range(4)], "doc_id long, text string")
+    nodes = S.fingerprints(docs).groupBy("fp").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "node")
+    own = [(r.fp % (1 << 64), r.node) for r in nodes.collect()]
+    y, ids = np.array([x for x, _ in own], np.uint64), np.array([i for _, i in own])
+    found = S.link_nodes([np.zeros(len(y), int)], y, ids, np.ones(len(y), bool), 12)
+    monkeypatch.setattr(S.GrayIndex, "link", lambda *a: None)
+    assert len(found[0]) > 0 and len(S.link_nodes([np.zeros(len(y), int)], y, ids, np.ones(len(y), bool), 12)[0]) == 0
 
 
-@pytest.mark.parametrize("limit", [20_000, 8])
+@pytest.mark.parametrize("limit", [20_000, 4])
 def test_components_equal_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(S, "BUCKET_LIMIT", limit)
+    monkeypatch.setattr(S, "NODE_LIMIT", limit)
+    monkeypatch.setattr(S, "QUERY_LIMIT", limit)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = [None, "", " \t\n", "One", "one", "two words", "É à Ü", "x" * 5000]
