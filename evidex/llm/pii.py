@@ -4,30 +4,42 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. Each s
 near an entity reveals it as far as the two occur together more than chance has it: with p over documents,
 PMI(t, e) = log2(p(t, e) / (p(t) p(e))), against the entity's information IC(e) = -log2 p(e). Where PMI / IC reaches
 GENERALISE the term is replaced by a word for its shape, from REMOVE on it is removed, in documents that hold the entity.
+Most personal data stands in one or two texts, which is little to go by. So a pair counts only where it reveals SURE of
+the entity's information even with the lower bound of its co-occurrence (of a Poisson count, at 90 %) in place of the
+count: a term that one text has beside the entity must then be rare in a large corpus, and the more texts show the pair,
+the more common the term may be.
+
 Counts are over all documents, and all in one unit: a row weighs one over the number of rows with its text or a near copy
 of it, so a group of copies weighs as much as one text. Near copies are told by min-hashes of the whole text's runs of four
-words, of which two must agree. A pair must be seen in MIN_CONTEXTS different texts, since what was seen once or twice says
-nothing about chance.
+words, of which two must agree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidex.llm.rows import new_names
 from evidex.session import cut, ship
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR_WORDS = 6
-MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
+SURE = 0.65
+#: Bits of the filter that leaves words out of the count; what it lets through wrongly is joined away.
+FILTER_BITS = 1 << 24
+#: Words that a task holds while it counts.
+COUNTED_WORDS = 500_000
 #: Min-hashes of a text.
 SIGNATURES = 5
 #: Rows up to which a counted table is broadcast.
@@ -95,15 +107,18 @@ def signature(text: str) -> list[int]:
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORDS) -> list[tuple[str, str]]:
-    """(entity, term): terms within `near` words of an entity."""
-    out = set()
+    """(entity, term): terms of the `near` words before and after each entity. Words of the entities themselves are none."""
+    if not spans:
+        return []
+    words = [(m.start(), m.end()) for m in _word.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     taken = {term(w) for k, a, b in spans for w in _word.findall(text[a:b])}
+    out = set()
     for kind, start, end in spans:
-        low, high = max(0, start - 40 * near), end + 40 * near
-        before = _word.findall(text[low:start])[low > 0 :][-near:]
-        after = _word.findall(text[end:high])[:near]
+        first, last = bisect_right(ends, start), bisect_left(starts, end)
+        around = [text[a:b] for a, b in words[max(0, first - near) : first] + words[last : last + near]]
         entity = f"{kind}:{re.sub('[^a-z0-9@.]', '', text[start:end].lower())}"
-        out |= {(entity, t) for t in map(term, before + after) if t and t not in taken}
+        out |= {(entity, t) for t in map(term, around) if t and t not in taken}
     return sorted(out)
 
 
@@ -111,22 +126,23 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string>>, signature array<long>"
+FOUND = "doc_id long, key long, t string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string>>, signature array<long>"
 
 
 def base_rows(docs: DataFrame) -> DataFrame:
-    """The base result of each row, the entities in it and the terms near them; key is a hash of the text."""
+    """The base result of each row, the entities in it and the terms near them; key is a hash of the text. Only rows with
+    such terms keep their text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))), ("signature", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("t", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))), ("signature", pa.list_(pa.int64()))])
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 near = contexts(text, spans)
-                row = {"doc_id": doc_id, "key": text_key(text), "signature": signature(text), "base": _join(spans), "base_sha256": hashlib.sha256(_join(spans).encode()).hexdigest()}
+                row = {"doc_id": doc_id, "key": text_key(text), "t": text if near else None, "signature": signature(text), "base": _join(spans), "base_sha256": hashlib.sha256(_join(spans).encode()).hexdigest()}
                 row |= {f"n_{k}": sum(s[0] == k for s in spans) for k in KINDS}
                 rows.append(row | {"entities": sorted({e for e, _ in near}), "near": [dict(zip(("entity", "term"), x, strict=True)) for x in near]})
             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -142,42 +158,93 @@ def weights(found: DataFrame) -> DataFrame:
     return sizes.select("key", (1 / F.sort_array("x", False)[1]["rows"]).alias("weight"))
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, term, share): terms whose share of the entity's information reaches GENERALISE."""
+def word_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_term): the weight of the texts that hold each term of `wanted`. docs: (t, weight), null weighs one.
+
+    A task adds up its own words before they are shuffled. A filter of a fixed size spares most of the words not wanted."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
+    filled = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in filled.collect():  # FILTER_BITS / 32768 rows of 4 KB at most
+        first = (r.bucket - 1) * 4096
+        bits[first : first + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    bits = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, str | None] = {}
+        counts: dict[str, float] = {}
+
+        def found(word: bytes) -> str | None:
+            t = term(word.decode())
+            at = text_key(t) % FILTER_BITS
+            return t if t and bits.value[at >> 3] >> (at & 7) & 1 else None
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], ["term", "n"])
+
+        for b in batches:
+            for text, weight in zip(b.column(0).cast(pa.large_binary()), b.column(1).to_pylist(), strict=True):
+                here = set()
+                for word in set((text.as_py() or b"").split()):
+                    if word not in known:
+                        if len(known) >= COUNTED_WORDS:
+                            known.clear()
+                        known[word] = found(word)
+                    if known[word]:
+                        here.add(known[word])
+                for t in here:
+                    counts[t] = counts.get(t, 0.0) + (1.0 if weight is None else weight)
+            if len(counts) >= COUNTED_WORDS:
+                yield result()
+                counts.clear()
+        yield result()
+
+    each = docs.select("t", "weight").mapInArrow(run, "term string, n double")
+    return each.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def at_least(count: F.Column) -> F.Column:
+    """The lower bound of a Poisson mean after this count, at 90 % (Wilson and Hilferty's approximation)."""
+    return count * F.pow(F.greatest(F.lit(0.0), 1 - 1 / (9 * count) - 1.2816 / (3 * F.sqrt(count))), 3)
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, sure: float = SURE) -> DataFrame:
+    """(entity, term, share): terms whose share of the entity's information reaches GENERALISE, and `sure` at the least."""
     copies = cut(weights(found))
     few = F.broadcast(copies) if copies.count() <= SMALL_TABLE else copies
     weight = F.sum(F.coalesce("weight", F.lit(1.0)))
-    held = found.where(F.size("near") > 0).join(few, "key", "left")
-    pairs = held.select("weight", F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(weight.alias("together")).where(F.col("together") > min_contexts - 1e-6)
+    held = found.where("t is not null").join(few, "key", "left")
+    pairs = held.select("weight", F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(weight.alias("together"))
     entities = held.select("weight", F.explode("entities").alias("entity")).groupBy("entity").agg(weight.alias("n_entity"))
     pairs = cut(pairs.join(entities, "entity"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
-    terms = cut(pairs.select(F.col("term").alias("wanted")).distinct())
-    clean = lambda w: F.lower(F.btrim(w, F.lit(_edges)))
     each = docs.withColumn("key", F.xxhash64("t")).join(few, "key", "left")
-    words = each.select("weight", F.explode(F.array_distinct(F.transform(F.split("t", r"[\x20\x09-\x0D]+"), clean))).alias("term"))
-    wanted = F.col("term") == F.col("wanted")
-    if terms.count() <= SMALL_TABLE:  # then other words need no counting
-        words = words.join(F.broadcast(terms), wanted, "left_semi")
-    n_terms = words.groupBy("term").agg(weight.alias("n_term")).join(terms, wanted, "left_semi")
+    n_terms = word_counts(each, pairs.select("term").distinct())
     n = max(2.0, found.join(few, "key", "left").agg(weight).first()[0])
-    pmi = F.log2(n * F.col("together") / (F.greatest("n_term", "together") * F.col("n_entity")))
-    information = F.log2(n / F.col("n_entity"))
-    shared = pairs.join(n_terms, "term").select("entity", "term", F.when(information > 0, pmi / information).otherwise(0.0).alias("share"))
-    return shared.where(F.col("share") >= GENERALISE)
+
+    def share(together: F.Column) -> F.Column:
+        information = F.log2(n / F.col("n_entity"))
+        pmi = F.log2(n * together / (F.greatest("n_term", "together") * F.col("n_entity")))
+        return F.when(information > 0, pmi / information).otherwise(0.0)
+
+    shared = pairs.join(n_terms, "term").select("entity", "term", share(F.col("together")).alias("share"), share(at_least(F.col("together"))).alias("low"))
+    return shared.where((F.col("share") >= GENERALISE) & (F.col("low") >= sure)).select("entity", "term", "share")
 
 
 def term_spans(text: str, terms: dict[str, float]) -> list[tuple[str, int, int]]:
     """Spans of the terms in a text, outside base spans: kind `removed` or `generalised` by what they reveal."""
-    taken, out = base_spans(text), []
+    taken, out = sorted((a, b) for _, a, b in base_spans(text)), []
+    ends = list(accumulate((b for _, b in taken), max))
+    starts = [a for a, _ in taken]
     for m in _word.finditer(text):
         word = m[0]
         share = terms.get(term(word))
         if share is not None:
             start = m.start() + len(word) - len(word.lstrip(_edges))
             end = start + len(word.strip(_edges))
-            if not any(a < end and start < b for _, a, b in taken):
+            before = bisect_left(starts, end)  # base spans that begin before the word ends
+            if not before or ends[before - 1] <= start:
                 out.append(("removed" if share >= REMOVE else "generalised", start, end))
     return sorted(out)
 
@@ -200,42 +267,52 @@ def sanitise(text: str, spans: str) -> str:
     return "".join([*out, text[last:]])
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def revealed(d: DataFrame, found: DataFrame, sure: float = SURE) -> DataFrame:
+    """(key, size, more): the term spans of each text that has any; key and size, its length, tell texts apart."""
+    held = cut(revealing_terms(d, found, sure))
+    texts = found.where("t is not null").select("key", F.char_length("t").alias("size"), "t", "entities")
+    each = texts.select("key", "size", F.explode("entities").alias("entity")).distinct().join(held, "entity")
+    each = each.groupBy("key", "size", "term").agg(F.max("share").alias("share"))
+    each = each.groupBy("key", "size").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
+    texts = texts.select("key", "size", "t").join(each, ["key", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = [_join(term_spans(text, dict(terms))) for text, terms in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(more, pa.string())], ["key", "size", "more"])
+
+    return texts.mapInArrow(run, "key long, size int, more string").where("more <> ''").dropDuplicates(["key", "size"])
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
     """The query's rows: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, for every row of docs.
 
-    spans holds the base spans, then those of `generalised` and `removed` terms. Null and empty texts have no spans.
-    Repeated rows get equal results, and count as one text. A null doc_id stays null; rows of one
-    doc_id with different texts are told apart by their texts. No documents give no rows. Other columns are not read.
+    spans holds the base spans, then those of `generalised` and `removed` terms. Null and empty texts have no spans. Spans go
+    by the text alone: repeated rows get equal results, rows of one doc_id with different texts their own. Copies count as one
+    text. A null doc_id stays null. No documents give no rows. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = cut(base_rows(d))
-    out = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
-    held = cut(revealing_terms(d, found, min_contexts))
-    if held.isEmpty():
-        return found.select(*out, F.col("base").alias("spans"))
-    each = found.select("doc_id", "key", F.explode("entities").alias("entity")).join(held, "entity")
-    each = each.groupBy("doc_id", "key", "term").agg(F.max("share").alias("share"))
-    each = cut(each.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms")))
-    few = F.broadcast(each) if each.count() <= SMALL_TABLE else each
-    again = d.join(few.withColumnRenamed("doc_id", "held_id"), F.col("doc_id").eqNullSafe(F.col("held_id"))).select("doc_id", "key", "t", "terms")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, spans = [], []
-            for key, text, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                same = text_key(text) == key
-                keys.append(key)
-                spans.append(_join(term_spans(text, dict(terms))) if same else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(spans, pa.string())], ["held_id", "held_key", "more"])
-
-    more = again.mapInArrow(run, "held_id long, held_key long, more string").where("more is not null and more <> ''").distinct()
-    both = found.join(more, F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("key") == F.col("held_key")), "left")
-    return both.select(*out, F.concat_ws(",", F.nullif("base", F.lit("")), "more").alias("spans"))
+    more = cut(revealed(d, found, sure))
+    few = F.broadcast(more) if more.count() <= SMALL_TABLE else more
+    both = found.withColumn("size", F.char_length("t")).join(few, ["key", "size"], "left")
+    return both.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.concat_ws(",", F.nullif("base", F.lit("")), "more").alias("spans"))
 
 
 def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text sanitised by the spans found; all columns are kept, null texts stay null."""
-    spans = find_personal_data(docs, id_col, text_col).where("spans <> ''").select(F.col("doc_id").alias("held_id"), F.col("spans").alias("held_spans")).distinct()
-    clean = F.pandas_udf(lambda t, s: t.where(s.isna(), [sanitise(a, b) if b and a else a for a, b in zip(t, s, strict=True)]), "string")
-    both = docs.join(spans, docs[id_col].eqNullSafe(spans["held_id"]), "left")
-    return both.select(*(clean(docs[c], F.col("held_spans")).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    """docs with the text sanitised by the spans found: a row for each row, with all columns; null texts stay null.
+
+    Rows go by their texts. Columns of the caller's may have any names."""
+    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    d = docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    more = cut(revealed(d, cut(base_rows(d))))
+    key, size, extra = new_names(docs, "key", "size", "more")
+    more = more.toDF(key, size, extra)
+    few = F.broadcast(more) if more.count() <= SMALL_TABLE else more
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, extra: pd.Series) -> pd.Series:
+        return pd.Series([t and sanitise(t, ",".join(filter(None, [_join(base_spans(t)), x]))) for t, x in zip(texts, extra, strict=True)], dtype=object)
+
+    both = docs.join(few, (own == F.col(key)) & (F.char_length(docs[text_col]) == F.col(size)), "left")
+    return both.select(*(clean(docs[c], F.col(extra)).alias(c) if c == text_col else docs[c] for c in docs.columns))

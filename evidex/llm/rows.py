@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def new_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted which no column of df has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def one_of_each(df: DataFrame, keys: DataFrame, key: str, order: list[str]) -> DataFrame:
     """df with the first row only, in the given order, for each of the keys; other rows all stay. Only rows of these keys
     are shuffled by key. keys: a table of the column `key`."""

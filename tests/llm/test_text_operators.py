@@ -50,15 +50,27 @@ def test_personal_data_base_spans():
     got = {}
     for k, a, b in P.base_spans(text):
         got.setdefault(k, []).append(text[a:b])
-    assert got == {"email": ["a.b@c-d.example.org", "q@r.s"], "ip": ["1.2.3.4", "5.6.7.8"], "card": ["4111 1111 1111 1111"], "phone": ["+1 (017) 555-7713"]} or got["email"][0] == "a.b@c-d.example.org"
-    simple = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
-    rng = random.Random(9)
-    for _ in range(3000):
-        t = "".join(rng.choice("a1@@..- 2") for _ in range(rng.randint(1, 40)))
+    assert got == {"email": ["a.b@c-d.example.org", "q@r.s"], "ip": ["1.2.3.4", "5.6.7.8"], "phone": ["+1 (017) 555-7713"]}
+    assert [t[a:b] for t in ["x 4111 1111 1111 1111 y", "4111-1111-1111-1112", "4111111111111111!", "41111111111111110000"] for k, a, b in P.base_spans(t)] == ["4111 1111 1111 1111", "4111111111111111"]
+    simple = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def passes(kind, found):
+        digits = [int(x) for x in found if x in "0123456789"]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in found.split("."))
+        if kind == "card":
+            return 16 <= len(digits) <= 19 and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    rng, hits = random.Random(9), Counter()
+    for n in range(6000):
+        t = "".join(rng.choice(("a1@@..- 2", "0123456789012345678901234567890123456789 -+(.", "12.3.")[n % 3]) for _ in range(rng.randint(1, 60)))
         spans = P.base_spans(t)
         for kind, pattern in simple.items():
-            want = [m.span() for m in re.finditer(pattern, t) if kind == "email" or all(int(x) <= 255 for x in m[0].split("."))]
+            want = [m.span() for m in re.finditer(pattern, t) if passes(kind, m[0])]
             assert [(a, b) for k, a, b in spans if k == kind] == want, t
+            hits[kind] += len(want)
+    assert min(hits[k] for k in simple) > 20
     assert P.base_spans("a" * 200_000) == [] and P.base_spans("1" * 200_000) == []
 
 
@@ -203,3 +215,75 @@ def test_personal_data_terms_in_copies_and_signature_lines(spark):
         assert not {"Quill", "Quill,", "4711", "zq"} & set(got[i].split())
     assert all("Orlan" not in got[i] and "Vess" not in got[i] for i in range(120, 128))
     assert all("Nimbus" in got[i] for i in range(128, 136))
+
+
+def brute_contexts(text, spans):
+    words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    own = {P.term(w) for _, a, b in spans for w in text[a:b].split()}
+    out = set()
+    for k, a, b in spans:
+        near = [w for w in words if w[1] <= a][-6:] + [w for w in words if w[0] >= b][:6]
+        entity = k + ":" + re.sub("[^a-z0-9@.]", "", text[a:b].lower())
+        out |= {(entity, P.term(text[x:y])) for x, y in near}
+    return {(e, t) for e, t in out if t and t not in own}
+
+
+def test_personal_data_equals_brute_force(spark):
+    """Counts, shares, bounds and spans by plain loops over texts without near copies; names of single entities are found."""
+    rng = random.Random(11)
+    common = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        words = [rng.choice(common) for _ in range(rng.randint(30, 60))]
+        if i % 30 == 0:
+            words[12:12] = ["Mr", f"Nom{i}", "x" * 300, f"<n{i}@mail.example.com>,"]
+        if i % 100 == 7:
+            words[12:12] = ["Office", "of", "Verrault", "at", "+33 (140) 555-0199"]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in P.find_personal_data(docs).collect()}
+    n, together, held, holds = len(rows), Counter(), Counter(), Counter()
+    for _, text in rows:
+        near = brute_contexts(text, P.base_spans(text))
+        together.update(near)
+        held.update({e for e, _ in near})
+        holds.update({P.term(w) for w in text.split()})
+    terms = {}
+    for (e, t), k in together.items():
+        low = k * max(0, 1 - 1 / (9 * k) - 1.2816 / (3 * k**0.5)) ** 3
+        share, bound = (np.log2(n * x / (holds[t] * held[e])) / np.log2(n / held[e]) if x else -9 for x in (k, low))
+        if share >= P.GENERALISE and bound >= P.SURE:
+            terms.setdefault(e, {})[t] = share
+    names = 0
+    for i, text in rows:
+        base = P.base_spans(text)
+        mine = {}
+        for e in {e for e, _ in brute_contexts(text, base)}:
+            for t, share in terms.get(e, {}).items():
+                mine[t] = max(share, mine.get(t, 0))
+        want = [f"{k}:{a}:{b}" for k, a, b in base]
+        more = []
+        for m in re.finditer(r"\S+", text):
+            word = m[0].strip(P._edges)
+            if word.lower() in mine:
+                a = m.start() + m[0].index(word)
+                if not any(x < a + len(word) and a < y for _, x, y in base):
+                    more.append(("removed" if mine[word.lower()] >= P.REMOVE else "generalised", a, a + len(word)))
+                    names += word.startswith(("Nom", "Verrault"))
+        assert got[i] == ",".join(want + [f"{k}:{a}:{b}" for k, a, b in sorted(more)])
+        assert base or not got[i]
+    assert names == 50 + 15
+
+
+def test_personal_data_in_a_long_list_and_by_row(spark):
+    long = " ".join(f"p{i}@mail.example.com" for i in range(20_000))
+    assert len(P.base_spans(long)) == 20_000 and P.contexts(long, P.base_spans(long)) == []
+    filler = [(i + 10, f"text {i} with nothing in it") for i in range(3)]
+    rows = [(1, "write to a@b.org now"), (1, "or to c@d.org then"), (1, "or to c@d.org then"), (None, "x@y.org"), (2, None), (3, long), *filler]
+    docs = spark.createDataFrame([(i, t, "k", 1, "m") for i, t in rows], "doc_id long, text string, key string, size int, MORE string")
+    clean = P.sanitised_documents(docs)
+    assert clean.columns == docs.columns
+    out = sorted((r.doc_id or 0, r.text or "") for r in clean.where("doc_id is null or doc_id <> 3").collect())
+    assert out == sorted([(1, "write to [email] now"), (1, "or to [email] then"), (1, "or to [email] then"), (0, "[email]"), (2, ""), *filler])
+    assert clean.where("doc_id = 2 and text is null and key = 'k'").count() == 1
+    assert P.sanitised_documents(docs.limit(0)).collect() == []
