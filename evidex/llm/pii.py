@@ -38,8 +38,8 @@ GENERALISE, REMOVE = 0.8, 0.95
 SURE = 0.65
 #: Bits of the filter that leaves words out of the count; what it lets through wrongly is joined away.
 FILTER_BITS = 1 << 24
-#: Words that a task holds while it counts.
-COUNTED_WORDS = 500_000
+#: Words whose hash a task remembers.
+KNOWN_WORDS = 500_000
 #: Min-hashes of a text.
 SIGNATURES = 5
 #: Rows up to which a counted table is broadcast.
@@ -87,7 +87,7 @@ def term(word: str) -> str:
     return word.strip(_edges).lower()
 
 
-def text_key(text: str) -> int:
+def text_key(text: str | bytes) -> int:
     """A hash of a text, the one which Spark's xxhash64 gives."""
     return (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
 
@@ -158,11 +158,13 @@ def weights(found: DataFrame) -> DataFrame:
     return sizes.select("key", (1 / F.sort_array("x", False)[1]["rows"]).alias("weight"))
 
 
-def word_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, n_term): the weight of the texts that hold each term of `wanted`. docs: (t, weight), null weighs one.
+def word_counts(docs: DataFrame, weighted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, n_term): the weight of the texts that hold each term of `wanted`, by the term's hash. weighted: (key, weight) of
+    texts that weigh less than one.
 
-    A task adds up its own words before they are shuffled. A filter of a fixed size spares most of the words not wanted."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
+    Texts stay where they are: what is shuffled is a text's key and the hashes of its words. A filter of a fixed size spares
+    most of the words that are not wanted."""
+    bit = F.pmod(F.col("h"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
     filled = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in filled.collect():  # FILTER_BITS / 32768 rows of 4 KB at most
@@ -171,36 +173,31 @@ def word_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, str | None] = {}
-        counts: dict[str, float] = {}
+        known: dict[bytes, int | None] = {}
 
-        def found(word: bytes) -> str | None:
+        def found(word: bytes) -> int | None:
             t = term(word.decode())
-            at = text_key(t) % FILTER_BITS
-            return t if t and bits.value[at >> 3] >> (at & 7) & 1 else None
-
-        def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], ["term", "n"])
+            h = text_key(t)
+            at = h % FILTER_BITS
+            return h if t and bits.value[at >> 3] >> (at & 7) & 1 else None
 
         for b in batches:
-            for text, weight in zip(b.column(0).cast(pa.large_binary()), b.column(1).to_pylist(), strict=True):
+            keys, lists = [], []
+            for text in b.column(0).cast(pa.large_binary()):
+                text = text.as_py() or b""
                 here = set()
-                for word in set((text.as_py() or b"").split()):
+                for word in set(text.split()):
                     if word not in known:
-                        if len(known) >= COUNTED_WORDS:
+                        if len(known) >= KNOWN_WORDS:
                             known.clear()
                         known[word] = found(word)
-                    if known[word]:
-                        here.add(known[word])
-                for t in here:
-                    counts[t] = counts.get(t, 0.0) + (1.0 if weight is None else weight)
-            if len(counts) >= COUNTED_WORDS:
-                yield result()
-                counts.clear()
-        yield result()
+                    here.add(known[word])
+                keys.append(text_key(text))
+                lists.append([h for h in here if h is not None])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["key", "words"])
 
-    each = docs.select("t", "weight").mapInArrow(run, "term string, n double")
-    return each.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
+    each = docs.select("t").mapInArrow(run, "key long, words array<long>").where(F.size("words") > 0).join(weighted, "key", "left")
+    return each.select(F.explode("words").alias("h"), F.coalesce("weight", F.lit(1.0)).alias("weight")).groupBy("h").agg(F.sum("weight").alias("n_term"))
 
 
 def at_least(count: F.Column) -> F.Column:
@@ -211,24 +208,23 @@ def at_least(count: F.Column) -> F.Column:
 def revealing_terms(docs: DataFrame, found: DataFrame, sure: float = SURE) -> DataFrame:
     """(entity, term, share): terms whose share of the entity's information reaches GENERALISE, and `sure` at the least."""
     copies = cut(weights(found))
-    few = F.broadcast(copies) if copies.count() <= SMALL_TABLE else copies
     weight = F.sum(F.coalesce("weight", F.lit(1.0)))
-    held = found.where("t is not null").join(few, "key", "left")
+    held = found.where("t is not null").join(copies, "key", "left")
     pairs = held.select("weight", F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(weight.alias("together"))
     entities = held.select("weight", F.explode("entities").alias("entity")).groupBy("entity").agg(weight.alias("n_entity"))
     pairs = cut(pairs.join(entities, "entity"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
-    each = docs.withColumn("key", F.xxhash64("t")).join(few, "key", "left")
-    n_terms = word_counts(each, pairs.select("term").distinct())
-    n = max(2.0, found.join(few, "key", "left").agg(weight).first()[0])
+    pairs = pairs.withColumn("h", F.xxhash64("term"))
+    n_terms = word_counts(docs, copies, pairs.select("h").distinct())
+    n = max(2.0, found.select("key").join(copies, "key", "left").agg(weight).first()[0])
 
     def share(together: F.Column) -> F.Column:
         information = F.log2(n / F.col("n_entity"))
         pmi = F.log2(n * together / (F.greatest("n_term", "together") * F.col("n_entity")))
         return F.when(information > 0, pmi / information).otherwise(0.0)
 
-    shared = pairs.join(n_terms, "term").select("entity", "term", share(F.col("together")).alias("share"), share(at_least(F.col("together"))).alias("low"))
+    shared = pairs.join(n_terms, "h").select("entity", "term", share(F.col("together")).alias("share"), share(at_least(F.col("together"))).alias("low"))
     return shared.where((F.col("share") >= GENERALISE) & (F.col("low") >= sure)).select("entity", "term", "share")
 
 
