@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from evidex.llm import exact_dedup as X
 from evidex.llm import mixing as M
@@ -51,8 +52,28 @@ def fill(sizes, weights, total, most):
     return out
 
 
+def brute_extra(docs, lacks):
+    """(doc_id) taken once more, of docs {doc_id: size}: the scale by bisection, then Pareto ranks over all documents."""
+    cls = {i: n >> max(0, n.bit_length() - 4) << max(0, n.bit_length() - 4) for i, n in docs.items() if n}
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        k = (low + high) / 2
+        low, high = (k, high) if sum(min(1, k * c**0.5) * docs[i] for i, c in cls.items()) < lacks else (low, k)
+    p = {i: high * c**0.5 for i, c in cls.items()}
+    sure = {i for i in p if p[i] >= 1 - 1e-12}
+    left, out = lacks - sum(docs[i] for i in sure), set(sure)
+    u = {i: (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in p}
+    for i in sorted(p.keys() - sure, key=lambda i: (u[i] / (1 - u[i]) / (p[i] / (1 - p[i])), i)):
+        if left <= 0 or abs(left - docs[i]) > left:
+            break
+        out.add(i)
+        left -= docs[i]
+    return out
+
+
 def test_mix_meets_targets(spark, monkeypatch):
     monkeypatch.setattr(M, "BUCKET_DOCS", 20)
+    monkeypatch.setattr(M, "BUCKETS", 4)
     rng = random.Random(4)
     rows = [(i, rng.choice(["hot", "hot", "hot", "a", "b", None, "é"]), "w " * rng.choice([0, 1, 5, 30, 200]), 7) for i in range(2000)]
     rows += [(5000, "tiny", "one", 7), (5001, "blank", " ", 7), (5002, "blank", None, 7)]
@@ -70,8 +91,20 @@ def test_mix_meets_targets(spark, monkeypatch):
         assert r.size == len((t or "").split()) and r.source_size == sizes[s]
         assert r.target == pytest.approx(want[s]) and r.taken in (0, r.size, 2 * r.size)
         taken[s] += r.taken
+    mine, shares = defaultdict(dict), defaultdict(list)
+    for i, s, t, _ in rows:
+        mine[s][i] = len((t or "").split())
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 100.5
+        whole = int(want[s] // sizes[s]) if sizes[s] else 0
+        extra = brute_extra(mine[s], want[s] - whole * sizes[s]) if want[s] - whole * sizes[s] > 1e-6 else set()
+        assert {i: n * (whole + (i in extra)) for i, n in mine[s].items()} == {i: got[i].taken for i in mine[s]}
+        for i, n in mine[s].items():
+            if extra and n:
+                shares[s, n].append(i in extra)
+    # long texts are sampled more often than short ones, but no size is left out or, in some source, all certain
+    odds = {s: [np.mean(shares[s, n]) for n in (1, 5, 30, 200)] for s in {s for s, _ in shares} if (s, 5) in shares}
+    assert odds and all(a[0] <= a[2] and a[1] < a[3] for a in odds.values()) and any(0 < a[1] < a[3] < 1 or a[3] == 1 > a[1] > 0 for a in odds.values())
     again = {r.doc_id: r.taken for r in M.mix(docs.repartition(7)).collect()}
     assert again == {i: r.taken for i, r in got.items()}
     mixed = M.mixed_documents(docs)
@@ -83,6 +116,18 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert M.mix(docs.limit(0)).collect() == []
 
 
+def test_mixed_documents_with_clashing_names_and_null_ids(spark):
+    rows = [(None if i % 7 == 0 else i, f"s{i % 3}", "w " * (i % 11), i, "x") for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[1:4], "doc_id long, source string, text string, times int, copy_ string").withColumn("row", F.lit(1)).withColumn("u", F.lit("u")).withColumn("Size", F.lit(2))
+    mixed = M.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.where("copy_ <> 'x' or row <> 1 or u <> 'u'").count() == 0
+    got = mixed.groupBy("times").count().collect()
+    assert sum(r["count"] for r in got if r.times % 7 == 0) > 10  # rows of null doc_ids are sampled one by one
+    assert len({r["count"] for r in got if r.times % 7 == 0 and r.times % 11}) > 1
+    assert M.mixed_documents(docs.limit(0)).collect() == []
+    assert M.mixed_documents(docs.where("text is null or text = ''")).collect() == []
+
+
 def test_mix_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "s", "a b"), (1, "s", "a b"), (None, "t", "c")], "doc_id long, source string, text string")
     assert sorted(r.size for r in M.mix(docs).collect()) == [1, 2, 2]
