@@ -2,7 +2,10 @@
 
 The dot-product heuristic fills one sequence at a time: of the examples that still fit it takes the one whose demand,
 weighed by how scarce each resource is, has the largest dot product with what the sequence has left. Where examples may
-be cut, the last gap takes a piece of the largest example left. Tasks pack blocks of a bounded number of ids, straight
+be cut, what no example fits takes the longest beginning of one that does.
+
+A document is an example of instruction data: its first line is the prompt, whose tokens bear no loss, and the rest with the
+end id is the answer. A document of one line bears loss as a whole. Tasks pack blocks of a bounded number of ids, straight
 from the encoder: nothing is shuffled, and no group is gathered.
 """
 
@@ -27,8 +30,8 @@ BLOCK_TOKENS, BLOCK_EXAMPLES = 1 << 20, 8192
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 256
-    loss_tokens: int = 2048
+    segments: int = 16
+    loss_tokens: int = 1920
 
 
 def pack(tokens: list[int], loss: list[int], limits: Limits, cut: bool = True) -> list[list[tuple[int, int, int]]]:
@@ -41,54 +44,63 @@ def pack(tokens: list[int], loss: list[int], limits: Limits, cut: bool = True) -
     sequences: list[list[tuple[int, int, int]]] = []
     left: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (tokens, loss) -> the (example, start) that need so much
 
-    def prefix(n: int, bearing: int, room: int, loss_room: int) -> int:
-        """The most of the next tokens that fit."""
-        return min(n, room, n - bearing + loss_room)
-
     for i, (n, bearing) in enumerate(zip(tokens, loss, strict=True)):
         start = 0
         while n > limits.tokens or bearing > limits.loss_tokens:
             if not cut:
                 raise ValueError(f"example {i} is larger than a sequence")
-            size = prefix(n, bearing, limits.tokens, limits.loss_tokens)
-            sequences.append([(i, start, size)])
+            size = min(n, limits.tokens, n - bearing + limits.loss_tokens)
+            if size == limits.tokens:
+                sequences.append([(i, start, size)])
+            else:
+                left.setdefault((size, max(0, size - n + bearing)), []).append((i, start))
             start, n, bearing = start + size, n - size, min(bearing, n - size)
         if n:
             left.setdefault((n, bearing), []).append((i, start))
     keys = sorted(left, reverse=True)
-    demand = np.array([(n, 1, b) for n, b in keys], float).reshape(-1, 3)
-    count = np.array([len(left[k]) for k in keys])
-    scarce = (demand * count[:, None]).sum(axis=0) / most
-    scarce /= max(scarce.max(initial=0), 1e-12)
+    n_of, loss_of = (np.array([k[c] for k in keys], np.int64) for c in (0, 1))
+    count = np.array([len(left[k]) for k in keys], np.int64)
+    scarce = np.array([(n_of * count).sum(), count.sum(), (loss_of * count).sum()]) / most
+    weight = scarce / max(scarce.max(initial=0), 1e-12) / most**2
     place = {k: j for j, k in enumerate(keys)}
+
+    def take(j: int, size: int) -> tuple[int, int, int]:
+        """The first `size` tokens of an example of key j; the rest goes back."""
+        nonlocal n_of, loss_of, count
+        n, bearing = keys[j]
+        i, start = left[keys[j]].pop()
+        count[j] -= 1
+        room[:] -= (size, 1, max(0, size - n + bearing))
+        if size < n:
+            rest = (n - size, min(bearing, n - size))
+            left.setdefault(rest, []).append((i, start + size))
+            if rest not in place:
+                place[rest] = len(keys)
+                keys.append(rest)
+                if len(keys) > len(count):
+                    n_of, loss_of, count = (np.concatenate([x, np.zeros(len(keys), np.int64)]) for x in (n_of, loss_of, count))
+                n_of[place[rest]], loss_of[place[rest]] = rest
+            count[place[rest]] += 1
+        return i, start, size
+
     while (live := count > 0).any():
         if live.mean() < 0.5:
-            keys, demand, count = [k for k, x in zip(keys, live, strict=True) if x], demand[live], count[live]
+            keys = [keys[j] for j in np.flatnonzero(live)]
+            n_of, loss_of, count = n_of[live], loss_of[live], count[live]
             place = {k: j for j, k in enumerate(keys)}
-        room, now = most.copy(), []
-        while True:
-            fits = (count > 0) & (demand <= room).all(axis=1)
+        room, now = most.astype(np.int64), []
+        while room[1]:
+            fits = (count > 0) & (n_of <= room[0]) & (loss_of <= room[2])
             if fits.any():
-                j = int(np.argmax(np.where(fits, demand @ (scarce * room / most**2), -1)))
-                i, start = left[keys[j]].pop()
-                count[j] -= 1
-                now.append((i, start, keys[j][0]))
-                room -= demand[j]
+                score = n_of * (weight[0] * room[0]) + loss_of * (weight[2] * room[2])
+                j = int(np.where(fits, score, -1.0).argmax())
+                now.append(take(j, keys[j][0]))
                 continue
-            j = int(np.argmax((count > 0) * demand[:, 0])) if room[1] >= 1 and cut and count.any() else None
-            size = prefix(*keys[j], int(room[0]), int(room[2])) if j is not None else 0
-            if size > 0:
-                n, bearing = keys[j]
-                i, start = left[keys[j]].pop()
-                count[j] -= 1
-                now.append((i, start, size))
-                rest = (n - size, min(bearing, n - size))
-                left.setdefault(rest, []).append((i, start + size))
-                if rest not in place:
-                    place[rest] = len(keys)
-                    keys, demand, count = [*keys, rest], np.vstack([demand, (rest[0], 1, rest[1])]), np.append(count, 0)
-                count[place[rest]] += 1
-            break
+            begin = np.where(count > 0, np.minimum(n_of - loss_of + room[2], room[0]), 0)
+            j = int(begin.argmax())
+            if not cut or begin[j] <= 0:
+                break
+            now.append(take(j, int(begin[j])))
         sequences += powers(now) if cut and sum(x[2] for x in now) != limits.tokens else [now]
     return sequences
 
@@ -116,16 +128,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece of a document: where it lies in the document and in its sequence, and the crc32 of its ids.
 
-    A null text counts as empty and has the one id end_id. All ids of a document bear loss. A repeated row is packed as
+    A null text counts as empty and has the one id end_id, which bears loss. A repeated row is packed as
     often as it occurs. Sequence ids are unique, not dense: the task's number, then a count. A null doc_id stays null.
     No documents give no pieces. Columns besides the two named are not read.
     """
     ship(docs.sparkSession)
     names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def flush(ids: list[np.ndarray], doc_ids: list, first: int) -> tuple[pa.RecordBatch, int]:
+    def flush(ids: list[np.ndarray], heads: list[int], doc_ids: list, first: int) -> tuple[pa.RecordBatch, int]:
         sizes = [len(x) for x in ids]
-        sequences = pack(sizes, sizes, limits)
+        sequences = pack(sizes, [n - h for n, h in zip(sizes, heads, strict=True)], limits)
         rows = []
         for k, pieces in enumerate(sequences):
             offset = 0
@@ -139,17 +151,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
         enc, next_id = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         dtype = enc.dtype if end_id < 1 << 8 * enc.dtype.itemsize else np.dtype("<u4")
         end = np.array([end_id], dtype)
-        ids, doc_ids, n = [], [], 0
+        ids, heads, doc_ids, n = [], [], [], 0
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                ids.append(np.concatenate([enc.ids(text.as_py() or "").astype(dtype, copy=False), end]))
+                own, head = enc.with_head(text.as_py() or "")
+                ids.append(np.concatenate([own.astype(dtype, copy=False), end]))
+                heads.append(head)
                 doc_ids.append(doc_id.as_py())
                 n += len(ids[-1])
                 if n >= BLOCK_TOKENS or len(ids) >= BLOCK_EXAMPLES:
-                    out, next_id = flush(ids, doc_ids, next_id)
+                    out, next_id = flush(ids, heads, doc_ids, next_id)
                     yield out
-                    ids, doc_ids, n = [], [], 0
+                    ids, heads, doc_ids, n = [], [], [], 0
         if ids:
-            yield flush(ids, doc_ids, next_id)[0]
+            yield flush(ids, heads, doc_ids, next_id)[0]
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, PIECES)

@@ -53,7 +53,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.bare = self.spaced = _Cache(self._encode, "")
-        if self._encode(" a") == self._encode("a"):  # white space is dropped, and so is case
+        self.drops_space = self._encode(" a") == self._encode("a")
+        if self.drops_space:  # and so is case
             self.bare.lower = self._encode("A") == self._encode("a")
         else:
             self.spaced = _Cache(self._encode, " ")
@@ -67,6 +68,8 @@ class Encoder:
         words, gaps = text.split(), text.count(" ") + text.count("\n")
         if gaps != len(words) - 1 or gaps + len("".join(words)) != len(text):  # other white space than single spaces and line ends
             found = map(bare.__getitem__, _parts.split(text))
+        elif self.drops_space:
+            found = map(bare.__getitem__, words)
         else:
             found, newline = [], None
             for line in text.split("\n"):
@@ -80,6 +83,15 @@ class Encoder:
         return np.frombuffer(b"".join(found), self.dtype)
 
 
+    def with_head(self, text: str) -> tuple[np.ndarray, int]:
+        """The ids of a text, and how many of them are its first line's where other lines with a word follow; else 0."""
+        head, _, tail = text.partition("\n")
+        if not head.strip() or not tail.strip():
+            return self.ids(text), 0
+        ids = self.ids(head)
+        return np.concatenate([ids, self.ids(tail)]) if self.drops_space else self.ids(text), len(ids)
+
+
 _encoders: dict[str, Encoder] = {}
 
 

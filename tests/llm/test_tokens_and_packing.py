@@ -69,6 +69,11 @@ def test_packing_places_each_id_once(spark):
             assert offset == at
             at += n
         assert at <= 2048 and at.bit_count() == 1 and len(s) <= packing.Limits().segments
+    heads = {i: len(enc.encode(t.partition("\n")[0], add_special_tokens=False).ids) if t and t.partition("\n")[0].strip() and t.partition("\n")[2].strip() else 0 for i, t in data}
+    bearing = defaultdict(int)
+    for r in out:
+        bearing[r.sequence_id] += max(0, r.start + r.length - max(r.start, heads[r.doc_id]))
+    assert max(bearing.values()) <= packing.Limits().loss_tokens and any(heads.values())
     assert packing.pack_documents(docs.limit(0), path).collect() == []
 
 
@@ -92,3 +97,21 @@ def test_vector_limits_hold(cut):
         with pytest.raises(ValueError):
             packing.pack([101], [1], limits, cut=False)
     assert packing.pack([], [], limits, cut) == []
+
+
+def test_all_three_limits_bind_and_sequences_are_few():
+    """Examples with prompts as in a corpus: close to the bound that each limit gives, and each limit changes the result."""
+    rng = random.Random(8)
+    tokens = [min(20_000, int(rng.lognormvariate(6.3, 1.1)) + 1) for _ in range(1500)] + [rng.randint(1, 20) for _ in range(300)]
+    loss = [n - min(n - 1, rng.randint(0, 250)) for n in tokens]
+    limits = packing.Limits()
+    seqs = packing.pack(tokens, loss, limits)
+
+    def bearing(pieces):
+        return sum(max(0, start + n - max(start, tokens[i] - loss[i])) for i, start, n in pieces)
+
+    assert all(sum(n for _, _, n in s) <= limits.tokens and len(s) <= limits.segments and bearing(s) <= limits.loss_tokens for s in seqs)
+    bound = max(-(-sum(tokens) // limits.tokens), -(-len(tokens) // limits.segments), -(-sum(loss) // limits.loss_tokens))
+    assert bound <= len(seqs) < 1.1 * bound
+    wide = packing.pack(tokens, loss, packing.Limits(segments=10**6, loss_tokens=10**6))
+    assert any(len(s) > limits.segments for s in wide) and any(bearing(s) > limits.loss_tokens for s in wide)
