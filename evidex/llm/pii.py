@@ -9,9 +9,8 @@ the entity's information even with the lower bound of its co-occurrence (of a Po
 count: a term that one text has beside the entity must then be rare in a large corpus, and the more texts show the pair,
 the more common the term may be.
 
-Counts are over all documents, and all in one unit: a row weighs one over the number of rows with its text or a near copy
-of it, so a group of copies weighs as much as one text. Near copies are told by min-hashes of the whole text's runs of four
-words, of which two must agree.
+Counts are over all documents, and all in one unit: texts, of which exact copies and most near copies are one, as they
+share the least hash of their runs of four words.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.llm.rows import new_names
@@ -40,8 +39,6 @@ SURE = 0.65
 FILTER_BITS = 1 << 24
 #: Words whose hash a task remembers.
 KNOWN_WORDS = 500_000
-#: Min-hashes of a text.
-SIGNATURES = 5
 #: Rows up to which a counted table is broadcast.
 SMALL_TABLE = 50_000
 _local = re.compile(r"[A-Za-z0-9._%+-]")
@@ -92,18 +89,14 @@ def text_key(text: str | bytes) -> int:
     return (xxhash.xxh64_intdigest(text, 42) ^ 1 << 63) - (1 << 63)
 
 
-def signature(text: str) -> list[int]:
-    """The least hash of the text's runs of four words, for each of SIGNATURES seeds; near copies mostly share these."""
-    words = np.array([xxhash.xxh3_64_intdigest(w) for w in _word.findall(text)], np.uint64)
-    n, runs = max(1, len(words) - 3), np.uint64(1)
+def text_group(raw: bytes) -> int:
+    """The least hash of a UTF-8 text's runs of four words, which copies share, and near copies mostly."""
+    words = np.array([xxhash.xxh3_64_intdigest(w) for w in raw.split()], np.uint64)
+    n, runs = max(1, len(words) - 3), np.zeros(1, np.uint64)
     for i in range(min(4, len(words))):
         runs = (runs ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        runs ^= runs >> np.uint64(29)
-    out = []
-    for seed in range(1, SIGNATURES + 1):
-        x = (runs ^ np.array([seed * 0xD6E8FEB86659FD93 % 2**64], np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
-        out.append(int((x ^ x >> np.uint64(32)).min().astype(np.int64)))
-    return out
+        runs = runs ^ runs >> np.uint64(29)
+    return int(runs.min().astype(np.int64))
 
 
 def contexts(text: str, spans: list[tuple[str, int, int]], near: int = NEAR_WORDS) -> list[tuple[str, str]]:
@@ -126,7 +119,7 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, key long, t string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string>>, signature array<long>"
+FOUND = "doc_id long, key long, t string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<string>, near array<struct<entity:string,term:string>>, text_group long"
 
 
 def base_rows(docs: DataFrame) -> DataFrame:
@@ -135,14 +128,14 @@ def base_rows(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("t", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))), ("signature", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("t", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.string())), ("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))), ("text_group", pa.int64())])
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 near = contexts(text, spans)
-                row = {"doc_id": doc_id, "key": text_key(text), "t": text if near else None, "signature": signature(text), "base": _join(spans), "base_sha256": hashlib.sha256(_join(spans).encode()).hexdigest()}
+                row = {"doc_id": doc_id, "key": text_key(text), "t": text if near else None, "text_group": text_group(text.encode()), "base": _join(spans), "base_sha256": hashlib.sha256(_join(spans).encode()).hexdigest()}
                 row |= {f"n_{k}": sum(s[0] == k for s in spans) for k in KINDS}
                 rows.append(row | {"entities": sorted({e for e, _ in near}), "near": [dict(zip(("entity", "term"), x, strict=True)) for x in near]})
             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -150,20 +143,11 @@ def base_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-def weights(found: DataFrame) -> DataFrame:
-    """(key, weight) of texts with copies or near copies: one over the rows that share two of the text's min-hashes."""
-    each = found.select("key", F.posexplode("signature").alias("seed", "least"))
-    shared = each.groupBy("seed", "least").agg(F.count("*").alias("rows")).where("rows > 1")
-    sizes = each.join(shared, ["seed", "least"]).groupBy("key").agg(F.collect_set(F.struct("rows", "seed")).alias("x")).where(F.size("x") > 1)
-    return sizes.select("key", (1 / F.sort_array("x", False)[1]["rows"]).alias("weight"))
-
+def holders(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, n): how many texts hold each term of `wanted` (h), a term's hash. docs: (t).
 
-def word_counts(docs: DataFrame, weighted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, n_term): the weight of the texts that hold each term of `wanted`, by the term's hash. weighted: (key, weight) of
-    texts that weigh less than one.
-
-    Texts stay where they are: what is shuffled is a text's key and the hashes of its words. A filter of a fixed size spares
-    most of the words that are not wanted."""
+    What is shuffled is such terms with the group of the text that holds them; texts stay where they are. A filter of a fixed
+    size spares the words that are not wanted; what it lets through wrongly does no harm."""
     bit = F.pmod(F.col("h"), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
     filled = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -182,7 +166,7 @@ def word_counts(docs: DataFrame, weighted: DataFrame, wanted: DataFrame) -> Data
             return h if t and bits.value[at >> 3] >> (at & 7) & 1 else None
 
         for b in batches:
-            keys, lists = [], []
+            terms, groups = [], []
             for text in b.column(0).cast(pa.large_binary()):
                 text = text.as_py() or b""
                 here = set()
@@ -192,40 +176,44 @@ def word_counts(docs: DataFrame, weighted: DataFrame, wanted: DataFrame) -> Data
                             known.clear()
                         known[word] = found(word)
                     here.add(known[word])
-                keys.append(text_key(text))
-                lists.append([h for h in here if h is not None])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["key", "words"])
+                here.discard(None)
+                if here:
+                    terms += here
+                    groups += [text_group(text)] * len(here)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(groups, pa.int64())], ["h", "g"])
 
-    each = docs.select("t").mapInArrow(run, "key long, words array<long>").where(F.size("words") > 0).join(weighted, "key", "left")
-    return each.select(F.explode("words").alias("h"), F.coalesce("weight", F.lit(1.0)).alias("weight")).groupBy("h").agg(F.sum("weight").alias("n_term"))
+    return docs.select("t").mapInArrow(run, "h long, g long").distinct().groupBy("h").agg(F.count("*").alias("n"))
 
 
-def at_least(count: F.Column) -> F.Column:
+def at_least(count: Column) -> Column:
     """The lower bound of a Poisson mean after this count, at 90 % (Wilson and Hilferty's approximation)."""
     return count * F.pow(F.greatest(F.lit(0.0), 1 - 1 / (9 * count) - 1.2816 / (3 * F.sqrt(count))), 3)
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, sure: float = SURE) -> DataFrame:
     """(entity, term, share): terms whose share of the entity's information reaches GENERALISE, and `sure` at the least."""
-    copies = cut(weights(found))
-    weight = F.sum(F.coalesce("weight", F.lit(1.0)))
-    held = found.where("t is not null").join(copies, "key", "left")
-    pairs = held.select("weight", F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(weight.alias("together"))
-    entities = held.select("weight", F.explode("entities").alias("entity")).groupBy("entity").agg(weight.alias("n_entity"))
-    pairs = cut(pairs.join(entities, "entity"))
+    held = found.where("t is not null")
+    n_texts = F.count_distinct("text_group")
+    pairs = held.select("text_group", F.explode("near").alias("x")).groupBy("x.entity", "x.term").agg(n_texts.alias("together"))
+    entities = held.select("text_group", F.explode("entities").alias("entity")).groupBy("entity").agg(n_texts.alias("n_entity"))
+    pairs = cut(pairs.join(entities, "entity").withColumn("h", F.xxhash64("term")))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
-    pairs = pairs.withColumn("h", F.xxhash64("term"))
-    n_terms = word_counts(docs, copies, pairs.select("h").distinct())
-    n = max(2.0, found.select("key").join(copies, "key", "left").agg(weight).first()[0])
+    n = max(2, found.agg(n_texts).first()[0])
 
-    def share(together: F.Column) -> F.Column:
+    def share(together: Column, n_term: str) -> Column:
         information = F.log2(n / F.col("n_entity"))
-        pmi = F.log2(n * together / (F.greatest("n_term", "together") * F.col("n_entity")))
+        pmi = F.log2(n * together / (F.greatest(n_term, "together") * F.col("n_entity")))
         return F.when(information > 0, pmi / information).otherwise(0.0)
 
-    shared = pairs.join(n_terms, "h").select("entity", "term", share(F.col("together")).alias("share"), share(at_least(F.col("together"))).alias("low"))
-    return shared.where((F.col("share") >= GENERALISE) & (F.col("low") >= sure)).select("entity", "term", "share")
+    def reveals(n_term: str) -> Column:
+        return (share(F.col("together"), n_term) >= GENERALISE) & (share(at_least(F.col("together")), n_term) >= sure)
+
+    # most terms are too common by what the texts with entities show, and need no counting elsewhere
+    pairs = pairs.join(holders(held, pairs.select("h").distinct()).withColumnRenamed("n", "n_held"), "h").where(reveals("n_held"))
+    pairs = cut(pairs)
+    counted = pairs.join(holders(docs, pairs.select("h").distinct()), "h").where(reveals("n"))
+    return counted.select("entity", "term", share(F.col("together"), "n").alias("share"))
 
 
 def term_spans(text: str, terms: dict[str, float]) -> list[tuple[str, int, int]]:
