@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm.rows import one_of_each
+from evidex.llm.rows import new_names, one_of_each
 from evidex.session import cut
 
 BLOCK_BYTES = 1024
@@ -91,15 +91,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each group of equal texts, with all columns. Rows go by doc_id and text; of
-    repeated rows, or several of a null doc_id, one stays."""
+    """The rows of docs that stay, one of each group of equal texts, with all columns, whatever their names. Rows go by doc_id
+    and text; of repeated rows, or several of a null doc_id, one stays. No documents give no rows."""
     found = exact_groups(docs)
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = docs.withColumn("text_sha256", F.sha2(lowered.cast("binary"), 256)).withColumn("id_", F.col("doc_id"))
-    gone = found.where("not kept or kept is null and keep_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
-    stay = keyed.join(gone, (F.col("text_sha256") == F.col("gone_text")) & F.col("id_").eqNullSafe(F.col("gone_id")), "left_anti")
-    again = found.where("kept").groupBy("text_sha256").agg(F.count("*").alias("n")).where("n > 1").select("text_sha256")
-    return one_of_each(stay, again, "text_sha256", ["text"]).select(*docs.columns)
+    sha, gone_sha, gone_id = new_names(docs, "sha", "gone_sha", "gone_id")
+    keyed = docs.withColumn(sha, F.sha2(F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8"), 256))
+    gone = found.where("not kept or kept is null and keep_id is not null").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
+    stay = keyed.join(gone, (F.col(sha) == F.col(gone_sha)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
+    again = found.where("kept").groupBy("text_sha256").agg(F.count("*").alias("n")).where("n > 1").select(F.col("text_sha256").alias(sha))
+    return one_of_each(stay, again, sha, ["text"]).select(*docs.columns)
 
 
 ORACLE = """

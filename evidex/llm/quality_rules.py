@@ -2,18 +2,21 @@
 
 Rules vote that a text is good (1) or bad (-1), or abstain (0). A two-class mixture, in which rules are independent given
 the class, is fitted to the counts of vote patterns by expectation-maximisation: it estimates how accurate each rule's
-votes are on good and on bad texts, and how frequent the classes are; abstentions are no evidence. A text is kept when the posterior probability that
-it is good reaches 0.5, unless the base limits reject it. The fit runs over pattern counts, at most 3^rules rows whatever
-the corpus, counted over all documents; every round is one aggregate, from which only its sums reach the driver.
+votes are on good and on bad texts, and how frequent the classes are; abstentions are no evidence. A text is kept when the
+posterior probability that it is good reaches 0.5, unless the base limits reject it. Patterns are counted over all documents
+by one aggregate; they are 3^rules rows at most, 19,683, whatever the corpus, so they are fetched once and the rounds of the
+fit are arithmetic on the driver.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.llm.rows import new_names
 from evidex.session import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -87,26 +90,20 @@ def votes() -> dict[str, Column]:
 
 def fit(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
     """The mixture: the prior of good texts, and the log odds (good against bad) of each rule's votes -1, 0 and 1."""
-    patterns = cut(voted.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1))
+    rows = voted.groupBy(*rules).agg(F.count("*").alias("n")).orderBy(*rules).collect()  # 3^rules rows at most
+    votes_of, n = np.array([r[:-1] for r in rows], int).reshape(-1, len(rules)), np.array([r[-1] for r in rows], float)
     model = {"prior": 0.0, "odds": {r: [-2.0, 0.0, 0.5] for r in rules}}
-    before = None
-    for _ in range(rounds):
-        good = posterior(model)
-        sums = [F.sum("n"), F.sum(F.col("n") * good)]
-        for r in rules:
-            for v in (-1, 0, 1):
-                hit = F.when(F.col(r) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * good), F.sum(hit * (1 - good))]
-        n, n_good, *cells = (float(x or 0) for x in patterns.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first())
-        if not n:
-            break
-        n_good = min(max(n_good, 1e-9), n - 1e-9)
-        model = {"prior": math.log((n_good + 1) / (n - n_good + 1)), "odds": {}}
+    total, before = n.sum(), None
+    for _ in range(rounds if total else 0):
+        odds = np.array([model["odds"][r] for r in rules])
+        good = n / (1 + np.exp(-(model["prior"] + np.take_along_axis(odds, (votes_of + 1).T, axis=1).sum(axis=0))))
+        n_good = min(max(good.sum(), 1e-9), total - 1e-9)
+        model = {"prior": math.log((n_good + 1) / (total - n_good + 1)), "odds": {}}
         for k, r in enumerate(rules):
-            (bad_g, bad_b), _, (good_g, good_b) = ((cells[6 * k + 2 * v], cells[6 * k + 2 * v + 1]) for v in range(3))
-            g, b = bad_g + good_g + 2, bad_b + good_b + 2  # of the votes cast; an abstention says nothing
-            model["odds"][r] = [math.log((bad_g + 1) / g) - math.log((bad_b + 1) / b), 0.0, math.log((good_g + 1) / g) - math.log((good_b + 1) / b)]
-        if before is not None and abs(n_good - before) <= SETTLED * n:
+            (bad_g, good_g), (bad_b, good_b) = ([w[votes_of[:, k] == v].sum() + 1 for v in (-1, 1)] for w in (good, n - good))
+            g, b = bad_g + good_g, bad_b + good_b  # of the votes cast; an abstention says nothing
+            model["odds"][r] = [math.log(bad_g / g) - math.log(bad_b / b), 0.0, math.log(good_g / g) - math.log(good_b / b)]
+        if before is not None and abs(n_good - before) <= SETTLED * total:
             break
         before = n_good
     return model
@@ -134,7 +131,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all columns. Rows go by their texts, so doc_ids may be null or repeated."""
-    keyed = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = judged(keyed, "text_key_").where("not kept").select(F.col("doc_id").alias("text_key_")).distinct()
-    return keyed.join(gone, "text_key_", "left_anti").select(*docs.columns)
+    """The rows of docs that are kept, with all columns, whatever their names. Rows go by their texts, so doc_ids may be null
+    or repeated: rows of one text are kept or left together. A null text is rejected. No documents give no rows."""
+    (key,) = new_names(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = judged(keyed, key).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)

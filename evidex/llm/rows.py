@@ -21,5 +21,6 @@ def new_names(df: DataFrame, *wanted: str) -> list[str]:
 def one_of_each(df: DataFrame, keys: DataFrame, key: str, order: list[str]) -> DataFrame:
     """df with the first row only, in the given order, for each of the keys; other rows all stay. Only rows of these keys
     are shuffled by key. keys: a table of the column `key`."""
-    some = df.join(keys, key, "left_semi").withColumn("nth_", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return df.join(keys, key, "left_anti").unionByName(some.where("nth_ = 1").drop("nth_"))
+    (nth,) = new_names(df, "nth")
+    some = df.join(keys, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return df.join(keys, key, "left_anti").unionByName(some.where(F.col(nth) == 1).drop(nth))

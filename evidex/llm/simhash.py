@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.llm.components import connected_components
-from evidex.llm.rows import one_of_each
+from evidex.llm.rows import new_names, one_of_each
 from evidex.session import cut, ship
 
 #: Fingerprints in a node of the index that one task searches.
@@ -270,12 +270,14 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each component one row, that of the smallest doc_id (null last); all columns are kept.
-    Rows go by doc_id and text."""
-    keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    found = cut(simhash_components(keyed, radius, "row_key_").withColumnRenamed("doc_id", "row_key_"))
-    ids = keyed.select("row_key_", "doc_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key_"))
-    stay = found.join(ids, "row_key_").groupBy("component_id").agg(first.alias("x")).select("x.row_key_")
-    again = found.groupBy("row_key_").agg(F.count("*").alias("n")).where("n > 1").select("row_key_")
-    return one_of_each(keyed.join(stay, "row_key_", "left_semi"), again, "row_key_", ["text"]).select(*docs.columns)
+    """The rows of docs that stay: of each component one row, that of the smallest doc_id (null last), with all columns,
+    whatever their names. Rows go by doc_id and text, so those of a null doc_id take part like any other; of repeated rows
+    one stays. No documents give no rows."""
+    (key,) = new_names(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = cut(simhash_components(keyed, radius, key).withColumnRenamed("doc_id", key))
+    ids = keyed.select(key, F.col("doc_id").alias("own_id")).distinct()
+    first = F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", key))
+    stay = found.join(ids, key).groupBy("component_id").agg(first.alias("x")).select(F.col("x")[key].alias(key))
+    again = found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    return one_of_each(keyed.join(stay, key, "left_semi"), again, key, ["text"]).select(*docs.columns)

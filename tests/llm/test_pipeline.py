@@ -90,3 +90,21 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert near == Counter((i, low(t)) for i, t in [(None, a), (None, b), (1, c), (1, d), (3, e)])
     assert set(out("mixing", good.dropDuplicates(["doc_id", "text"]))) <= {(i, low(t)) for i, t in rows}
     assert any(i is None for i, _ in out("mixing", good))
+
+
+def test_stages_with_clashing_columns_and_no_rows(spark, docs):
+    names = ["row_key", "text_key", "sha", "gone_sha", "gone_id", "nth", "u", "size", "times", "copy_", "fp", "component_id", "text_sha256", "kept", "bucket", "target", "ROW"]
+    long = " ".join(f"the{i % 977}a of" for i in range(20_000)) + "."
+    rows = spark.createDataFrame([(5000, long, "en", "hot", len(long))], SHAPE)
+    wide = docs.union(rows)
+    for k in names:
+        wide = wide.withColumn(k, F.lit(k))
+    wide = wide.cache()
+    for name, stage in C.STAGES[:-1]:
+        plain, got = stage(spark, wide.select(*docs.columns), ""), stage(spark, wide, "")
+        assert got.columns == wide.columns, name
+        assert ids(got) == ids(plain) and got.where(" or ".join(f"`{k}` <> '{k}'" for k in names)).isEmpty(), name
+        assert stage(spark, wide.limit(0), "").collect() == [], name
+    stage = C.STAGES[-1][1]
+    assert sum(r.length for r in stage(spark, wide, "").where("doc_id = 5000").collect()) == stage(spark, wide, "").where("doc_id = 5000").first().doc_tokens > 20_000
+    assert stage(spark, wide.limit(0), "").collect() == []

@@ -327,3 +327,67 @@ def test_licence_notices(spark):
     text = "Under GPL v3. Licensed under the Apache License, Version 2.0. Or, at your option, any later version."
     (r,) = L.scan(spark.createDataFrame([(None, text)], "doc_id long, text string")).collect()
     assert (r.doc_id, r.licenses) == (None, "Apache-2.0,GPL-3.0")
+
+
+def test_quality_fit_equals_brute_force(spark):
+    """The mixture over all documents one by one, in plain loops, and the verdicts that follow from it."""
+    rng, words = random.Random(4), "the of and house river Tree stone walks in under a small green".split()
+    texts = [*TEXTS]
+    for i in range(250):
+        t = [rng.choice(words) for _ in range(rng.randint(5, 120))]
+        if i % 4 == 0:
+            t = [w.upper() + "!!" if rng.random() < 0.7 else "##" for w in t]
+        if i % 9 == 0:
+            t = t[:9] * 6
+        lines = [" ".join(t[k : k + 12]) + rng.choice(["", "."]) for k in range(0, len(t), 12)]
+        texts.append("\n".join(lines))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = R.judged(docs).collect()
+    names = list(R.votes())
+    votes = [[r[k] for k in names] for r in rows]
+    prior, odds, before = 0.0, {k: {-1: -2.0, 0: 0.0, 1: 0.5} for k in names}, None
+
+    def good(v):
+        return 1 / (1 + np.exp(-(prior + sum(odds[k][x] for k, x in zip(names, v, strict=True)))))
+
+    for _ in range(R.ROUNDS):
+        p = [good(v) for v in votes]
+        n = sum(p)
+        counts = {k: {(c, x): 1 + sum((q if c else 1 - q) for q, v in zip(p, votes, strict=True) if v[i] == x) for c in (0, 1) for x in (-1, 1)} for i, k in enumerate(names)}
+        prior = np.log((n + 1) / (len(votes) - n + 1))
+        for k, c in counts.items():
+            for x in (-1, 1):
+                odds[k][x] = np.log(c[1, x] / (c[1, 1] + c[1, -1])) - np.log(c[0, x] / (c[0, 1] + c[0, -1]))
+        if before is not None and abs(n - before) <= R.SETTLED * len(votes):
+            break
+        before = n
+    for r, v in zip(rows, votes, strict=True):
+        assert r.p_good == pytest.approx(good(v), abs=1e-9) and r.kept == (not r.base_failed and r.p_good >= 0.5)
+    majority = [not r.base_failed and sum(v) > 0 for r, v in zip(rows, votes, strict=True)]
+    assert 0 < sum(r.kept for r in rows) < sum(not r.base_failed for r in rows) and [r.kept for r in rows] != majority
+
+
+def test_classifier_equals_brute_force(spark):
+    """The discriminant from the rows themselves: means, shrunk covariances, densities."""
+    rng = random.Random(6)
+    texts = [None, "", "one"] + [" ".join(rng.choice(["word", "Other", "x1", "end."]) + ("!" if rng.random() < i % 2 / 2 else "") for _ in range(rng.randint(3, 80))) for i in range(200)]
+    labels = [(i, i % 2) for i in range(3, 160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.score, r.predicted) for r in Q.quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = np.array([Q.statistics((t or "").encode()) for t in texts])
+    train = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    own = [np.array([x[i] for i, y in train if y == c]) for c in (0, 1)]
+    d = x.shape[1]
+    within = sum(np.cov(a.T, bias=True) * len(a) for a in own) / len(train) + 1e-6 * np.eye(d)
+    density = []
+    for a in own:
+        s = (1 - Q.SHRINK_POOLED) * np.cov(a.T, bias=True) + Q.SHRINK_POOLED * within
+        unit = np.sqrt(np.diag(within))
+        r = s / np.outer(unit, unit)
+        s = ((1 - Q.SHRINK_IDENTITY) * r + Q.SHRINK_IDENTITY * np.trace(r) / d * np.eye(d)) * np.outer(unit, unit)
+        gap = x - a.mean(axis=0)
+        far = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(s), gap)
+        density.append(np.log((len(a) + 1) / (len(train) + 2)) - np.linalg.slogdet(s)[1] / 2 - far / 2)
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    assert all(got[i][0] == pytest.approx(want[i], abs=1e-6) and got[i][1] == int(got[i][0] >= Q.THRESHOLD) for i in range(len(texts)))
+    assert Q.statistics(b"a b c d e a b c d f")[-1] > 0 and Q.statistics(b"ends here.          ")[13] == 1
