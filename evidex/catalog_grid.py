@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,160 +16,150 @@ from evidex.plans import grid_battery, trade_battery, views
 from evidex.session import cut
 from evidex.sources import report, tables
 
-N_NULL, N_BOOT, MIN_TRADES = 99, 25, 200
+#: Draws of the nulls and of the bootstrap, the operators' defaults.
+N_NULL, N_BOOT = 999, 500
 #: A schedule of three windows, the last of which the data ends in: (window, oos_start, oos_end, in_len, in_type, anchored, grid_row).
 SCHEDULE = [(1, "1994-01-01", "1995-06-30", 18, "Month", False, 5), (2, "1995-07-01", "1996-12-31", 18, "Month", False, 40), (3, "1998-07-01", "2000-12-31", 100, "Week", True, 99)]
 
 
-def _windows(spark, sf, scheme="two") -> DataFrame:
-    return G.custom_windows(tables.days(spark, sf), scheme)
-
-
-def _schedule(spark, sf) -> DataFrame:
-    rows = [("P1", *s) for s in SCHEDULE]
-    s = spark.createDataFrame(rows, "project string, window int, oos_start string, oos_end string, in_len int, in_type string, anchored boolean, grid_row int")
-    s = s.withColumns({"oos_start": F.col("oos_start").cast("date"), "oos_end": F.col("oos_end").cast("date")})
-    return G.schedule_windows(s, tables.days(spark, sf))
-
-
-def _metrics(spark, sf, scheme="two") -> DataFrame:
-    return G.surface_metrics(tables.grid_daily(spark, sf), _windows(spark, sf, scheme))
-
-
-def _pairs(spark, sf, metric="NP") -> DataFrame:
-    return rounded_pairs(G.metric_pairs(_metrics(spark, sf), metric))
-
-
-def rounded_pairs(p: DataFrame) -> DataFrame:
-    """Surfaces to a millionth, so that order of addition breaks no ties; cut, since several steps read them."""
-    return cut(p.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)}))
-
-
-def _region(spark, sf) -> DataFrame:
-    r = R.region(_pairs(spark, sf), tables.combos(spark, sf))
-    return cut(r.withColumns({"x_pooled": F.round("x_pooled", 9), "y_pooled": F.round("y_pooled", 9)}))
-
-
-def _blocks(spark, sf, centre=False) -> DataFrame:
-    b = R.block_sums(tables.grid_daily(spark, sf), _windows(spark, sf))
-    return cut(R.centred(b) if centre else b)
-
-
-def _flip(spark, sf) -> DataFrame:
-    b = _blocks(spark, sf)
-    return R.lift_draws(_region(spark, sf), b, R.signs(_windows(spark, sf), R.n_blocks(b), N_NULL))
+class Inputs:
+    """What the grid queries share; each piece is built once in a query, when it is first asked for."""
 
+    def __init__(self, spark, sf, scheme: str = "two"):
+        self.spark, self.sf, self.scheme = spark, sf, scheme
 
-def _boot(spark, sf) -> DataFrame:
-    b = _blocks(spark, sf, True)
-    return R.lift_draws(_region(spark, sf), b, R.picks(R.n_blocks(b), N_NULL))
+    @cached_property
+    def cells(self) -> DataFrame:
+        return cut(tables.grid_cells(self.spark, self.sf))
+
+    @cached_property
+    def combos(self) -> DataFrame:
+        return cut(tables.combos(self.cells))
 
+    @cached_property
+    def days(self) -> DataFrame:
+        return cut(tables.days(self.cells))
 
-def _precision_null(spark, sf) -> DataFrame:
-    b = _blocks(spark, sf)
-    draws = R.surface_draws(b, R.signs(_windows(spark, sf), R.n_blocks(b), N_NULL)).withColumn("y", F.round("y", 4))
-    d = R.precision_draws(_region(spark, sf), draws, tables.combos(spark, sf))
-    return rounded(d)
+    @cached_property
+    def daily(self) -> DataFrame:
+        return cut(tables.grid_daily(self.cells, self.combos, self.days))
 
+    @cached_property
+    def exits(self) -> DataFrame:
+        return tables.grid_exits(self.cells, self.combos)
 
-def _holes(spark, sf) -> DataFrame:
-    counts = G.exit_counts(tables.grid_exits(spark, sf), tables.combos(spark, sf), _windows(spark, sf))
-    return rounded_pairs(G.metric_pairs(_metrics(spark, sf), "NPAvgDD", counts, _few(spark, sf)))
+    @cached_property
+    def windows(self) -> DataFrame:
+        return cut(G.custom_windows(self.days, self.scheme))
 
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return G.surface_metrics(self.daily, self.windows)
 
-def _few(spark, sf) -> int:
-    """A least number of trades that leaves holes at any scale: 0.35 % of a grid's."""
-    return int(tables.grid_exits(spark, sf).agg(F.sum("n")).first()[0] * 0.0035)
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return rounded_pairs(G.metric_pairs(self.metrics, "NP"))
 
+    @cached_property
+    def region(self) -> DataFrame:
+        r = R.region(self.pairs, self.combos)
+        return cut(r.withColumns({"x_pooled": F.round("x_pooled", 9), "y_pooled": F.round("y_pooled", 9)}))
 
-def _torus(spark, sf) -> DataFrame:
-    p = _pairs(spark, sf)
-    return W.spearman_draws(p, W.torus_draws(p, tables.combos(spark, sf), G.shape(tables.combos(spark, sf))))
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return cut(R.block_sums(self.daily, self.windows))
 
+    @cached_property
+    def signs(self) -> DataFrame:
+        return R.signs(self.windows, R.n_blocks(self.blocks), N_NULL)
 
-def _flip_rho(spark, sf) -> DataFrame:
-    b = _blocks(spark, sf)
-    draws = R.surface_draws(b, R.signs(_windows(spark, sf), R.n_blocks(b), N_NULL)).withColumn("y", F.round("y", 4))
-    return W.spearman_draws(_pairs(spark, sf), draws)
+    @cached_property
+    def flip(self) -> DataFrame:
+        return R.lift_draws(self.region, self.blocks, self.signs)
 
+    @cached_property
+    def boot(self) -> DataFrame:
+        return R.lift_draws(self.region, R.centred(self.blocks), R.picks(R.n_blocks(self.blocks), N_NULL))
 
-def _picks(spark, sf) -> DataFrame:
-    return G.best_pick(_pairs(spark, sf))
+    @cached_property
+    def surfaces(self) -> DataFrame:
+        return R.surface_draws(self.blocks, self.signs).withColumn("y", F.round("y", 4))
 
+    @cached_property
+    def holes(self) -> DataFrame:
+        counts = G.exit_counts(self.exits, self.combos, self.windows)
+        few = int(self.exits.agg(F.sum("n")).first()[0] * 0.0035)  # leaves holes at any scale
+        return rounded_pairs(G.metric_pairs(self.metrics, "NPAvgDD", counts, few))
 
-def _is_daily(spark, sf) -> DataFrame:
-    w = _windows(spark, sf)
-    d = G.sides(tables.grid_daily(spark, sf), w).where("side = 'is'").join(w.select("project", "window", "is_first"), ["project", "window"])
-    return d.select("project", "window", "combo_id", (F.col("day_idx") - F.col("is_first")).cast("int").alias("day"), "pnl")
+    @cached_property
+    def torus(self) -> DataFrame:
+        return W.spearman_draws(self.pairs, W.torus_draws(self.pairs, self.combos, G.shape(self.combos)))
 
+    @cached_property
+    def flip_rho(self) -> DataFrame:
+        return W.spearman_draws(self.pairs, self.surfaces)
 
-def _ridges(spark, sf, side="x_pooled") -> DataFrame:
-    return K.ridges(_region(spark, sf), tables.combos(spark, sf), side)
+    @cached_property
+    def picks(self) -> DataFrame:
+        return G.best_pick(self.pairs)
 
+    @cached_property
+    def in_sample(self) -> DataFrame:
+        d = G.sides(self.daily, self.windows).where("side = 'is'").join(self.windows.select("project", "window", "is_first"), ["project", "window"])
+        return d.select("project", "window", "combo_id", (F.col("day_idx") - F.col("is_first")).cast("int").alias("day"), "pnl")
 
-def _centres(spark, sf) -> DataFrame:
-    r = _region(spark, sf)
-    return K.centres(r, K.ridges(r, tables.combos(spark, sf), "x_pooled"), tables.combos(spark, sf), "x_pooled")
+    @cached_property
+    def ridge(self) -> DataFrame:
+        return cut(K.ridges(self.region, self.combos, "x_pooled"))
 
+    @cached_property
+    def centres(self) -> DataFrame:
+        return K.centres(self.region, self.ridge, self.combos, "x_pooled")
 
-def _ensemble(spark, sf) -> DataFrame:
-    r, c = _region(spark, sf), tables.combos(spark, sf)
-    ridge = K.ridges(r, c, "x_pooled")
-    return K.ensembles(r, ridge, K.centres(r, ridge, c, "x_pooled"), c, "x_pooled")
+    @cached_property
+    def observed(self) -> DataFrame:
+        return R.lifts(self.region).join(self.windows.select("project", "window", "complete"), G.WINDOW)
 
-
-def _overlap(spark, sf) -> DataFrame:
-    r, c = _region(spark, sf), tables.combos(spark, sf)
-    return rounded(R.ridge_overlap(r, K.ridges(r, c, "x_pooled"), K.ridges(r, c, "y_pooled"), c))
-
-
-def _observed(spark, sf) -> DataFrame:
-    return R.lifts(_region(spark, sf)).join(_windows(spark, sf).select("project", "window", "complete"), G.WINDOW)
+    @cached_property
+    def patterns(self) -> DataFrame:
+        return R.distinct_patterns(self.daily, self.windows)
+
+    @cached_property
+    def verdict(self) -> DataFrame:
+        o = cut(self.observed)
+        flip, boot = R.pooled_p(self.flip, o, "null_lift", "lift"), R.pooled_p(self.boot, o, "null_lift", "lift")
+        n = self.patterns.groupBy("project").agg(F.percentile("n_distinct", 0.5).alias("n_distinct"))
+        m = o.where("complete").groupBy("project").agg(F.avg("region_oos_mean").alias("r"), F.avg("grid_oos_mean").alias("g"), F.first("k").alias("k"))
+        d = m.join(flip.select("project", F.col("p").alias("p_lift")), "project").join(boot.select("project", F.col("p").alias("p_boot")), "project").join(n, "project")
+        read = R.reading(F.col("p_lift"), F.col("r"), F.col("g"), R.scoreable(F.col("n_distinct"), F.col("k")))
+        return rounded(d.select("project", "p_lift", "p_boot", read.alias("reading"), R.gate(read).alias("gate"), R.nulls_disagree(F.col("p_lift"), F.col("p_boot")).alias("disagree")))
+
+
+def _schedule(i: Inputs) -> DataFrame:
+    rows = [("P1", *s) for s in SCHEDULE]
+    s = i.spark.createDataFrame(rows, "project string, window int, oos_start string, oos_end string, in_len int, in_type string, anchored boolean, grid_row int")
+    s = s.withColumns({"oos_start": F.col("oos_start").cast("date"), "oos_end": F.col("oos_end").cast("date")})
+    return G.schedule_windows(s, i.days)
 
 
-def _verdict(spark, sf) -> DataFrame:
-    o = _observed(spark, sf)
-    flip, boot = R.pooled_p(_flip(spark, sf), o, "null_lift", "lift"), R.pooled_p(_boot(spark, sf), o, "null_lift", "lift")
-    n = R.distinct_patterns(tables.grid_daily(spark, sf), _windows(spark, sf)).groupBy("project").agg(F.percentile("n_distinct", 0.5).alias("n_distinct"))
-    m = o.where("complete").groupBy("project").agg(F.avg("region_oos_mean").alias("r"), F.avg("grid_oos_mean").alias("g"), F.first("k").alias("k"))
-    d = m.join(flip.select("project", F.col("p").alias("p_lift")), "project").join(boot.select("project", F.col("p").alias("p_boot")), "project").join(n, "project")
-    read = R.reading(F.col("p_lift"), F.col("r"), F.col("g"), R.scoreable(F.col("n_distinct"), F.col("k")))
-    return rounded(d.select("project", "p_lift", "p_boot", read.alias("reading"), R.gate(read).alias("gate"), R.nulls_disagree(F.col("p_lift"), F.col("p_boot")).alias("disagree")))
+def rounded_pairs(p: DataFrame) -> DataFrame:
+    """Surfaces to a millionth, so that order of addition breaks no ties; cut, since several steps read them."""
+    return cut(p.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)}))
 
 
-def _percentiles(spark, sf) -> DataFrame:
-    r = _region(spark, sf)
+def _percentiles(i: Inputs) -> DataFrame:
+    r = i.region
     p = G.best_pick(r).select(*G.WINDOW, F.lit("best_is").alias("rule"), F.col("pick").alias("combo_id")).union(r.where("place = 1").select(*G.WINDOW, F.lit("best_pooled"), "combo_id"))
     return rounded(R.pick_percentiles(r, p))
 
 
-def _base(spark, sf) -> DataFrame:
-    read = cut(_verdict(spark, sf).select("project", "reading"))
-    return K.base_setting(tables.grid_daily(spark, sf), tables.days(spark, sf), _windows(spark, sf), cut(tables.combos(spark, sf)), read, "two")
-
-
-def _outline(spark, sf) -> DataFrame:
-    c = tables.combos(spark, sf)
-    cells = _region(spark, sf).where("in_region").join(c.select("project", "combo_id", "pos"), ["project", "combo_id"]).select(*G.WINDOW, F.col("pos")[1].alias("r"), F.col("pos")[0].alias("c"))
+def _outline(i: Inputs) -> DataFrame:
+    cells = i.region.where("in_region").join(i.combos.select("project", "combo_id", "pos"), ["project", "combo_id"]).select(*G.WINDOW, F.col("pos")[1].alias("r"), F.col("pos")[0].alias("c"))
     return rounded(views.outline(cells, G.WINDOW))
 
 
-def _pooled(spark, sf) -> DataFrame:
-    p = _pairs(spark, sf)
-    return rounded(W.pooled_test(W.correlations(p), _flip_rho(spark, sf), _windows(spark, sf)))
-
-
-def _trade_battery_json(spark, sf) -> DataFrame:
-    return trade_battery.run(tables.trades(spark, sf), tables.bars(spark, sf), n_perm=50).json()
-
-
-def _timing_json(spark, sf) -> DataFrame:
-    return trade_battery.run_timing(tables.trades(spark, sf), tables.bars(spark, sf), max_k=3).json()
-
-
-def _grid_battery_json(spark, sf) -> DataFrame:
-    t = [cut(f(spark, sf)) for f in (tables.combos, tables.grid_daily, tables.grid_exits, tables.days)]
-    return grid_battery.run(*t, scheme="two", n_null=49, n_boot=10).json()
+def _grid_battery(i: Inputs) -> grid_battery.GridBattery:
+    return grid_battery.run(i.combos, i.daily, cut(i.exits), i.days, scheme="two", n_null=N_NULL, n_boot=N_BOOT)
 
 
 def _report_round_trip(spark, sf) -> DataFrame:
@@ -180,54 +172,60 @@ def _report_round_trip(spark, sf) -> DataFrame:
 
 
 def queries() -> dict:
-    c, d, w = tables.combos, tables.grid_daily, _windows
-    return {
-        "grid_axes": lambda spark, sf: G.shape(c(spark, sf)),
-        "grid_positions": lambda spark, sf: G.axes(c(spark, sf).drop("pos")).select("combo_id", F.col("pos")[0].alias("a"), F.col("pos")[1].alias("b")),
+    bigint = lambda w, *more: w.select("window", *(F.col(x).cast("bigint").alias(x) for x in ("is_first", "is_last", "oos_first", "oos_last")), *more)
+    grid = {
+        "grid_axes": lambda i: G.shape(i.combos),
+        "grid_positions": lambda i: G.axes(i.combos.drop("pos")).select("combo_id", F.col("pos")[0].alias("a"), F.col("pos")[1].alias("b")),
         "wf_windows": _schedule,
-        "custom_windows": lambda spark, sf: w(spark, sf).select("window", *(F.col(x).cast("bigint").alias(x) for x in ("is_first", "is_last", "oos_first", "oos_last")), "is_first_date", "oos_last_date", "complete"),
-        "custom_windows_single": lambda spark, sf: w(spark, sf, "single").select("window", *(F.col(x).cast("bigint").alias(x) for x in ("is_first", "is_last", "oos_first", "oos_last")), "complete"),
-        "surface_metrics": lambda spark, sf: rounded(_metrics(spark, sf), 6),
-        "exit_counts": lambda spark, sf: G.exit_counts(tables.grid_exits(spark, sf), c(spark, sf), w(spark, sf)),
-        "min_trade_holes": lambda spark, sf: rounded(_holes(spark, sf).select("project", "window", "combo_id", "x", "y"), 3),
-        "neighbourhood_pool": lambda spark, sf: rounded(_region(spark, sf).select("window", "combo_id", "x_pooled", "y_pooled"), 9),
-        "region_topk": lambda spark, sf: _region(spark, sf).where("in_region").select("window", "combo_id", "place", "k"),
-        "region_lift": lambda spark, sf: rounded(R.lifts(_region(spark, sf))),
-        "overlap_precision": lambda spark, sf: rounded(R.precision(_region(spark, sf), R.distinct_patterns(d(spark, sf), w(spark, sf)))),
-        "distinct_patterns": lambda spark, sf: R.distinct_patterns(d(spark, sf), w(spark, sf)),
-        "signflip_null": lambda spark, sf: rounded(_flip(spark, sf)),
-        "block_bootstrap_null": lambda spark, sf: rounded(_boot(spark, sf)),
-        "precision_null": _precision_null,
-        "pvalues_window": lambda spark, sf: rounded(R.window_p(_flip(spark, sf), R.lifts(_region(spark, sf)), "null_lift", "lift")),
-        "pvalues_pooled": lambda spark, sf: rounded(R.pooled_p(_flip(spark, sf), _observed(spark, sf), "null_lift", "lift")),
-        "verdict_matrix": _verdict,
+        "custom_windows": lambda i: bigint(i.windows, "is_first_date", "oos_last_date", "complete"),
+        "surface_metrics": lambda i: rounded(i.metrics, 6),
+        "exit_counts": lambda i: G.exit_counts(i.exits, i.combos, i.windows),
+        "min_trade_holes": lambda i: rounded(i.holes.select("project", "window", "combo_id", "x", "y"), 3),
+        "neighbourhood_pool": lambda i: rounded(i.region.select("window", "combo_id", "x_pooled", "y_pooled"), 9),
+        "region_topk": lambda i: i.region.where("in_region").select("window", "combo_id", "place", "k"),
+        "region_lift": lambda i: rounded(R.lifts(i.region)),
+        "overlap_precision": lambda i: rounded(R.precision(i.region, i.patterns)),
+        "distinct_patterns": lambda i: i.patterns,
+        "signflip_null": lambda i: rounded(i.flip),
+        "block_bootstrap_null": lambda i: rounded(i.boot),
+        "precision_null": lambda i: rounded(R.precision_draws(i.region, i.surfaces, i.combos)),
+        "pvalues_window": lambda i: rounded(R.window_p(i.flip, R.lifts(i.region), "null_lift", "lift")),
+        "pvalues_pooled": lambda i: rounded(R.pooled_p(i.flip, i.observed, "null_lift", "lift")),
+        "verdict_matrix": lambda i: i.verdict,
         "pick_percentiles": _percentiles,
-        "spearman_wfc": lambda spark, sf: rounded(W.correlations(_pairs(spark, sf)), 9),
-        "wfc_npavgdd_holes": lambda spark, sf: rounded(W.correlations(_holes(spark, sf)), 9),
-        "torus_null": lambda spark, sf: rounded(_torus(spark, sf)),
-        "wfc_signflip_null": lambda spark, sf: rounded(_flip_rho(spark, sf)),
-        "wfc_test": lambda spark, sf: rounded(W.correlation_test(W.correlations(_pairs(spark, sf)), _torus(spark, sf)), 9),
-        "wfc_pooled": _pooled,
-        "wfc_bands": lambda spark, sf: rounded(W.bands(_pairs(spark, sf)), 9),
-        "top_n_follow": lambda spark, sf: rounded(W.top_n(_pairs(spark, sf))),
-        "plateau_score": lambda spark, sf: rounded(W.plateau(_pairs(spark, sf), _picks(spark, sf), c(spark, sf))),
-        "effective_trials": lambda spark, sf: rounded(W.effective_trials(_is_daily(spark, sf).withColumnRenamed("day", "day_idx"))),
-        "stationary_bootstrap": lambda spark, sf: W.bootstrap_days(_is_daily(spark, sf).groupBy("project", "window").agg(F.count_distinct("day").cast("int").alias("n")), 20),
-        "reality_check": lambda spark, sf: rounded(W.reality_check(_is_daily(spark, sf), _picks(spark, sf), N_BOOT)),
-        "ridge_component": lambda spark, sf: _ridges(spark, sf),
-        "ridge_overlap": _overlap,
-        "medoid_centre": lambda spark, sf: _centres(spark, sf),
-        "ensemble": _ensemble,
-        "base_setting": _base,
-        "ols_line_view": lambda spark, sf: rounded(views.ols_line(_pairs(spark, sf), G.WINDOW, "x", "y")),
-        "rolling_view": lambda spark, sf: rounded(views.ranked_profile(_pairs(spark, sf), G.WINDOW)),
+        "spearman_wfc": lambda i: rounded(W.correlations(i.pairs), 9),
+        "wfc_npavgdd_holes": lambda i: rounded(W.correlations(i.holes), 9),
+        "torus_null": lambda i: rounded(i.torus),
+        "wfc_signflip_null": lambda i: rounded(i.flip_rho),
+        "wfc_test": lambda i: rounded(W.correlation_test(W.correlations(i.pairs), i.torus), 9),
+        "wfc_pooled": lambda i: rounded(W.pooled_test(W.correlations(i.pairs), cut(i.flip_rho), i.windows)),
+        "wfc_bands": lambda i: rounded(W.bands(i.pairs), 9),
+        "top_n_follow": lambda i: rounded(W.top_n(i.pairs)),
+        "plateau_score": lambda i: rounded(W.plateau(i.pairs, i.picks, i.combos)),
+        "effective_trials": lambda i: rounded(W.effective_trials(i.in_sample.withColumnRenamed("day", "day_idx"))),
+        "stationary_bootstrap": lambda i: W.bootstrap_days(i.in_sample.groupBy("project", "window").agg(F.count_distinct("day").cast("int").alias("n")), N_BOOT),
+        "reality_check": lambda i: rounded(W.reality_check(cut(i.in_sample), i.picks, N_BOOT)),
+        "ridge_component": lambda i: i.ridge,
+        "ridge_overlap": lambda i: rounded(R.ridge_overlap(i.region, i.ridge, K.ridges(i.region, i.combos, "y_pooled"), i.combos)),
+        "medoid_centre": lambda i: i.centres,
+        "ensemble": lambda i: K.ensembles(i.region, i.ridge, i.centres, i.combos, "x_pooled"),
+        "base_setting": lambda i: K.base_setting(i.daily, i.days, i.windows, i.combos, cut(i.verdict.select("project", "reading")), "two"),
+        "ols_line_view": lambda i: rounded(views.ols_line(i.pairs, G.WINDOW, "x", "y")),
+        "rolling_view": lambda i: rounded(views.ranked_profile(i.pairs, G.WINDOW)),
         "outline_view": _outline,
-        "json_export": _trade_battery_json,
-        "timing_json": _timing_json,
-        "grid_json": _grid_battery_json,
-        "report_round_trip": _report_round_trip,
+        "grid_json": lambda i: _grid_battery(i).json(),
     }
 
+    def query(f):
+        return lambda spark, sf: f(Inputs(spark, sf))
+
+    out = {name: query(f) for name, f in grid.items()}
+    out["custom_windows_single"] = lambda spark, sf: bigint(Inputs(spark, sf, "single").windows, "complete")
+    out["json_export"] = lambda spark, sf: trade_battery.run(tables.trades(spark, sf), tables.bars(spark, sf)).json()
+    out["timing_json"] = lambda spark, sf: trade_battery.run_timing(tables.trades(spark, sf), tables.bars(spark, sf)).json()
+    out["report_round_trip"] = _report_round_trip
+    return out
+
 
 CELLS = """ln AS (SELECT CAST(round(l_discount * 100) AS INTEGER) AS a, CAST(round(l_tax * 100) AS INTEGER) AS b, CAST(l_shipdate AS DATE) AS date,
   (CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 2 * (l_linenumber % 2) - 1 END) * l_extendedprice * (1 - l_discount) / 100 AS pnl FROM lineitem),
@@ -259,8 +257,8 @@ lf AS (SELECT "window", min(k) AS k, avg(CASE WHEN place <= k THEN y END) AS rm,
 BLOCKS = """, bk AS (SELECT "window", combo_id, (day_idx - lo) // 21 AS block, sum(pnl - m) AS dev, count(*) AS days, sum(m) AS common FROM (SELECT *, avg(pnl) OVER (PARTITION BY "window", day_idx) AS m FROM ds WHERE side = 'oos') GROUP BY 1, 2, 3),
 nk AS (SELECT "window", max(block) + 1 AS nb FROM bk GROUP BY 1)"""
 _u = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
-FLIPS = f""", fw AS (SELECT "window", draw, block, CASE WHEN {_u.format("'0|flip|' || \"window\" || '|' || draw || '|' || block")} < 0.5 THEN -1.0 ELSE 1.0 END AS weight FROM nk CROSS JOIN (SELECT unnest(range(0, {N_NULL})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, nb)) AS block))"""
-BOOTS = f""", bw AS (SELECT "window", draw, block, count(*)::DOUBLE AS weight FROM (SELECT "window", draw, least(CAST(floor({_u.format("'0|boot|' || \"window\" || '|' || draw || '|' || tt")} * nb) AS BIGINT), nb - 1) AS block FROM nk CROSS JOIN (SELECT unnest(range(0, {N_NULL})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, nb)) AS tt)) GROUP BY 1, 2, 3),
+FLIPS = f""", fw AS (SELECT "window", draw, block, CASE WHEN {_u.format("'0|flip|P1|' || \"window\" || '|' || draw || '|' || block")} < 0.5 THEN -1.0 ELSE 1.0 END AS weight FROM nk CROSS JOIN (SELECT unnest(range(0, {N_NULL})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, nb)) AS block))"""
+BOOTS = f""", bw AS (SELECT "window", draw, block, count(*)::DOUBLE AS weight FROM (SELECT "window", draw, least(CAST(floor({_u.format("'0|boot|P1|' || \"window\" || '|' || draw || '|' || tt")} * nb) AS BIGINT), nb - 1) AS block FROM nk CROSS JOIN (SELECT unnest(range(0, {N_NULL})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, nb)) AS tt)) GROUP BY 1, 2, 3),
 ck AS (SELECT "window", combo_id, block, dev - sum(dev) OVER (PARTITION BY "window", combo_id) / sum(days) OVER (PARTITION BY "window", combo_id) * days AS dev FROM bk)"""
 
 
@@ -299,7 +297,7 @@ PLAT = ", ".join(
     f"""CASE WHEN count({v}) >= 2 THEN 0.5 * (CASE WHEN avg({v}) > 0 THEN greatest(0, 1 - least(1, stddev_pop({v}) / (abs(avg({v})) + 1e-9))) ELSE 0 END) + 0.5 * coalesce(avg(CASE WHEN near <> pick AND {v} IS NOT NULL THEN ({v} > 0)::INT END), 0) END AS s_{v}"""
     for v in ("x", "y")
 )
-DAYS = f""", bs AS (SELECT "window", n, draw, t, {_u.format("'0|restart|' || \"window\" || '|' || draw || '|' || t")} AS u1, {_u.format("'0|start|' || \"window\" || '|' || draw || '|' || t")} AS u2 FROM (SELECT "window", hi - lo + 1 AS n FROM sd WHERE side = 'is') CROSS JOIN (SELECT unnest(range(0, {{n}})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, n)) AS t)),
+DAYS = f""", bs AS (SELECT "window", n, draw, t, {_u.format("'0|restart|P1|' || \"window\" || '|' || draw || '|' || t")} AS u1, {_u.format("'0|start|P1|' || \"window\" || '|' || draw || '|' || t")} AS u2 FROM (SELECT "window", hi - lo + 1 AS n FROM sd WHERE side = 'is') CROSS JOIN (SELECT unnest(range(0, {{n}})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, n)) AS t)),
 bl AS (SELECT *, max(CASE WHEN u1 < 0.05 OR t = 0 THEN t END) OVER (PARTITION BY "window", draw ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0 FROM bs),
 bt AS (SELECT a."window", a.draw, CAST((least(CAST(floor(s.u2 * s.n) AS BIGINT), s.n - 1) + a.t - a.t0) % a.n AS INTEGER) AS day, a.n::INTEGER AS n FROM bl a JOIN bs s ON s."window" = a."window" AND s.draw = a.draw AND s.t = a.t0)"""
 COMP = (
@@ -367,7 +365,7 @@ s AS (SELECT "window", sum((near <> pick)::INT)::BIGINT AS n_neighbours, {PLAT},
 SELECT 'P1' AS project, "window", n_neighbours, {_r("s_x AS score_is", "s_y AS score_oos", "flat AS flat_oos", "share AS positive_share_oos")} FROM s""",
         "effective_trials": f"""WITH {TWO}, z AS (SELECT "window", combo_id, day_idx, (pnl - avg(pnl) OVER w) / nullif(stddev_pop(pnl) OVER w, 0) AS z, count(*) OVER w AS n FROM ds WHERE side = 'is' WINDOW w AS (PARTITION BY "window", combo_id)), c AS (SELECT a."window", a.combo_id, sum(a.z * b.z) / min(a.n) AS c FROM z a JOIN z b ON b."window" = a."window" AND b.day_idx = a.day_idx WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a."window", a.combo_id, b.combo_id)
 SELECT 'P1' AS project, "window", round(pow(count(DISTINCT combo_id), 2) / sum(c * c), 6) AS n_eff FROM c GROUP BY 2""",
-        "stationary_bootstrap": f"WITH {TWO}{DAYS.format(n=20)} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, day, count(*) AS times FROM bt GROUP BY 2, 3, 4",
+        "stationary_bootstrap": f"WITH {TWO}{DAYS.format(n=N_BOOT)} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, day, count(*) AS times FROM bt GROUP BY 2, 3, 4",
         "reality_check": f"""WITH {PAIRS}{PICK}{DAYS.format(n=N_BOOT)}, tm AS (SELECT "window", draw, day, min(n) AS n, count(*) AS times FROM bt GROUP BY 1, 2, 3), me AS (SELECT "window", combo_id, avg(pnl) AS f FROM ds WHERE side = 'is' GROUP BY 1, 2),
 dm AS (SELECT d."window", tm.draw, d.combo_id, sum((d.pnl - me.f) * times) / min(tm.n) AS m FROM ds d JOIN me ON me."window" = d."window" AND me.combo_id = d.combo_id JOIN tm ON tm."window" = d."window" AND tm.day = d.day_idx - d.lo WHERE side = 'is' GROUP BY 1, 2, 3), mx AS (SELECT "window", draw, max(m) AS nm FROM dm GROUP BY 1, 2),
 be AS (SELECT "window", max(f) AS bf, first(combo_id ORDER BY f DESC, combo_id) AS bi FROM me GROUP BY 1), pm AS (SELECT pk."window", f AS pf FROM pk JOIN me ON me."window" = pk."window" AND me.combo_id = pick)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from evidex.operators import nulls as N
 from evidex.operators import temporal as X
 from evidex.operators import timing as G
 from evidex.operators import trades as T
+from evidex.session import cut
 from evidex.sources import tables
 
 PV = tables.POINT_VALUE
-N_PERM = 200
+#: Draws of the null and the delays looked at, the operators' defaults.
+N_PERM, MAX_K = 1_000, 10
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -23,21 +27,34 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _joined(spark, sf, astray=False):
-    return T.join_bars(tables.trades(spark, sf, astray), tables.bars(spark, sf))
+class Inputs:
+    """What the trade queries share; each piece is built once in a query, when it is first asked for."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
 
+    @cached_property
+    def bars(self) -> DataFrame:
+        return cut(tables.bars(self.spark, self.sf))
 
-def _based(spark, sf):
-    return T.with_baseline(_joined(spark, sf), tables.bars(spark, sf))
+    @cached_property
+    def trades(self) -> DataFrame:
+        return tables.trades(self.spark, self.sf, bars=self.bars)
 
+    @cached_property
+    def joined(self) -> DataFrame:
+        return T.join_bars(self.trades, self.bars)
 
-def _pnl(spark, sf):
-    t = tables.trades(spark, sf)
-    return t.select("strategy_id", "trade_id", "entry_time", "exit_time", F.round(T.usd_per_contract(PV), 2).alias("pnl"))
+    @cached_property
+    def based(self) -> DataFrame:
+        return T.with_baseline(self.joined, self.bars)
 
+    @cached_property
+    def pnl(self) -> DataFrame:
+        return self.trades.select("strategy_id", "trade_id", "entry_time", "exit_time", F.round(T.usd_per_contract(PV), 2).alias("pnl"))
 
-def _points(spark, sf, leg, mode="fixed_exit", early=False):
-    return G.shifted(_joined(spark, sf), tables.bars(spark, sf), leg, mode, 6, early, PV)
+    def points(self, leg: str, mode: str = "fixed_exit", early: bool = False) -> DataFrame:
+        return G.shifted(self.joined, self.bars, leg, mode, MAX_K, early, PV)
 
 
 def _literal(spark, values: list[str], fn, name: str):
@@ -46,37 +63,41 @@ def _literal(spark, values: list[str], fn, name: str):
 
 
 def _curve(leg, mode="fixed_exit", early=False):
-    return lambda spark, sf: rounded(G.delay_curve(_points(spark, sf, leg, mode, early)), 9)
+    return lambda i: rounded(G.delay_curve(i.points(leg, mode, early)), 9)
 
 
-def _drawdown(spark, sf):
-    return rounded(D.drawdown_summary(_pnl(spark, sf)).drop("worst", "capital_basis"), 4)
+def _drawdown(i):
+    return rounded(D.drawdown_summary(i.pnl).drop("worst", "capital_basis"), 4)
 
 
-def _margin(spark, sf):
-    d = D.drawdown_summary(_pnl(spark, sf)).select("strategy_id", "capital")
+def _margin(i):
+    d = D.drawdown_summary(i.pnl).select("strategy_id", "capital")
     return rounded(d.withColumns(D.margin_ratios(F.col("capital"), F.lit(1500.0))))
 
 
-def _cost_lookup(spark, sf):
-    t = tables.trades(spark, sf).withColumn("symbol", F.when(F.col("strategy_id") % 2 == 0, F.col("symbol")).otherwise("@XYZZY"))
+#: Symbols of the cost lookup, by strategy_id modulo 5: a large and a micro contract, months, and an unknown root.
+COST_SYMBOLS = ("@ES", "@MNQ", "MESZ26", "@m2k", "@XYZZY")
+
+
+def _cost_lookup(i):
+    t = i.trades.withColumn("symbol", F.element_at(F.array(*map(F.lit, COST_SYMBOLS)), (F.col("strategy_id") % 5 + 1).cast("int")))
     return rounded(C.cost_per_strategy(t))
 
 
-def _date_join(spark, sf):
+def _date_join(i):
     """Daily bars; trades carry dates only, so they are joined by date."""
-    b = tables.bars(spark, sf).withColumn("d", F.to_date("ts"))
+    b = i.bars.withColumn("d", F.to_date("ts"))
     daily = b.groupBy("symbol", "d").agg(F.min_by("open", "bar_idx").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), (F.max("ts")).alias("ts"))
     daily = daily.select("symbol", F.datediff("d", F.lit("2024-01-01").cast("date")).cast("bigint").alias("bar_idx"), "ts", "open", "high", "low")
     midnight = lambda c: F.date_trunc("day", c).cast("timestamp_ntz").alias(c)
-    t = tables.trades(spark, sf).select("strategy_id", "trade_id", "symbol", midnight("entry_time"), midnight("exit_time"), "entry_price", "exit_price")
+    t = i.trades.select("strategy_id", "trade_id", "symbol", midnight("entry_time"), midnight("exit_time"), "entry_price", "exit_price")
     flag = T.dates_only(t, daily).select("strategy_id", "by_date")
     return T.join_bars(t, daily, by_date=True).join(flag, "strategy_id").select("strategy_id", "trade_id", "by_date", "entry_idx", "exit_idx", "hold_bars")
 
 
-def _histogram(spark, sf):
+def _histogram(i):
     """Drawdown depths in 30 bins of equal width for each strategy."""
-    d = D.episodes(D.equity(_pnl(spark, sf))).select("strategy_id", (-F.col("depth")).alias("x"))
+    d = D.episodes(D.equity(i.pnl)).select("strategy_id", (-F.col("depth")).alias("x"))
     from evidex.plans.views import histogram
 
     return rounded(histogram(d, ["strategy_id"], "x", 30), 4)
@@ -90,30 +111,33 @@ STAMPS = ["1/6/2025 09:00", "12/31/2024 23:59", "1/6/2025", "2025-01-06", "", "1
 
 
 def queries() -> dict:
-    return {
-        "bars_from_events": lambda spark, sf: tables.bars(spark, sf),
-        "bar_interval_mode": lambda spark, sf: T.bar_interval(tables.bars(spark, sf)),
-        "trades_joined": lambda spark, sf: _joined(spark, sf, True).select("strategy_id", "trade_id", F.coalesce("entry_idx", F.lit(-1)).cast("bigint").alias("entry_idx"), F.coalesce("exit_idx", F.lit(-1)).cast("bigint").alias("exit_idx"), "hold_bars"),
+    def query(f):
+        return lambda spark, sf: f(Inputs(spark, sf))
+
+    each = {
+        "bars_from_events": lambda i: i.bars,
+        "bar_interval_mode": lambda i: T.bar_interval(i.bars),
+        "trades_joined": lambda i: T.join_bars(tables.trades(i.spark, i.sf, True, i.bars), i.bars).select("strategy_id", "trade_id", F.coalesce("entry_idx", F.lit(-1)).cast("bigint").alias("entry_idx"), F.coalesce("exit_idx", F.lit(-1)).cast("bigint").alias("exit_idx"), "hold_bars"),
         "date_only_join": _date_join,
-        "join_checks": lambda spark, sf: T.join_checks(_joined(spark, sf), tables.bars(spark, sf)),
-        "cost_basis": lambda spark, sf: T.cost_basis(_joined(spark, sf)),
-        "pct_usd_returns": lambda spark, sf: rounded(_joined(spark, sf).select("strategy_id", "trade_id", T.pct_return().alias("pct"), T.usd_per_contract(PV).alias("usd")), 8),
-        "forward_returns_h": lambda spark, sf: rounded(T.forward_returns(tables.bars(spark, sf), spark.createDataFrame([("@ES", h) for h in (1, 5, 24)], "symbol string, hold bigint")).select("hold", "bar_idx", "fwd"), 8),
-        "matched_baseline": lambda spark, sf: rounded(_based(spark, sf).select("strategy_id", "trade_id", "hold", "base_mean", "base_win"), 8),
-        "baseline_lift": lambda spark, sf: rounded(T.lift(_based(spark, sf)), 8),
-        "random_entry_null": lambda spark, sf: rounded(N.random_entry_test(_based(spark, sf), tables.bars(spark, sf), N_PERM), 6),
-        "temporal_windows": lambda spark, sf: rounded(X.window_results(_joined(spark, sf), tables.bars(spark, sf), PV)),
-        "temporal_score": lambda spark, sf: rounded(X.window_score(X.window_results(_joined(spark, sf), tables.bars(spark, sf), PV))),
-        "rolling_volatility": lambda spark, sf: rounded(X.volatility(tables.bars(spark, sf)).select("bar_idx", "vol"), 8),
-        "crisis_split": lambda spark, sf: rounded(X.regime_results(_joined(spark, sf), tables.bars(spark, sf), PV)),
-        "yearly_pnl": lambda spark, sf: rounded(X.yearly(tables.trades(spark, sf), PV), 4),
-        "cost_curve": lambda spark, sf: rounded(C.cost_curve(_based(spark, sf), C.cost_per_strategy(tables.trades(spark, sf)), PV)),
-        "cost_summary": lambda spark, sf: rounded(C.cost_summary(_based(spark, sf), C.cost_per_strategy(tables.trades(spark, sf)), PV)),
+        "join_checks": lambda i: T.join_checks(i.joined, i.bars),
+        "cost_basis": lambda i: T.cost_basis(i.joined),
+        "pct_usd_returns": lambda i: rounded(i.joined.select("strategy_id", "trade_id", T.pct_return().alias("pct"), T.usd_per_contract(PV).alias("usd")), 8),
+        "forward_returns_h": lambda i: rounded(T.forward_returns(i.bars, i.spark.createDataFrame([("@ES", h) for h in (1, 5, 24)], "symbol string, hold bigint")).select("hold", "bar_idx", "fwd"), 8),
+        "matched_baseline": lambda i: rounded(i.based.select("strategy_id", "trade_id", "hold", "base_mean", "base_win"), 8),
+        "baseline_lift": lambda i: rounded(T.lift(i.based), 8),
+        "random_entry_null": lambda i: rounded(N.random_entry_test(i.based, i.bars, N_PERM), 6),
+        "temporal_windows": lambda i: rounded(X.window_results(i.joined, i.bars, PV)),
+        "temporal_score": lambda i: rounded(X.window_score(X.window_results(i.joined, i.bars, PV))),
+        "rolling_volatility": lambda i: rounded(X.volatility(i.bars).select("bar_idx", "vol"), 8),
+        "crisis_split": lambda i: rounded(X.regime_results(i.joined, i.bars, PV)),
+        "yearly_pnl": lambda i: rounded(X.yearly(i.trades, PV), 4),
+        "cost_curve": lambda i: rounded(C.cost_curve(i.based, C.cost_per_strategy(i.trades), PV)),
+        "cost_summary": lambda i: rounded(C.cost_summary(i.based, C.cost_per_strategy(i.trades), PV)),
         "cost_lookup_fallback": _cost_lookup,
-        "equity_curve": lambda spark, sf: rounded(D.equity(_pnl(spark, sf)).select("strategy_id", "trade_id", F.col("seq").cast("bigint").alias("seq"), "eq", "dd"), 4),
-        "drawdown_episodes": lambda spark, sf: rounded(D.episodes(D.equity(_pnl(spark, sf))).select("strategy_id", *(F.col(c).cast("bigint").alias(c) for c in ("peak_i", "trough_i", "recovery_i")), "depth"), 4),
+        "equity_curve": lambda i: rounded(D.equity(i.pnl).select("strategy_id", "trade_id", F.col("seq").cast("bigint").alias("seq"), "eq", "dd"), 4),
+        "drawdown_episodes": lambda i: rounded(D.episodes(D.equity(i.pnl)).select("strategy_id", *(F.col(c).cast("bigint").alias(c) for c in ("peak_i", "trough_i", "recovery_i")), "depth"), 4),
         "cdar_capital": _drawdown,
-        "sharpe_sortino": lambda spark, sf: rounded(D.sharpe_sortino(_pnl(spark, sf))),
+        "sharpe_sortino": lambda i: rounded(D.sharpe_sortino(i.pnl)),
         "margin_check": _margin,
         "delay_entry_fixed_exit": _curve("entry"),
         "delay_entry_fixed_hold": _curve("entry", "fixed_hold"),
@@ -121,15 +145,16 @@ def queries() -> dict:
         "delay_entry_early": _curve("entry", early=True),
         "delay_entry_early_fixed_hold": _curve("entry", "fixed_hold", early=True),
         "delay_exit_early": _curve("exit", early=True),
-        "first_nonpositive_k": lambda spark, sf: G.first_nonpositive(G.delay_curve(_points(spark, sf, "exit"))),
-        "paired_change": lambda spark, sf: rounded(G.paired_change(_points(spark, sf, "entry"))),
-        "money_parse": lambda spark, sf: _literal(spark, MONEY, S.money, "v"),
-        "interval_parse": lambda spark, sf: _literal(spark, INTERVALS, S.interval_minutes, "v"),
-        "root_normalise": lambda spark, sf: _literal(spark, ROOTS, S.symbol_root, "v"),
-        "axis_class": lambda spark, sf: _literal(spark, AXES, S.axis_class, "v"),
-        "stamp_parse": lambda spark, sf: _literal(spark, STAMPS, S.stamp, "v"),
+        "first_nonpositive_k": lambda i: G.first_nonpositive(G.delay_curve(i.points("exit"))),
+        "paired_change": lambda i: rounded(G.paired_change(i.points("entry"))),
+        "money_parse": lambda i: _literal(i.spark, MONEY, S.money, "v"),
+        "interval_parse": lambda i: _literal(i.spark, INTERVALS, S.interval_minutes, "v"),
+        "root_normalise": lambda i: _literal(i.spark, ROOTS, S.symbol_root, "v"),
+        "axis_class": lambda i: _literal(i.spark, AXES, S.axis_class, "v"),
+        "stamp_parse": lambda i: _literal(i.spark, STAMPS, S.stamp, "v"),
         "histogram_view": _histogram,
     }
+    return {name: query(f) for name, f in each.items()}
 
 
 BARS = """bars AS (SELECT '@ES' AS symbol, row_number() OVER (ORDER BY hour) - 1 AS bar_idx, hour AS ts, open, high, low, close, volume FROM
@@ -195,7 +220,7 @@ def _delay_sql(leg: str, mode: str, early: bool) -> str:
         alive, en, ex = ("entry_idx - k >= 0" if early else "exit_idx + k <= lasti"), f"(SELECT open FROM bars WHERE bar_idx = entry_idx {s} k)", f"(SELECT open FROM bars WHERE bar_idx = exit_idx {s} k)"
     return (
         TRADES
-        + f""", kk AS (SELECT t.*, k, (SELECT max(bar_idx) FROM bars) AS lasti FROM t CROSS JOIN (SELECT unnest(range(0, 7)) AS k)), ka AS (SELECT *, k = 0 OR ({alive}) AS alive FROM kk),
+        + f""", kk AS (SELECT t.*, k, (SELECT max(bar_idx) FROM bars) AS lasti FROM t CROSS JOIN (SELECT unnest(range(0, {MAX_K + 1})) AS k)), ka AS (SELECT *, k = 0 OR ({alive}) AS alive FROM kk),
 kp AS (SELECT *, CASE WHEN k = 0 THEN entry_price ELSE {en} END AS ep, CASE WHEN k = 0 THEN exit_price ELSE {ex} END AS xp FROM ka), pt AS (SELECT strategy_id, trade_id, k, alive, CASE WHEN alive THEN direction * (xp / ep - 1.0) END AS pct2, CASE WHEN alive THEN direction * (xp - ep) * 2.0 END AS u FROM kp),
 cv AS (SELECT strategy_id, k, sum(alive::INT)::BIGINT AS n_alive, sum((NOT alive)::INT)::BIGINT AS n_skipped, coalesce(sum(u), 0) AS total_usd, avg(u) AS mean_usd, avg(pct2) AS mean_pct, avg((u > 0)::DOUBLE) AS win_rate, sum(CASE WHEN u > 0 THEN u ELSE 0 END) AS won, sum(CASE WHEN u < 0 THEN -u ELSE 0 END) AS lost FROM pt GROUP BY 1, 2)"""
     )
@@ -213,7 +238,7 @@ def _words(ws, how: str) -> str:
     return " OR ".join(f"contains(lower(s), '{w}')" if how == "part" else f"list_contains(list_transform(regexp_extract_all(regexp_replace(s, '([A-Z][a-z])', ' \\1', 'g'), '[A-Z]?[a-z]+|[A-Z]+|\\d+'), lambda x: lower(x)), '{w}')" for w in ws)
 
 
-_costs = "(VALUES " + ", ".join(f"('{k}', {2 * (c + s)}::DOUBLE)" for k, (c, s) in S.COSTS.items()) + ") rc(root, rt)"
+_costs = "(VALUES " + ", ".join(f"('{k}', {round(2 * (c + s), 4)}::DOUBLE)" for k, (c, s) in S.COSTS.items()) + ") rc(root, rt)"
 BASIS = "cb AS (SELECT strategy_id, 2 * (2.2 + 0.5::DOUBLE) AS c, gross_pnl, contracts, round(gross_pnl - 2 * (2.2 + 0.5::DOUBLE), 2) AS net_pnl FROM t)"
 
 
@@ -244,7 +269,7 @@ SELECT o.strategy_id, n_trades, {_r('om AS observed_mean', 'bm AS baseline_mean'
         "yearly_pnl": f"WITH {TRADES} SELECT strategy_id, year(exit_time)::INTEGER AS year, round(sum(usd), 4) AS usd, count(*) AS n FROM t GROUP BY 1, 2",
         "cost_curve": f"WITH {TRADES}{BASE}{COSTC} SELECT strategy_id, mult, {_r('g - mult * cost AS net_mean_usd', 'g - mult * cost - b AS net_lift_usd')}, g - mult * cost - b > 0 AS passes FROM ga CROSS JOIN co CROSS JOIN (SELECT unnest([0, 1, 2, 3, 5, 10, 20])::DOUBLE AS mult)",
         "cost_summary": f"WITH {TRADES}{BASE}{COSTC} SELECT strategy_id, {_r('g AS gross_mean_usd', 'b AS baseline_mean_usd', '(g - b) / cost AS breakeven_mult')}, CASE WHEN lost > 0 THEN round(won / lost, 6) ELSE 'Infinity'::DOUBLE END AS net_pf_1x, g - b - cost > 0 AS passed_1x FROM ga CROSS JOIN co",
-        "cost_lookup_fallback": f"WITH {TRADES} SELECT strategy_id, round(coalesce(max(rt), avg(2 * (2.2 + 0.5::DOUBLE))), 6) AS cost, CASE WHEN max(rt) IS NULL THEN 'report' ELSE 'reference' END AS source, round(avg(2 * (2.2 + 0.5::DOUBLE)), 6) AS report_cost FROM t LEFT JOIN {_costs} ON root = CASE WHEN strategy_id % 2 = 0 THEN 'ES' ELSE 'XYZZY' END GROUP BY 1",
+        "cost_lookup_fallback": f"WITH {TRADES} SELECT strategy_id, round(coalesce(max(rt), avg(2 * (2.2 + 0.5::DOUBLE))), 6) AS cost, CASE WHEN max(rt) IS NULL THEN 'report' ELSE 'reference' END AS source, round(avg(2 * (2.2 + 0.5::DOUBLE)), 6) AS report_cost FROM t LEFT JOIN {_costs} ON root = CASE strategy_id % 5 WHEN 0 THEN 'ES' WHEN 1 THEN 'MNQ' WHEN 2 THEN 'MES' WHEN 3 THEN 'M2K' END GROUP BY 1",
         "equity_curve": f"WITH {PNL} SELECT strategy_id, trade_id, seq, {_r('eq', 'dd', digits=4)} FROM ed",
         "drawdown_episodes": f"WITH {EPS} SELECT strategy_id, peak_i, trough_i, recovery_i, round(depth, 4) AS depth FROM ep",
         "cdar_capital": f"WITH {DD} SELECT strategy_id, n_trades, n_episodes, n_unrecovered, {_r('years', 'sum_usd', 'sharpe', 'sortino', 'max_dd', 'mean_dd', 'median_dd', 'pt_mean', 'pt_max', 'pr_mean', 'pr_max', 'cdar', 'annual_usd', 'capital AS capital_cdar', 'capital', 'annual_usd / nullif(capital, 0) AS annual_pct', 'max_dd / nullif(capital, 0) AS max_dd_pct', 'annual_usd / nullif(max_dd, 0) AS calmar', 'annual_usd / nullif(mean_dd, 0) AS profit_over_avg_dd', 'annual_usd / nullif(cdar, 0) AS profit_over_cdar', digits=4)} FROM s5",

@@ -19,6 +19,10 @@ COSTS = {
     "RR": (2.5, 50.0), "RTY": (2.5, 20.0), "S": (2.5, 15.0), "SB": (2.5, 12.5), "SF": (2.5, 17.5),
     "SI": (2.5, 32.5), "SM": (2.5, 15.0), "TF": (2.5, 20.0), "TU": (2.5, 10.0), "TY": (2.5, 17.5),
     "US": (2.5, 32.5), "VX": (2.5, 50.0), "W": (2.5, 15.0), "YM": (2.5, 10.0),
+    "MES": (0.62, 1.875), "MNQ": (0.62, 2.25), "M2K": (0.62, 3.0), "MYM": (0.62, 1.5), "MBT": (0.62, 7.5),
+    "MET": (0.62, 0.375), "E7": (0.62, 11.25), "M6E": (0.62, 2.25), "J7": (0.62, 11.25), "M6B": (0.62, 1.5),
+    "M6A": (0.62, 1.875), "MGC": (0.62, 4.5), "SIL": (0.62, 9.75), "MHG": (0.62, 2.625), "QM": (0.62, 11.25),
+    "MCL": (0.62, 2.25), "QN": (0.62, 6.5625), "YW": (0.62, 4.5), "YC": (0.62, 3.75), "YK": (0.62, 4.5),
 }
 #: Fragments and whole words of parameter names.
 SCALE_FREE = ("pct", "percent", "bar", "len", "period", "lookback", "atr", "mult", "ratio", "factor", "day", "hold", "rsi", "ema", "sma", "adx", "time", "thresh")

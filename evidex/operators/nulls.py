@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.semantics import p_from_counts, uniform
 from evidex.operators.trades import lift, pct_return
+from evidex.session import cut
 
 
 def random_entry_draws(based: DataFrame, bars: DataFrame, n_perm: int, seed: int = 0, draw=uniform) -> DataFrame:
@@ -29,6 +30,8 @@ def random_entry_draws(based: DataFrame, bars: DataFrame, n_perm: int, seed: int
 
 def random_entry_test(based: DataFrame, bars: DataFrame, n_perm: int = 1000, seed: int = 0, draw=uniform) -> DataFrame:
     """A row a strategy: observed and baseline figures, the null's mean, deviation and z, k_ge and p = (k + 1) / (n + 1)."""
+    based = cut(based)
+    bars = cut(bars.select("symbol", "bar_idx", "open"))
     bad = based.join(bars.groupBy("symbol").agg(F.count("*").alias("n_bars")), "symbol").where("hold < 1 or hold >= n_bars")
     if not bad.isEmpty():
         raise ValueError("every hold must be >= 1 bar and shorter than the bar series")

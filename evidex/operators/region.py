@@ -62,19 +62,26 @@ def centred(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("dev", F.col("dev") - F.try_divide(F.sum("dev").over(w), F.sum("days").over(w)) * F.col("days"))
 
 
+def named() -> list[Column]:
+    """What names a window's draws: projects draw apart."""
+    return [F.col("project"), F.col("window")]
+
+
 def signs(windows: DataFrame, n_blocks: DataFrame, n_null: int, seed: int = 0, draw=uniform) -> DataFrame:
     """(project, window, draw, block, weight): a sign for each block of each draw."""
     d = n_blocks.select(*WINDOW, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(n_null - 1))).alias("draw"))
     d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return d.select(*WINDOW, "draw", "block", F.when(draw(seed, "flip", F.col("window"), F.col("draw"), F.col("block")) < 0.5, -1.0).otherwise(1.0).alias("weight"))
+    return d.select(*WINDOW, "draw", "block", F.when(draw(seed, "flip", *named(), F.col("draw"), F.col("block")) < 0.5, -1.0).otherwise(1.0).alias("weight"))
 
 
 def picks(n_blocks: DataFrame, n_null: int, seed: int = 0, draw=uniform) -> DataFrame:
     """(project, window, draw, block, weight): how often a draw with replacement picks each block."""
     d = n_blocks.select(*WINDOW, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(n_null - 1))).alias("draw"))
-    d = d.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    u = draw(seed, "boot", F.col("window"), F.col("draw"), F.col("at"))
-    return d.withColumn("block", F.least(F.floor(u * F.col("n_blocks")).cast("int"), F.col("n_blocks") - 1)).groupBy(*WINDOW, "draw", "block").agg(F.count("*").cast("double").alias("weight"))
+    u = lambda at: draw(seed, "boot", *named(), F.col("draw"), at)
+    picked = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda at: F.least(F.floor(u(at) * F.col("n_blocks")).cast("int"), F.col("n_blocks") - 1))
+    d = d.select(*WINDOW, "draw", "n_blocks", picked.alias("picked"))
+    d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return d.select(*WINDOW, "draw", "block", F.size(F.filter("picked", lambda x: x == F.col("block"))).cast("double").alias("weight"))
 
 
 def n_blocks(blocks: DataFrame) -> DataFrame:
@@ -91,10 +98,16 @@ def lift_draws(r: DataFrame, blocks: DataFrame, weights: DataFrame) -> DataFrame
 
 
 def surface_draws(blocks: DataFrame, weights: DataFrame) -> DataFrame:
-    """(project, window, draw, combo_id, y): whole out-of-sample net profit surfaces under a null."""
-    common = blocks.groupBy(*WINDOW, "combo_id").agg(F.sum("common").alias("c"))
-    s = blocks.join(weights, [*WINDOW, "block"]).groupBy(*WINDOW, "draw", "combo_id").agg(F.sum(F.col("weight") * F.col("dev")).alias("s"))
-    return s.join(common, [*WINDOW, "combo_id"]).select(*WINDOW, "draw", "combo_id", (F.col("c") + F.col("s")).alias("y"))
+    """(project, window, draw, combo_id, y): whole out-of-sample net profit surfaces under a null.
+
+    A draw's weights and a combination's deviations are arrays by block, so a value is one product of arrays."""
+    n = n_blocks(blocks)
+    dev = blocks.groupBy(*WINDOW, "combo_id").agg(F.sum("common").alias("c"), F.map_from_entries(F.collect_list(F.struct("block", "dev"))).alias("dev")).join(n, WINDOW)
+    dev = dev.select(*WINDOW, "combo_id", "c", F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.coalesce(F.try_element_at("dev", b), F.lit(0.0))).alias("dev"))
+    w = weights.groupBy(*WINDOW, "draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "weight"))), lambda x: x["weight"]).alias("w"))
+    w = w.repartition(max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *WINDOW, "draw")  # a project may have few windows
+    s = F.aggregate(F.zip_with("w", "dev", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return w.join(dev, WINDOW).select(*WINDOW, "draw", "combo_id", (F.col("c") + s).alias("y"))
 
 
 def precision_draws(r: DataFrame, draws: DataFrame, combos: DataFrame) -> DataFrame:

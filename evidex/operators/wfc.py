@@ -10,6 +10,8 @@ from evidex.operators.grid import WINDOW, neighbours
 
 NULLS = ("signflip", "torus")
 MIN_POINTS, MIN_POSITIVE = 8, 4
+#: Series that a task compares with all those of their key.
+CHUNK = 256
 
 
 def valid(pairs: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def torus_draws(pairs: DataFrame, combos: DataFrame, shape: DataFrame, n_max: in
     s = s.withColumn("cells", F.aggregate("sizes", F.lit(1).cast("bigint"), lambda a, x: a * x))
     n = F.when(F.col("is_full") & (F.col("cells") - 1 <= n_max), F.col("cells") - 1).otherwise(F.lit(n_max)).cast("int")
     d = s.withColumn("draw", F.explode(F.sequence(F.lit(1), n)))
-    code = F.when(F.col("cells") - 1 <= n_max, F.col("draw").cast("bigint")).otherwise(1 + F.floor(draw(seed, "torus", F.col("draw")) * (F.col("cells") - 1)))
+    code = F.when(F.col("cells") - 1 <= n_max, F.col("draw").cast("bigint")).otherwise(1 + F.floor(draw(seed, "torus", F.col("project"), F.col("draw")) * (F.col("cells") - 1)))
     before = lambda i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(1).cast("bigint"), lambda a, x: a * x)
     d = d.withColumn("code", code).withColumn("shift", F.transform("sizes", lambda x, i: (F.floor(F.col("code") / before(i)) % x).cast("int")))
     full = d.where("is_full").join(combos.select("project", "combo_id", "pos"), "project")
@@ -50,7 +52,7 @@ def torus_draws(pairs: DataFrame, combos: DataFrame, shape: DataFrame, n_max: in
     at = combos.select("project", F.col("combo_id").alias("from_id"), F.transform("pos", lambda p: p.cast("int")).alias("cell"))
     full = full.join(at, ["project", "cell"]).select("project", "draw", "combo_id", "from_id")
     part = d.where("not is_full").select("project", "draw").join(combos.select("project", "combo_id"), "project")
-    by = lambda tag: F.row_number().over(Window.partitionBy("project", "draw").orderBy(draw(seed, tag, F.col("draw"), F.col("combo_id"))))
+    by = lambda tag: F.row_number().over(Window.partitionBy("project", "draw").orderBy(draw(seed, tag, F.col("project"), F.col("draw"), F.col("combo_id"))))
     to = part.withColumn("place", by("permute"))
     src = part.withColumn("place", F.row_number().over(Window.partitionBy("project", "draw").orderBy("combo_id"))).select("project", "draw", "place", F.col("combo_id").alias("from_id"))
     moves = full.union(to.join(src, ["project", "draw", "place"]).select("project", "draw", "combo_id", "from_id"))
@@ -118,21 +120,29 @@ def effective_trials(daily: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
     """(keys, n_eff): how many independent variants a set of series is worth, m^2 / sum of squared correlations of its m varying series.
 
     This equals (sum of eigenvalues)^2 / (sum of their squares) of the correlation matrix, by its trace and its Frobenius
-    norm. daily: (keys, combo_id, day_idx, pnl). Each day's series meet in one row, so pairs are made within rows.
+    norm. daily: (keys, combo_id, day_idx, pnl), the same days for each combination of a key. A series is one array; the
+    correlations of a pair are squared and added where the pair is made, so nothing of the size of all pairs is kept or
+    shuffled, and a key's pairs are spread over chunks of CHUNK series.
     """
     w = Window.partitionBy(*keys, "combo_id")
-    z = daily.withColumns({"m_": F.avg("pnl").over(w), "s_": F.stddev_pop("pnl").over(w), "n_": F.count("*").over(w)}).where("s_ > 0")
-    z = z.select(*keys, "combo_id", "day_idx", ((F.col("pnl") - F.col("m_")) / F.col("s_")).alias("z"), "n_")
-    other = z.select(*keys, F.col("combo_id").alias("c2"), "day_idx", F.col("z").alias("z2"))
-    c = z.join(other, [*keys, "day_idx"]).groupBy(*keys, "combo_id", "c2").agg((F.sum(F.col("z") * F.col("z2")) / F.first("n_")).alias("c"))
-    return c.groupBy(*keys).agg((F.pow(F.count_distinct("combo_id").cast("double"), 2) / F.sum(F.col("c") * F.col("c"))).alias("n_eff"))
+    z = daily.withColumns({"m_": F.avg("pnl").over(w), "s_": F.stddev_pop("pnl").over(w)}).where("s_ > 0")
+    z = z.select(*keys, "combo_id", "day_idx", ((F.col("pnl") - F.col("m_")) / F.col("s_")).alias("z"))
+    z = z.groupBy(*keys, "combo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day_idx", "z"))), lambda x: x["z"]).alias("z"))
+    many = z.groupBy(*keys).agg(F.count("*").alias("m"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    z = z.join(many, keys)
+    one = z.withColumn("chunk", F.pmod(F.hash("combo_id"), "chunks"))
+    other = z.select(*keys, F.col("combo_id").alias("c2"), F.col("z").alias("z2"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    c = F.aggregate(F.zip_with("z", "z2", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.size("z")
+    pairs = one.join(other, [*keys, "chunk"]).where("combo_id < c2").groupBy(*keys).agg(F.sum(c * c).alias("squares"))
+    m = F.col("m").cast("double")
+    return many.join(pairs, keys, "left").select(*keys, (m * m / (m + 2 * F.coalesce("squares", F.lit(0.0)))).alias("n_eff"))
 
 
 def bootstrap_days(n_days: DataFrame, n_boot: int, mean_block: float = 20.0, seed: int = 0, draw=uniform) -> DataFrame:
     """(keys, draw, day, times): stationary bootstrap; blocks of geometric length that wrap around the end. n_days: (keys, n)."""
     keys = [c for c in n_days.columns if c != "n"]
     d = n_days.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    tag = [F.col(k) for k in keys if k == "window"]
+    tag = [F.col(k) for k in keys]  # projects and windows draw apart
     restart = (draw(seed, "restart", *tag, F.col("draw"), F.col("t")) < 1.0 / max(1.0, mean_block)) | (F.col("t") == 0)
     start = F.least(F.floor(draw(seed, "start", *tag, F.col("draw"), F.col("t")) * F.col("n")), F.col("n") - 1)
     d = d.withColumn("from", F.when(restart, F.struct("t", start.alias("s"))))

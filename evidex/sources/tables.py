@@ -23,9 +23,12 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("symbol", (F.row_number().over(Window.partitionBy("symbol").orderBy("hour")) - 1).cast("bigint").alias("bar_idx"), F.col("hour").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def trades(spark: SparkSession, sf: str, astray: bool = False) -> DataFrame:
-    """Round trips with times and fills; astray moves some entries off the bars' clock."""
-    b = bars(spark, sf)
+hourly_bars = bars
+
+
+def trades(spark: SparkSession, sf: str, astray: bool = False, bars: DataFrame | None = None) -> DataFrame:
+    """Round trips with times and fills; astray moves some entries off the bars' clock. bars: where they are built already."""
+    b = hourly_bars(spark, sf) if bars is None else bars
     e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").select("event_id", "user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
     t = e.join(b.select("symbol", F.col("bar_idx").alias("e_idx"), F.col("ts").alias("entry_time"), F.col("open").alias("entry_price")), F.col("hour") == F.col("entry_time"))
     t = t.withColumn("x_idx", F.col("e_idx") + 1 + F.col("event_id") % 24)
@@ -45,32 +48,35 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.lit("P1").alias("project"), F.round(F.col("l_discount") * 100).cast("int").alias("a"), F.round(F.col("l_tax") * 100).cast("int").alias("b"), F.col("l_shipdate").cast("date").alias("date"), (sign * F.col("l_extendedprice") * (1 - F.col("l_discount")) / 100).alias("pnl"))
 
 
-def combos(spark: SparkSession, sf: str) -> DataFrame:
+def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """(project, a, b, date, pnl, n): a row for each combination and day with trades; the one pass over lineitem."""
+    return _lines(spark, sf).groupBy("project", "a", "b", "date").agg(F.round(F.sum("pnl"), 6).alias("pnl"), F.count("*").alias("n"))
+
+
+def combos(cells: DataFrame) -> DataFrame:
     """(project, combo_id, params, pos): every parameter combination; the first parameter varies fastest."""
-    d = _lines(spark, sf).select("project", "a", "b").distinct()
+    d = cells.select("project", "a", "b").distinct()
     at = lambda *c: Window.partitionBy("project").orderBy(*c)
     pos = F.array((F.dense_rank().over(at("a")) - 1).cast("int"), (F.dense_rank().over(at("b")) - 1).cast("int"))
     return d.select("project", (F.row_number().over(at("b", "a")) - 1).cast("int").alias("combo_id"), F.array(F.col("a").cast("double"), F.col("b").cast("double")).alias("params"), pos.alias("pos"))
 
 
-def days(spark: SparkSession, sf: str) -> DataFrame:
+def days(cells: DataFrame) -> DataFrame:
     """(project, day_idx, date)."""
-    d = _lines(spark, sf).select("project", "date").distinct()
+    d = cells.select("project", "date").distinct()
     return d.select("project", (F.row_number().over(Window.partitionBy("project").orderBy("date")) - 1).cast("int").alias("day_idx"), "date")
 
 
-def _ids(spark: SparkSession, sf: str) -> DataFrame:
-    return combos(spark, sf).select("project", "combo_id", F.col("params")[0].cast("int").alias("a"), F.col("params")[1].cast("int").alias("b"))
+def _ids(combos: DataFrame) -> DataFrame:
+    return combos.select("project", "combo_id", F.col("params")[0].cast("int").alias("a"), F.col("params")[1].cast("int").alias("b"))
 
 
-def grid_daily(spark: SparkSession, sf: str) -> DataFrame:
+def grid_daily(cells: DataFrame, combos: DataFrame, days: DataFrame) -> DataFrame:
     """(project, combo_id, day_idx, date, pnl), a row for every combination and day."""
-    ids = _ids(spark, sf)
-    some = _lines(spark, sf).groupBy("project", "a", "b", "date").agg(F.round(F.sum("pnl"), 6).alias("pnl")).join(ids, ["project", "a", "b"]).select("project", "combo_id", "date", "pnl")
-    every = ids.select("project", "combo_id").join(days(spark, sf), "project")
-    return every.join(some, ["project", "combo_id", "date"], "left").select("project", "combo_id", "day_idx", "date", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
+    every = _ids(combos).join(days, "project")
+    return every.join(cells.drop("n"), ["project", "a", "b", "date"], "left").select("project", "combo_id", "day_idx", "date", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
 
 
-def grid_exits(spark: SparkSession, sf: str) -> DataFrame:
+def grid_exits(cells: DataFrame, combos: DataFrame) -> DataFrame:
     """(project, combo_id, date, n): closed trades."""
-    return _lines(spark, sf).groupBy("project", "a", "b", "date").agg(F.count("*").alias("n")).join(_ids(spark, sf), ["project", "a", "b"]).select("project", "combo_id", "date", "n")
+    return cells.join(_ids(combos), ["project", "a", "b"]).select("project", "combo_id", "date", "n")

@@ -167,3 +167,10 @@ def test_average_ranks_and_correlation(spark):
     assert [r[0] for r in d.orderBy("y").select(M.avg_rank(F.col("x"), ["g"])).collect()].count(2.5) == 2
     r = d.groupBy("g").agg(M.corr0("x", "y").alias("r"), M.corr0(F.lit(1.0), F.col("y")).alias("z")).first()
     assert r.r == pytest.approx(-0.8660254) and r.z == 0.0
+
+
+def test_cost_table(spark):
+    rows = [("@MNQ", 5.74), ("MNQZ26", 5.74), ("mesz26", 4.99), ("@M2K", 7.24), ("ES", 30.0), ("NQ", 35.0), ("@QN", 14.365), ("XYZ", None)]
+    got = S.with_round_trip(spark.createDataFrame(rows, "symbol string, want double"))
+    assert got.count() == len(rows) and got.where("not reference_cost <=> want").collect() == []
+    assert len(S.COSTS) == 79
