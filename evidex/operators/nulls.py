@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.semantics import p_from_counts, uniform
 from evidex.operators.trades import lift, pct_return
-from evidex.session import cut
+from evidex.session import cut, spread
 
 
 def random_entry_draws(based: DataFrame, bars: DataFrame, n_perm: int, seed: int = 0, draw=uniform) -> DataFrame:
@@ -18,7 +18,7 @@ def random_entry_draws(based: DataFrame, bars: DataFrame, n_perm: int, seed: int
     """
     n = bars.groupBy("symbol").agg(F.count("*").alias("n_bars"))
     t = based.select("strategy_id", "symbol", "trade_id", "direction", "hold").join(n, "symbol")
-    d = t.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    d = spread(t, "strategy_id", "trade_id").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     u = draw(seed, F.col("strategy_id"), F.col("draw"), F.col("trade_id"))
     span = F.col("n_bars") - F.col("hold")
     d = d.withColumn("j", F.least(F.floor(u * span), span - 1))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.semantics import p_from_counts, uniform
 from evidex.operators.grid import WINDOW, neighbours, pool, sides, top_k
+from evidex.session import spread
 
 BLOCK = 21
 
@@ -69,14 +70,14 @@ def named() -> list[Column]:
 
 def signs(windows: DataFrame, n_blocks: DataFrame, n_null: int, seed: int = 0, draw=uniform) -> DataFrame:
     """(project, window, draw, block, weight): a sign for each block of each draw."""
-    d = n_blocks.select(*WINDOW, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(n_null - 1))).alias("draw"))
+    d = spread(n_blocks.select(*WINDOW, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(n_null - 1))).alias("draw")), *WINDOW, "draw")
     d = d.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     return d.select(*WINDOW, "draw", "block", F.when(draw(seed, "flip", *named(), F.col("draw"), F.col("block")) < 0.5, -1.0).otherwise(1.0).alias("weight"))
 
 
 def picks(n_blocks: DataFrame, n_null: int, seed: int = 0, draw=uniform) -> DataFrame:
     """(project, window, draw, block, weight): how often a draw with replacement picks each block."""
-    d = n_blocks.select(*WINDOW, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(n_null - 1))).alias("draw"))
+    d = spread(n_blocks.select(*WINDOW, "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(n_null - 1))).alias("draw")), *WINDOW, "draw")
     u = lambda at: draw(seed, "boot", *named(), F.col("draw"), at)
     picked = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda at: F.least(F.floor(u(at) * F.col("n_blocks")).cast("int"), F.col("n_blocks") - 1))
     d = d.select(*WINDOW, "draw", "n_blocks", picked.alias("picked"))
@@ -105,7 +106,7 @@ def surface_draws(blocks: DataFrame, weights: DataFrame) -> DataFrame:
     dev = blocks.groupBy(*WINDOW, "combo_id").agg(F.sum("common").alias("c"), F.map_from_entries(F.collect_list(F.struct("block", "dev"))).alias("dev")).join(n, WINDOW)
     dev = dev.select(*WINDOW, "combo_id", "c", F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.coalesce(F.try_element_at("dev", b), F.lit(0.0))).alias("dev"))
     w = weights.groupBy(*WINDOW, "draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "weight"))), lambda x: x["weight"]).alias("w"))
-    w = w.repartition(max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *WINDOW, "draw")  # a project may have few windows
+    w = spread(w, *WINDOW, "draw")
     s = F.aggregate(F.zip_with("w", "dev", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return w.join(dev, WINDOW).select(*WINDOW, "draw", "combo_id", (F.col("c") + s).alias("y"))
 

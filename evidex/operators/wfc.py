@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.semantics import avg_rank, corr0, p_from_counts, uniform
 from evidex.operators.grid import WINDOW, neighbours
+from evidex.session import spread
 
 NULLS = ("signflip", "torus")
 MIN_POINTS, MIN_POSITIVE = 8, 4
@@ -42,7 +43,7 @@ def torus_draws(pairs: DataFrame, combos: DataFrame, shape: DataFrame, n_max: in
     s = shape.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "size"))), lambda x: x["size"]).alias("sizes"), F.first("is_full").alias("is_full"))
     s = s.withColumn("cells", F.aggregate("sizes", F.lit(1).cast("bigint"), lambda a, x: a * x))
     n = F.when(F.col("is_full") & (F.col("cells") - 1 <= n_max), F.col("cells") - 1).otherwise(F.lit(n_max)).cast("int")
-    d = s.withColumn("draw", F.explode(F.sequence(F.lit(1), n)))
+    d = spread(s.withColumn("draw", F.explode(F.sequence(F.lit(1), n))), "project", "draw")
     code = F.when(F.col("cells") - 1 <= n_max, F.col("draw").cast("bigint")).otherwise(1 + F.floor(draw(seed, "torus", F.col("project"), F.col("draw")) * (F.col("cells") - 1)))
     before = lambda i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(1).cast("bigint"), lambda a, x: a * x)
     d = d.withColumn("code", code).withColumn("shift", F.transform("sizes", lambda x, i: (F.floor(F.col("code") / before(i)) % x).cast("int")))
@@ -138,30 +139,41 @@ def effective_trials(daily: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
     return many.join(pairs, keys, "left").select(*keys, (m * m / (m + 2 * F.coalesce("squares", F.lit(0.0)))).alias("n_eff"))
 
 
+def bootstrap_blocks(n_days: DataFrame, n_boot: int, mean_block: float = 20.0, seed: int = 0, draw=uniform) -> DataFrame:
+    """(keys, n, draw, start, days): the runs of days of a stationary bootstrap; runs of geometric length that wrap around the end. n_days: (keys, n)."""
+    keys = [c for c in n_days.columns if c != "n"]
+    d = spread(n_days.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))), *keys, "draw").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    named = [*(F.col(k) for k in keys), F.col("draw"), F.col("t")]  # projects and windows draw apart
+    d = d.where((F.col("t") == 0) | (draw(seed, "restart", *named) < 1.0 / max(1.0, mean_block)))
+    start = F.least(F.floor(draw(seed, "start", *named) * F.col("n")), F.col("n") - 1).cast("int")
+    until = F.coalesce(F.lead("t").over(Window.partitionBy(*keys, "draw").orderBy("t")), F.col("n"))
+    return d.select(*keys, "n", "draw", start.alias("start"), (until - F.col("t")).alias("days"))
+
+
 def bootstrap_days(n_days: DataFrame, n_boot: int, mean_block: float = 20.0, seed: int = 0, draw=uniform) -> DataFrame:
-    """(keys, draw, day, times): stationary bootstrap; blocks of geometric length that wrap around the end. n_days: (keys, n)."""
+    """(keys, draw, day, times): how often each draw of a stationary bootstrap takes each day. n_days: (keys, n)."""
     keys = [c for c in n_days.columns if c != "n"]
-    d = n_days.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    tag = [F.col(k) for k in keys]  # projects and windows draw apart
-    restart = (draw(seed, "restart", *tag, F.col("draw"), F.col("t")) < 1.0 / max(1.0, mean_block)) | (F.col("t") == 0)
-    start = F.least(F.floor(draw(seed, "start", *tag, F.col("draw"), F.col("t")) * F.col("n")), F.col("n") - 1)
-    d = d.withColumn("from", F.when(restart, F.struct("t", start.alias("s"))))
-    d = d.withColumn("from", F.last("from", ignorenulls=True).over(Window.partitionBy(*keys, "draw").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    return d.select(*keys, "draw", ((F.col("from.s") + F.col("t") - F.col("from.t")) % F.col("n")).cast("int").alias("day")).groupBy(*keys, "draw", "day").agg(F.count("*").alias("times"))
+    d = bootstrap_blocks(n_days, n_boot, mean_block, seed, draw).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("days") - 1)))
+    return d.groupBy(*keys, "draw", ((F.col("start") + F.col("i")) % F.col("n")).alias("day")).agg(F.count("*").alias("times"))
 
 
 def reality_check(daily: DataFrame, picks: DataFrame, n_boot: int = 500, mean_block: float = 20.0, seed: int = 0, draw=uniform, min_days: int = 60) -> DataFrame:
     """(project, window, n_days, best_index, best_mean, pick_mean, p_best, p_pick): the best mean against the best that luck gives.
 
-    daily: (project, window, combo_id, day, pnl), day from 0 in each window. A draw is how often it takes each day, so the
-    bootstrap means are one join on the day and a sum. Windows with fewer than min_days days have no row.
+    daily: (project, window, combo_id, day, pnl), every day from 0 on in each window. A draw is a few runs of days, and a
+    series is an array of running sums, so a bootstrap mean takes two look-ups a run. Windows with fewer than min_days days
+    have no row.
     """
     n = daily.groupBy(*WINDOW).agg(F.count_distinct("day").cast("int").alias("n")).where(F.col("n") >= min_days)
     d = daily.join(n, WINDOW)
+    of = Window.partitionBy(*WINDOW, "combo_id")
+    c = d.withColumn("c", F.col("pnl") - F.avg("pnl").over(of)).withColumn("run", F.sum("c").over(of.orderBy("day")))
+    series = c.groupBy(*WINDOW, "combo_id", "n").agg(F.concat(F.array(F.lit(0.0)), F.transform(F.array_sort(F.collect_list(F.struct("day", "run"))), lambda x: x["run"])).alias("run"))
     means = d.groupBy(*WINDOW, "combo_id").agg(F.avg("pnl").alias("f"))
-    centred = d.join(means, [*WINDOW, "combo_id"]).select(*WINDOW, "combo_id", "day", "n", (F.col("pnl") - F.col("f")).alias("c"))
-    times = bootstrap_days(n, n_boot, mean_block, seed, draw)
-    top = centred.join(times, [*WINDOW, "day"]).groupBy(*WINDOW, "draw", "combo_id").agg((F.sum(F.col("c") * F.col("times")) / F.first("n")).alias("m")).groupBy(*WINDOW, "draw").agg(F.max("m").alias("null_max"))
+    blocks = bootstrap_blocks(n, n_boot, mean_block, seed, draw).groupBy(*WINDOW, "draw").agg(F.collect_list(F.struct("start", "days")).alias("blocks"))
+    until = lambda at: F.when(at <= F.col("n"), F.get("run", at)).otherwise(F.get("run", F.col("n")) + F.get("run", at - F.col("n")))
+    m = F.aggregate("blocks", F.lit(0.0), lambda a, x: a + until(x["start"] + x["days"]) - F.get("run", x["start"])) / F.col("n")
+    top = spread(blocks, *WINDOW, "draw").join(series, WINDOW).groupBy(*WINDOW, "draw").agg(F.max(m).alias("null_max"))
     best = means.groupBy(*WINDOW).agg(F.max("f").alias("best_mean"), F.max_by("combo_id", F.struct("f", -F.col("combo_id"))).alias("best_index"))
     own = picks.select(*WINDOW, F.col("pick").alias("combo_id")).join(means, [*WINDOW, "combo_id"]).select(*WINDOW, F.col("f").alias("pick_mean"))
     a = top.join(best, WINDOW).join(own, WINDOW, "left").join(n, WINDOW)

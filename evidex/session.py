@@ -29,10 +29,13 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8, **c
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary folder on a
+    local session; on a cluster, whose machines don't share one, an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="evidex-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -45,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over all of the session's shuffle partitions, where few rows are about to become many."""
+    return df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
