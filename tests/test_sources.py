@@ -66,16 +66,16 @@ def changed(**by):
 @pytest.mark.parametrize(
     ("text", "says"),
     [
-        ("nothing", "no Trades List header"),
-        (HEAD + "\n\nother", "no trade rows"),
-        (changed(r0=None), "exit row without an entry"),
-        (changed(r1=None), "no exit row but later trades"),
-        (changed(r2=ROWS[FIRST + 1]), "exit rows"),
-        (changed(r1=ROWS[FIRST + 1].replace("Buy to Cover", "Sell")), "does not close"),
-        (changed(r0=ROWS[FIRST].replace(",2,$34", ",x,$34")), "is not a number"),
-        (changed(r0=ROWS[FIRST].replace("$1500.00", "none")), "unparseable Price"),
-        (changed(r0=ROWS[FIRST].replace("3/4/2024 09:00", "soon")), "unrecognised Date/Time"),
-        (changed(r1=None, r2=None, r3=None), "still open"),
+        ("nothing", "trades_header"),
+        (HEAD + "\n\nother", "trade_rows"),
+        (changed(r0=None), "orphan_exit line="),
+        (changed(r1=None), "unclosed trade=7 later=1"),
+        (changed(r2=ROWS[FIRST + 1]), "exit_count trade=7 exits=3"),
+        (changed(r1=ROWS[FIRST + 1].replace("Buy to Cover", "Sell")), "exit_type trade=7 entry=Sell Short exit=Sell"),
+        (changed(r0=ROWS[FIRST].replace(",2,$34", ",x,$34")), "contracts trade=7 cell=x"),
+        (changed(r0=ROWS[FIRST].replace("$1500.00", "none")), "price trade=7 entry=none"),
+        (changed(r0=ROWS[FIRST].replace("3/4/2024 09:00", "soon")), "time trade=7 entry=soon"),
+        (changed(r1=None, r2=None, r3=None), "none_closed trade=7"),
     ],
 )
 def test_report_refusals(spark, text, says):
@@ -86,9 +86,9 @@ def test_report_refusals(spark, text, says):
 
 def test_open_and_date_only_trades(spark):
     t, w, v = report.parse_trades(texts(spark, changed(r3=None)))
-    assert v.count() == 0 and t.count() == 1 and "1 of 2 trades used" in w.first().text
+    assert v.count() == 0 and t.count() == 1 and "kept=1 of=2" in w.first().text
     t, w, v = report.parse_trades(texts(spark, REPORT.replace(" 09:00", "").replace(" 11:30", "")))
-    assert v.count() == 0 and t.count() == 2 and "date-only" in w.first().text
+    assert v.count() == 0 and t.count() == 2 and "times_are_dates" in w.first().text
 
 
 BARS = '"Date","Time","Open","High","Low","Close","Up","Down","PLOT1"\n01/08/2024,09:00,10.5,11,10,10.75,5,6,0\n01/08/2024,08:30,10,11,9.5,10.5,3,4,0\n'
@@ -105,7 +105,7 @@ def test_bars(spark):
 
 @pytest.mark.parametrize(
     ("old", "new", "says"),
-    [('"Close"', '"Last"', "missing columns Close"), ("01/08/2024,09:00", "2024-01-08,09:00", "row 2"), ("10.5,11,10", "ten,11,10", "first bad value ten in row 2"), ("08:30", "09:00", "duplicate"), ("10.5,11,10", "0,11,10", "non-positive"), ("01/08/2024,08:30,10,11,9.5,10.5,3,4,0\n", "", "fewer than 2")],
+    [('"Close"', '"Last"', "columns missing=Close"), ("01/08/2024,09:00", "2024-01-08,09:00", "bar_time row=2 cell=2024-01-08 09:00"), ("10.5,11,10", "ten,11,10", "bar_price row=2 column=Open cell=ten"), ("08:30", "09:00", "bar_time_again"), ("10.5,11,10", "0,11,10", "bar_price_sign"), ("01/08/2024,08:30,10,11,9.5,10.5,3,4,0\n", "", "bar_count bars=1")],
 )
 def test_bar_refusals(spark, old, new, says):
     _, v = report.parse_bars(texts(spark, BARS.replace(old, new)))
@@ -131,7 +131,7 @@ def test_optimisation_text(spark):
 
 @pytest.mark.parametrize(
     ("old", "new", "says"),
-    [("A,B\n", "", "no header"), ("2,10~", "x,10~", "iteration 2: parameter values are not"), ("2,10~", "2~", "differ in number"), ("2,10~v1", "2,10~w1", "'v1'"), ("~v2", "~z2", "'v2'"), (",300,0.00", "", "fewer than 9"), ("|20240102,-5", "|20240101,-5", "differ from iteration 1"), ("7.00", "seven", "numeric field")],
+    [("A,B\n", "", "parameter_names"), ("2,10~", "x,10~", "parameter cells=x,10 iteration=2"), ("2,10~", "2~", "parameter_count values=1 names=2"), ("2,10~v1", "2,10~w1", "daily_version cell=w1"), ("~v2", "~z2", "trade_version cell=z2"), (",300,0.00", "", "daily_fields least="), ("|20240102,-5", "|20240101,-5", "calendar days=2 first=2 iteration=2"), ("7.00", "seven", "field iteration=2")],
 )
 def test_optimisation_refusals(spark, old, new, says):
     _, v = grid_text.parse_grid(texts(spark, GRID.replace(old, new)))
@@ -161,7 +161,7 @@ def test_schedule_database(spark, tmp_path):
     assert len(r) == 1 and (r[0].fitness_abbr, r[0].in_type, r[0].param_names, r[0].strategy) == ("NPAvgDD", "Month", ["A", "B"], "Demo") and r[0].label.startswith("group 2: @ES 30 min., 3 Month in")
     w = windows.orderBy("window").collect()
     assert [(x.window, x.oos_start, x.params, x.grid_row, x.label) for x in w] == [(1, dt.date(2024, 1, 3), [1.0, 10.0], 1, "first"), (2, dt.date(2024, 1, 6), [2.0, 10.0], 2, "second")]
-    assert sorted(x.message for x in v.collect()) == ["group 3: unsupported period type ids 1/8", "not an SQLite file"]
+    assert sorted(x.message for x in v.collect()) == ["database", "period group=3 in=1 out=8"]
 
 
 def test_report_round_trip(spark):
