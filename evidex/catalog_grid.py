@@ -202,6 +202,11 @@ def queries() -> dict:
         "wfc_bands": lambda i: rounded(W.bands(i.pairs), 9),
         "top_n_follow": lambda i: rounded(W.top_n(i.pairs)),
         "plateau_score": lambda i: rounded(W.plateau(i.pairs, i.picks, i.combos)),
+        "pooled_plateau": lambda i: rounded(W.pooled_plateau(W.plateau(i.pairs, i.picks, i.combos), i.windows)),
+        "plateau_bars_view": lambda i: rounded(views.plateau_bars(i.pairs, i.picks, i.combos), 3),
+        "slice_view": lambda i: views.slice_through(i.combos, i.combos.select("project", F.lit(7).alias("combo_id")).distinct()),
+        "trade_medians": lambda i: G.trade_medians(G.exit_counts(i.exits, i.combos, i.windows)),
+        "run_facts": lambda i: grid_battery.run_facts(i.combos, i.days, i.windows).withColumn("shape", F.concat_ws("x", "shape")),
         "effective_trials": lambda i: rounded(W.effective_trials(i.in_sample.withColumnRenamed("day", "day_idx"))),
         "stationary_bootstrap": lambda i: W.bootstrap_days(i.in_sample.groupBy("project", "window").agg(F.count_distinct("day").cast("int").alias("n")), N_BOOT),
         "reality_check": lambda i: rounded(W.reality_check(cut(i.in_sample), i.picks, N_BOOT)),
@@ -300,12 +305,14 @@ PLAT = ", ".join(
 DAYS = f""", bs AS (SELECT "window", n, draw, t, {_u.format("'0|restart|P1|' || \"window\" || '|' || draw || '|' || t")} AS u1, {_u.format("'0|start|P1|' || \"window\" || '|' || draw || '|' || t")} AS u2 FROM (SELECT "window", hi - lo + 1 AS n FROM sd WHERE side = 'is') CROSS JOIN (SELECT unnest(range(0, {{n}})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, n)) AS t)),
 bl AS (SELECT *, max(CASE WHEN u1 < 0.05 OR t = 0 THEN t END) OVER (PARTITION BY "window", draw ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0 FROM bs),
 bt AS (SELECT a."window", a.draw, CAST((least(CAST(floor(s.u2 * s.n) AS BIGINT), s.n - 1) + a.t - a.t0) % a.n AS INTEGER) AS day, a.n::INTEGER AS n FROM bl a JOIN bs s ON s."window" = a."window" AND s.draw = a.draw AND s.t = a.t0)"""
-COMP = (
-    REGION
-    + """, ed AS (SELECT "window", quantile_cont(x_pooled, 0.8) AS e FROM rg GROUP BY 1), tp AS (SELECT rg."window", rg.combo_id, x_pooled, pa, pb FROM rg JOIN ed ON ed."window" = rg."window" JOIN cb ON cb.combo_id = rg.combo_id WHERE x_pooled >= e),
-rc(w, a, z) AS (SELECT "window", combo_id, combo_id FROM tp UNION SELECT rc.w, rc.a, n.combo_id FROM rc JOIN tp m ON m."window" = rc.w AND m.combo_id = rc.z JOIN tp n ON n."window" = rc.w AND abs(n.pa - m.pa) <= 1 AND abs(n.pb - m.pb) <= 1),
-lb AS (SELECT w, a, min(z) AS root FROM rc GROUP BY 1, 2), sz AS (SELECT w, root, count(*) AS n, row_number() OVER (PARTITION BY w ORDER BY count(*) DESC, root) AS r FROM lb GROUP BY 1, 2), rdg AS (SELECT lb.w AS "window", lb.a AS combo_id FROM lb JOIN sz ON sz.w = lb.w AND sz.root = lb.root AND r = 1)"""
-)
+def _ridge(value: str, k: str = "") -> str:
+    """The largest connected area of a surface's top fifth, as table rdg + k."""
+    return f""", ed{k} AS (SELECT "window", quantile_cont({value}, 0.8) AS e FROM rg GROUP BY 1), tp{k} AS (SELECT rg."window", rg.combo_id, x_pooled, pa, pb FROM rg JOIN ed{k} ed ON ed."window" = rg."window" JOIN cb ON cb.combo_id = rg.combo_id WHERE {value} >= e),
+rc{k}(w, a, z) AS (SELECT "window", combo_id, combo_id FROM tp{k} UNION SELECT rc.w, rc.a, n.combo_id FROM rc{k} rc JOIN tp{k} m ON m."window" = rc.w AND m.combo_id = rc.z JOIN tp{k} n ON n."window" = rc.w AND abs(n.pa - m.pa) <= 1 AND abs(n.pb - m.pb) <= 1),
+lb{k} AS (SELECT w, a, min(z) AS root FROM rc{k} GROUP BY 1, 2), sz{k} AS (SELECT w, root, count(*) AS n, row_number() OVER (PARTITION BY w ORDER BY count(*) DESC, root) AS r FROM lb{k} GROUP BY 1, 2), rdg{k} AS (SELECT lb.w AS "window", lb.a AS combo_id FROM lb{k} lb JOIN sz{k} sz ON sz.w = lb.w AND sz.root = lb.root AND r = 1)"""
+
+
+COMP = REGION + _ridge("x_pooled")
 
 
 def _r(*cols: str, digits: int = 6) -> str:
@@ -363,6 +370,16 @@ SELECT 'P1' AS project, "window", count(*) AS n, min(nv) AS n_valid, round(quant
         "plateau_score": f"""WITH {PAIRS}{NEAR}{PICK}, nn AS (SELECT pk."window", pick, near, x, y FROM pk JOIN nb ON nb.combo_id = pick JOIN pr ON pr."window" = pk."window" AND pr.combo_id = near),
 s AS (SELECT "window", sum((near <> pick)::INT)::BIGINT AS n_neighbours, {PLAT}, CASE WHEN avg(y) > 0 THEN greatest(0, 1 - least(1, stddev_pop(y) / (abs(avg(y)) + 1e-9))) ELSE 0 END AS flat, avg(CASE WHEN near <> pick THEN (y > 0)::INT END) AS share FROM nn GROUP BY 1)
 SELECT 'P1' AS project, "window", n_neighbours, {_r("s_x AS score_is", "s_y AS score_oos", "flat AS flat_oos", "share AS positive_share_oos")} FROM s""",
+        "pooled_plateau": f"""WITH {PAIRS}{NEAR}{PICK}, nn AS (SELECT pk."window", pick, near, x, y FROM pk JOIN nb ON nb.combo_id = pick JOIN pr ON pr."window" = pk."window" AND pr.combo_id = near), s AS (SELECT "window", {PLAT} FROM nn GROUP BY 1)
+SELECT 'P1' AS project, round(avg(s_y), 6) AS pooled_score, count(*) AS n_complete FROM s""",
+        "plateau_bars_view": f"""WITH {PAIRS}{NEAR}{PICK} SELECT 'P1' AS project, pk."window", row_number() OVER (PARTITION BY pk."window" ORDER BY (near = pick)::INT DESC, y DESC NULLS LAST, near)::INTEGER AS place, near AS combo_id, near = pick AS is_pick, round(y, 3) AS y FROM pk JOIN nb ON nb.combo_id = pick JOIN pr ON pr."window" = pk."window" AND pr.combo_id = near""",
+        "slice_view": f"WITH {CELLS} SELECT 'P1' AS project, combo_id, CASE WHEN w THEN pb ELSE pa END AS row, CASE WHEN w THEN pa ELSE pb END AS col FROM cb CROSS JOIN (SELECT count(DISTINCT pa) >= count(DISTINCT pb) AS w FROM cb)",
+        "trade_medians": f"""WITH {HOLES}, e AS (SELECT "window", combo_id, min(n) AS least, max(CASE WHEN side = 'is' THEN n END) AS a, max(CASE WHEN side = 'oos' THEN n END) AS b FROM nx GROUP BY 1, 2)
+SELECT 'P1' AS project, "window", sum((least < 10)::INT)::BIGINT AS n_dropped, CAST(floor(quantile_cont(a, 0.5)) AS BIGINT) AS is_trades_median, CAST(floor(quantile_cont(b, 0.5)) AS BIGINT) AS oos_trades_median FROM e GROUP BY 2""",
+        "run_facts": f"""WITH {CELLS} SELECT 'P1' AS project, (SELECT count(DISTINCT a) || 'x' || count(DISTINCT b) FROM cb) AS shape, (SELECT count(*) FROM cb) AS n_iter, (SELECT count(*) FROM dy) AS n_days, (SELECT min(date) FROM dy) AS dates_start, (SELECT max(date) FROM dy) AS dates_end, 2::BIGINT AS n_windows, 2::BIGINT AS n_complete, (SELECT greatest(1, CAST(round_even(count(*) * 0.2, 0) AS INTEGER)) FROM cb) AS region_k""",
+        "ridge_overlap": f"""WITH RECURSIVE {COMP}{_ridge("y_pooled", "2")}, j AS (SELECT coalesce(a."window", b."window") AS "window", sum((a.combo_id IS NOT NULL AND b.combo_id IS NOT NULL)::INT)::DOUBLE / count(*) AS jaccard FROM rdg a FULL JOIN rdg2 b ON a."window" = b."window" AND a.combo_id = b.combo_id GROUP BY 1),
+c1 AS (SELECT "window", avg(pa) AS ma, avg(pb) AS mb FROM rdg JOIN cb USING (combo_id) GROUP BY 1), c2 AS (SELECT "window", avg(pa) AS ma, avg(pb) AS mb FROM rdg2 JOIN cb USING (combo_id) GROUP BY 1)
+SELECT 'P1' AS project, j."window", round(jaccard, 6) AS jaccard, round(sqrt(pow(c1.ma - c2.ma, 2) + pow(c1.mb - c2.mb, 2)), 6) AS shift FROM j LEFT JOIN c1 ON c1."window" = j."window" LEFT JOIN c2 ON c2."window" = j."window" """,
         "effective_trials": f"""WITH {TWO}, z AS (SELECT "window", combo_id, day_idx, (pnl - avg(pnl) OVER w) / nullif(stddev_pop(pnl) OVER w, 0) AS z, count(*) OVER w AS n FROM ds WHERE side = 'is' WINDOW w AS (PARTITION BY "window", combo_id)), c AS (SELECT a."window", a.combo_id, sum(a.z * b.z) / min(a.n) AS c FROM z a JOIN z b ON b."window" = a."window" AND b.day_idx = a.day_idx WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a."window", a.combo_id, b.combo_id)
 SELECT 'P1' AS project, "window", round(pow(count(DISTINCT combo_id), 2) / sum(c * c), 6) AS n_eff FROM c GROUP BY 2""",
         "stationary_bootstrap": f"WITH {TWO}{DAYS.format(n=N_BOOT)} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, day, count(*) AS times FROM bt GROUP BY 2, 3, 4",

@@ -109,6 +109,14 @@ def exit_counts(exits: DataFrame, combos: DataFrame, windows: DataFrame) -> Data
     return every.join(n, ["project", "window", "side", "combo_id"], "left").select("project", "window", "side", "combo_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_trades"))
 
 
+def trade_medians(counts: DataFrame, min_trades: int = 10) -> DataFrame:
+    """(project, window, n_dropped, is_trades_median, oos_trades_median): combinations with fewer than min_trades trades on a side,
+    and the sides' median trades over combinations, rounded down. counts: as exit_counts gives them."""
+    each = counts.groupBy(*WINDOW, "combo_id").agg(F.min("n_trades").alias("least"), *(F.max(F.when(F.col("side") == s, F.col("n_trades"))).alias(s) for s in ("is", "oos")))
+    median = lambda s: F.floor(F.percentile(s, 0.5)).alias(f"{s}_trades_median")
+    return each.groupBy(*WINDOW).agg(F.count_if(F.col("least") < min_trades).alias("n_dropped"), median("is"), median("oos"))
+
+
 def metric_pairs(metrics: DataFrame, metric: str = "NP", counts: DataFrame | None = None, min_trades: int = 10) -> DataFrame:
     """(project, window, combo_id, x, y): in- and out-of-sample metric; NULL where a side has fewer than min_trades trades."""
     if metric not in METRICS:

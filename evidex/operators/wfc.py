@@ -117,6 +117,12 @@ def plateau(pairs: DataFrame, picks: DataFrame, combos: DataFrame) -> DataFrame:
     return d.groupBy(*WINDOW).agg(F.count_if(other).alias("n_neighbours"), score("x")[0].alias("score_is"), oos[0].alias("score_oos"), oos[1].alias("flat_oos"), oos[2].alias("positive_share_oos"))
 
 
+def pooled_plateau(scores: DataFrame, windows: DataFrame) -> DataFrame:
+    """(project, pooled_score, n_complete): the mean out-of-sample score over complete windows; NULL where none has a score. scores: as plateau gives them."""
+    s = windows.where("complete").select(*WINDOW).join(scores.select(*WINDOW, "score_oos"), WINDOW, "left")
+    return s.groupBy("project").agg(F.avg("score_oos").alias("pooled_score"), F.count("*").alias("n_complete"))
+
+
 def effective_trials(daily: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
     """(keys, n_eff): how many independent variants a set of series is worth, m^2 / sum of squared correlations of its m varying series.
 

@@ -39,10 +39,12 @@ class GridBattery:
     effective_trials: DataFrame
     verdict: DataFrame
     base: DataFrame
+    trades: DataFrame
+    meta: DataFrame
 
     def json(self) -> DataFrame:
         """(project, json): each project's whole result."""
-        many = {k: getattr(self, k) for k in ("windows", "checks", "region", "correlation", "plateau", "selection", "effective_trials", "base")}
+        many = {k: getattr(self, k) for k in ("windows", "checks", "region", "correlation", "plateau", "selection", "effective_trials", "base", "trades", "meta")}
         return to_json(nested(self.verdict, many, ["project"]), ["project"])
 
 
@@ -112,11 +114,25 @@ def run(combos: DataFrame, daily: DataFrame, exits: DataFrame, days: DataFrame,
     guard = region.where("complete").groupBy("project").agg(F.avg("lift").alias("lift"), F.avg("region_oos_mean").alias("region_oos_mean"), F.avg("grid_oos_mean").alias("grid_oos_mean"), F.percentile("n_distinct", 0.5).alias("n_distinct"), F.first("k").alias("k"), F.count_if(F.col("margin") > 0).alias("windows_ahead"), F.count("*").alias("windows_complete"))
     verdict = windows.select("project").distinct().join(guard, "project", "left").join(whole_p(flip, "p_lift"), "project", "left").join(whole_p(boot, "p_lift_boot"), "project", "left").join(trials.groupBy("project").agg(F.percentile("n_eff", 0.5).alias("n_eff")), "project", "left")
     read = F.when(F.col("windows_complete").isNull(), "insufficient").otherwise(R.reading(F.col("p_lift"), F.col("region_oos_mean"), F.col("grid_oos_mean"), R.scoreable(F.col("n_distinct"), F.col("k")), alpha))
+    trades = cut(G.trade_medians(counts, min_trades))
+    scores = cut(W.plateau(pairs, windows, combos))
+    oos = trades.join(windows.where("complete").select(*G.WINDOW), G.WINDOW).groupBy("project").agg(F.percentile("oos_trades_median", 0.5).alias("oos_trades_median"))
+    verdict = verdict.join(oos, "project", "left").join(W.pooled_plateau(scores, windows).select("project", F.col("pooled_score").alias("plateau_score")), "project", "left")
     verdict = cut(verdict.withColumns({"reading": read, "gate": R.gate(read), "few_variants": F.coalesce(F.col("n_eff") < MANY_VARIANTS, F.lit(False)), "nulls_disagree": R.nulls_disagree(F.col("p_lift"), F.col("p_lift_boot"), alpha)}))
     dropped = counts.groupBy(*G.WINDOW, "combo_id").agg(F.min("n_trades").alias("n")).groupBy("project").agg((F.count_if(F.col("n") < min_trades) == 0).alias("passed")).select("project", F.lit("min_trades").alias("name"), "passed", F.lit("warn").alias("severity"))
     every = dropped if checks is None else checks.select("project", "name", "passed", "severity").union(dropped)
     base = K.base_setting(daily, days, windows, combos, verdict.select("project", "reading"), scheme)
-    return GridBattery(windows, every, region, W.correlation_test(corr, rho, alpha), W.pooled_test(corr, rho, windows, alpha), W.plateau(pairs, windows, combos), selection, trials, verdict, base)
+    told = {"metric": metric, "window_scheme": scheme, "pick_from": "schedule" if scheme == "schedule" else "best in-sample", "n_null": n_null, "n_boot": n_boot, "seed": seed, "min_trades": min_trades, "alpha": alpha, "null": null, "block": block}
+    meta = run_facts(combos, days, windows).withColumns({k: F.lit(v) for k, v in told.items()})
+    return GridBattery(windows, every, region, W.correlation_test(corr, rho, alpha), W.pooled_test(corr, rho, windows, alpha), scores, selection, trials, verdict, base, trades, meta)
+
+
+def run_facts(combos: DataFrame, days: DataFrame, windows: DataFrame) -> DataFrame:
+    """(project, shape, n_iter, region_k, n_days, dates_start, dates_end, n_windows, n_complete): what a run was about."""
+    axes = G.shape(combos).groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "size"))), lambda x: x["size"]).alias("shape"), F.first("n_iter").alias("n_iter"))
+    d = days.groupBy("project").agg(F.count("*").alias("n_days"), F.min("date").alias("dates_start"), F.max("date").alias("dates_end"))
+    w = windows.groupBy("project").agg(F.count("*").alias("n_windows"), F.count_if("complete").alias("n_complete"))
+    return axes.join(d, "project").join(w, "project", "left").withColumn("region_k", G.region_size(F.col("n_iter")))
 
 
 def path_draws(daily: DataFrame, windows: DataFrame, signs: DataFrame, metric: str, block: int = R.BLOCK) -> DataFrame:

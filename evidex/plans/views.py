@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.operators.grid import neighbours
+
 
 def histogram(df: DataFrame, keys: list[str], x: str, bins: int) -> DataFrame:
     """(keys, bin, lower, n): counts in bins of equal width between the least and the greatest value; all in bin 0 where they are equal."""
@@ -44,3 +46,24 @@ def outline(cells: DataFrame, keys: list[str]) -> DataFrame:
     sides = F.array(side(0, -1, -0.5, -0.5, -0.5, 0.5), side(0, 1, 0.5, -0.5, 0.5, 0.5), side(-1, 0, -0.5, -0.5, 0.5, -0.5), side(1, 0, -0.5, 0.5, 0.5, 0.5))
     e = cells.select(*keys, F.explode(sides).alias("e")).select(*keys, "e.*")
     return e.join(cells.select(*keys, F.col("r").alias("r2"), F.col("c").alias("c2")), [*keys, "r2", "c2"], "left_anti").drop("r2", "c2")
+
+
+def slice_through(combos: DataFrame, through: DataFrame) -> DataFrame:
+    """(project, combo_id, row, col): the two-axis slice of a grid that holds a combination: the widest axis across, the next
+    widest up (the first of equals), all others fixed at that combination's. through: (project, combo_id)."""
+    axis = combos.select("project", F.posexplode("pos").alias("axis", "p")).groupBy("project", "axis").agg(F.count_distinct("p").alias("size"))
+    order = axis.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("size"), "axis"))), lambda x: x["axis"]).alias("order"))
+    at = through.join(combos.select("project", "combo_id", F.col("pos").alias("at")), ["project", "combo_id"]).select("project", "at")
+    d = combos.select("project", "combo_id", "pos").join(order, "project").join(at, "project")
+    fixed = F.forall(F.slice("order", F.lit(3), F.size("order")), lambda a: F.get("pos", a) == F.get("at", a))
+    up = F.when(F.size("order") > 1, F.get("pos", F.get("order", 1))).otherwise(0)
+    return d.where(fixed).select("project", "combo_id", up.cast("int").alias("row"), F.get("pos", F.get("order", 0)).cast("int").alias("col"))
+
+
+def plateau_bars(pairs: DataFrame, picks: DataFrame, combos: DataFrame) -> DataFrame:
+    """(project, window, place, combo_id, is_pick, y): each pick, then its neighbours from the best to the worst, those without a value last."""
+    near = neighbours(combos).withColumnsRenamed({"combo_id": "pick", "near": "combo_id"})
+    d = picks.select("project", "window", "pick").join(near, ["project", "pick"]).join(pairs.select("project", "window", "combo_id", "y"), ["project", "window", "combo_id"])
+    d = d.withColumn("is_pick", F.col("combo_id") == F.col("pick"))
+    place = F.row_number().over(Window.partitionBy("project", "window").orderBy(F.col("is_pick").desc(), F.col("y").desc_nulls_last(), "combo_id"))
+    return d.select("project", "window", place.alias("place"), "combo_id", "is_pick", "y")
