@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.session import cut
+
 
 def new_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like those wanted which no column of df has, whatever their case."""
@@ -19,8 +21,11 @@ def new_names(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def one_of_each(df: DataFrame, keys: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """df with the first row only, in the given order, for each of the keys; other rows all stay. Only rows of these keys
-    are shuffled by key. keys: a table of the column `key`."""
+    """df with the first row only, in the given order, for each of the keys; other rows all stay. Without keys, the usual
+    case, df is not shuffled. keys: a table of the column `key`."""
+    keys = cut(keys)
+    if keys.isEmpty():
+        return df
     (nth,) = new_names(df, "nth")
     some = df.join(keys, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return df.join(keys, key, "left_anti").unionByName(some.where(F.col(nth) == 1).drop(nth))
