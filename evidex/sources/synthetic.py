@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.semantics import fast_uniform
 from evidex.operators.grid import neighbours
+from evidex.session import cut, spread
+
+
+#: The share of large gains among jumps.
+JUMP_P = 0.03
 
 
 def normal(*parts) -> Column:
@@ -17,6 +23,11 @@ def normal(*parts) -> Column:
     return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-300)))) * F.cos(2 * math.pi * v)
 
 
+def jump(*parts) -> Column:
+    """A draw of mean 0 and variance 1 named by its parts: rarely a large gain, else a small loss."""
+    return ((fast_uniform("j", *parts) < JUMP_P).cast("double") - JUMP_P) / math.sqrt(JUMP_P * (1 - JUMP_P))
+
+
 def make_bars(spark: SparkSession, n: int, minutes: int = 30, seed: int = 0, p0: float = 20000.0, start: str = "2020-01-02 09:00:00", symbol: str = "@ES") -> DataFrame:
     """A random walk of open prices with the bars around it."""
     b = spark.range(n).withColumnRenamed("id", "bar_idx").withColumn("symbol", F.lit(symbol))
@@ -48,7 +59,7 @@ def make_trades(bars: DataFrame, n: int, seed: int = 0, edge: bool = False, max_
 def make_grid(spark: SparkSession, shape: tuple[int, ...], n_days: int, split: int, structure: str = "persistent", signal: float = 30.0, noise: float = 100.0, rho: float = 0.0, trade_p: float = 0.3, tail: str = "normal", seed: int = 0, project: str = "demo") -> dict[str, DataFrame]:
     """combos, days, grid_daily and grid_exits of a grid with a bump of `signal` a day around its middle.
 
-    structure: noise has none, persistent and ridge keep it, decay loses it at `split`. rho: the share of the noise that
+    structure: noise has none, persistent and ridge keep it, decay turns it over at `split`. rho: the share of the noise that
     neighbours have in common. tail: normal, or jumps, rare and large.
     """
     if structure not in ("noise", "persistent", "ridge", "decay") or tail not in ("normal", "jumps"):
@@ -67,7 +78,7 @@ def make_grid(spark: SparkSession, shape: tuple[int, ...], n_days: int, split: i
     d = combos.withColumn("bump", bump).select("project", "combo_id", "bump").join(days, "project")
     z = normal(seed, "z", F.col("combo_id"), F.col("day_idx"))
     if tail == "jumps":
-        z = F.when(fast_uniform(seed, "j", F.col("combo_id"), F.col("day_idx")) < 0.05, 4 * F.abs(z)).otherwise(-0.17 * F.abs(z))
+        z = jump(seed, "z", F.col("combo_id"), F.col("day_idx"))
     d = d.withColumn("z", z)
     if rho:
         near = neighbours(combos)
@@ -75,11 +86,71 @@ def make_grid(spark: SparkSession, shape: tuple[int, ...], n_days: int, split: i
         d = d.join(mean, ["project", "combo_id", "day_idx"]).withColumn("z", math.sqrt(rho) * F.col("common") + math.sqrt(1 - rho) * F.col("z"))
     alive = F.col("day_idx") < split if structure == "decay" else F.lit(True)
     active = fast_uniform(seed, "t", F.col("day_idx")) < trade_p
-    d = d.withColumn("pnl", F.when(active, F.round(noise * F.col("z") + F.when(alive, F.col("bump")).otherwise(0.0), 2)).otherwise(0.0))
+    d = d.withColumn("pnl", F.when(active, F.round(noise * F.col("z") + F.when(alive, F.col("bump")).otherwise(-F.col("bump")), 2)).otherwise(0.0))
     exits = d.where(active).select("project", "combo_id", "date", F.lit(1).cast("bigint").alias("n"))
     return {"combos": combos.select("project", "combo_id", "params", "pos"), "days": days, "grid_daily": d.select("project", "combo_id", "day_idx", "date", "pnl"), "grid_exits": exits}
 
 
+def planted_grids(spark: SparkSession, seeds: list[int], shape: tuple[int, ...] = (6, 6), structure: str = "noise", rho: float = 0.9, trade_p: float = 0.2, n_days: int = 600, split: int | None = None, signal: float = 0.3, tail: str = "normal") -> dict[str, DataFrame]:
+    """combos, days, grid_daily and grid_exits of a grid for each seed, the project being its seed; for size and power of tests.
+
+    All cells of a grid trade on the same days. A trade's result is 100 (mean of the cell + noise) to the cent. The noise has
+    mean 0 and variance 1; rho of its variance is that of the mean white noise within two steps, so neighbours share it.
+    structure: noise has mean 0, ridge a narrow bump on flat ground, persistent a wide one with a rim below 0, and decay the
+    wide one turned over from day `split` on, two thirds of the days by default. signal is the bump's height. tail: normal, or
+    jumps. Days are weekdays. Draws are named by seed, cell and day.
+    """
+    if structure not in ("noise", "persistent", "ridge", "decay") or tail not in ("normal", "jumps"):
+        raise ValueError("structure must be noise, persistent, ridge or decay, and tail normal or jumps")
+    cells = list(product(*map(range, shape)))
+    near = [[j for j, b in enumerate(cells) if max(abs(x - y) for x, y in zip(a, b, strict=True)) <= 2] for a in cells]
+    wide = structure != "ridge"
+    width = [max(1.0, 0.6 * (n - 1)) if wide else max(0.7, 0.28 * (n - 1)) for n in shape]
+    middle = [(0.3 + 0.4 * fast_uniform("middle", F.col("seed"), F.lit(a))) * (n - 1) for a, n in enumerate(shape)]
+    far = lambda c: sum((F.pow((F.lit(float(c[a])) - middle[a]) / width[a], 2) for a in range(len(shape))), F.lit(0.0))
+    bump = F.array(*(F.lit(0.0) if structure == "noise" else signal * (F.exp(-far(c)) - (0.45 if wide else 0.0)) for c in cells))
+    turn = int(n_days * 2 / 3) if split is None else split
+    runs = spark.createDataFrame([(s,) for s in seeds], "seed long").select("seed", F.concat(F.lit("seed"), "seed").alias("project"), bump.alias("mu"))
+    date = lambda d: F.date_add(F.lit("2020-01-06").cast("date"), (7 * F.floor(d / 5) + d % 5).cast("int"))
+    d = spread(runs.withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1)))), "project", "day_idx")
+    d = d.withColumns({"active": fast_uniform("day", F.col("seed"), F.col("day_idx")) < trade_p, "turned": F.when((F.col("day_idx") >= turn) & F.lit(structure == "decay"), -1.0).otherwise(1.0)})
+    every = F.sequence(F.lit(0), F.lit(len(cells) - 1))
+    draw = normal if tail == "normal" else jump
+    # each array is kept before the next reads it, or it would be drawn anew for each of its readers
+    d = cut(d.where("active").withColumn("white", F.transform(every, lambda c: draw("field", F.col("seed"), F.col("day_idx"), c))))
+    around = F.array(*(F.array(*map(F.lit, n)) for n in near))
+    field = F.transform(around, lambda n: F.aggregate(n, F.lit(0.0), lambda a, j: a + F.get("white", j)) / F.sqrt(F.size(n)))
+    d = cut(d.withColumn("field", field).drop("white"))
+    noise = lambda c: math.sqrt(rho) * F.get("field", c) + math.sqrt(1 - rho) * draw("own", F.col("seed"), F.col("day_idx"), c)
+    pnl = F.transform(every, lambda c: F.round(100 * (F.get("mu", c) * F.col("turned") + noise(c)), 2))
+    traded = cut(d.select("project", "day_idx", F.posexplode(pnl).alias("combo_id", "pnl")))
+    params = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in cells))
+    combos = runs.select("project", F.posexplode(params).alias("combo_id", "params")).withColumn("pos", F.transform("params", lambda x: x.cast("int")))
+    days = runs.select("project", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).alias("day_idx")).withColumn("date", date(F.col("day_idx")))
+    daily = combos.select("project", "combo_id").join(days, "project").join(traded, ["project", "combo_id", "day_idx"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
+    exits = traded.select("project", "combo_id", date(F.col("day_idx")).alias("date"), F.lit(1).cast("bigint").alias("n"))
+    return {"combos": combos, "days": days, "grid_daily": daily, "grid_exits": exits}
+
+
+def schedule_of(days: DataFrame, split: int, in_days: int) -> DataFrame:
+    """(project, window, oos_start, oos_end, in_len, in_type, anchored, grid_row): a schedule that fits a made grid: one window of
+    in_days days before day `split`, tried on the days from there on."""
+    d = days.groupBy("project").agg(F.max(F.when(F.col("day_idx") == split, F.col("date"))).alias("oos_start"), F.max("date").alias("oos_end"), F.max(F.when(F.col("day_idx") == split - in_days, F.col("date"))).alias("first"))
+    return d.select("project", F.lit(1).alias("window"), "oos_start", "oos_end", F.datediff("oos_start", "first").alias("in_len"), F.lit("Day").alias("in_type"), F.lit(False).alias("anchored"), F.lit(1).alias("grid_row"))
+
+
+def demo_grid(spark: SparkSession) -> dict[str, DataFrame]:
+    """A ready example: 240 combinations of three parameters over 1500 days, and a schedule for them."""
+    g = planted_grids(spark, [42], (5, 8, 6), "persistent", n_days=1500)
+    return g | {"schedule": schedule_of(g["days"], 1000, 500)}
+
+
+def demo_trades(spark: SparkSession, edge: bool = False) -> dict[str, DataFrame]:
+    """A ready example: bars, and 300 trades that have an edge or none."""
+    bars = make_bars(spark, 20_000, seed=30)
+    return {"bars": bars, "trades": make_trades(bars, 300, seed=31, edge=edge)}
+
+
 def grid_text(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
     """(file, text): an optimisation file of a grid."""
     day = F.format_string("%s,%.2f,0,0,0,0,0,0,%.2f", F.date_format("date", "yyyyMMdd"), F.col("pnl"), F.col("pnl"))

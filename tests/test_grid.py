@@ -6,6 +6,7 @@ from evidex.operators import grid as G
 from evidex.operators import region as R
 from evidex.operators import wfc as W
 from evidex.plans import grid_battery, views
+from evidex.session import cut
 from evidex.sources import synthetic
 from pyspark.sql import functions as F
 
@@ -183,3 +184,46 @@ def test_battery_reads_a_planted_ridge_and_noise(spark):
     assert all("NaN" not in r.json for r in b.json().collect())
     with pytest.raises(ValueError):
         grid_battery.run(both["combos"], both["grid_daily"], both["grid_exits"], both["days"], scheme="x")
+
+
+def p_values(spark, n_seeds=200, n_null=199, scheme=None, n_days=600, split=300, **options):
+    """{seed: (lift, p of the flips, p of the bootstrap)} of planted grids, one job for all seeds."""
+    g = synthetic.planted_grids(spark, list(range(n_seeds)), n_days=n_days, split=split, **options)
+    daily, combos = cut(g["grid_daily"]), cut(g["combos"])
+    w = cut(combos.select("project").distinct().select("project", F.lit(1).alias("window"), F.lit(0).alias("is_first"), F.lit(split - 1).alias("is_last"), F.lit(split).alias("oos_first"), F.lit(n_days - 1).alias("oos_last"), F.lit(True).alias("complete")))
+    sides = G.sides(daily, w).groupBy(*G.WINDOW, "combo_id")
+    r = cut(R.region(sides.agg(F.sum(F.when(F.col("side") == "is", F.col("pnl"))).alias("x"), F.sum(F.when(F.col("side") == "oos", F.col("pnl"))).alias("y")), combos))
+    b = cut(R.block_sums(daily, w))
+    lifts, n = R.lifts(r), R.n_blocks(b)
+    p = [R.window_p(R.lift_draws(r, x, d), lifts, "null_lift", "lift").select("project", "lift", "p").collect() for x, d in ((b, R.signs(w, n, n_null)), (R.centred(b), R.picks(n, n_null)))]
+    boot = {x.project: x.p for x in p[1]}
+    return {x.project: (x.lift, x.p, boot[x.project]) for x in p[0]}
+
+
+@pytest.mark.parametrize(("tail", "most"), [("normal", 0.07), ("jumps", 0.10)])
+def test_nulls_keep_their_size(spark, tail, most):
+    """Nothing is planted and neighbours share 90 % of their noise: at 5 % the lift passes at most 7 % of 200 grids, the bootstrap 10 %."""
+    got = p_values(spark, tail=tail).values()
+    assert len(got) == 200
+    assert sum(p < 0.05 for _, p, _ in got) <= most * 200 and sum(p < 0.05 for _, _, p in got) <= 0.10 * 200
+
+
+def test_power_and_decay(spark):
+    ridge = p_values(spark, 30, shape=(8, 8), structure="ridge", rho=0.6, trade_p=0.5, n_days=750, split=500).values()
+    assert sum(p < 0.05 for _, p, _ in ridge) >= 0.6 * 30
+    gone = p_values(spark, 10, shape=(8, 8), structure="decay", trade_p=0.5, n_days=750, split=500).values()
+    assert all(p >= 0.05 for _, p, _ in gone) and sum(x for x, _, _ in gone) < 0
+
+
+def test_planted_noise_is_as_stated(spark):
+    for tail in ("normal", "jumps"):
+        g = synthetic.planted_grids(spark, [1], tail=tail, trade_p=1.0, n_days=3000)["grid_daily"]
+        m, v = g.agg(F.avg("pnl"), F.var_pop("pnl")).first()
+        assert abs(m) < 8 and 0.85 < v / 1e4 < 1.15
+        a, b, c = (g.where(f"combo_id = {i}").select("day_idx", F.col("pnl").alias(f"p{i}")) for i in (14, 15, 35))
+        near, far = a.join(b, "day_idx").join(c, "day_idx").agg(F.corr("p14", "p15"), F.corr("p14", "p35")).first()
+        assert near > 0.6 > 0.35 > far
+    g = synthetic.demo_grid(spark)
+    w = G.schedule_windows(g["schedule"], g["days"]).first()
+    assert (w.oos_first, w.oos_last, w.is_last, w.complete) == (1000, 1499, 999, True) and w.is_first == 500 and g["combos"].count() == 240
+    assert synthetic.demo_trades(spark)["trades"].count() == 300
