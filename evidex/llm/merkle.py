@@ -68,7 +68,7 @@ def climb_blocks(table: pa.Table, levels: int) -> pa.Table:
         con.execute(f"CREATE TABLE above AS SELECT g, b, n, j, h FROM runs UNION ALL FROM nodes WHERE n <= {width}")
         con.execute("DROP TABLE proofs; DROP TABLE nodes; DROP TABLE runs; ALTER TABLE longer RENAME TO proofs; ALTER TABLE above RENAME TO nodes")
     block = 3**levels
-    out = con.sql(f"SELECT p.g, p.b, doc_id, leaf, other, steps, CASE WHEN i % {block} = 0 THEN h END AS top FROM proofs p JOIN nodes q ON p.g = q.g AND p.b = q.b").to_arrow_table()
+    out = con.cursor().sql(f"SELECT p.g, p.b, doc_id, leaf, other, steps, CASE WHEN i % {block} = 0 THEN h END AS top FROM proofs p JOIN nodes q ON p.g = q.g AND p.b = q.b").to_arrow_table()
     con.close()
     return out
 
