@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidex.llm.rows import CRC
 from evidex.session import cut, fresh_path, ship
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -185,9 +186,6 @@ def tampered(spark: SparkSession, docs: DataFrame, folder: str, root: str | None
     return differ.select("doc_id", F.when(F.col("more") > 0, "changed").otherwise("missing").alias("found")).union(wrong.select("doc_id", F.lit("proof")))
 
 
-#: crc32 of a short ASCII string, bit by bit.
-CRC = "xor(list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(c, x)), 4294967295), 4294967295)"
-
 ORACLE = """
 WITH RECURSIVE d AS (
   SELECT coalesce('1' || source, '0') AS g, doc_id, text, """ + CRC.format("doc_id::VARCHAR") + """ % 2 = 0 AS even,

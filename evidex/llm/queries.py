@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import exact_dedup, html_extract, licenses, merkle, mixing, packing, pii, quality_model, quality_rules, simhash, token_files
+from evidex.llm import exact_dedup, html_extract, licenses, merkle, mixing, packing, pii, prefix_trie, quality_model, quality_rules, simhash, sketch, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -31,9 +31,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": lambda spark, sf: mixing.mix(_documents(spark, sf)),
         "op9_packing": lambda spark, sf: packing.pack_documents(_documents(spark, sf), _tokenizer("word_bpe_49k.json"), end_id=1),
         "op10_quality_classifier": lambda spark, sf: quality_model.quality_scores(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
+        "op11_document_fingerprints": lambda spark, sf: sketch.edited_likeness(_documents(spark, sf)),
+        "op12_prefix_trie": lambda spark, sf: prefix_trie.prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet")),
         "op13_merkle_manifest": lambda spark, sf: merkle.manifest_rows(_documents(spark, sf)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op6_license_scan": licenses.oracle_sql(), "op8_source_mix": mixing.oracle_sql(), "op13_merkle_manifest": merkle.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op6_license_scan": licenses.oracle_sql(), "op8_source_mix": mixing.oracle_sql(), "op12_prefix_trie": prefix_trie.ORACLE, "op13_merkle_manifest": merkle.ORACLE}

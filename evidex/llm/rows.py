@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evidex.session import cut
 
+#: DuckDB SQL for crc32 of a short ASCII string, bit by bit.
+CRC = "xor(list_reduce(list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(c, x)), 4294967295), 4294967295)"
+
 
 def new_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like those wanted which no column of df has, whatever their case."""
