@@ -1,32 +1,40 @@
-"""Equity, drawdown episodes, capital and ranking ratios. Equity runs in the order of exits, ties in the order of trades."""
+"""Equity, drawdown episodes, capital and ranking ratios. Equity runs in the order of exits, ties in the order of trades.
+
+Nothing is ordered within a whole key: one strategy may hold most of all trades."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.operators.scan import carry, ranged, ranked, within
+
 ORDER = ("exit_time", "trade_id")
 
 
 def equity(pnl: DataFrame, keys: tuple[str, ...] = ("strategy_id",), order: tuple[str, ...] = ORDER) -> DataFrame:
-    """pnl (keys, order, pnl) with seq from 0, the running sum eq, and dd: eq below the highest it was, flat start included."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = pnl.withColumns({"seq": F.row_number().over(w) - 1, "eq": F.sum("pnl").over(run)})
-    return e.withColumn("dd", F.col("eq") - F.greatest(F.lit(0.0), F.max("eq").over(run)))
+    """pnl (keys, order, pnl) with seq from 0, the running sum eq, and dd: eq below the highest it was, flat start included.
+
+    A key's rows are scanned in ranges: sums and highest points of earlier ranges are carried into each (`part`)."""
+    run = within(keys, order)
+    e = ranged(pnl, keys, order)
+    e = carry(e, keys, before={"rows__": (F.count("*"), F.sum), "sum__": (F.sum("pnl"), F.sum)})
+    e = e.withColumns({"seq": F.coalesce("rows__", F.lit(0)) + F.count("*").over(run) - 1, "eq": F.coalesce("sum__", F.lit(0.0)) + F.coalesce(F.sum("pnl").over(run), F.lit(0.0))})
+    e = carry(e, keys, before={"top__": (F.max("eq"), F.max)})
+    e = e.withColumn("dd", F.col("eq") - F.greatest(F.lit(0.0), F.max("eq").over(run), "top__"))
+    return e.drop("rows__", "sum__", "top__")
 
 
 def episodes(eq: DataFrame, keys: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
     """(keys, peak_i, trough_i, recovery_i, depth): runs below the peak; peak_i is -1 at the flat start, recovery_i NULL if none.
 
-    Gaps and islands: rows at the peak are numbered by a running count, and the rows below it carry the number of the last.
+    Gaps and islands: rows below the peak carry the last row at it, which is peak_i itself. eq: from `equity`.
     """
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    e = eq.withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(w))
-    runs = e.where("dd < 0").groupBy(*keys, "island").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.min_by("seq", F.struct("dd", "seq")).alias("trough_i"), F.min("dd").alias("depth"))
-    ends = eq.groupBy(*keys).agg(F.max("seq").alias("end"))
-    r = runs.join(ends, list(keys))
-    return r.select(*keys, (F.col("first") - 1).alias("peak_i"), "trough_i", F.when(F.col("last") < F.col("end"), F.col("last") + 1).alias("recovery_i"), "depth")
+    at_peak = F.when(F.col("dd") >= 0, F.col("seq"))
+    e = carry(eq, keys, before={"peak__": (F.max(at_peak), F.max)}, whole={"end__": (F.max("seq"), F.max)})
+    e = e.withColumn("peak_i", F.coalesce(F.max(at_peak).over(within(keys, ("seq",))), "peak__", F.lit(-1)))
+    runs = e.where("dd < 0").groupBy(*keys, "peak_i").agg(F.max("seq").alias("last"), F.min_by("seq", F.struct("dd", "seq")).alias("trough_i"), F.min("dd").alias("depth"), F.max("end__").alias("end"))
+    return runs.select(*keys, "peak_i", "trough_i", F.when(F.col("last") < F.col("end"), F.col("last") + 1).alias("recovery_i"), "depth")
 
 
 def episode_times(eps: DataFrame, eq: DataFrame, keys: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
@@ -41,11 +49,15 @@ def episode_times(eps: DataFrame, eq: DataFrame, keys: tuple[str, ...] = ("strat
     return out.withColumns({"peak_trough_days": days("trough_time"), "peak_recovery_days": days("recovery_time")}).drop("first_entry")
 
 
+def by_depth(eps: DataFrame, keys: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
+    """Episodes with rank from 0, the deepest first, and n, the key's episodes."""
+    return ranked(eps, keys, ("depth", "peak_i"))
+
+
 def cdar(eps: DataFrame, beta: float = 0.8, keys: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
-    """(keys, cdar): the mean depth of the worst max(1, ceil((1 - beta) n)) episodes."""
-    w = Window.partitionBy(*keys)
-    r = eps.withColumns({"r": F.row_number().over(w.orderBy("depth", "peak_i")), "n": F.count("*").over(w)})
-    return r.where(F.col("r") <= F.greatest(F.lit(1), F.ceil((1.0 - beta) * F.col("n")))).groupBy(*keys).agg(F.avg(-F.col("depth")).alias("cdar"))
+    """(keys, cdar): the mean depth of the worst max(1, ceil((1 - beta) n)) episodes. eps: with rank and n, or without."""
+    r = eps if "rank" in eps.columns else by_depth(eps, keys)
+    return r.where(F.col("rank") < F.greatest(F.lit(1), F.ceil((1.0 - beta) * F.col("n")))).groupBy(*keys).agg(F.avg(-F.col("depth")).alias("cdar"))
 
 
 def sharpe_sortino(pnl: DataFrame, keys: tuple[str, ...] = ("strategy_id",)) -> DataFrame:
@@ -62,10 +74,11 @@ def drawdown_summary(pnl: DataFrame, capital_mult: float = 5.0, beta: float = 0.
     if capital is not None and not capital > 0:
         raise ValueError("capital must be > 0")
     eq = equity(pnl, keys)
-    eps = episode_times(episodes(eq, keys), eq, keys)
+    eps = by_depth(episode_times(episodes(eq, keys), eq, keys), keys)
     depth = -F.col("depth")
+    middle = F.col("rank").between(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2))
     e = eps.groupBy(*keys).agg(
-        F.count("*").alias("n_episodes"), F.count_if(F.col("recovery_i").isNull()).alias("n_unrecovered"), F.max(depth).alias("max_dd"), F.avg(depth).alias("mean_dd"), F.percentile(depth, 0.5).alias("median_dd"),
+        F.count("*").alias("n_episodes"), F.count_if(F.col("recovery_i").isNull()).alias("n_unrecovered"), F.max(depth).alias("max_dd"), F.avg(depth).alias("mean_dd"), F.avg(F.when(middle, depth)).alias("median_dd"),
         F.avg("peak_trough_days").alias("pt_mean"), F.max("peak_trough_days").alias("pt_max"), F.avg("peak_recovery_days").alias("pr_mean"), F.max("peak_recovery_days").alias("pr_max"),
         F.min_by(F.struct("peak_time", "trough_time", "recovery_time"), F.struct("depth", "peak_i")).alias("worst"),
     )

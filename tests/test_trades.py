@@ -57,6 +57,56 @@ def test_drawdown_episodes(spark, values, want):
     assert [(r.peak_i, r.trough_i, r.recovery_i, r.depth) for r in got] == want
 
 
+def brute_equity(pnl):
+    eq = top = 0.0
+    out, start, low = [], None, None
+    eps = []
+    for k, x in enumerate(pnl):
+        eq += x
+        top = max(top, eq)
+        out.append((k, eq, eq - top))
+        if eq < top:
+            start = k - 1 if start is None else start
+            low = (eq - top, k) if low is None or eq - top < low[0] else low
+        elif start is not None:
+            eps.append((start, low[1], k, low[0]))
+            start = low = None
+    if start is not None:
+        eps.append((start, low[1], None, low[0]))
+    return out, eps
+
+
+def test_one_hot_strategy_is_scanned_in_ranges(spark):
+    """Nearly all rows are one strategy's: it lies in many ranges, and equals one pass over all of it. Null is a strategy too."""
+    import random
+
+    rng = random.Random(4)
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=k // 3)
+    by = {1: [float(rng.randint(-9, 9)) for _ in range(3000)], 2: [-5.0, 5.0, 1.0], None: [3.0, -1.0]}
+    rows = [(s, k, at(k), at(k + 1), x) for s, xs in by.items() for k, x in enumerate(xs)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pnl = spark.createDataFrame(rows, "strategy_id long, trade_id long, entry_time timestamp_ntz, exit_time timestamp_ntz, pnl double").repartition(3)
+        eq = drawdown.equity(pnl)
+        parts = {r.part: r.n for r in eq.where("strategy_id = 1").groupBy("part").agg(F.count("*").alias("n")).collect()}
+        assert len(parts) > 2 and max(parts.values()) < 2000
+        got, eps = eq.collect(), drawdown.episodes(eq).collect()
+        deep = drawdown.by_depth(drawdown.episodes(eq)).where("strategy_id = 1").orderBy("rank").collect()
+        tail = {r.strategy_id: r.cdar for r in drawdown.cdar(drawdown.episodes(eq)).collect()}
+        summary = drawdown.drawdown_summary(pnl).where("strategy_id = 1").first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s, xs in by.items():
+        want, runs = brute_equity(xs)
+        assert sorted((r.seq, r.eq, r.dd) for r in got if r.strategy_id == s) == want
+        assert sorted((r.peak_i, r.trough_i, r.recovery_i, r.depth) for r in eps if r.strategy_id == s) == runs
+    depths = sorted(-e[3] for e in brute_equity(by[1])[1])
+    assert [(r["rank"], -r.depth) for r in deep] == list(enumerate(reversed(depths)))
+    worst = depths[::-1][: math.ceil((1.0 - 0.8) * len(depths))]
+    assert tail[1] == pytest.approx(sum(worst) / len(worst)) == pytest.approx(summary.cdar)
+    assert summary.median_dd == pytest.approx(statistics.median(depths))
+
+
 def test_drawdown_summary(spark):
     p = pnl_of(spark, [100, -50, -70, 30, 200, -20, -300, 50, 100, 500])
     r = drawdown.drawdown_summary(p).first()
