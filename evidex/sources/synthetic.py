@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidex.functions.semantics import fast_uniform
 from evidex.operators.grid import neighbours
 from evidex.session import cut, spread
+from evidex.sources.report import whole_text
 
 
 #: The share of large gains among jumps.
@@ -151,11 +152,18 @@ def demo_trades(spark: SparkSession, edge: bool = False) -> dict[str, DataFrame]
     return {"bars": bars, "trades": make_trades(bars, 300, seed=31, edge=edge)}
 
 
-def grid_text(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
-    """(file, text): an optimisation file of a grid."""
-    day = F.format_string("%s,%.2f,0,0,0,0,0,0,%.2f", F.date_format("date", "yyyyMMdd"), F.col("pnl"), F.col("pnl"))
+def grid_lines(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """(file, line, s): optimisation files of grids, a line for each combination; grid_exits with n trades a row."""
+    pnl = F.col("pnl").cast("string")
+    day = F.concat_ws(",", F.date_format("date", "yyyyMMdd"), pnl, F.lit("0,0,0,0,0,0"), pnl)
     daily = grid["grid_daily"].groupBy("project", "combo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day_idx", day.alias("r")))), lambda x: x["r"]), "|").alias("d"))
-    out = grid["grid_exits"].groupBy("project", "combo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("date")), lambda x: F.concat(F.date_format(x, "yyyyMMdd"), F.lit(",1000,X,L,100.0,0,0,0"))), "|").alias("t"))
+    trade = lambda x: F.array_repeat(F.concat(F.date_format(x["date"], "yyyyMMdd"), F.lit(",1000,X,L,100.0,0,0,0")), x["n"].cast("int"))
+    out = grid["grid_exits"].groupBy("project", "combo_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("date", "n"))), trade)), "|").alias("t"))
     row = F.concat(F.array_join(F.transform("params", lambda x: x.cast("string")), ","), F.lit("~v1,1|"), F.col("d"), F.lit("~v2"), F.coalesce(F.concat(F.lit("|"), F.col("t")), F.lit("")))
-    each = grid["combos"].join(daily, ["project", "combo_id"]).join(out, ["project", "combo_id"], "left").select("project", "combo_id", row.alias("r"))
-    return each.groupBy(F.col("project").alias("file")).agg(F.concat(F.lit(",".join(names) + "\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("combo_id", "r"))), lambda x: x["r"]), "\n"), F.lit("\n")).alias("text"))
+    each = grid["combos"].join(daily, ["project", "combo_id"]).join(out, ["project", "combo_id"], "left").select(F.col("project").alias("file"), (F.col("combo_id") + 1).cast("bigint").alias("line"), row.alias("s"))
+    return each.union(grid["combos"].select("project").distinct().select("project", F.lit(0).cast("bigint"), F.lit(",".join(names))))
+
+
+def grid_text(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """(file, text): as grid_lines, each file one text."""
+    return whole_text(grid_lines(grid, names))

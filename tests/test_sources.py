@@ -151,6 +151,73 @@ def test_grid_round_trip(spark):
 SCHEDULE = "v2,stamp~A,B~P|20240103,20240105,1,0,0,0,1.5|1,10|1,0,0,0|first~P|20240106,20240110,1,0,0,0,2|2,10|2,0,0,0|second~other"
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of a few lines."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def same(a, b):
+    """Equal rows but for the files' names, which are a path in one of them."""
+    base = lambda d: sorted((tuple(str(v).rsplit("/", 1)[-1] if c in ("file", "project") else v for c, v in zip(d.columns, r)) for r in d.collect()), key=repr)
+    assert base(a) == base(b)
+
+
+def written(spark, folder, files):
+    for name, text in files.items():
+        (folder / name).write_bytes(text.encode())
+    lines = report.read_lines(spark, str(folder))
+    texts = report.read_texts(spark, str(folder))
+    return lines, texts
+
+
+def test_lines_of_blocks_are_those_of_whole_files(spark, tmp_path, small_blocks):
+    files = {"a": "\n".join(f"line {k} " + "x" * (k * 7 % 90) for k in range(200)), "b": "\ufeffone\r\ntwo\r\n\r\nfour", "c": "", "d": "long " * 500 + "\nlast\n"}
+    lines, texts = written(spark, tmp_path, files)
+    assert lines.where("file like '%/a'").select("block").distinct().count() > 10
+    whole = report.lines(texts).where("s <> ''").select("file", "line", "s")
+    same(lines.where("s <> ''").select("file", "line", "s"), whole)
+    assert [r.s for r in lines.where("file like '%/c'").collect()] == [""]
+
+
+def test_report_in_blocks(spark, tmp_path, small_blocks):
+    """Section, header, trade numbers and violations are carried over blocks; files of all kinds are one job."""
+    trades = "\n".join(x for k in range(60) for x in (ROWS[FIRST].replace("7,", f"{k + 10},", 1), ROWS[FIRST + 1]))
+    long = REPORT.replace(ROWS[FIRST], trades + "\n" + ROWS[FIRST])
+    files = {"good": long, "open": long.replace(ROWS[FIRST + 1] + "\n8", "8"), "late": REPORT + "\n" * 300, "none": "x\n" * 100, "orphan": REPORT.replace(ROWS[FIRST] + "\n", "")}
+    lines, texts = written(spark, tmp_path, files)
+    for a, b in zip(report.parse_trades(lines), report.parse_trades(texts)):
+        same(a, b)
+    same(report.parse_settings(lines), report.parse_settings(texts))
+    same(report.parse_summary(lines), report.parse_summary(texts))
+    assert report.parse_trades(lines)[0].where("file like '%/good'").count() == 62
+
+
+def test_bars_in_blocks(spark, tmp_path, small_blocks):
+    head = '"Date","Time","Open","High","Low","Close","Up","Down"\n'
+    rows = [f"01/{1 + k // 24:02d}/2024,{k % 24:02d}:00,{100 + k},{101 + k},{99 + k},{100 + k}.5,{k},1" for k in range(100)]
+    bad = [r.replace(",150,", ",x,") for r in rows] + [rows[3]]
+    lines, texts = written(spark, tmp_path, {"good": head + "\n".join(rows), "bad": head + "\n".join(bad), "head": head, "other": "a,b\n1,2\n" * 80})
+    for a, b in zip(report.parse_bars(lines), report.parse_bars(texts)):
+        same(a, b)
+    assert [r.bar_idx for r in report.parse_bars(lines)[0].where("file like '%/good'").orderBy("ts").collect()] == list(range(100))
+
+
+def test_grid_in_blocks(spark, tmp_path, small_blocks):
+    text = synthetic.grid_text(synthetic.make_grid(spark, (3, 2), 12, 6, seed=1), ["A", "B"]).first().text
+    torn = text.replace("~v2", "~v3", 3).replace("20200", "2x200", 1)
+    lines, texts = written(spark, tmp_path, {"good": text, "torn": torn, "headless": text.split("\n", 1)[1], "blank": "\n\n"})
+    (a, v), (b, w) = grid_text.parse_grid(lines), grid_text.parse_grid(texts)
+    same(v, w)
+    for name in a:
+        same(a[name], b[name])
+    assert a["combos"].where("project like '%/good'").count() == 6 and v.count() > 3
+
+
 def test_schedule_database(spark, tmp_path):
     g = [{"group_no": 2, "in_len": 3, "in_type_id": 9, "out_len": 1, "out_type_id": 8, "n_iterations": 2, "schedule": SCHEDULE, "fitness": 2}, {"group_no": 3, "in_len": 3, "in_type_id": 1, "out_len": 1, "out_type_id": 8, "n_iterations": 2, "schedule": SCHEDULE}]
     good, bad = tmp_path / "a.db", tmp_path / "b.db"
