@@ -13,8 +13,8 @@ from evidex.operators import grid as G
 from evidex.operators import region as R
 from evidex.operators import wfc as W
 from evidex.plans import grid_battery, trade_battery, views
-from evidex.session import cut
-from evidex.sources import report, tables
+from evidex.session import cut, fresh_path
+from evidex.sources import grid_text, report, synthetic, tables
 
 #: Draws of the nulls and of the bootstrap, the operators' defaults.
 N_NULL, N_BOOT = 999, 500
@@ -99,6 +99,11 @@ class Inputs:
     def flip_rho(self) -> DataFrame:
         return W.spearman_draws(self.pairs, self.surfaces)
 
+    @cached_property
+    def path_rho(self) -> DataFrame:
+        """Rank correlations of NPAvgDD surfaces with those of whole paths under sign flips."""
+        return W.spearman_draws(rounded_pairs(G.metric_pairs(self.metrics, "NPAvgDD")), R.path_draws(self.daily, self.windows, self.signs).withColumn("y", F.round("y", 6)))
+
     @cached_property
     def picks(self) -> DataFrame:
         return G.best_pick(self.pairs)
@@ -171,6 +176,47 @@ def _report_round_trip(spark, sf) -> DataFrame:
     return rounded(back.select("file", "trade_id", "direction", "entry_time", "exit_time", "contracts", "gross_pnl", "net_pnl"), 2)
 
 
+def _report_block_scan(spark, sf) -> DataFrame:
+    """Each strategy's trades written as a text file, which is read in blocks and parsed."""
+    t = tables.trades(spark, sf)
+    folder = fresh_path(spark, "reports")
+    report.write_lines(report.report_lines(t.withColumns({"file": F.col("strategy_id").cast("string"), "interval": F.lit("60 min.")})), folder)
+    back, _, bad = report.parse_trades(report.read_lines(spark, folder))
+    report.refuse(bad, report.ReportFormatError)
+    return rounded(back.select(report.written_name(F.col("file")).alias("file"), "trade_id", "direction", "entry_time", "exit_time", "contracts", "gross_pnl", "net_pnl"), 2)
+
+
+def _grid_block_scan(i: Inputs) -> DataFrame:
+    """The whole grid written as an optimisation file, which is read in blocks and parsed: what each combination has."""
+    folder = fresh_path(i.spark, "grids")
+    grid = {"combos": i.combos, "grid_daily": i.daily, "grid_exits": i.exits}
+    report.write_lines(synthetic.grid_lines(grid, ["A", "B"]), folder)
+    got, bad = grid_text.parse_grid(report.read_lines(i.spark, folder))
+    report.refuse(bad, report.GridFormatError)
+    days = got["grid_daily"].groupBy("combo_id").agg(F.count("*").alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum("pnl").alias("total"), F.sum("closed_pnl").alias("closed_total"))
+    exits = got["grid_exits"].groupBy("combo_id").agg(F.sum("n").alias("n_exits"))
+    c = got["combos"].select("combo_id", F.col("params")[0].alias("a"), F.col("params")[1].alias("b"), F.col("pos")[0].cast("bigint").alias("pa"), F.col("pos")[1].cast("bigint").alias("pb"))
+    return rounded(c.join(days, "combo_id").join(exits, "combo_id", "left"))
+
+
+#: Projects of the schedule check; each but the first contradicts its grid in one way.
+CONTRADICTIONS = ("none", "names", "iterations", "hole", "pick", "windows", "fitness")
+
+
+def _schedule_checks(i: Inputs) -> DataFrame:
+    """Schedules of seven projects with the same grid, whose picks are drawn from its rows, against that grid."""
+    each = lambda d: d.drop("project").withColumn("project", F.explode(F.array(*map(F.lit, CONTRADICTIONS))))
+    is_ = lambda k: F.col("project") == k
+    combos = each(i.combos).where(~is_("hole") | (F.col("combo_id") > 0))
+    n = combos.groupBy("project").agg(F.count("*").alias("n"))
+    names = n.select("project", F.array(F.lit("A"), F.lit("B")).alias("names"))
+    groups = n.select("project", F.array(F.lit("A"), F.when(is_("names"), "C").otherwise("B")).alias("param_names"), (F.col("n") + is_("iterations").cast("int")).alias("n_iterations"), F.when(is_("fitness"), "Sharpe").otherwise("NP").alias("fitness_abbr"))
+    picks = each(i.combos).where(F.col("combo_id") % 30 == 7).where(~is_("windows"))
+    off = F.transform("params", lambda x: x + F.when(is_("pick") & (F.col("combo_id") == 37), 0.5).otherwise(0.0))
+    schedule = picks.select("project", F.col("combo_id").alias("window"), (F.col("combo_id") + 1).alias("grid_row"), off.alias("params"))
+    return grid_battery.validate(combos, names, groups, schedule)
+
+
 def queries() -> dict:
     bigint = lambda w, *more: w.select("window", *(F.col(x).cast("bigint").alias(x) for x in ("is_first", "is_last", "oos_first", "oos_last")), *more)
     grid = {
@@ -197,6 +243,7 @@ def queries() -> dict:
         "wfc_npavgdd_holes": lambda i: rounded(W.correlations(i.holes), 9),
         "torus_null": lambda i: rounded(i.torus),
         "wfc_signflip_null": lambda i: rounded(i.flip_rho),
+        "wfc_path_null": lambda i: rounded(i.path_rho),
         "wfc_test": lambda i: rounded(W.correlation_test(W.correlations(i.pairs), i.torus), 9),
         "wfc_pooled": lambda i: rounded(W.pooled_test(W.correlations(i.pairs), cut(i.flip_rho), i.windows)),
         "wfc_bands": lambda i: rounded(W.bands(i.pairs), 9),
@@ -219,6 +266,8 @@ def queries() -> dict:
         "rolling_view": lambda i: rounded(views.ranked_profile(i.pairs, G.WINDOW)),
         "outline_view": _outline,
         "grid_json": lambda i: _grid_battery(i).json(),
+        "grid_block_scan": _grid_block_scan,
+        "schedule_checks": _schedule_checks,
     }
 
     def query(f):
@@ -229,6 +278,7 @@ def queries() -> dict:
     out["json_export"] = lambda spark, sf: trade_battery.run(tables.trades(spark, sf), tables.bars(spark, sf)).json()
     out["timing_json"] = lambda spark, sf: trade_battery.run_timing(tables.trades(spark, sf), tables.bars(spark, sf)).json()
     out["report_round_trip"] = _report_round_trip
+    out["report_block_scan"] = _report_block_scan
     return out
 
 
@@ -275,6 +325,14 @@ FLIP = REGION + BLOCKS + FLIPS + _draws("fw", "bk", "fd")
 BOOT = FLIP + BOOTS + _draws("bw", "ck", "bd")
 SURFACES = """, su AS (SELECT b."window", f.draw, b.combo_id, round(min(t.c) + sum(f.weight * dev), 4) AS y FROM bk b JOIN fw f ON f."window" = b."window" AND f.block = b.block JOIN (SELECT "window", combo_id, sum(common) AS c FROM bk GROUP BY 1, 2) t ON t."window" = b."window" AND t.combo_id = b.combo_id GROUP BY 1, 2, 3)"""
 
+#: As SURFACES, for NPAvgDD: a draw's path of a cell is folded with (sum, peak, sum of drawdowns).
+PATHS = """, pa AS (SELECT "window", combo_id, list({'b': (day_idx - lo) // 21 + 1, 'm': m, 'd': pnl - m} ORDER BY day_idx) AS days FROM (SELECT *, avg(pnl) OVER (PARTITION BY "window", day_idx) AS m FROM ds WHERE side = 'oos') GROUP BY 1, 2),
+fl AS (SELECT "window", draw, list(weight ORDER BY block) AS w FROM fw GROUP BY 1, 2),
+pt AS (SELECT f."window", draw, combo_id, len(days) AS n, list_reduce(list_transform(days, lambda x: {'s': x.m + w[x.b] * x.d, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE}),
+  lambda a, x: {'s': a.s + x.s, 'p': greatest(a.p, a.s + x.s), 'q': a.q + least(a.s + x.s - a.p, 0.0::DOUBLE)}, {'s': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE}) AS e FROM fl f JOIN pa p ON p."window" = f."window"),
+su AS (SELECT "window", draw, combo_id, CASE WHEN e.q < 0 THEN round(e.s / (-e.q / n), 6) END AS y FROM pt)"""
+AVGDD = """, pr AS (SELECT "window", combo_id, round(max(CASE WHEN side = 'is' AND avg_dd < 0 THEN net_profit / -avg_dd END), 6) AS x, round(max(CASE WHEN side = 'oos' AND avg_dd < 0 THEN net_profit / -avg_dd END), 6) AS y FROM sm GROUP BY 1, 2)"""
+
 
 def _ranks(table: str, keys: str, *cols: str) -> str:
     each = ", ".join(f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0 AS r{c}" for c in cols)
@@ -325,8 +383,14 @@ def oracle_sql() -> dict[str, str]:
     pooled = lambda d: f"""(SELECT (1.0 + sum((v >= l)::INT)) / (1.0 + count(*)) FROM (SELECT draw, avg(null_lift) AS v FROM {d} GROUP BY 1) CROSS JOIN (SELECT avg(lift) AS l FROM li))"""
     sched = "(VALUES " + ", ".join(f"({w}, DATE '{a}', DATE '{b}', {n}, '{t}', {str(z).lower()}, {r})" for w, a, b, n, t, z, r in SCHEDULE) + ') s("window", oos_start, oos_end, in_len, in_type, anchored, grid_row)'
     corr_cols = f'n_points, {_r("spearman", "pearson", digits=9)}, n_pos_is, {_r("pos_oos_frac", digits=9)}, n_points < 8 OR n_pos_is < 4 AS insufficient'
+    back = f"WITH {TRADES} SELECT strategy_id::VARCHAR AS file, trade_id, direction, entry_time, exit_time, contracts::INTEGER AS contracts, gross_pnl, round(gross_pnl - 2 * (2.2 + 0.5::DOUBLE), 2) AS net_pnl FROM t"
+    checks = "(VALUES " + ", ".join(f"('{n}', '{s}', '{k}')" for n, s, k in (("param_names_match", "error", "names"), ("iteration_count", "error", "iterations"), ("full_grid", "warn", "hole"), ("picks_on_grid", "error", "pick"), ("windows_present", "error", "windows"), ("fitness_supported", "warn", "fitness"))) + ") c(name, severity, broken_by)"
     return {
-        "report_round_trip": f"WITH {TRADES} SELECT strategy_id::VARCHAR AS file, trade_id, direction, entry_time, exit_time, contracts::INTEGER AS contracts, gross_pnl, round(gross_pnl - 2 * (2.2 + 0.5::DOUBLE), 2) AS net_pnl FROM t",
+        "report_block_scan": back,
+        "grid_block_scan": f"""WITH {CELLS}, dt AS (SELECT combo_id, count(*) AS n_days, min(date) AS first_date, max(date) AS last_date, sum(pnl) AS total FROM gd GROUP BY 1), xt AS (SELECT combo_id, count(*) AS n_exits FROM ln JOIN cb USING (a, b) GROUP BY 1)
+SELECT cb.combo_id, a::DOUBLE AS a, b::DOUBLE AS b, pa::BIGINT AS pa, pb::BIGINT AS pb, n_days, first_date, last_date, round(total, 6) AS total, round(total, 6) AS closed_total, n_exits FROM cb JOIN dt USING (combo_id) LEFT JOIN xt USING (combo_id)""",
+        "schedule_checks": f"WITH {CELLS} SELECT p AS project, name, p <> broken_by AND (name <> 'full_grid' OR (SELECT count(DISTINCT a) * count(DISTINCT b) = count(*) FROM cb)) AS passed, severity FROM (SELECT unnest({list(CONTRADICTIONS)}) AS p) CROSS JOIN {checks}",
+        "report_round_trip": back,
         "grid_axes": f"WITH {CELLS}, x AS (SELECT 0 AS axis, a AS v FROM cb UNION ALL SELECT 1, b FROM cb) SELECT 'P1' AS project, axis::INTEGER AS axis, count(DISTINCT v) AS size, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high, count(*) AS n_iter, (SELECT count(DISTINCT a) * count(DISTINCT b) = count(*) FROM cb) AS is_full FROM x GROUP BY axis",
         "grid_positions": f"WITH {CELLS} SELECT combo_id, pa AS a, pb AS b FROM cb",
         "wf_windows": f"""WITH {CELLS}, w AS (SELECT s.*, CASE WHEN anchored THEN (SELECT min(date) FROM dy) WHEN in_type = 'Week' THEN oos_start - 7 * in_len WHEN in_type = 'Month' THEN CAST(oos_start - to_months(in_len) AS DATE) END AS is_start, oos_start - 1 AS is_end, least(oos_end, (SELECT max(date) FROM dy)) AS oos_stop FROM {sched}),
@@ -361,6 +425,7 @@ SELECT 'P1' AS project, {_r("p1 AS p_lift", "p2 AS p_boot")}, reading, CASE read
         "wfc_signflip_null": f"WITH {FLIP}{SURFACES}{RHO} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, {_r('null_rho')} FROM sn",
         "wfc_test": f"""WITH {PAIRS}{VALID}{CORR}{TORUS}, pq AS (SELECT co."window", (1.0 + sum((null_rho >= spearman)::INT)) / (1.0 + count(*)) AS p FROM tn JOIN co ON co."window" = tn."window" GROUP BY 1), z AS (SELECT co.*, CASE WHEN n_points < 8 OR n_pos_is < 4 THEN 1.0 ELSE p END AS pv FROM co JOIN pq ON pq."window" = co."window")
 SELECT 'P1' AS project, "window", {corr_cols}, round(pv, 9) AS p_value, CASE WHEN pv < 0.05 AND pos_oos_frac >= 0.5 THEN 'structural edge, low over-fitting' WHEN pv < 0.05 THEN 'consistently loss-making strategy' WHEN pos_oos_frac >= 0.5 THEN 'spurious result, high over-fitting' ELSE 'noise, no edge' END AS quadrant FROM z""",
+        "wfc_path_null": f"WITH {SURF}{AVGDD}{BLOCKS}{FLIPS}{PATHS}{RHO} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, {_r('null_rho')} FROM sn",
         "wfc_pooled": f"""WITH {FLIP}{VALID}{CORR}{SURFACES}{RHO}, us AS (SELECT * FROM co WHERE n_points >= 8 AND n_pos_is >= 4), m AS (SELECT avg(spearman) AS r, avg(pos_oos_frac) AS f, count(*) AS c FROM us),
 z AS (SELECT r, f, c, (SELECT (1.0 + sum((v >= r)::INT)) / (1.0 + count(*)) FROM (SELECT draw, avg(null_rho) AS v FROM sn JOIN us ON us."window" = sn."window" GROUP BY 1)) AS p FROM m)
 SELECT 'P1' AS project, {_r("r AS pooled_spearman", "f AS pooled_pos_oos_frac", "p AS pooled_p")}, CASE WHEN c = 0 THEN 'wfc_insufficient' WHEN p >= 0.05 AND f < 0.5 THEN 'wfc_low_corr,wfc_no_oos_edge' WHEN p >= 0.05 THEN 'wfc_low_corr' WHEN f < 0.5 THEN 'wfc_no_oos_edge' ELSE '' END AS reasons, c > 0 AND p < 0.05 AND f >= 0.5 AS passed FROM z""",

@@ -57,11 +57,6 @@ class Inputs:
         return G.shifted(self.joined, self.bars, leg, mode, MAX_K, early, PV)
 
 
-def _literal(spark, values: list[str], fn, name: str):
-    d = spark.createDataFrame([(v,) for v in values], "s string")
-    return d.select("s", fn(F.col("s")).alias(name))
-
-
 def _curve(leg, mode="fixed_exit", early=False):
     return lambda i: rounded(G.delay_curve(i.points(leg, mode, early)), 9)
 
@@ -103,11 +98,62 @@ def _histogram(i):
     return rounded(histogram(d, ["strategy_id"], "x", 30), 4)
 
 
-MONEY = ["$59.10", "($123.40)", "-0.34%", "", "n/a", "text", "23,500.00%", "($1,234.50)", " 7 ", "(12.5)"]
-INTERVALS = ["30 min.", "1 hour", "Daily", "weekly", "100 ticks", "", "15min"]
-ROOTS = ["@ES", "ESH25", "@MNQ", "MNQZ24", "@es", "GCZ99", "@", "BRN", "NQM5"]
-AXES = ["StopATR", "ProfitTarget", "Length", "SL", "fastFAC", "BarsBack", "Mystery", "TgtDollar", "RSIPeriod", "stop_pts", "TPSize"]
-STAMPS = ["1/6/2025 09:00", "12/31/2024 23:59", "1/6/2025", "2025-01-06", "", "13/1/2025"]
+def _portfolio(i):
+    """All trades as one strategy: a single key with every row."""
+    return D.equity(i.pnl.withColumn("strategy_id", F.lit(0).cast("bigint")))
+
+
+def _table(i, name: str) -> DataFrame:
+    return i.spark.read.parquet(f"{i.sf}/{name}.parquet")
+
+
+def _one_of(key: str, *cells) -> F.Column:
+    """The cell that the key modulo their number names."""
+    n = F.col(key) % len(cells)
+    return F.coalesce(*(F.when(n == k, c) for k, c in enumerate(cells)))
+
+
+def _money(i):
+    """Order totals as reports write money."""
+    usd = lambda fmt: F.format_string(fmt, F.col("o_totalprice"))
+    s = _one_of("o_orderkey", usd("$%.2f"), usd("($%.2f)"), usd(" -%,.2f%% "), F.lit("n/a"), usd("($%,.2f)"), F.lit(""), usd("%,.2f"))
+    return rounded(_table(i, "orders").select(F.col("o_orderkey").alias("id"), S.money(s).alias("v")), 2)
+
+
+def _stamps(i):
+    """Times of events as reports write them: to the minute, as dates, and in layouts that are none."""
+    at = lambda fmt: F.date_format("ts", fmt)
+    s = _one_of("event_id", at("M/d/yyyy HH:mm"), at("M/d/yyyy"), at("yyyy-MM-dd HH:mm"), at("MM/dd/yyyy H:mm"), F.lit(""))
+    return _table(i, "events").select(F.col("event_id").alias("id"), S.stamp(s).alias("v"), S.is_date_only(s).alias("date_only"))
+
+
+def _intervals(i):
+    """Labels of bar intervals, the size of a part being the number."""
+    n = F.col("p_size").cast("string")
+    s = _one_of("p_partkey", F.concat(n, F.lit(" min.")), F.concat(n, F.lit(" hour")), F.lit("Daily"), F.concat(n, F.lit(" ticks")), F.lit("weekly"), F.concat(n, F.lit("min")), F.lit(None))
+    return _table(i, "part").select(F.col("p_partkey").alias("id"), S.interval_minutes(s).alias("v"))
+
+
+#: Month codes of futures.
+MONTHS = "FGHJKMNQUVXZ"
+
+
+def _roots(i):
+    """Symbols of made-up contracts: a root from a customer's segment and nation, with and without month and year."""
+    root = F.concat(F.substring("c_mktsegment", 1, 2), F.char(65 + F.col("c_nationkey")))
+    code = F.concat(F.substring(F.lit(MONTHS), (F.col("c_custkey") % 12 + 1).cast("int"), F.lit(1)), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
+    s = _one_of("c_custkey", F.concat(F.lit("@"), root), F.concat(root, code), F.lower(root), F.concat(F.lit("@"), F.lower(root), F.lower(code)))
+    return _table(i, "customer").select(F.col("c_custkey").alias("id"), S.symbol_root(s).alias("v"))
+
+
+#: Ends of parameter names.
+SUFFIXES = ("StopATR", "ProfitTarget", "Length", "SL", "fastFAC", "BarsBack", "Mystery", "TgtDollar", "Period", "_stop_pts", "TPSize")
+
+
+def _axis_names(i):
+    """Parameter names: a part's name in camel case and an ending."""
+    s = F.concat(F.regexp_replace(F.initcap("p_name"), " ", ""), _one_of("p_partkey", *map(F.lit, SUFFIXES)))
+    return _table(i, "part").select(F.col("p_partkey").alias("id"), S.axis_class(s).alias("v"))
 
 
 def queries() -> dict:
@@ -147,11 +193,13 @@ def queries() -> dict:
         "delay_exit_early": _curve("exit", early=True),
         "first_nonpositive_k": lambda i: G.first_nonpositive(G.delay_curve(i.points("exit"))),
         "paired_change": lambda i: rounded(G.paired_change(i.points("entry"))),
-        "money_parse": lambda i: _literal(i.spark, MONEY, S.money, "v"),
-        "interval_parse": lambda i: _literal(i.spark, INTERVALS, S.interval_minutes, "v"),
-        "root_normalise": lambda i: _literal(i.spark, ROOTS, S.symbol_root, "v"),
-        "axis_class": lambda i: _literal(i.spark, AXES, S.axis_class, "v"),
-        "stamp_parse": lambda i: _literal(i.spark, STAMPS, S.stamp, "v"),
+        "money_parse": _money,
+        "interval_parse": _intervals,
+        "root_normalise": _roots,
+        "axis_class": _axis_names,
+        "stamp_parse": _stamps,
+        "portfolio_equity": lambda i: rounded(_portfolio(i).select("trade_id", F.col("seq").cast("bigint").alias("seq"), "eq", "dd"), 4),
+        "portfolio_episodes": lambda i: rounded(D.episodes(_portfolio(i)).select(*(F.col(c).cast("bigint").alias(c) for c in ("peak_i", "trough_i", "recovery_i")), "depth"), 4),
         "histogram_view": _histogram,
     }
     return {name: query(f) for name, f in each.items()}
@@ -230,14 +278,18 @@ def _curve_sql(leg: str, mode: str = "fixed_exit", early: bool = False) -> str:
     return f"WITH {_delay_sql(leg, mode, early)} SELECT c.strategy_id, c.k::INTEGER AS k, c.n_alive, c.n_skipped, {_r('c.total_usd AS total_usd', 'c.mean_usd AS mean_usd', 'c.mean_pct AS mean_pct', 'c.win_rate AS win_rate', digits=9)}, round(CASE WHEN c.lost > 0 THEN c.won / c.lost WHEN c.won > 0 THEN 'Infinity'::DOUBLE END, 9) AS profit_factor, round(CASE WHEN b.total_usd > 0 THEN c.total_usd / b.total_usd END, 9) AS retention FROM cv c JOIN cv b ON b.strategy_id = c.strategy_id AND b.k = 0"
 
 
-def _values(values: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"('{v}')" for v in values) + ") v(s)"
-
-
 def _words(ws, how: str) -> str:
     return " OR ".join(f"contains(lower(s), '{w}')" if how == "part" else f"list_contains(list_transform(regexp_extract_all(regexp_replace(s, '([A-Z][a-z])', ' \\1', 'g'), '[A-Z]?[a-z]+|[A-Z]+|\\d+'), lambda x: lower(x)), '{w}')" for w in ws)
 
 
+def _cells(key: str, *cells: str) -> str:
+    return f"CASE {key} % {len(cells)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cells)) + " END"
+
+
+def _all_as_one(sql: str) -> str:
+    return sql.replace("p AS (SELECT strategy_id,", "p AS (SELECT 0::BIGINT AS strategy_id,")
+
+
 _costs = "(VALUES " + ", ".join(f"('{k}', {round(2 * (c + s), 4)}::DOUBLE)" for k, (c, s) in S.COSTS.items()) + ") rc(root, rt)"
 BASIS = "cb AS (SELECT strategy_id, 2 * (2.2 + 0.5::DOUBLE) AS c, gross_pnl, contracts, round(gross_pnl - 2 * (2.2 + 0.5::DOUBLE), 2) AS net_pnl FROM t)"
 
@@ -283,10 +335,12 @@ SELECT o.strategy_id, n_trades, {_r('om AS observed_mean', 'bm AS baseline_mean'
         "delay_exit_early": _curve_sql("exit", early=True),
         "first_nonpositive_k": f"WITH {_delay_sql('exit', 'fixed_exit', False)} SELECT strategy_id, min(CASE WHEN k > 0 AND n_alive > 0 AND total_usd <= 0 THEN k END)::INTEGER AS first_k FROM cv GROUP BY 1",
         "paired_change": f"WITH {_delay_sql('entry', 'fixed_exit', False)} SELECT a.strategy_id, a.k::INTEGER AS k, round(avg(a.u - b.u), 6) AS mean_change, count(a.u) AS n FROM pt a JOIN pt b ON b.strategy_id = a.strategy_id AND b.trade_id = a.trade_id AND b.k = 0 GROUP BY 1, 2",
-        "money_parse": f"SELECT s, CASE WHEN starts_with(trim(s), '(') AND ends_with(trim(s), ')') THEN -v ELSE v END AS v FROM (SELECT s, TRY_CAST(regexp_replace(trim(s), '[()$,%\\s]', '', 'g') AS DOUBLE) AS v FROM {_values(MONEY)})",
-        "interval_parse": f"SELECT s, CASE WHEN regexp_matches(lower(s), '^\\d+\\s*min') THEN CAST(regexp_extract(lower(s), '^(\\d+)', 1) AS BIGINT) WHEN regexp_matches(lower(s), '^\\d+\\s*hour') THEN 60 * CAST(regexp_extract(lower(s), '^(\\d+)', 1) AS BIGINT) WHEN starts_with(lower(s), 'daily') THEN 1440 WHEN starts_with(lower(s), 'weekly') THEN 10080 END AS v FROM {_values(INTERVALS)}",
-        "root_normalise": f"SELECT s, CASE WHEN regexp_matches(upper(s), '^@?[A-Z0-9]+[FGHJKMNQUVXZ]\\d\\d$') THEN regexp_extract(upper(s), '^@?([A-Z0-9]+)[FGHJKMNQUVXZ]\\d\\d$', 1) ELSE ltrim(upper(s), '@') END AS v FROM {_values(ROOTS)}",
-        "axis_class": f"SELECT s, CASE WHEN {_words(S.SCALE_FREE, 'part')} OR {_words(S.SCALE_FREE_WORDS, 'word')} THEN 'scale-free' WHEN {_words(S.PRICE, 'part')} OR {_words(S.PRICE_WORDS, 'word')} THEN 'price-scaled' ELSE 'unclassified' END AS v FROM {_values(AXES)}",
-        "stamp_parse": f"SELECT s, coalesce(try_strptime(s, '%m/%d/%Y %H:%M'), try_strptime(s, '%m/%d/%Y')) AS v FROM {_values(STAMPS)}",
+        "money_parse": f"SELECT o_orderkey AS id, round({_cells('o_orderkey', 'x', '-x', '-x', 'NULL', '-x', 'NULL', 'x')}, 2) AS v FROM (SELECT o_orderkey, round(o_totalprice, 2) AS x FROM orders)",
+        "interval_parse": f"SELECT p_partkey AS id, ({_cells('p_partkey', 'p_size', '60 * p_size', '1440', 'NULL', '10080', 'p_size', 'NULL')})::BIGINT AS v FROM part",
+        "root_normalise": "SELECT c_custkey AS id, left(c_mktsegment, 2) || chr(65 + c_nationkey) AS v FROM customer",
+        "axis_class": f"SELECT p_partkey AS id, CASE WHEN {_words(S.SCALE_FREE, 'part')} OR {_words(S.SCALE_FREE_WORDS, 'word')} THEN 'scale-free' WHEN {_words(S.PRICE, 'part')} OR {_words(S.PRICE_WORDS, 'word')} THEN 'price-scaled' ELSE 'unclassified' END AS v FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') || {_cells('p_partkey', *(repr(x) for x in SUFFIXES))} AS s FROM part)",
+        "stamp_parse": f"SELECT event_id AS id, ({_cells('event_id', 'm', 'd', 'NULL', 'm', 'NULL')})::TIMESTAMP AS v, event_id % 5 = 1 AS date_only FROM (SELECT event_id, date_trunc('minute', ts) AS m, date_trunc('day', ts) AS d FROM events)",
+        "portfolio_equity": f"WITH {_all_as_one(PNL)} SELECT trade_id, seq, {_r('eq', 'dd', digits=4)} FROM ed",
+        "portfolio_episodes": f"WITH {_all_as_one(EPS)} SELECT peak_i, trough_i, recovery_i, round(depth, 4) AS depth FROM ep",
         "histogram_view": f"WITH {EPS}, x AS (SELECT strategy_id, -depth AS x FROM ep), b AS (SELECT strategy_id, min(x) AS lo, max(x) AS hi FROM x GROUP BY 1) SELECT strategy_id, CASE WHEN hi > lo THEN least(29, CAST(floor(30 * (x - lo) / (hi - lo)) AS BIGINT)) ELSE 0 END::INTEGER AS bin, round(min(lo) + (CASE WHEN hi > lo THEN least(29, CAST(floor(30 * (x - lo) / (hi - lo)) AS BIGINT)) ELSE 0 END) * (min(hi) - min(lo)) / 30, 4) AS lower, count(*) AS n FROM x JOIN b USING (strategy_id) GROUP BY strategy_id, 2, hi, lo, CASE WHEN hi > lo THEN least(29, CAST(floor(30 * (x - lo) / (hi - lo)) AS BIGINT)) ELSE 0 END",
     }

@@ -6,14 +6,20 @@ are summed to blocks once, the blocks to one number a window, and draws run over
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.semantics import p_from_counts, uniform
 from evidex.operators.grid import WINDOW, neighbours, pool, sides, top_k
-from evidex.session import spread
+from evidex.session import ship, spread
 
 BLOCK = 21
+#: Cells of a project that all draws meet under one key.
+CELLS = 64
+#: Draws whose paths are in memory at once.
+DRAWS = 256
 
 
 def region(pairs: DataFrame, combos: DataFrame) -> DataFrame:
@@ -98,17 +104,77 @@ def lift_draws(r: DataFrame, blocks: DataFrame, weights: DataFrame) -> DataFrame
     return n.join(sd, WINDOW).select(*WINDOW, "draw", F.coalesce(F.try_divide("s", "oos_sd"), F.lit(0.0)).alias("null_lift"))
 
 
-def surface_draws(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+def cell_blocks(draws: DataFrame, cells: DataFrame, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Draws (project, window, draw, ..), once for each block of cells of their window, and cells (project, window, combo_id, ..)
+    with their block, as `cells_`: a key under which all draws meet one block, so that tasks grow with a project's cells."""
+    size = size or CELLS
+    last = cells.groupBy(*WINDOW).agg(F.floor(F.max("combo_id") / size).cast("int").alias("last_"))
+    d = spread(draws.join(last, WINDOW), *WINDOW, "draw").withColumn("cells_", F.explode(F.sequence(F.lit(0), F.col("last_")))).drop("last_")
+    return d, cells.withColumn("cells_", F.floor(F.col("combo_id") / size).cast("int"))
+
+
+def by_cell_blocks(draws: DataFrame, cells: DataFrame, size: int | None = None) -> DataFrame:
+    """Every draw beside every cell of its window."""
+    d, c = cell_blocks(draws, cells, size)
+    return d.join(c, [*WINDOW, "cells_"]).drop("cells_")
+
+
+def weight_arrays(weights: DataFrame) -> DataFrame:
+    """(project, window, draw, w): a draw's weights by block."""
+    return weights.groupBy(*WINDOW, "draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "weight"))), lambda x: x["weight"]).alias("w"))
+
+
+def surface_draws(blocks: DataFrame, weights: DataFrame, size: int | None = None) -> DataFrame:
     """(project, window, draw, combo_id, y): whole out-of-sample net profit surfaces under a null.
 
     A draw's weights and a combination's deviations are arrays by block, so a value is one product of arrays."""
     n = n_blocks(blocks)
     dev = blocks.groupBy(*WINDOW, "combo_id").agg(F.sum("common").alias("c"), F.map_from_entries(F.collect_list(F.struct("block", "dev"))).alias("dev")).join(n, WINDOW)
     dev = dev.select(*WINDOW, "combo_id", "c", F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.coalesce(F.try_element_at("dev", b), F.lit(0.0))).alias("dev"))
-    w = weights.groupBy(*WINDOW, "draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "weight"))), lambda x: x["weight"]).alias("w"))
-    w = spread(w, *WINDOW, "draw")
     s = F.aggregate(F.zip_with("w", "dev", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return w.join(dev, WINDOW).select(*WINDOW, "draw", "combo_id", (F.col("c") + s).alias("y"))
+    return by_cell_blocks(weight_arrays(weights), dev, size).select(*WINDOW, "draw", "combo_id", (F.col("c") + s).alias("y"))
+
+
+def path_metric(m: np.ndarray, dev: np.ndarray, block: np.ndarray, weights: np.ndarray, metric: str) -> np.ndarray:
+    """The metric of one combination's path for each draw; NaN where it has none. m, dev and block by day, weights by draw and block."""
+    out = np.empty(len(weights))
+    for at in range(0, len(weights), DRAWS):
+        path = np.cumsum(m + weights[at : at + DRAWS, block] * dev, axis=1)
+        out[at : at + DRAWS] = path[:, -1]
+        if metric != "NP":
+            top = np.maximum(np.maximum.accumulate(path, axis=1), 0.0)
+            dd = (path - top).mean(axis=1)
+            out[at : at + DRAWS] = np.divide(path[:, -1], -dd, out=np.full(len(dd), np.nan), where=dd < 0)
+    return out
+
+
+def path_draws(daily: DataFrame, windows: DataFrame, weights: DataFrame, metric: str = "NPAvgDD", block: int = BLOCK, size: int | None = None) -> DataFrame:
+    """(project, window, draw, combo_id, y): surfaces of a path metric under sign flips, NULL where a path is never below its peak.
+
+    A combination's days are one array of the grid's mean and the deviation from it; a draw gives each block of days its
+    sign. All draws and one block of cells at a time, paths are rebuilt and folded as NumPy arrays: a value for each draw and
+    cell leaves the task, no day does. (As a fold in SQL functions the same takes 200 times as long.)
+    """
+    ship(daily.sparkSession)
+    d = sides(daily, windows).where("side = 'oos'").join(windows.select(*WINDOW, F.col("oos_first").alias("f_")), WINDOW)
+    mean = d.groupBy(*WINDOW, "day_idx").agg(F.avg("pnl").alias("m"))
+    d = d.join(mean, [*WINDOW, "day_idx"]).withColumn("block", F.floor((F.col("day_idx") - F.col("f_")) / block).cast("int"))
+    day = F.struct("day_idx", "block", "m", (F.col("pnl") - F.col("m")).alias("dev"))
+    cells = d.groupBy(*WINDOW, "combo_id").agg(F.array_sort(F.collect_list(day)).alias("days"))
+    cells = cells.select(*WINDOW, "combo_id", "days.block", "days.m", "days.dev")
+    draws, cells = cell_blocks(weight_arrays(weights), cells, size)
+
+    def values(key: tuple[pa.Scalar, ...], some: pa.Table, cell: pa.Table) -> pa.Table:
+        n, ids = some.column("draw").to_numpy(), cell.column("combo_id").to_numpy()
+        w = np.array(some.column("w").to_pylist(), float) if len(n) else np.empty((0, 0))
+        y = [path_metric(*(np.array(r[c]) for c in ("m", "dev", "block")), w, metric) for r in cell.select(["m", "dev", "block"]).to_pylist()] if len(n) else []
+        y = np.concatenate(y) if y else np.empty(0)
+        rows = len(y)
+        return pa.table([pa.array([key[0].as_py()] * rows, pa.string()), pa.array([key[1].as_py()] * rows, pa.int32()), pa.array(np.tile(n, len(ids))[:rows], pa.int32()), pa.array(np.repeat(ids, len(n))[:rows], pa.int32()), pa.array(y, pa.float64(), mask=np.isnan(y))], ["project", "window", "draw", "combo_id", "y"])
+
+    by = [*WINDOW, "cells_"]
+    cells = cells.select(*(F.col(c).alias(f"{c}_") for c in by), "combo_id", "block", "m", "dev")
+    return draws.groupBy(*by).cogroup(cells.groupBy(*(f"{c}_" for c in by))).applyInArrow(values, "project string, window int, draw int, combo_id int, y double")
 
 
 def precision_draws(r: DataFrame, draws: DataFrame, combos: DataFrame) -> DataFrame:

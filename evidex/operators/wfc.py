@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.semantics import avg_rank, corr0, p_from_counts, uniform
 from evidex.operators.grid import WINDOW, neighbours
+from evidex.operators.region import by_cell_blocks
 from evidex.session import spread
 
 NULLS = ("signflip", "torus")
@@ -179,7 +180,7 @@ def reality_check(daily: DataFrame, picks: DataFrame, n_boot: int = 500, mean_bl
     blocks = bootstrap_blocks(n, n_boot, mean_block, seed, draw).groupBy(*WINDOW, "draw").agg(F.collect_list(F.struct("start", "days")).alias("blocks"))
     until = lambda at: F.when(at <= F.col("n"), F.get("run", at)).otherwise(F.get("run", F.col("n")) + F.get("run", at - F.col("n")))
     m = F.aggregate("blocks", F.lit(0.0), lambda a, x: a + until(x["start"] + x["days"]) - F.get("run", x["start"])) / F.col("n")
-    top = spread(blocks, *WINDOW, "draw").join(series, WINDOW).groupBy(*WINDOW, "draw").agg(F.max(m).alias("null_max"))
+    top = by_cell_blocks(blocks, series).groupBy(*WINDOW, "draw").agg(F.max(m).alias("null_max"))
     best = means.groupBy(*WINDOW).agg(F.max("f").alias("best_mean"), F.max_by("combo_id", F.struct("f", -F.col("combo_id"))).alias("best_index"))
     own = picks.select(*WINDOW, F.col("pick").alias("combo_id")).join(means, [*WINDOW, "combo_id"]).select(*WINDOW, F.col("f").alias("pick_mean"))
     a = top.join(best, WINDOW).join(own, WINDOW, "left").join(n, WINDOW)

@@ -103,7 +103,7 @@ def run(combos: DataFrame, daily: DataFrame, exits: DataFrame, days: DataFrame,
     if null == "torus":
         draws = W.torus_draws(pairs, combos, G.shape(combos), n_null, seed)
     elif draws is None:
-        draws = path_draws(daily, windows, signs, metric, block)
+        draws = R.path_draws(daily, windows, signs, metric, block)
     rho = cut(W.spearman_draws(pairs, draws))
     corr = cut(W.correlations(pairs))
     in_sample = G.sides(daily, windows.where("complete")).where("side = 'is'").join(windows.select(*G.WINDOW, F.col("is_first").alias("f_")), G.WINDOW)
@@ -133,17 +133,3 @@ def run_facts(combos: DataFrame, days: DataFrame, windows: DataFrame) -> DataFra
     d = days.groupBy("project").agg(F.count("*").alias("n_days"), F.min("date").alias("dates_start"), F.max("date").alias("dates_end"))
     w = windows.groupBy("project").agg(F.count("*").alias("n_windows"), F.count_if("complete").alias("n_complete"))
     return axes.join(d, "project").join(w, "project", "left").withColumn("region_k", G.region_size(F.col("n_iter")))
-
-
-def path_draws(daily: DataFrame, windows: DataFrame, signs: DataFrame, metric: str, block: int = R.BLOCK) -> DataFrame:
-    """(project, window, draw, combo_id, y): surfaces of a path metric under sign flips; the days are rebuilt, draw by draw, and their drawdowns taken."""
-    from pyspark.sql import Window
-
-    d = G.sides(daily, windows).where("side = 'oos'").join(windows.select(*G.WINDOW, F.col("oos_first").alias("f_")), G.WINDOW)
-    mean = F.avg("pnl").over(Window.partitionBy(*G.WINDOW, "day_idx"))
-    d = d.withColumns({"m": mean, "block": F.floor((F.col("day_idx") - F.col("f_")) / block).cast("int")})
-    e = d.join(signs, [*G.WINDOW, "block"]).withColumn("v", F.col("m") + F.col("weight") * (F.col("pnl") - F.col("m")))
-    w = Window.partitionBy(*G.WINDOW, "draw", "combo_id").orderBy("day_idx").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("eq", F.sum("v").over(w)).withColumn("dd", F.col("eq") - F.greatest(F.lit(0.0), F.max("eq").over(w)))
-    a = e.groupBy(*G.WINDOW, "draw", "combo_id").agg(F.sum("v").alias("np"), F.avg("dd").alias("dd"))
-    return a.select(*G.WINDOW, "draw", "combo_id", F.col("np").alias("y") if metric == "NP" else F.when(F.col("dd") < 0, F.try_divide("np", -F.col("dd"))).alias("y"))

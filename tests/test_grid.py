@@ -77,6 +77,34 @@ def test_flips_and_picks_by_hand(spark):
         R.block_sums(daily(spark, rows), whole(spark, 4), 0)
 
 
+@pytest.mark.parametrize("size", [1, 2, 64])
+def test_paths_and_surfaces_of_draws_by_hand(spark, size):
+    """Three cells over seven days in blocks of three: each draw's path is rebuilt day by day; blocks of cells don't matter."""
+    pnl = {0: [5, -2, 0, 1, 1, -9, 4], 1: [0, 0, 0, 0, 0, 0, 0], 2: [1, 2, 3, -4, 0, 6, 2]}
+    mean = [sum(pnl[c][k] for c in pnl) / 3 for k in range(7)]
+    daily = spark.createDataFrame([("p", c, k + 2, float(x)) for c, xs in pnl.items() for k, x in enumerate(xs)], "project string, combo_id int, day_idx int, pnl double")
+    daily = daily.withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day_idx")))
+    windows = spark.createDataFrame([("p", 1, 0, 1, 2, 8)], "project string, window int, is_first int, is_last int, oos_first int, oos_last int")
+    signs = {0: [1, 1, 1], 1: [-1, 1, -1], 2: [-1, -1, -1]}
+    weights = spark.createDataFrame([("p", 1, d, b, float(w)) for d, ws in signs.items() for b, w in enumerate(ws)], "project string, window int, draw int, block int, weight double")
+    want_path, want_np = {}, {}
+    for d, ws in signs.items():
+        for c, xs in pnl.items():
+            eq = top = low = 0.0
+            for k, x in enumerate(xs):
+                eq += mean[k] + ws[k // 3] * (x - mean[k])
+                top = max(top, eq)
+                low += eq - top
+            want_np[d, c] = eq
+            want_path[d, c] = eq / (-low / 7) if low < -1e-12 else None
+    got = {(r.draw, r.combo_id): r.y for r in R.path_draws(daily, windows, weights, "NPAvgDD", 3, size).collect()}
+    assert got.keys() == want_path.keys()
+    assert all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in want_path.items() if v is None or abs(v) < 1e9)
+    flat = {(r.draw, r.combo_id): r.y for r in R.path_draws(daily, windows, weights, "NP", 3, size).collect()}
+    whole = {(r.draw, r.combo_id): r.y for r in R.surface_draws(R.block_sums(daily, windows, 3), weights, size).collect()}
+    assert flat == pytest.approx(want_np) and whole == pytest.approx(want_np)
+
+
 def test_distinct_patterns_and_reading(spark):
     d = daily(spark, [[1, 2], [1.001, 2.004], [1, 3], [-0.0, 0.0], [0.0, 0.0]])
     assert R.distinct_patterns(d, whole(spark, 2)).first().n_distinct == 3
