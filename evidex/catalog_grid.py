@@ -199,6 +199,14 @@ def _grid_block_scan(i: Inputs) -> DataFrame:
     return rounded(c.join(days, "combo_id").join(exits, "combo_id", "left"))
 
 
+def _base_setting(i: Inputs) -> DataFrame:
+    """The recommended setting; arrays as text."""
+    b = K.base_setting(i.daily, i.days, i.windows, i.combos, cut(i.verdict.select("project", "reading")), "two")
+    whole = lambda c: F.array_join(F.col(c).cast("array<int>").cast("array<string>"), " ")
+    ranges = F.array_join(F.transform("ranges", lambda r: F.concat_ws(":", r["axis"].cast("string"), r["lo"].cast("int").cast("string"), r["hi"].cast("int").cast("string"))), " ")
+    return b.withColumns({"members": whole("members"), "pick_params": whole("pick_params"), "ranges": ranges, "n_basis_days": F.col("n_basis_days").cast("bigint")})
+
+
 #: Projects of the schedule check; each but the first contradicts its grid in one way.
 CONTRADICTIONS = ("none", "names", "iterations", "hole", "pick", "windows", "fitness")
 
@@ -260,8 +268,8 @@ def queries() -> dict:
         "ridge_component": lambda i: i.ridge,
         "ridge_overlap": lambda i: rounded(R.ridge_overlap(i.region, i.ridge, K.ridges(i.region, i.combos, "y_pooled"), i.combos)),
         "medoid_centre": lambda i: i.centres,
-        "ensemble": lambda i: K.ensembles(i.region, i.ridge, i.centres, i.combos, "x_pooled"),
-        "base_setting": lambda i: K.base_setting(i.daily, i.days, i.windows, i.combos, cut(i.verdict.select("project", "reading")), "two"),
+        "ensemble": lambda i: K.ensembles(i.region, i.ridge, i.centres, i.combos, "x_pooled").withColumn("members", F.array_join(F.col("members").cast("array<string>"), " ")),
+        "base_setting": _base_setting,
         "ols_line_view": lambda i: rounded(views.ols_line(i.pairs, G.WINDOW, "x", "y")),
         "rolling_view": lambda i: rounded(views.ranked_profile(i.pairs, G.WINDOW)),
         "outline_view": _outline,
@@ -372,6 +380,24 @@ lb{k} AS (SELECT w, a, min(z) AS root FROM rc{k} GROUP BY 1, 2), sz{k} AS (SELEC
 
 COMP = REGION + _ridge("x_pooled")
 
+#: The centre of each ridge, as table ct.
+MEDOID = """, m AS (SELECT rdg."window", avg(pa) AS ma, avg(pb) AS mb, count(*) AS n FROM rdg JOIN cb USING (combo_id) GROUP BY 1),
+d AS (SELECT rdg."window", rdg.combo_id, round_even(sqrt(pow(pa - ma, 2) + pow(pb - mb, 2)), 9) AS dist, x_pooled FROM rdg JOIN cb USING (combo_id) JOIN m ON m."window" = rdg."window" JOIN rg ON rg."window" = rdg."window" AND rg.combo_id = rdg.combo_id), k1 AS (SELECT "window", first(combo_id ORDER BY dist, x_pooled DESC, combo_id) AS medoid FROM d GROUP BY 1),
+ct AS (SELECT m."window", n AS n_cells, CASE WHEN n < 3 THEN p.combo_id ELSE medoid END AS centre, n < 3 AS is_peak, p.combo_id AS peak FROM m JOIN k1 ON k1."window" = m."window" JOIN rg p ON p."window" = m."window" AND p.place = 1)"""
+#: Members spread over each ridge, chosen one a step, as table es.
+SPREAD = """, cl AS (SELECT r."window", r.combo_id, any_value(c.pa) AS pa, any_value(c.pb) AS pb, any_value(g.x_pooled) AS v, bool_and(x.combo_id IS NOT NULL) AS inner_ FROM rdg r JOIN cb c ON c.combo_id = r.combo_id JOIN rg g ON g."window" = r."window" AND g.combo_id = r.combo_id JOIN nb ON nb.combo_id = r.combo_id LEFT JOIN rdg x ON x."window" = r."window" AND x.combo_id = nb.near GROUP BY 1, 2),
+fc AS (SELECT "window", greatest(1, least(4, count(*) // 3)) AS most, CASE WHEN bool_or(inner_) THEN 2 ELSE 1 END AS gap, bool_or(inner_) AS interior FROM cl GROUP BY 1),
+gr(w, ms) AS (SELECT ct."window", [{'i': combo_id, 'a': pa, 'b': pb}] FROM ct JOIN cb ON cb.combo_id = ct.centre UNION ALL
+  SELECT w, list_append(ms, best) FROM (SELECT gr.w, any_value(gr.ms) AS ms, first({'i': cl.combo_id, 'a': cl.pa, 'b': cl.pb} ORDER BY inner_ DESC, v DESC, cl.combo_id) AS best FROM gr JOIN fc ON fc."window" = gr.w JOIN cl ON cl."window" = gr.w WHERE len(ms) < most AND len(list_filter(ms, lambda m: greatest(abs(m.a - cl.pa), abs(m.b - cl.pb)) < gap)) = 0 GROUP BY gr.w)),
+es AS (SELECT w AS "window", arg_max(ms, len(ms)) AS ms FROM gr GROUP BY 1)"""
+#: The surface of the last window's days, both sides, with its neighbourhood means, as table rg.
+BASIS_REGION = (
+    TWO
+    + NEAR
+    + """, bd AS (SELECT dy.* FROM dy JOIN wn ON day_idx BETWEEN is_first AND is_last OR day_idx BETWEEN oos_first AND oos_last WHERE wn."window" = (SELECT max("window") FROM wn)),
+bx AS (SELECT combo_id, sum(pnl) AS x FROM gd JOIN bd USING (day_idx) GROUP BY 1), rg AS (SELECT 1 AS "window", b.combo_id, b.x, p.x_pooled, row_number() OVER (ORDER BY x_pooled DESC, b.combo_id) AS place FROM bx b JOIN (SELECT nb.combo_id, avg(x) AS x_pooled FROM nb JOIN bx ON bx.combo_id = nb.near GROUP BY 1) p ON p.combo_id = b.combo_id)"""
+)
+
 
 def _r(*cols: str, digits: int = 6) -> str:
     return ", ".join(f"round(({c.split(' AS ')[0]})::DOUBLE, {digits}) AS {c.split(' AS ')[-1]}" for c in cols)
@@ -385,6 +411,10 @@ def oracle_sql() -> dict[str, str]:
     corr_cols = f'n_points, {_r("spearman", "pearson", digits=9)}, n_pos_is, {_r("pos_oos_frac", digits=9)}, n_points < 8 OR n_pos_is < 4 AS insufficient'
     back = f"WITH {TRADES} SELECT strategy_id::VARCHAR AS file, trade_id, direction, entry_time, exit_time, contracts::INTEGER AS contracts, gross_pnl, round(gross_pnl - 2 * (2.2 + 0.5::DOUBLE), 2) AS net_pnl FROM t"
     checks = "(VALUES " + ", ".join(f"('{n}', '{s}', '{k}')" for n, s, k in (("param_names_match", "error", "names"), ("iteration_count", "error", "iterations"), ("full_grid", "warn", "hole"), ("picks_on_grid", "error", "pick"), ("windows_present", "error", "windows"), ("fitness_supported", "warn", "fitness"))) + ") c(name, severity, broken_by)"
+    verdict = f"""WITH {BOOT}, dp AS (SELECT "window", count(DISTINCT s) AS nd FROM (SELECT "window", combo_id, list(round_even(pnl, 2) ORDER BY day_idx) AS s FROM ds WHERE side = 'oos' GROUP BY 1, 2) GROUP BY 1),
+v AS (SELECT {pooled("fd")} AS p1, {pooled("bd")} AS p2, (SELECT avg(rm) FROM li) AS r, (SELECT avg(gm) FROM li) AS g, (SELECT quantile_cont(nd, 0.5) FROM dp) >= 2 * (SELECT min(k) FROM li) AS sc),
+w AS (SELECT *, CASE WHEN NOT sc THEN 'plateau' WHEN p1 < 0.05 AND r > 0 THEN 'edge' WHEN p1 < 0.05 THEN 'loser' WHEN g > 0 THEN 'plateau' ELSE 'noise' END AS reading FROM v)
+SELECT 'P1' AS project, {_r("p1 AS p_lift", "p2 AS p_boot")}, reading, CASE reading WHEN 'edge' THEN 'pass' WHEN 'plateau' THEN 'plateau' ELSE 'fail' END AS gate, (p1 < 0.05) <> (p2 < 0.05) AS disagree FROM w"""
     return {
         "report_block_scan": back,
         "grid_block_scan": f"""WITH {CELLS}, dt AS (SELECT combo_id, count(*) AS n_days, min(date) AS first_date, max(date) AS last_date, sum(pnl) AS total FROM gd GROUP BY 1), xt AS (SELECT combo_id, count(*) AS n_exits FROM ln JOIN cb USING (a, b) GROUP BY 1)
@@ -414,10 +444,7 @@ SELECT 'P1' AS project, o."window", round(CASE WHEN min(nd) >= 2 * min(k) THEN s
 SELECT 'P1' AS project, st."window", draw::INTEGER AS draw, round(sum((r <= k AND place <= k)::INT)::DOUBLE / min(k), 6) AS null_precision FROM st JOIN rg ON rg."window" = st."window" AND rg.combo_id = st.combo_id GROUP BY 2, 3""",
         "pvalues_window": f"WITH {FLIP} SELECT 'P1' AS project, li.\"window\", {_r('lift')}, round({pcol('null_lift', 'lift')}, 6) AS p FROM fd JOIN li ON li.\"window\" = fd.\"window\" GROUP BY li.\"window\", lift",
         "pvalues_pooled": f"WITH {FLIP} SELECT 'P1' AS project, round(avg(lift), 6) AS lift, round({pooled('fd')}, 6) AS p FROM li",
-        "verdict_matrix": f"""WITH {BOOT}, dp AS (SELECT "window", count(DISTINCT s) AS nd FROM (SELECT "window", combo_id, list(round_even(pnl, 2) ORDER BY day_idx) AS s FROM ds WHERE side = 'oos' GROUP BY 1, 2) GROUP BY 1),
-v AS (SELECT {pooled("fd")} AS p1, {pooled("bd")} AS p2, (SELECT avg(rm) FROM li) AS r, (SELECT avg(gm) FROM li) AS g, (SELECT quantile_cont(nd, 0.5) FROM dp) >= 2 * (SELECT min(k) FROM li) AS sc),
-w AS (SELECT *, CASE WHEN NOT sc THEN 'plateau' WHEN p1 < 0.05 AND r > 0 THEN 'edge' WHEN p1 < 0.05 THEN 'loser' WHEN g > 0 THEN 'plateau' ELSE 'noise' END AS reading FROM v)
-SELECT 'P1' AS project, {_r("p1 AS p_lift", "p2 AS p_boot")}, reading, CASE reading WHEN 'edge' THEN 'pass' WHEN 'plateau' THEN 'plateau' ELSE 'fail' END AS gate, (p1 < 0.05) <> (p2 < 0.05) AS disagree FROM w""",
+        "verdict_matrix": verdict,
         "pick_percentiles": f"WITH {REGION}{PICK}, pc AS (SELECT \"window\", 'best_is' AS rule, pick AS c FROM pk UNION ALL SELECT \"window\", 'best_pooled', combo_id FROM rg WHERE place = 1) SELECT 'P1' AS project, pc.\"window\", rule, round(avg((o.y < m.y)::INT) * 100, 6) AS pct FROM pc JOIN pr m ON m.\"window\" = pc.\"window\" AND m.combo_id = c JOIN pr o ON o.\"window\" = pc.\"window\" GROUP BY 2, 3",
         "spearman_wfc": f"WITH {PAIRS}{VALID}{CORR} SELECT 'P1' AS project, \"window\", {corr_cols} FROM co",
         "wfc_npavgdd_holes": f"WITH {HOLES}{VALID}{CORR} SELECT 'P1' AS project, \"window\", {corr_cols} FROM co",
@@ -453,9 +480,15 @@ dm AS (SELECT d."window", tm.draw, d.combo_id, sum((d.pnl - me.f) * times) / min
 be AS (SELECT "window", max(f) AS bf, first(combo_id ORDER BY f DESC, combo_id) AS bi FROM me GROUP BY 1), pm AS (SELECT pk."window", f AS pf FROM pk JOIN me ON me."window" = pk."window" AND me.combo_id = pick)
 SELECT 'P1' AS project, mx."window", (SELECT (hi - lo + 1)::INTEGER FROM sd WHERE side = 'is' AND sd."window" = mx."window") AS n_days, min(bi) AS best_index, round(min(bf), 6) AS best_mean, round(min(pf), 6) AS pick_mean, round({pcol("nm", "bf")}, 6) AS p_best, round({pcol("nm", "pf")}, 6) AS p_pick FROM mx JOIN be ON be."window" = mx."window" JOIN pm ON pm."window" = mx."window" GROUP BY 2""",
         "ridge_component": f"WITH RECURSIVE {COMP} SELECT 'P1' AS project, \"window\", combo_id FROM rdg",
-        "medoid_centre": f"""WITH RECURSIVE {COMP}, m AS (SELECT rdg."window", avg(pa) AS ma, avg(pb) AS mb, count(*) AS n FROM rdg JOIN cb USING (combo_id) GROUP BY 1),
-d AS (SELECT rdg."window", rdg.combo_id, round_even(sqrt(pow(pa - ma, 2) + pow(pb - mb, 2)), 9) AS dist, x_pooled FROM rdg JOIN cb USING (combo_id) JOIN m ON m."window" = rdg."window" JOIN rg ON rg."window" = rdg."window" AND rg.combo_id = rdg.combo_id), k1 AS (SELECT "window", first(combo_id ORDER BY dist, x_pooled DESC, combo_id) AS medoid FROM d GROUP BY 1)
-SELECT 'P1' AS project, m."window", n AS n_cells, CASE WHEN n < 3 THEN p.combo_id ELSE medoid END AS centre, n < 3 AS is_peak, p.combo_id AS peak FROM m JOIN k1 ON k1."window" = m."window" JOIN rg p ON p."window" = m."window" AND p.place = 1""",
+        "medoid_centre": f"WITH RECURSIVE {COMP}{MEDOID} SELECT 'P1' AS project, * FROM ct",
+        "ensemble": f"""WITH RECURSIVE {COMP}{MEDOID}{SPREAD} SELECT 'P1' AS project, es."window", array_to_string(list_transform(ms, lambda m: m.i), ' ') AS members, gap::INTEGER AS spacing, interior FROM es JOIN fc ON fc."window" = es."window\"""",
+        "base_setting": f"""WITH RECURSIVE {BASIS_REGION}{_ridge("x_pooled")}{MEDOID}{SPREAD}, f5 AS (SELECT combo_id, pa, pb FROM rg JOIN cb USING (combo_id) ORDER BY x DESC, combo_id LIMIT 5),
+f5m AS (SELECT avg(pa) AS ma, avg(pb) AS mb FROM f5), fr(i) AS (SELECT min(combo_id) FROM f5 UNION SELECT n.combo_id FROM fr JOIN f5 m ON m.combo_id = fr.i JOIN f5 n ON abs(m.pa - n.pa) <= 1 AND abs(m.pb - n.pb) <= 1),
+rd AS (SELECT reading FROM ({verdict})), rn AS (SELECT min(a) AS a1, max(a) AS a2, min(b) AS b1, max(b) AS b2 FROM rdg JOIN cb USING (combo_id)), pk AS (SELECT CASE WHEN reading = 'edge' THEN peak ELSE centre END AS pick FROM ct CROSS JOIN rd)
+SELECT 'P1' AS project, n_cells, centre, is_peak, peak, (SELECT min(date) FROM bd) AS basis_start, (SELECT max(date) FROM bd) AS basis_end, (SELECT count(*) FROM bd) AS n_basis_days,
+  array_to_string(list_transform(ms, lambda m: m.i), ' ') AS members, gap::INTEGER AS spacing, interior, '0:' || a1 || ':' || a2 || ' 1:' || b1 || ':' || b2 AS ranges, (SELECT first(combo_id ORDER BY sqrt(pow(pa - ma, 2) + pow(pb - mb, 2)), combo_id) FROM cb CROSS JOIN f5m) AS five_best_centre,
+  (SELECT count(*) FROM fr) = (SELECT count(*) FROM f5) AS five_best_connected, reading, pick, CASE WHEN reading = 'edge' THEN 'pooled peak' ELSE 'centre' END AS pick_rule, CASE reading WHEN 'edge' THEN 'supported' WHEN 'plateau' THEN 'low stakes' ELSE 'none' END AS confidence,
+  (SELECT a || ' ' || b FROM cb WHERE combo_id = pick) AS pick_params FROM ct CROSS JOIN es CROSS JOIN fc CROSS JOIN rn CROSS JOIN rd CROSS JOIN pk""",
         "ols_line_view": f"WITH {PAIRS} SELECT 'P1' AS project, \"window\", {_r('regr_slope(y, x) AS slope', 'regr_intercept(y, x) AS intercept', 'min(x) AS x_min', 'max(x) AS x_max')} FROM pr GROUP BY 2",
         "rolling_view": f"""WITH {PAIRS}{VALID}, p AS (SELECT "window", combo_id, row_number() OVER (PARTITION BY "window" ORDER BY x DESC, combo_id) AS place, (rx - 1) / greatest(1, count(*) OVER (PARTITION BY "window") - 1) * 100.0 AS x_pct, (ry - 1) / greatest(1, count(*) OVER (PARTITION BY "window") - 1) * 100.0 AS y_pct FROM ({_ranks("vp", '"window"', "x", "y")}))
 SELECT 'P1' AS project, "window", combo_id, place::INTEGER AS place, {_r("x_pct", "y_pct")}, round(avg(y_pct) OVER (PARTITION BY "window" ORDER BY place ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS rolling FROM p""",

@@ -1,7 +1,7 @@
 """Connected areas of a surface, their centre, spread members, and the recommended base setting.
 
-A surface is one group of a few hundred to a few thousand cells and never spans groups, so each is handled by a grouped
-Pandas function; projects and windows are spread over the cluster.
+A surface is cut into tiles, small groups in which a Pandas function finds areas; areas that touch across tiles are then
+joined as rows, so that a surface of any size is many tasks. All else is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.operators.grid import WINDOW, neighbours, pool, top_k
 from evidex.session import cut, ship
 
 CENTRE_MIN_CELLS, ENSEMBLE_MAX, CELLS_PER_MEMBER, FIVE_BEST, Q_TOP = 3, 4, 3, 5, 0.2
+#: Cells of a tile, about; its side is the root of it, by the number of axes.
+TILE_CELLS = 4096
 
 
 def labels(cells: list[tuple[int, ...]]) -> np.ndarray:
@@ -36,24 +38,65 @@ def labels(cells: list[tuple[int, ...]]) -> np.ndarray:
     return low
 
 
-def largest(cells: list[tuple[int, ...]]) -> np.ndarray:
-    """Which cells are in the largest connected area, the one with the least index among equals."""
-    low = labels(cells)
-    return low == np.bincount(low).argmax() if len(low) else low.astype(bool)
+def steps_apart(a: Column, b: Column) -> Column:
+    """The greatest distance of two positions on any axis."""
+    return F.coalesce(F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))), F.lit(0))
 
 
-def ridges(surface: DataFrame, combos: DataFrame, value: str, keys: list[str] = WINDOW, q: float = Q_TOP) -> DataFrame:
-    """(keys, combo_id): the largest connected area of cells at or above the surface's (1 - q) quantile."""
-    ship(surface.sparkSession)
-    edge = surface.groupBy(*keys).agg(F.percentile(value, 1 - q).alias("edge"))
-    top = surface.join(edge, keys).where(F.col(value) >= F.col("edge")).join(combos.select("project", "combo_id", "pos"), ["project", "combo_id"]).select(*keys, "combo_id", "pos")
+def areas(cells: DataFrame, keys: list[str] = WINDOW, tile_cells: int | None = None) -> DataFrame:
+    """(keys, combo_id, root) of cells (keys, combo_id, pos): root is the least combo_id that a cell reaches by steps of one on
+    every axis. Tiles are labelled one by one; labels that meet across tiles are joined, and roots passed on until none
+    changes, about the logarithm of the longest chain of tiles."""
+    ship(cells.sparkSession)
+    size = float(tile_cells or TILE_CELLS)
+    tile = F.transform("pos", lambda p: F.floor(p / _side(size)).cast("int"))
+    tiled = cells.select(*keys, "combo_id", F.transform("pos", lambda p: p.cast("int")).alias("pos")).withColumn("tile", tile)
 
-    def area(p: pd.DataFrame) -> pd.DataFrame:
+    def label(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("combo_id")
-        return p[largest([tuple(map(int, c)) for c in p["pos"]])][[*keys, "combo_id"]]
+        ids = p["combo_id"].to_numpy()
+        return p[[*keys, "combo_id"]].assign(pos=p["pos"], tile=p["tile"], root=ids[labels([tuple(map(int, c)) for c in p["pos"]])])
+
+    kinds = dict(tiled.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "combo_id", "pos", "tile"]) + f", root {kinds['combo_id']}"
+    local = cut(tiled.groupBy(*keys, "tile").applyInPandas(label, schema))
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in _offsets(local)))
+    # Only cells at the rim of their tile can touch another one.
+    near = local.withColumn("step", F.explode(steps)).select(*keys, F.col("root").alias("a"), F.col("tile").alias("from_tile"), F.zip_with("pos", F.slice("step", F.lit(1), F.size("pos")), lambda x, y: x + y).alias("pos"))
+    near = near.where(tile != F.col("from_tile"))
+    touch = cut(near.join(local.select(*keys, "pos", F.col("root").alias("b")), [*keys, "pos"]).select(*keys, "a", "b").where("a <> b").distinct())
+    if touch.isEmpty():
+        return local.select(*keys, "combo_id", "root")
+    at = touch.select(*keys, "a").distinct().withColumn("up", F.col("a"))
+    while True:
+        low = touch.join(at.select(*keys, F.col("a").alias("b"), F.col("up").alias("other")), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("other").alias("other"))
+        new = at.join(low, [*keys, "a"]).select(*keys, "a", F.least("up", "other").alias("to"), "up")
+        new = new.join(at.select(*keys, F.col("a").alias("to"), F.col("up").alias("further")), [*keys, "to"], "left").select(*keys, "a", F.least("to", F.coalesce("further", "to")).alias("up"), F.col("up").alias("was"))
+        new = cut(new)
+        at = new.drop("was")
+        if new.where("up <> was").isEmpty():
+            break
+    return local.join(at.withColumnRenamed("a", "root"), [*keys, "root"], "left").select(*keys, "combo_id", F.coalesce("up", "root").alias("root"))
+
+
+def _offsets(cells: DataFrame) -> list[tuple[int, ...]]:
+    """All steps of one on every axis, for the most axes that cells have."""
+    axes = cells.agg(F.max(F.size("pos"))).first()[0] or 1
+    return [s for s in product((-1, 0, 1), repeat=axes) if any(s)]
 
-    kinds = dict(top.dtypes)
-    return top.groupBy(*keys).applyInPandas(area, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "combo_id"]))
+
+def _side(size: float) -> Column:
+    """Of a tile of about `size` cells."""
+    return F.greatest(F.lit(1), F.floor(F.pow(F.lit(size), 1.0 / F.greatest(F.size("pos"), F.lit(1)))).cast("int"))
+
+
+def ridges(surface: DataFrame, combos: DataFrame, value: str, keys: list[str] = WINDOW, q: float = Q_TOP, tile_cells: int | None = None) -> DataFrame:
+    """(keys, combo_id): the largest connected area of cells at or above the surface's (1 - q) quantile, of equals that with the least combo_id."""
+    edge = surface.groupBy(*keys).agg(F.percentile(value, 1 - q).alias("edge"))
+    top = surface.join(edge, keys).where(F.col(value) >= F.col("edge")).join(combos.select("project", "combo_id", "pos"), ["project", "combo_id"]).select(*keys, "combo_id", "pos")
+    found = cut(areas(top, keys, tile_cells))
+    best = found.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("root"))
+    return found.join(best, [*keys, "root"]).select(*keys, "combo_id")
 
 
 def centres(surface: DataFrame, ridge: DataFrame, combos: DataFrame, value: str, keys: list[str] = WINDOW) -> DataFrame:
@@ -68,36 +111,28 @@ def centres(surface: DataFrame, ridge: DataFrame, combos: DataFrame, value: str,
     return peak.join(c.withColumn("n_cells", F.col("n_cells")), keys, "left").select(*keys, F.coalesce("n_cells", F.lit(0)).cast("bigint").alias("n_cells"), F.when(F.coalesce(few, F.lit(True)), F.col("peak")).otherwise(F.col("medoid")).alias("centre"), F.coalesce(few, F.lit(True)).alias("is_peak"), "peak")
 
 
-def spread(cells: list[int], pos: dict[int, tuple[int, ...]], value: dict[int, float], centre: int) -> tuple[list[int], int, bool]:
-    """(members, spacing, interior): cells spread over a ridge, the centre first, inner cells before edge cells, the best first."""
-    inside, every = set(cells), {p: i for i, p in pos.items()}
-    steps = [s for s in product((-1, 0, 1), repeat=len(pos[centre])) if any(s)]
-    around = {c: [every[n] for s in steps if (n := tuple(map(sum, zip(pos[c], s, strict=True)))) in every] for c in cells}
-    inner = {c for c in cells if all(n in inside for n in around[c])}
-    most, gap = max(1, min(ENSEMBLE_MAX, len(cells) // CELLS_PER_MEMBER)), 2 if inner else 1
-    members = [centre]
-    for c in sorted(cells, key=lambda c: (c not in inner, -value[c], c)):
-        if len(members) == most:
-            break
-        if all(max(abs(a - b) for a, b in zip(pos[c], pos[m], strict=True)) >= gap for m in members):
-            members.append(c)
-    return members, gap, bool(inner)
-
-
 def ensembles(surface: DataFrame, ridge: DataFrame, centre: DataFrame, combos: DataFrame, value: str, keys: list[str] = WINDOW) -> DataFrame:
-    """(keys, members, spacing, interior) of each surface."""
-    ship(surface.sparkSession)
-    d = surface.select(*keys, "combo_id", F.col(value).alias("v")).join(combos.select("project", "combo_id", "pos"), ["project", "combo_id"])
-    d = d.join(ridge.withColumn("in_", F.lit(True)), [*keys, "combo_id"], "left").join(centre.select(*keys, "centre"), keys)
-    kinds = dict(d.dtypes)
+    """(keys, members, spacing, interior): cells spread over a ridge, the centre first, inner cells before edge cells, the best first.
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        pos = {int(i): tuple(map(int, c)) for i, c in zip(p["combo_id"], p["pos"], strict=True)}
-        value = dict(zip(p["combo_id"].astype(int), p["v"].fillna(-np.inf), strict=True))
-        members, gap, interior = spread(sorted(int(i) for i in p["combo_id"][p["in_"].eq(True)]), pos, value, int(p["centre"].iloc[0]))
-        return pd.DataFrame([[*p[keys].iloc[0], members, gap, interior]], columns=[*keys, "members", "spacing", "interior"])
-
-    return d.groupBy(*keys).applyInPandas(one, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", members array<int>, spacing int, interior boolean")
+    A greedy choice of at most ENSEMBLE_MAX: what is too near to a member stays so, so each further member is the first of
+    the cells that are far enough from all members so far, one aggregate a round.
+    """
+    near = neighbours(combos, itself=False)
+    on = ridge.select(*keys, F.col("combo_id").alias("near"), F.lit(True).alias("on_"))
+    rim = ridge.join(near, ["project", "combo_id"]).join(on, [*keys, "near"], "left").where("on_ is null").select(*keys, "combo_id").distinct().withColumn("rim", F.lit(True))
+    pos = combos.select("project", "combo_id", "pos")
+    cells = ridge.join(surface.select(*keys, "combo_id", F.col(value).alias("v")), [*keys, "combo_id"]).join(pos, ["project", "combo_id"]).join(rim, [*keys, "combo_id"], "left")
+    cells = cut(cells.select(*keys, "combo_id", "pos", F.coalesce("rim", F.lit(False)).alias("rim"), F.coalesce(-F.col("v"), F.lit(float("inf"))).alias("low")))
+    facts = cells.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.col("rim")).alias("inner_"))
+    first = centre.select(*keys, F.col("centre").alias("combo_id")).join(pos, ["project", "combo_id"]).join(facts, keys, "left")
+    most = F.greatest(F.lit(1), F.least(F.lit(ENSEMBLE_MAX), F.floor(F.coalesce("n", F.lit(0)) / CELLS_PER_MEMBER).cast("int")))
+    inner = F.coalesce("inner_", F.lit(0)) > 0
+    m = cut(first.select(*keys, F.array(F.struct("combo_id", "pos")).alias("members"), most.alias("most"), F.when(inner, 2).otherwise(1).alias("spacing"), inner.alias("interior")))
+    for _ in range(ENSEMBLE_MAX - 1):
+        far = cells.join(m, keys).where((F.size("members") < F.col("most")) & F.forall("members", lambda x: steps_apart(x["pos"], F.col("pos")) >= F.col("spacing")))
+        best = far.groupBy(*keys).agg(F.min_by(F.struct("combo_id", "pos"), F.struct("rim", "low", "combo_id")).alias("best"))
+        m = cut(m.join(best, keys, "left").withColumn("members", F.when(F.col("best").isNull(), F.col("members")).otherwise(F.concat("members", F.array("best")))).drop("best"))
+    return m.select(*keys, F.transform("members", lambda x: x["combo_id"]).alias("members"), "spacing", "interior")
 
 
 def basis_days(windows: DataFrame, days: DataFrame, scheme: str) -> DataFrame:
@@ -110,6 +145,11 @@ def basis_days(windows: DataFrame, days: DataFrame, scheme: str) -> DataFrame:
     return days.join(last, "project").where("day_idx between w.is_first and w.is_last or day_idx between w.oos_first and w.oos_last").select("project", "day_idx")
 
 
+def _reached(some: Column) -> Column:
+    """The cells of the array `cells` within a step of some of them."""
+    return F.filter("cells", lambda c: F.exists(some, lambda r: steps_apart(r, c) <= 1))
+
+
 def base_setting(daily: DataFrame, days: DataFrame, windows: DataFrame, combos: DataFrame, readings: DataFrame, scheme: str) -> DataFrame:
     """A row a project: the basis, the region, its centre and ranges, the peak, the members, the five best, and the pick with its confidence.
 
@@ -130,7 +170,11 @@ def base_setting(daily: DataFrame, days: DataFrame, windows: DataFrame, combos:
     mean = five.select("project", F.posexplode("pos").alias("axis", "p")).groupBy("project", "axis").agg(F.avg("p").alias("m"))
     dist = combos.select("project", "combo_id", F.posexplode("pos").alias("axis", "p")).join(mean, ["project", "axis"]).groupBy("project", "combo_id").agg(F.sqrt(F.sum(F.pow(F.col("p") - F.col("m"), 2))).alias("d"))
     near = dist.groupBy("project").agg(F.min_by("combo_id", F.struct("d", "combo_id")).alias("five_best_centre"))
-    one_area = five.groupBy("project").applyInPandas(lambda p: pd.DataFrame({"project": p["project"].iloc[:1], "five_best_connected": [bool(largest([tuple(map(int, c)) for c in p["pos"]]).all())]}), "project string, five_best_connected boolean")
+    cells = F.collect_list("pos")
+    reached = F.slice("cells", 1, 1)
+    for _ in range(FIVE_BEST - 1):
+        reached = _reached(reached)
+    one_area = five.groupBy("project").agg(cells.alias("cells")).select("project", (F.size(reached) == F.size("cells")).alias("five_best_connected"))
     out = c.join(span, "project").join(e, "project").join(ranges, "project", "left").join(near, "project").join(one_area, "project").join(readings, "project", "left")
     edge = F.coalesce(F.col("reading") == "edge", F.lit(False))
     out = out.withColumns({"pick": F.when(edge, F.col("peak")).otherwise(F.col("centre")), "pick_rule": F.when(edge, "pooled peak").otherwise("centre"), "confidence": F.when(edge, "supported").when(F.col("reading") == "plateau", "low stakes").otherwise("none")})

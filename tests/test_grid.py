@@ -163,18 +163,48 @@ def test_components_and_members(spark):
     s = surface(spark, [9, 9, 0, 0, 9, 9, 9, 0, 0, 0])
     r = K.ridges(s, line(spark, 10), "x", q=0.5)
     assert sorted(x.combo_id for x in r.collect()) == [4, 5, 6] or sorted(x.combo_id for x in r.collect()) == list(range(10))
-    assert K.largest([(0,), (1,), (5,), (6,)]).tolist() == [True, True, False, False]
     assert K.labels([(0, 0), (1, 1), (3, 3)]).tolist() == [0, 0, 2]
-    pos = {i: (i,) for i in range(20)}
-    members, gap, inner = K.spread(list(range(3, 16)), pos, {i: float(i) for i in pos}, 9)
-    assert members[0] == 9 and gap == 2 and inner and len(members) == 4
-    assert all(abs(a - b) >= 2 for i, a in enumerate(members) for b in members[:i])
     ramp = surface(spark, range(20)).withColumnRenamed("x", "pooled")
     ridge = K.ridges(ramp, line(spark, 20), "pooled")
     c = K.centres(ramp, ridge, line(spark, 20), "pooled").first()
     assert (c.n_cells, c.is_peak, c.peak) == (4, False, 19) and c.centre in (17, 18)
 
 
+def test_members_are_spread(spark):
+    """Inner cells first, two apart, the best first; a thin ridge takes neighbours; a surface without a ridge has its peak."""
+    s = surface(spark, range(20))
+    ridge = spark.createDataFrame([("p", 1, i) for i in range(3, 16)], "project string, window int, combo_id int")
+    centre = spark.createDataFrame([("p", 1, 9)], "project string, window int, centre int")
+    e = K.ensembles(s, ridge, centre, line(spark, 20), "x").first()
+    assert (e.members, e.spacing, e.interior) == ([9, 14, 12, 7], 2, True)
+    thin = ridge.where("combo_id in (3, 4, 15)")
+    e = K.ensembles(s, thin, centre.withColumn("centre", F.lit(4)), line(spark, 20), "x").first()
+    assert (e.members, e.spacing, e.interior) == ([4], 1, False)
+    e = K.ensembles(s, ridge.where("combo_id < 0"), centre, line(spark, 20), "x").first()
+    assert (e.members, e.spacing, e.interior) == ([9], 1, False)
+
+
+@pytest.mark.parametrize("tile", [1, 9, 4096])
+def test_areas_across_tiles(spark, tile):
+    """A spiral, a diagonal and single cells: tiles of one cell, of three by three, and one tile give the same areas."""
+    rows = ["XXXXXXXXX.X", "........X..", "XXXXXXX.X.X", "X.....X.X..", "X.XXX.X.X.X", "X.X...X.X..", "X.XXXXX.X.X", "X.......X..", "XXXXXXXXX.."]
+    on = {(r, c) for r, x in enumerate(rows) for c, v in enumerate(x) if v == "X"}
+    ids = {p: k for k, p in enumerate(sorted(on))}
+    want = {}
+    for p in sorted(on):
+        if ids[p] not in want:
+            todo = [p]
+            while todo:
+                q = todo.pop()
+                if ids[q] not in want:
+                    want[ids[q]] = ids[p]
+                    todo += [n for a in (-1, 0, 1) for b in (-1, 0, 1) if (n := (q[0] + a, q[1] + b)) in on]
+    cells = spark.createDataFrame([("p", 1, i, list(p)) for p, i in ids.items()] + [("q", 1, 5, [2]), ("q", 1, 6, [3]), ("q", 1, 9, [7])], "project string, window int, combo_id int, pos array<int>")
+    got = K.areas(cells, tile_cells=tile).collect()
+    assert {r.combo_id: r.root for r in got if r.project == "p"} == want
+    assert {r.combo_id: r.root for r in got if r.project == "q"} == {5: 5, 6: 5, 9: 9}
+
+
 def test_windows(spark):
     days = spark.range(10).select(F.lit("p").alias("project"), F.col("id").cast("int").alias("day_idx"), F.date_add(F.lit("2020-03-25").cast("date"), F.col("id").cast("int")).alias("date"))
     one = G.custom_windows(days, "single").first()
