@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidex import catalog_trades
 from evidex.catalog_trades import TRADES, rounded
 from evidex.operators import components as K
 from evidex.operators import grid as G
@@ -207,6 +208,42 @@ def _base_setting(i: Inputs) -> DataFrame:
     return b.withColumns({"members": whole("members"), "pick_params": whole("pick_params"), "ranges": ranges, "n_basis_days": F.col("n_basis_days").cast("bigint")})
 
 
+def _cells_of(json: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Fields of JSON texts: the first column, and for each name the value at a path, as the type given with it."""
+    at = lambda spec: F.get_json_object("json", spec.split()[0]).cast(spec.split()[1])
+    return json.select(json.columns[0], *(at(spec).alias(name) for name, spec in fields.items()))
+
+
+def _json_fields(spark, sf) -> DataFrame:
+    """What the trade battery's JSON says, for each strategy."""
+    fields = {
+        "n_long": "$.n_long bigint", "n_short": "$.n_short bigint", "n_bars": "$.n_bars bigint", "first_entry": "$.first_entry timestamp_ntz", "minutes": "$.minutes bigint", "n_checks": "$.checks[8].name string", "p_value": "$.random_entry[0].p_value double", "k_ge": "$.random_entry[0].k_ge bigint", "z": "$.random_entry[0].z double",
+        "score": "$.window_score[0].score double", "usd_2": "$.windows[1].usd_sum double", "calm_n": "$.regimes[0].n bigint", "year": "$.yearly[0].year int", "year_usd": "$.yearly[0].usd double", "net_20x": "$.cost_curve[6].net_mean_usd double", "breakeven": "$.cost_summary[0].breakeven_mult double", "max_dd": "$.drawdown[0].max_dd double", "median_dd": "$.drawdown[0].median_dd double", "cdar": "$.drawdown[0].cdar double", "calmar": "$.drawdown[0].calmar double",
+    }
+    out = _cells_of(trade_battery.run(tables.trades(spark, sf), tables.bars(spark, sf)).json(), fields)
+    return rounded(out.withColumn("n_checks", (F.col("n_checks").isNotNull()).cast("int") * 9), 4)
+
+
+def _timing_fields(spark, sf) -> DataFrame:
+    """The curves in the timing JSON."""
+    j = trade_battery.run_timing(tables.trades(spark, sf), tables.bars(spark, sf)).json()
+    c = F.from_json(F.get_json_object("json", "$.curves"), "array<struct<leg: string, shift: string, k: int, n_alive: bigint, n_skipped: bigint, total_usd: double, mean_pct: double, win_rate: double>>")
+    return rounded(j.select("strategy_id", F.explode(c).alias("c")).select("strategy_id", "c.*"))
+
+
+def _grid_fields(i: Inputs) -> DataFrame:
+    """What the grid battery's JSON says of each window, beside what it says of the project."""
+    j = _grid_battery(i).json()
+    one = {"n_eff_median": "$.n_eff double", "n_distinct_median": "$.n_distinct double", "p_pooled": "$.p_lift double", "p_pooled_boot": "$.p_lift_boot double", "windows_complete": "$.windows_complete bigint", "reading": "$.reading string", "n_iter": "$.meta[0].n_iter bigint", "has_masks": "$.windows[0].mask string"}
+    rows = None
+    for w in range(2):
+        each = {"window": f"$.region[{w}].window int", "k": f"$.region[{w}].k int", "lift": f"$.region[{w}].lift double", "p_lift": f"$.region[{w}].p_lift double", "n_distinct": f"$.region[{w}].n_distinct bigint", "precision": f"$.region[{w}].precision double", "jaccard": f"$.region[{w}].jaccard double"}
+        each |= {"p_best": f"$.selection[{w}].p_best double", "p_pick": f"$.selection[{w}].p_pick double", "n_eff": f"$.effective_trials[{w}].n_eff double", "n_dropped": f"$.trades[{w}].n_dropped bigint", "oos_trades": f"$.trades[{w}].oos_trades_median int"}
+        d = _cells_of(j, one | each)
+        rows = d if rows is None else rows.union(d)
+    return rounded(rows.withColumn("has_masks", F.col("has_masks").isNotNull()), 5)
+
+
 #: Projects of the schedule check; each but the first contradicts its grid in one way.
 CONTRADICTIONS = ("none", "names", "iterations", "hole", "pick", "windows", "fitness")
 
@@ -276,6 +313,7 @@ def queries() -> dict:
         "grid_json": lambda i: _grid_battery(i).json(),
         "grid_block_scan": _grid_block_scan,
         "schedule_checks": _schedule_checks,
+        "grid_json_fields": _grid_fields,
     }
 
     def query(f):
@@ -285,6 +323,8 @@ def queries() -> dict:
     out["custom_windows_single"] = lambda spark, sf: bigint(Inputs(spark, sf, "single").windows, "complete")
     out["json_export"] = lambda spark, sf: trade_battery.run(tables.trades(spark, sf), tables.bars(spark, sf)).json()
     out["timing_json"] = lambda spark, sf: trade_battery.run_timing(tables.trades(spark, sf), tables.bars(spark, sf)).json()
+    out["json_export_fields"] = _json_fields
+    out["timing_json_fields"] = _timing_fields
     out["report_round_trip"] = _report_round_trip
     out["report_block_scan"] = _report_block_scan
     return out
@@ -404,6 +444,22 @@ def _r(*cols: str, digits: int = 6) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL by query; that of the JSON texts' fields is put together from the SQL of what they hold."""
+    own, t = _oracle_sql(), catalog_trades.oracle_sql()
+    of = lambda name, sql: f"({sql[name]}) AS {name}_"
+    own["json_export_fields"] = f"""SELECT strategy_id, m.* EXCLUDE (strategy_id), 9 AS n_checks, round(p_value, 4) AS p_value, k_ge, round(z, 4) AS z, round(score, 4) AS score, round(w.usd_sum, 4) AS usd_2, c.n AS calm_n, y.year, round(y.usd, 4) AS year_usd, round(x.net_mean_usd, 4) AS net_20x, round(s.breakeven_mult, 4) AS breakeven, max_dd, median_dd, cdar, calmar
+FROM (WITH {TRADES} SELECT strategy_id, sum((direction > 0)::INT)::BIGINT AS n_long, sum((direction < 0)::INT)::BIGINT AS n_short, (SELECT count(*) FROM bars) AS n_bars, min(entry_time) AS first_entry, 60::BIGINT AS minutes FROM t GROUP BY 1) m
+JOIN ({t['random_entry_null']}) USING (strategy_id) JOIN ({t['temporal_score']}) USING (strategy_id) JOIN ({t['temporal_windows']}) w USING (strategy_id) JOIN ({t['crisis_split']}) c USING (strategy_id) JOIN ({t['yearly_pnl']}) y USING (strategy_id) JOIN ({t['cost_curve']}) x USING (strategy_id) JOIN ({t['cost_summary']}) s USING (strategy_id) JOIN ({t['cdar_capital']}) USING (strategy_id)
+WHERE w."window" = 2 AND NOT c.crisis AND x.mult = 20 AND y.year = (SELECT min(year) FROM ({t['yearly_pnl']}) q WHERE q.strategy_id = m.strategy_id)"""
+    curves = [("entry", "later", "delay_entry_fixed_exit"), ("entry", "earlier", "delay_entry_early"), ("exit", "later", "delay_exit"), ("exit", "earlier", "delay_exit_early")]
+    own["timing_json_fields"] = " UNION ALL ".join(f"SELECT strategy_id, '{leg}' AS leg, '{shift}' AS shift, k, n_alive, n_skipped, {_r('total_usd', 'mean_pct', 'win_rate')} FROM ({t[name]})" for leg, shift, name in curves)
+    own["grid_json_fields"] = f"""SELECT 'P1' AS project, round((SELECT quantile_cont(n_eff, 0.5) FROM {of('effective_trials', own)}), 5) AS n_eff_median, (SELECT quantile_cont(n_distinct, 0.5) FROM {of('distinct_patterns', own)}) AS n_distinct_median, round(v.p_lift, 5) AS p_pooled, round(v.p_boot, 5) AS p_pooled_boot, 2::BIGINT AS windows_complete, v.reading, (SELECT count(*) FROM {of('grid_positions', own)}) AS n_iter, false AS has_masks,
+l."window", k::INTEGER AS k, round(l.lift, 5) AS lift, round(p.p, 5) AS p_lift, d.n_distinct, round(o.precision, 5) AS precision, round(r.jaccard, 5) AS jaccard, round(s.p_best, 5) AS p_best, round(s.p_pick, 5) AS p_pick, round(e.n_eff, 5) AS n_eff, m.n_dropped, m.oos_trades_median AS oos_trades
+FROM ({own['region_lift']}) l JOIN ({own['pvalues_window']}) p USING ("window") JOIN ({own['distinct_patterns']}) d USING ("window") JOIN ({own['overlap_precision']}) o USING ("window") JOIN ({own['ridge_overlap']}) r USING ("window") JOIN ({own['reality_check']}) s USING ("window") JOIN ({own['effective_trials']}) e USING ("window") JOIN ({own['trade_medians']}) m USING ("window") CROSS JOIN ({own['verdict_matrix']}) v"""
+    return own
+
+
+def _oracle_sql() -> dict[str, str]:
     lift_cols = _r("rm AS region_oos_mean", "gm AS grid_oos_mean", "sd AS oos_sd", "ps AS oos_positive_share", "lift")
     pcol = lambda null, stat: f"(1.0 + sum(({null} >= {stat})::INT)) / (1.0 + count(*))"
     pooled = lambda d: f"""(SELECT (1.0 + sum((v >= l)::INT)) / (1.0 + count(*)) FROM (SELECT draw, avg(null_lift) AS v FROM {d} GROUP BY 1) CROSS JOIN (SELECT avg(lift) AS l FROM li))"""
