@@ -13,7 +13,7 @@ from array import array
 import numpy as np
 
 #: Words that a cache keeps at most, about 0.2 KB each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Marks that end a word of letters in a piece of their own.
 _marks = ".,;:!?#*$%&|"
 _parts = re.compile(r"(?<=\S)(?=[ \n])")
