@@ -1,16 +1,19 @@
 """Main text of web pages: a suffix array over the pages of a host finds boilerplate, markup narrows down what is left.
 
 A page's visible text is cut into blocks. The words of all blocks, those of the article element included, are a stream;
-the streams of a host's different pages are joined and their suffixes sorted. A run of MIN_RUN words that stands on
-MIN_SHARE of the host's different pages is boilerplate. It is removed where such runs cover a whole block, or LONG_RUN
-words of one; shorter runs within a block are set phrases of prose and stay. Blocks of under MIN_RUN words are compared as
-wholes. From an article element, and of short blocks, only goes what at least FIRM pages share, since two articles may
-share a passage. Of what is left, the text of the article (or main) element is the main text, and on pages without one
-everything outside elements which the markup names as menu, footer, advert, form or comment.
+the streams of a host's different pages are joined and their suffixes sorted to the end. Neighbours in that order that
+share RUN words or more are one passage, and the pages it stands on are counted; blocks of under RUN words are compared as
+wholes. A passage counts as one only where all its words stand in a row elsewhere too: what two other pages share one half
+each of is no passage. Outside of article elements, boilerplate is what a fiftieth of the host's different pages share, two
+at least; within them only what half of these share, three at least, since articles may quote the same passage. A passage goes from
+the block that it stands in, and a block of under RUN words goes where it stands in a passage. Of what is left, the text of the article (or main) element
+is the main text, and on pages without one everything outside elements which the markup names as menu, footer, advert, form
+or comment.
 
 A host with over HOST_TOKENS words is sorted in chunks of pages. What stands on a share of all pages stands on that share
 of some chunk's pages, so the chunks name candidates, which are then counted over all pages of the host: the result is
-that of one array.
+that of one array. A host's candidates are at most the words of fifty of its pages, as each stands on a fiftieth of them, or
+half its words where these are few. Hashes find passages, and their words decide.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 
 from evidex.session import cut, ship
 
-MIN_RUN, LONG_RUN = 6, 12
-MIN_SHARE, FIRM = 0.5, 3
+RUN = 12
+#: The share of a host's different pages, and the least number, that make boilerplate; within articles.
+SHARE, LEAST = 0.02, 2
+FIRM_SHARE, FIRM = 0.5, 3
 HOST_TOKENS = 500_000
 #: Runs up to which a table of runs is broadcast.
 SMALL_TABLE = 500_000
@@ -115,40 +120,37 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def sorted_runs(tokens: np.ndarray, owner: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the suffixes with at least `run` tokens in their stream, in suffix order, and where groups of equal runs
-    begin among them. Suffixes are sorted by doubling, as far as `run` tokens; neighbours in that order share a run.
-
-    tokens: the joined streams as numbers; owner: the stream of each token. Starts of one group ascend.
-    """
+def suffix_array(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes in order, by doubling; a suffix ends with its stream. tokens: the joined streams, as numbers;
+    owner: the stream of each token, ascending. Equal suffixes are in the order of their starts."""
     n = len(tokens)
-    if n < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank, size = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while size < run:
-        step = min(size, run - size)
+    rank, size, before = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1, 0
+    end = np.searchsorted(owner, owner, "right")
+    at = np.arange(n)
+    while rank.max(initial=0) > before:  # a round that tells no more suffixes apart is the last
+        before = rank.max(initial=0)
         later = np.zeros(n, np.int64)
-        later[:-step] = rank[step:]
+        inside = at + size < end
+        later[inside] = rank[at[inside] + size]
         rank = np.unique(rank * (n + 2) + later, return_inverse=True)[1].astype(np.int64) + 1
-        size += step
-    starts = np.flatnonzero(owner[: n - run + 1] == owner[run - 1 :])
-    order = starts[np.argsort(rank[starts], kind="stable")]
-    return order, np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0]) if len(order) else order
+        size *= 2
+    return np.argsort(rank, kind="stable")
 
 
-def covered(tokens: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray, run: int) -> np.ndarray:
-    """Which tokens lie in a run of `run` tokens that occurs on two pages; low, high: the least and the greatest page of
-    each stream."""
-    n = len(tokens)
-    out = np.zeros(n + 1, np.int64)
-    order, at = sorted_runs(tokens, owner, run)
+def shared_runs(tokens: np.ndarray, owner: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, pages): a start of each passage of `run` tokens, and how many streams hold it. In suffix order, equal passages
+    are neighbours whose common beginning has `run` tokens."""
+    order = suffix_array(tokens, owner)
+    order = order[order + run <= np.searchsorted(owner, owner[order], "right")]
     if not len(order):
-        return out[:n].astype(bool)
-    twice = np.minimum.reduceat(low[owner[order]], at) != np.maximum.reduceat(high[owner[order]], at)
-    hit = order[np.repeat(twice, np.diff(np.r_[at, len(order)]))]
-    np.add.at(out, hit, 1)
-    np.add.at(out, hit + run, -1)
-    return np.cumsum(out[:n]) > 0
+        return order, order
+    same = np.ones(len(order) - 1, bool)
+    for k in range(run):
+        same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
+    group = np.cumsum(np.r_[True, ~same]) - 1
+    by = np.lexsort((owner[order], group))
+    new = np.r_[True, (np.diff(group[by]) != 0) | (np.diff(owner[order][by]) != 0)]
+    return order[np.flatnonzero(np.r_[True, ~same])], np.bincount(group[by][new])
 
 
 def run_keys(words: np.ndarray, run: int) -> np.ndarray:
@@ -171,9 +173,9 @@ def block_key(block: str) -> int:
     return xxhash.xxh3_64_intdigest("\n" + block) - (1 << 63)
 
 
-def short_blocks(text: str, run: int) -> set[int]:
-    """The hashes of blocks of under `run` words; blocks stand on lines of their own."""
-    return {block_key(b) for b in text.split("\n") if b and b.count(" ") + 1 < run}
+def short_blocks(text: str, run: int) -> dict[int, str]:
+    """The blocks of under `run` words by hash; blocks stand on lines of their own."""
+    return {block_key(b): b for b in text.split("\n") if b and b.count(" ") + 1 < run}
 
 
 def page_text(page: str) -> str:
@@ -181,30 +183,37 @@ def page_text(page: str) -> str:
     return "\n".join(t for _, t in blocks(page))
 
 
-def chunk_runs(texts: list[str], run: int, share: float) -> dict[int, int]:
-    """How many of the texts hold each run of `run` words and each short block, for those which `share` of them hold."""
-    need = share * len(texts)
+def chunk_runs(texts: list[str], run: int, share: float, least: int) -> list[tuple[int, str, int]]:
+    """(hash, passage, pages) of the passages of `run` words and the short blocks that `share` of the texts hold, `least` at
+    least; a short block begins with a line feed."""
+    need = max(share * len(texts), least)
     counts: dict[int, int] = {}
+    named: dict[int, str] = {}
     for t in texts:
-        for k in short_blocks(t, run):
+        for k, b in short_blocks(t, run).items():
             counts[k] = counts.get(k, 0) + 1
-    out = {k: c for k, c in counts.items() if c >= need}
-    words = [word_keys(t.split()) for t in texts]
+            named[k] = "\n" + b
+    out = [(k, named[k], c) for k, c in counts.items() if c >= need]
+    words = [t.split() for t in texts]
+    flat = [w for ws in words for w in ws]
+    number: dict[str, int] = {}
+    tokens = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
     owner = np.repeat(np.arange(len(texts)), list(map(len, words)))
-    tokens = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    order, at = sorted_runs(tokens, owner, run)
-    if len(order):
-        first = np.r_[True, np.diff(owner[order]) != 0]
-        first[at] = True
-        pages = np.add.reduceat(first.astype(np.int64), at)
-        many = pages >= need
-        starts = order[at[many]]
-        keys = run_keys(np.concatenate([tokens[i : i + run] for i in starts]), run)[::run] if len(starts) else ()
-        out |= dict(zip(map(int, keys), pages[many].tolist(), strict=True))
+    starts, pages = shared_runs(tokens, owner, run)
+    for i, c in zip(starts[pages >= need].tolist(), pages[pages >= need].tolist(), strict=True):
+        out.append((int(run_keys(word_keys(flat[i : i + run]), run)[0]), " ".join(flat[i : i + run]), c))
     return out
 
 
-def keyed(p: DataFrame, with_text: bool, run: int = MIN_RUN) -> DataFrame:
+def held(text: str, keys: np.ndarray, passages: list[str], run: int) -> np.ndarray:
+    """Which of some passages, given by hash and words, a text holds."""
+    words = text.split()
+    short, at = short_blocks(text, run), run_keys(word_keys(words), run)
+    where = dict(zip(at.tolist(), range(len(at)), strict=True)) if np.isin(at, keys).any() else {}
+    return np.array([short.get(k) == p[1:] if p.startswith("\n") else k in where and " ".join(words[where[k] : where[k] + run]) == p for k, p in zip(keys.tolist(), passages, strict=True)], bool)
+
+
+def keyed(p: DataFrame, with_text: bool, run: int = RUN) -> DataFrame:
     """(host, key, n, text) of each page, its copies within a task left out: a hash of its visible text, its words, and the text where wanted; with a column
     `runs` in p, found: which of these the page holds."""
     searched = "runs" in p.columns
@@ -221,52 +230,63 @@ def keyed(p: DataFrame, with_text: bool, run: int = MIN_RUN) -> DataFrame:
                 seen.add((host, key))
                 found = None
                 if searched:
-                    wanted = b.column(2)[i].values.to_numpy()
-                    here = np.r_[run_keys(word_keys(text.split()), run), np.array(list(short_blocks(text, run)), np.int64)]
-                    found = wanted[np.isin(wanted, here)].tolist()
+                    keys, passages = _marks(b.column(2)[i])
+                    found = [passages[k] for k in np.flatnonzero(held(text, keys, passages, run))]
                 rows.append((host, key, len(text.split()), text if with_text else None, found))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "key", "n", "text", "found"])
 
-    return p.select("host", "html", *["runs"] * searched).mapInArrow(pages, "host string, key long, n long, text string, found array<long>")
+    return p.select("host", "html", *["runs"] * searched).mapInArrow(pages, "host string, key long, n long, text string, found array<string>")
+
 
+def _marks(runs: pa.Scalar) -> tuple[np.ndarray, list[str]]:
+    """Hashes and words of passages, from an array of (run, passage)."""
+    v = runs.values
+    return v.field("run").to_numpy(), v.field("passage").to_pylist()
 
-def boilerplate(p: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TOKENS, share: float = MIN_SHARE) -> DataFrame:
-    """(host, run, pages): runs of words and short blocks, by hash, which a share of the host's different pages hold."""
+
+def boilerplate(p: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOKENS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(host, run, passage, pages, host_n): passages and short blocks, by hash and words, which a share of the host's different pages hold.
+    p: (host, html)."""
+    ship(p.sparkSession)
     hosts = keyed(p, False).select("host", "key", "n").dropDuplicates(["host", "key"]).groupBy("host")
-    hosts = cut(hosts.agg(F.count("*").alias("host_n"), F.greatest(F.lit(1), F.ceil(F.sum("n") / host_tokens)).cast("long").alias("chunks")).where("host_n > 1"))
+    hosts = cut(hosts.agg(F.count("*").alias("host_n"), F.greatest(F.lit(1), F.ceil(F.sum("n") / host_tokens)).cast("long").alias("chunks")).where(F.col("host_n") >= least))
     few = F.broadcast(hosts) if hosts.count() <= SMALL_TABLE else hosts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last, texts = None, None, []
 
         def result() -> pa.RecordBatch:
-            found = chunk_runs(texts, min_run, share)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.string()), pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["host", "run", "pages"])
+            # Of a chunk of several, a passage may be on fewer pages here than on the whole host.
+            found = chunk_runs(texts, run_length, share, least if at[2] == 1 else 1)
+            columns = list(zip(*found, strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.string()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["host", "run", "passage", "pages"])
 
         for b in batches:
-            for host, chunk, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                if (host, chunk) != at:
+            for host, chunk, key, chunks, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
+                if (host, chunk, chunks) != at:
                     if texts:
                         yield result()
-                    at, last, texts = (host, chunk), None, []
+                    at, last, texts = (host, chunk, chunks), None, []
                 if key != last:
                     texts.append(text.as_py())
                     last = key
         if texts:
             yield result()
 
-    each = keyed(p, True).join(few, "host").select("host", F.pmod("key", "chunks").alias("chunk"), "key", "text")
-    found = cut(each.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "key").mapInArrow(run, "host string, run long, pages long").join(few, "host"))
-    enough = F.col("pages") >= F.greatest(F.lit(2.0), F.col("host_n") * F.lit(share))
-    out = found.where("chunks = 1").where(enough).select("host", "run", "pages")
+    each = keyed(p, True).join(few, "host").select("host", F.pmod("key", "chunks").alias("chunk"), "key", "chunks", "text")
+    found = cut(each.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "key").mapInArrow(run, "host string, run long, passage string, pages long").join(few, "host"))
+    enough = F.col("pages") >= F.greatest(F.lit(float(least)), F.col("host_n") * F.lit(share))
+    names = ["host", "run", "passage", "pages", "host_n"]
+    out = found.where("chunks = 1").where(enough).select(names)
     if hosts.where("chunks > 1").isEmpty():
         return out
-    wanted = found.where("chunks > 1").groupBy("host").agg(F.collect_set("run").alias("runs"))
-    holds = keyed(with_runs(p, wanted, found.count()).where("runs is not null"), False, min_run).select("host", "key", "found").dropDuplicates(["host", "key"])
-    counted = holds.select("host", F.explode("found").alias("run")).groupBy("host", "run").agg(F.count("*").alias("pages"))
-    return out.union(counted.join(few, "host").where(enough).select("host", "run", "pages"))
+    wanted = cut(found.where("chunks > 1").select("host", "run", "passage").distinct())
+    runs = wanted.groupBy("host").agg(F.collect_list(F.struct("run", "passage")).alias("runs"))
+    holds = keyed(with_runs(p, runs, wanted.count()).where("runs is not null"), False, run_length).select("host", "key", "found").dropDuplicates(["host", "key"])
+    counted = holds.select("host", F.explode("found").alias("passage")).groupBy("host", "passage").agg(F.count("*").alias("pages"))
+    return out.union(counted.join(wanted, ["host", "passage"]).join(few, "host").where(enough).select(names))
 
 
 def with_runs(p: DataFrame, hosts: DataFrame, n: int) -> DataFrame:
@@ -274,7 +294,7 @@ def with_runs(p: DataFrame, hosts: DataFrame, n: int) -> DataFrame:
     return p.join(F.broadcast(hosts) if n <= SMALL_TABLE else hosts, "host", "left")
 
 
-def extract(pages: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The query's rows: page_id, url, text and n_chars of every page.
 
     Character references are decoded, white space within a block becomes one space, and blocks are joined by one. A null or
@@ -286,47 +306,49 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TO
     ship(spark)
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    gone = cut(boilerplate(p, min_run, host_tokens))
-    firm = F.collect_list(F.when(F.col("pages") >= FIRM, F.col("run"))).alias("firm")
-    marked = with_runs(p, gone.groupBy("host").agg(F.collect_list("run").alias("runs"), firm), gone.count())
+    gone = cut(boilerplate(p, run_length, host_tokens))
+    firm = (F.col("pages") >= FIRM) & (F.col("pages") >= F.col("host_n") * FIRM_SHARE)
+    marks = F.collect_list(F.struct("run", "passage", firm.alias("firm"))).alias("runs")
+    marked = with_runs(p, gone.groupBy("host").agg(marks), gone.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for page, runs, firm in zip(b.column(2), b.column(3), b.column(4), strict=True):
-                marks = (runs.values.to_numpy(), firm.values.to_numpy()) if runs.is_valid else None
-                texts.append(main_text(page.as_py() or "", marks, min_run))
+            for page, runs in zip(b.column(2), b.column(3), strict=True):
+                texts.append(main_text(page.as_py() or "", (*_marks(runs), runs.values.field("firm").to_numpy(zero_copy_only=False)) if runs.is_valid else None, run_length))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return marked.select("page_id", "url", "html", "runs", "firm").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return marked.select("page_id", "url", "html", "runs").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
-def main_text(page: str, marks: tuple[np.ndarray, np.ndarray] | None, min_run: int = MIN_RUN) -> str:
-    """The page's main text; marks: the host's boilerplate, by hash: all of it, and what FIRM pages share."""
+def main_text(page: str, marks: tuple[np.ndarray, list[str], np.ndarray] | None, run: int = RUN) -> str:
+    """The page's main text; marks: the host's boilerplate by hash and by its words, and which of it goes from articles too."""
     found = blocks(page)
     zones = {z for z, _ in found}
     own = "article" if "article" in zones else "main" if "main" in zones else "plain"
     if marks is None:
         return " ".join(t for z, t in found if z == own)
+    keys, passages, firm = marks
+    wanted = {k: p for k, p, f in zip(keys.tolist(), passages, firm.tolist(), strict=True) if f or own == "plain"}
     words = [t.split(" ") for _, t in found]
-    keys = run_keys(word_keys([w for ws in words for w in ws]), min_run)
-    firm = set(marks[1].tolist())
-    hit = np.isin(keys, marks[0] if own == "plain" else marks[1])
-    over = np.zeros(sum(map(len, words)) + 1, np.int64)
-    starts = np.flatnonzero(hit)
-    np.add.at(over, starts, 1)
-    np.add.at(over, starts + min_run, -1)
-    gone, at, kept = np.cumsum(over[:-1]) > 0, 0, []
+    flat = [w for ws in words for w in ws]
+    here = run_keys(word_keys(flat), run)
+    hit = np.isin(here, np.fromiter(wanted, np.int64, len(wanted)))
+    hit[[i for i in np.flatnonzero(hit).tolist() if wanted[int(here[i])] != " ".join(flat[i : i + run])]] = False
+    hits, at, kept = np.flatnonzero(hit), 0, []
     for (zone, text), ws in zip(found, words, strict=True):
-        drop = gone[at : at + len(ws)]
-        at += len(ws)
-        if zone != own or drop.all() or len(ws) < min_run and block_key(text) in firm:
+        start, at = at, at + len(ws)
+        if zone != own:
+            continue
+        if len(ws) < run:  # goes where it stands in one passage, or is one
+            if np.searchsorted(hits, start, "right") == np.searchsorted(hits, at - run) and wanted.get(block_key(text)) != "\n" + text:
+                kept.append(text)
             continue
-        if drop.any():
-            edges = np.flatnonzero(np.diff(np.r_[0, drop.astype(np.int8), 0])).reshape(-1, 2)
-            drop = np.zeros(len(ws), bool)
-            for a, b in edges:
-                drop[a:b] = b - a >= LONG_RUN
-            text = " ".join(w for w, d in zip(ws, drop, strict=True) if not d)
-        kept.append(text)
+        over = np.zeros(len(ws) + 1, np.int64)  # only passages within the block part it
+        inside = hits[np.searchsorted(hits, start) : np.searchsorted(hits, at - run, "right")] - start
+        over[inside] += 1
+        over[inside + run] -= 1
+        left = [w for w, n in zip(ws, np.cumsum(over[:-1]).tolist(), strict=True) if not n]
+        if left:
+            kept.append(" ".join(left))
     return " ".join(kept)

@@ -14,33 +14,39 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_version = r"(?: as published by the free software foundation)?(?: either)?(?: the)?(?: in)?(?: its)? ?(?:v(?:ersion)? ?)?"
+_version = r"(?: a?l?gpl)?(?: as published by the free software foundation)?(?: either)?(?: the)?(?: in)?(?: its)? ?(?:v(?:ersion)? ?)?"
 #: Identifiers and patterns of known sentences, as normalised; those that come first are looked for first.
 SENTENCES = [
+    ("Negated", r"\b(?:not|never|no longer) (?:[a-z]+ ){0,2}(?:licensed|available|released|distributed|covered|provided) (?:[a-z]+ ){0,2}(?:under|by) (?:(?:[ac-z0-9][a-z0-9.+]*|b[a-tv-z][a-z]*) ?){1,8}"),
+    ("ClasspathException", r"\bclasspath exception(?: 2\.0)?"),
     ("GplDetails", r"see the gnu (?:affero |lesser |library )?general public license for more details"),
     ("GplCopy", r"you should have received a copy of the gnu (?:affero |lesser |library )?general public license"),
-    ("AgplPlus3", r"\bagpl ?v?3(?:\.0)?\+"),
-    ("LgplPlus3", r"\blgpl ?v?3(?:\.0)?\+"),
-    ("LgplPlus21", r"\blgpl ?v?2\.1\+"),
-    ("GplPlus3", r"\bgpl ?v?3(?:\.0)?\+"),
-    ("GplPlus2", r"\bgpl ?v?2(?:\.0)?\+"),
-    ("AgplRef3", rf"gnu affero general public license{_version}3(?:\.0)?|\bagpl ?v?3(?:\.0)?"),
+    ("AgplPlus3", r"\bagpl ?(?:version ?|v ?)?3(?:\.0)?\+"),
+    ("LgplPlus3", r"\blgpl ?(?:version ?|v ?)?3(?:\.0)?\+"),
+    ("LgplPlus21", r"\blgpl ?(?:version ?|v ?)?2\.1\+"),
+    ("GplPlus3", r"\bgpl ?(?:version ?|v ?)?3(?:\.0)?\+"),
+    ("GplPlus2", r"\bgpl ?(?:version ?|v ?)?2(?:\.0)?\+"),
+    ("AgplRef3", rf"gnu affero general public license{_version}3(?:\.0)?|\bagpl ?(?:version ?|v ?)?3(?:\.0)?\b"),
     ("AgplRef", r"gnu affero general public license|\bagpl\b"),
-    ("LgplRef3", rf"gnu lesser general public license{_version}3(?:\.0)?|\blgpl ?v?3(?:\.0)?"),
-    ("LgplRef21", rf"gnu lesser general public license{_version}2\.1|\blgpl ?v?2\.1"),
-    ("LgplRef2", rf"gnu (?:lesser|library) general public license{_version}2(?:\.0)?|\blgpl ?v?2(?:\.0)?"),
+    ("LgplRef3", rf"gnu lesser general public license{_version}3(?:\.0)?|\blgpl ?(?:version ?|v ?)?3(?:\.0)?\b"),
+    ("LgplRef21", rf"gnu lesser general public license{_version}2\.1|\blgpl ?(?:version ?|v ?)?2\.1\b"),
+    ("LgplRef2", rf"gnu (?:lesser|library) general public license{_version}2(?:\.0)?|\blgpl ?(?:version ?|v ?)?2(?:\.0)?\b"),
     ("LgplRef", r"gnu (?:lesser|library) general public license|\blgpl\b"),
-    ("GplRef3", rf"gnu general public license{_version}3(?:\.0)?|\bgpl ?v?3(?:\.0)?"),
-    ("GplRef2", rf"gnu general public license{_version}2(?:\.0)?|\bgpl ?v?2(?:\.0)?"),
+    ("GplRef3", rf"gnu general public license{_version}3(?:\.0)?|\bgpl ?(?:version ?|v ?)?3(?:\.0)?\b"),
+    ("GplRef2", rf"gnu general public license{_version}2(?:\.0)?|\bgpl ?(?:version ?|v ?)?2(?:\.0)?\b"),
     ("GplRef", r"gnu general public license|\bgpl\b"),
     ("GplLater", r"or at your option any later version|or any later version|\bor later\b"),
-    ("ApacheRef2", r"apache (?:software )?license ?(?:version )?v? ?2(?:\.0)?"),
+    ("ApacheRef2", r"apache (?:software )?licen[cs]e ?(?:version )?v? ?2(?:\.0)?|\bapache ?(?:version ?|v)?2\.0\b(?: licen[cs]e)?|\bapache 2 licen[cs]e|\basl ?2\.0\b"),
     ("ApacheCompliance", r"you may not use this file except in compliance with the license"),
     ("ApacheCopy", r"you may obtain a copy of the license at"),
     ("MitRef", r"\bmit license|\bmit licence"),
     ("MitGrant", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("MitNotice", r"the above copyright notice and this permission notice shall be included"),
     ("IscGrant", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("BsdRef4", r"\bbsd (?:4|four) clause\b|\b(?:4|four) clause bsd\b|\b(?:original|old) bsd\b"),
+    ("BsdRef3", r"\bbsd (?:3|three) clause\b|\b(?:3|three) clause bsd\b|\b(?:new|modified|revised) bsd\b"),
+    ("BsdRef2", r"\bbsd (?:2|two) clause\b|\b(?:2|two) clause bsd\b|\bsimplified bsd\b|\bfreebsd licen[cs]e"),
+    ("BsdRef", r"\bbsd (?:style )?licen[cs]e"),
     ("BsdGrant", r"redistribution and use in source and binary forms"),
     ("BsdSource", r"redistributions of source code must retain"),
     ("BsdBinary", r"redistributions in binary form must reproduce"),
@@ -94,6 +100,11 @@ RULES = [
     ("BSD-4-Clause", r"<BsdGrant>(<BsdSource>)?(<BsdBinary>)?<BsdAdvert>(<BsdNames>)?(<AsIs>)?"),
     ("BSD-3-Clause", r"<BsdGrant>(<BsdSource>)?(<BsdBinary>)?<BsdNames>(<AsIs>)?"),
     ("BSD-2-Clause", r"<BsdGrant>(<BsdSource>)?(<BsdBinary>)?(<AsIs>)?"),
+    ("BSD-4-Clause", r"<BsdRef4>"),
+    ("BSD-3-Clause", r"<BsdRef3>"),
+    ("BSD-2-Clause", r"<BsdRef2>"),
+    ("BSD", r"<BsdRef>"),
+    ("Classpath-exception-2.0", r"<ClasspathException>"),
     ("MPL-2.0", r"<MplRef2>"),
     ("MPL-1.1", r"<MplRef11>"),
     ("EPL-2.0", r"<EplRef2>"),
@@ -120,11 +131,12 @@ SPDX = {
     **{x: x for x in "Apache-2.0 MIT MIT-0 BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD ISC MPL-2.0 MPL-1.1 EPL-2.0 EPL-1.0 BSL-1.0 Zlib Unlicense WTFPL Artistic-2.0 CC0-1.0 X11 NCSA PostgreSQL MS-PL OSL-3.0 AFL-3.0".split()},
     **{f"{x}{end}": f"{x}{to}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end, to in (("", ""), ("-only", ""), ("-or-later", "-or-later"), ("+", "-or-later"))},
     **{f"{x}-{v}": x for x in ("CC-BY", "CC-BY-SA", "CC-BY-ND", "CC-BY-NC", "CC-BY-NC-SA", "CC-BY-NC-ND") for v in ("2.0", "2.5", "3.0", "4.0")},
+    **{x: x for x in "Classpath-exception-2.0 LLVM-exception GCC-exception-2.0 GCC-exception-3.1 Bison-exception-2.2 Autoconf-exception-3.0 Font-exception-2.0 Linux-syscall-note".split()},
     "CDDL-1.0": "CDDL", "CDDL-1.1": "CDDL", "OFL-1.1": "OFL", "EUPL-1.1": "EUPL", "EUPL-1.2": "EUPL", "PSF-2.0": "PSF", "Python-2.0": "PSF",
 }
 TAG = "spdx license identifier"
 #: A sentence without any of these speaks of no licence, and is left out at once.
-HINT = r"licen[cs]|copyright|permission|redistribut|public domain|creative commons|\bcc[ -]by|\bcc0|rights reserved|as is|as-is|later version|endorse|advertising materials|gpl|\bmpl"
+HINT = r"licen[cs]|copyright|permission|redistribut|public domain|creative commons|\bcc[ -]by|\bcc0|rights reserved|as is|as-is|later version|endorse|advertising materials|gpl|\bmpl|\bbsd\b|apache.?(?:v|version.)?2|\basl.?2|classpath.exception"
 #: Steps from a lower-cased text to sentences parted by END: pattern and what takes its place, $1 being its first group.
 END = "\x01"
 STEPS = [
@@ -155,7 +167,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """The query's rows: doc_id, sentence_ids, licenses (each once, in the order of the rules, comma-joined) and n_unknown.
 
     A text without known sentences, or without any (null, empty), has empty strings; n_unknown counts the sentences that speak
-    of licences otherwise. Repeated rows give repeated results; a null doc_id stays null. Other columns are not read.
+    of licences otherwise. Exceptions to a licence are named like licences. What a text says not to be licensed under is no
+    licence (`Negated`). Texts of any length are read whole. Repeated rows give repeated results; a null doc_id stays null; no
+    rows give none. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     text = F.concat(F.lit("\n"), F.col("text"))

@@ -11,6 +11,7 @@ from evidex.llm import licenses as L
 from evidex.llm import pii as P
 from evidex.llm import quality_model as Q
 from evidex.llm import quality_rules as R
+from pyspark.sql import functions as F
 
 TEXTS = [None, "", " \n\t", "one", "a b c d e f g h " * 3 + "tail", "line one\nline one\n \nline two\r\nline one", "# * & <x> | %", "w " * 30, "x" * 5000, "é ü\x0b\x0cß " * 9]
 
@@ -113,6 +114,44 @@ def test_licence_rules(spark):
     assert got == {0: ("", "", 0), 1: ("", "", 0), 2: ("ApacheRef2", "Apache-2.0", 0), 3: ("GplRef3,GplLater", "GPL-3.0-or-later", 0), 4: ("CcByNcRef,MitRef", "MIT,CC-BY-NC", 0), 5: ("", "", 1), 6: ("MitGrant", "MIT", 0)}
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This is GPL version 3 software.", "GPL-3.0"),
+        ("under the GNU General Public License (GPL) version 3", "GPL-3.0"),
+        ("Licence: GPL version 2 or later", "GPL-2.0-or-later"),
+        ("GPLv2+ applies", "GPL-2.0-or-later"),
+        ("LGPL version 2.1", "LGPL-2.1"),
+        ("LGPL-3.0-or-later", "LGPL-3.0-or-later"),
+        ("BSD 3-Clause License", "BSD-3-Clause"),
+        ("New BSD license", "BSD-3-Clause"),
+        ("the two-clause BSD licence", "BSD-2-Clause"),
+        ("a BSD-style license", "BSD"),
+        ("Apache 2.0 license", "Apache-2.0"),
+        ("Apache-2.0", "Apache-2.0"),
+        ("ASL 2.0", "Apache-2.0"),
+        ("runs on the Apache 2.4 server", ""),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0,Classpath-exception-2.0"),
+        ("GPL v2 with the Classpath Exception", "GPL-2.0,Classpath-exception-2.0"),
+        ("It is not licensed under the GPL v3.", ""),
+        ("Not available under the MIT License but under the Apache License 2.0", "Apache-2.0"),
+        ("wir gehen mit dem Hund", ""),
+    ],
+)
+def test_usual_phrases(spark, text, want):
+    got = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.licenses == want
+
+
+def test_licenses_of_no_rows_repeats_and_long_texts(spark):
+    assert L.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    long = "word " * 40_000 + ". Released under the MIT License. " + "word " * 40_000
+    docs = spark.createDataFrame([(1, long), (1, long), (None, long), (2, None)], "doc_id long, text string")
+    for c in ("s", "ids", "rest", "r0", "licenses", "n_unknown"):
+        docs = docs.withColumn(c, F.lit("GPL-3.0"))
+    assert sorted((r.doc_id or 0, r.licenses, r.n_unknown) for r in L.scan(docs).collect()) == [(0, "MIT", 0), (1, "MIT", 0), (1, "MIT", 0), (2, "", 0)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <div class="ad">Buy now</div><article><h1>Head &amp; line</h1><p><b>One<br><p>Two  <i>th</i>ree &lt;b&gt;<div class="comments">rude</div><aside>side</aside><p>Four</article><footer>&copy; host</footer></body></html>"""
 
@@ -125,22 +164,99 @@ def test_article_text():
     assert H.main_text("<!-- open <p>x", None) == "" and H.main_text("<div>a<!-- b -->c</div><a href='x>y", None).startswith("ac")
 
 
-def brute_covered(streams, pages, run):
-    seen = {}
-    for s, own in zip(streams, pages, strict=True):
-        for i in range(len(s) - run + 1):
-            seen.setdefault(tuple(s[i : i + run]), set()).update(own)
-    return [[any(len(seen[tuple(s[i : i + run])]) > 1 for i in range(max(0, k - run + 1), min(k, len(s) - run) + 1)) for k in range(len(s))] for s in streams]
+def stream(rng, n=12, letters=3):
+    texts = [[rng.randrange(letters) for _ in range(rng.randint(0, 30))] for _ in range(n)]
+    return texts, np.array(sum(texts, []), np.int64), np.repeat(np.arange(n), [len(s) for s in texts])
+
+
+def test_suffix_array_is_sorted_to_the_end():
+    for seed in range(5):
+        rng = random.Random(seed)
+        texts, tokens, owner = stream(rng)
+        texts += [texts[0]]
+        tokens, owner = np.r_[tokens, texts[0]].astype(np.int64), np.r_[owner, [12] * len(texts[0])].astype(np.int64)
+        ends = np.cumsum([len(s) for s in texts])
+        suffixes = [(tokens[i : ends[owner[i]]].tolist(), i) for i in range(len(tokens))]
+        assert [i for _, i in sorted(suffixes)] == H.suffix_array(tokens, owner).tolist()
 
 
 @pytest.mark.parametrize("run", [1, 2, 3, 6])
-def test_suffix_array_covers_repeats(run):
-    rng = random.Random(run)
-    streams = [[rng.randrange(3) for _ in range(rng.randint(1, 30))] for _ in range(12)]
-    pages = [{rng.randrange(9) for _ in range(rng.randint(1, 2))} for _ in streams]
-    owner = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
-    got = H.covered(np.concatenate(streams), owner, np.array([min(p) for p in pages]), np.array([max(p) for p in pages]), run)
-    assert got.tolist() == sum(brute_covered(streams, pages, run), [])
+def test_shared_runs_are_those_of_brute_force(run):
+    texts, tokens, owner = stream(random.Random(run))
+    want = {}
+    for k, s in enumerate(texts):
+        for i in range(len(s) - run + 1):
+            want.setdefault(tuple(s[i : i + run]), set()).add(k)
+    starts, pages = H.shared_runs(tokens, owner, run)
+    assert {tuple(tokens[i : i + run].tolist()): n for i, n in zip(starts, pages)} == {k: len(v) for k, v in want.items()} and len(starts) == len(want)
+
+
+def brute_extract(pages, run, share, least):
+    """Texts of (page, host, html) with one host's passages counted by hand; markup as `blocks` reads it."""
+    hosts = {}
+    for _, host, html in pages:
+        hosts.setdefault(host, set()).add(H.page_text(html))
+    out = {}
+    for i, host, html in pages:
+        every = [t.split() for t in sorted(hosts[host])]
+        lines = [set(t.split("\n")) for t in hosts[host]]
+        holds = lambda ws: sum(any(t[k : k + len(ws)] == ws for k in range(len(t) - len(ws) + 1)) for t in every)  # noqa: B023, E731
+        found = H.blocks(html)
+        zones = {z for z, _ in found}
+        own = "article" if "article" in zones else "plain"
+        need = max(share * len(every), least) if own == "plain" else max(share * len(every), least, H.FIRM, H.FIRM_SHARE * len(every))
+        flat = " ".join(t for _, t in found).split()
+        hit = [k for k in range(len(flat) - run + 1) if len(every) >= least and holds(flat[k : k + run]) >= need]
+        kept, at = [], 0
+        for zone, text in found:
+            ws = text.split()
+            start, at = at, at + len(ws)
+            if zone != own:
+                continue
+            if len(ws) < run:
+                if not any(k <= start and k + run >= at for k in hit) and (len(every) < least or sum(text in x for x in lines) < need):
+                    kept.append(text)
+                continue
+            over = {k + d for k in hit if k >= start and k + run <= at for d in range(run)}
+            if left := [w for k, w in enumerate(ws) if start + k not in over]:
+                kept.append(" ".join(left))
+        out[i] = " ".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("host_tokens", [10**6, 60])
+def test_extract_equals_brute_force(spark, host_tokens):
+    """Pages of few words with and without an article, so that passages of three words are shared by chance in every way."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    rows = []
+    for i in range(40):
+        body = "".join(f"<div>{say(rng.choice([1, 2, 3, 5, 9]))}</div>" for _ in range(rng.randint(0, 5)))
+        body += f"<article><p>{say(9)}</p><p>same words here for all</p><p>{say(2)}</p></article>" if i % 3 == 0 else ""
+        rows.append((i, f"http://h{i % 3 and 1}/{i}", f"<div>menu one</div>{body}<div>foot of {say(1)}</div>"))
+    rows += [(90, "http://h1/9", rows[1][2]), (91, "http://h1/8", "<p>lone</p>" * 30), (92, "http://two/1", "<p>x y z</p>"), (93, "http://two/2", "<p>x y z</p><p>own</p>"), (94, "http://one/1", "<p>x y z</p>")]
+    want = brute_extract([(i, u.split("/")[2], h) for i, u, h in rows], 3, H.SHARE, H.LEAST)
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), run_length=3, host_tokens=host_tokens)
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def test_halves_of_passages_are_none(spark):
+    """Six words that pages 1-3 share and six that pages 3-5 share stand side by side on page 3: no longer passage repeats."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rng = random.Random(1)
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(6))
+    texts = {1: f"{a} {own()}", 2: f"{a} {own()}", 3: f"{a} {b}", 4: f"{own()} {b}", 5: f"{own()} {b}"}
+    for tag in ("article", "div"):
+        rows = [(i, f"http://h/{i}", f"<{tag}>{t}</{tag}>") for i, t in texts.items()]
+        assert {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == texts
+
+
+def test_two_unlike_pages_have_no_candidates(spark):
+    rng = random.Random(2)
+    pages = [("h", " ".join(f"w{rng.randrange(10**6)}" for _ in range(5000))) for _ in range(2)]
+    assert H.boilerplate(spark.createDataFrame(pages, "host string, html string")).count() == 0
+    long = [("h", "<p>the very same words of a house that each of its pages has</p>" + p) for _, p in pages]
+    assert 0 < H.boilerplate(spark.createDataFrame(long, "host string, html string")).count() < 20
 
 
 @pytest.mark.parametrize("host_tokens", [10**6, 50])
