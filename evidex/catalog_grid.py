@@ -19,6 +19,8 @@ from evidex.sources import grid_text, report, synthetic, tables
 
 #: Draws of the nulls and of the bootstrap, the operators' defaults.
 N_NULL, N_BOOT = 999, 500
+#: Fewer shifts than the grid has, so that they are drawn.
+N_SHIFTS = 40
 #: A schedule of three windows, the last of which the data ends in: (window, oos_start, oos_end, in_len, in_type, anchored, grid_row).
 SCHEDULE = [(1, "1994-01-01", "1995-06-30", 18, "Month", False, 5), (2, "1995-07-01", "1996-12-31", 18, "Month", False, 40), (3, "1998-07-01", "2000-12-31", 100, "Week", True, 99)]
 
@@ -200,6 +202,12 @@ def _grid_block_scan(i: Inputs) -> DataFrame:
     return rounded(c.join(days, "combo_id").join(exits, "combo_id", "left"))
 
 
+def _permutations(i: Inputs) -> DataFrame:
+    """The grid without its first cell is not full: its null is drawn by permutation."""
+    combos, pairs = i.combos.where("combo_id > 0"), i.pairs.where("combo_id > 0")
+    return rounded(W.spearman_draws(pairs, W.torus_draws(pairs, combos, G.shape(combos))))
+
+
 def _base_setting(i: Inputs) -> DataFrame:
     """The recommended setting; arrays as text."""
     b = K.base_setting(i.daily, i.days, i.windows, i.combos, cut(i.verdict.select("project", "reading")), "two")
@@ -287,6 +295,8 @@ def queries() -> dict:
         "spearman_wfc": lambda i: rounded(W.correlations(i.pairs), 9),
         "wfc_npavgdd_holes": lambda i: rounded(W.correlations(i.holes), 9),
         "torus_null": lambda i: rounded(i.torus),
+        "torus_random_null": lambda i: rounded(W.spearman_draws(i.pairs, W.torus_draws(i.pairs, i.combos, G.shape(i.combos), N_SHIFTS))),
+        "permutation_null": _permutations,
         "wfc_signflip_null": lambda i: rounded(i.flip_rho),
         "wfc_path_null": lambda i: rounded(i.path_rho),
         "wfc_test": lambda i: rounded(W.correlation_test(W.correlations(i.pairs), i.torus), 9),
@@ -396,6 +406,9 @@ VALID = ", vp AS (SELECT * FROM pr WHERE x IS NOT NULL AND y IS NOT NULL)"
 TORUS = f""", sh AS (SELECT s, s % (SELECT max(pa) + 1 FROM cb) AS sa, s // (SELECT max(pa) + 1 FROM cb) AS sb FROM (SELECT unnest(range(1, (SELECT count(*) FROM cb))) AS s)),
 ty AS (SELECT p."window", s AS draw, c.combo_id, p.y FROM sh CROSS JOIN cb c JOIN cb f ON f.pa = (c.pa + sa) % (SELECT max(pa) + 1 FROM cb) AND f.pb = (c.pb + sb) % (SELECT max(pb) + 1 FROM cb) JOIN pr p ON p.combo_id = f.combo_id),
 tj AS (SELECT ty."window", draw, ty.combo_id, pr.x, ty.y FROM ty JOIN pr ON pr."window" = ty."window" AND pr.combo_id = ty.combo_id), tn AS (SELECT "window", draw, {_corr("rx", "ry")} AS null_rho FROM ({_ranks("tj", '"window", draw', "x", "y")}) GROUP BY 1, 2)"""
+SHIFTS = TORUS.replace("s % (SELECT max(pa) + 1 FROM cb) AS sa, s // (SELECT max(pa) + 1 FROM cb) AS sb FROM (SELECT unnest(range(1, (SELECT count(*) FROM cb))) AS s)", "code % (SELECT max(pa) + 1 FROM cb) AS sa, code // (SELECT max(pa) + 1 FROM cb) AS sb FROM (SELECT s, 1 + CAST(floor(" + _u.format("'0|torus|P1|' || s") + f" * (SELECT count(*) - 1 FROM cb)) AS BIGINT) AS code FROM (SELECT unnest(range(1, {N_SHIFTS + 1})) AS s))")
+PERMUTED = f""", ph AS (SELECT s AS draw, combo_id, row_number() OVER (PARTITION BY s ORDER BY {_u.format("'0|permute|P1|' || s || '|' || combo_id")}) AS place, row_number() OVER (PARTITION BY s ORDER BY combo_id) AS from_place FROM cb CROSS JOIN (SELECT unnest(range(1, 1000)) AS s) WHERE combo_id > 0),
+tj AS (SELECT x."window", a.draw, a.combo_id, x.x, y.y FROM ph a JOIN ph b ON b.draw = a.draw AND b.from_place = a.place JOIN pr x ON x.combo_id = a.combo_id JOIN pr y ON y."window" = x."window" AND y.combo_id = b.combo_id), tn AS (SELECT "window", draw, {_corr("rx", "ry")} AS null_rho FROM ({_ranks("tj", '"window", draw', "x", "y")}) GROUP BY 1, 2)"""
 RHO = f""", sj AS (SELECT su."window", draw, su.combo_id, pr.x, su.y FROM su JOIN pr ON pr."window" = su."window" AND pr.combo_id = su.combo_id), sn AS (SELECT "window", draw, {_corr("rx", "ry")} AS null_rho FROM ({_ranks("sj", '"window", draw', "x", "y")}) GROUP BY 1, 2)"""
 HOLES = (
     SURF
@@ -505,6 +518,8 @@ SELECT 'P1' AS project, st."window", draw::INTEGER AS draw, round(sum((r <= k AN
         "spearman_wfc": f"WITH {PAIRS}{VALID}{CORR} SELECT 'P1' AS project, \"window\", {corr_cols} FROM co",
         "wfc_npavgdd_holes": f"WITH {HOLES}{VALID}{CORR} SELECT 'P1' AS project, \"window\", {corr_cols} FROM co",
         "torus_null": f"WITH {PAIRS}{TORUS} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, {_r('null_rho')} FROM tn",
+        "torus_random_null": f"WITH {PAIRS}{SHIFTS} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, {_r('null_rho')} FROM tn",
+        "permutation_null": f"WITH {PAIRS}{PERMUTED} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, {_r('null_rho')} FROM tn",
         "wfc_signflip_null": f"WITH {FLIP}{SURFACES}{RHO} SELECT 'P1' AS project, \"window\", draw::INTEGER AS draw, {_r('null_rho')} FROM sn",
         "wfc_test": f"""WITH {PAIRS}{VALID}{CORR}{TORUS}, pq AS (SELECT co."window", (1.0 + sum((null_rho >= spearman)::INT)) / (1.0 + count(*)) AS p FROM tn JOIN co ON co."window" = tn."window" GROUP BY 1), z AS (SELECT co.*, CASE WHEN n_points < 8 OR n_pos_is < 4 THEN 1.0 ELSE p END AS pv FROM co JOIN pq ON pq."window" = co."window")
 SELECT 'P1' AS project, "window", {corr_cols}, round(pv, 9) AS p_value, CASE WHEN pv < 0.05 AND pos_oos_frac >= 0.5 THEN 'structural edge, low over-fitting' WHEN pv < 0.05 THEN 'consistently loss-making strategy' WHEN pos_oos_frac >= 0.5 THEN 'spurious result, high over-fitting' ELSE 'noise, no edge' END AS quadrant FROM z""",

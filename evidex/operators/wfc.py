@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.semantics import avg_rank, corr0, p_from_counts, uniform
 from evidex.operators.grid import WINDOW, neighbours
 from evidex.operators.region import by_cell_blocks
-from evidex.session import spread
+from evidex.session import cut, ship, spread
 
 NULLS = ("signflip", "torus")
 MIN_POINTS, MIN_POSITIVE = 8, 4
 #: Series that a task compares with all those of their key.
 CHUNK = 256
+#: Days up to which their products are one matrix in a task.
+GRAM_DAYS = 4096
 
 
 def valid(pairs: DataFrame) -> DataFrame:
@@ -128,22 +134,54 @@ def effective_trials(daily: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
     """(keys, n_eff): how many independent variants a set of series is worth, m^2 / sum of squared correlations of its m varying series.
 
     This equals (sum of eigenvalues)^2 / (sum of their squares) of the correlation matrix, by its trace and its Frobenius
-    norm. daily: (keys, combo_id, day_idx, pnl), the same days for each combination of a key. A series is one array; the
-    correlations of a pair are squared and added where the pair is made, so nothing of the size of all pairs is kept or
-    shuffled, and a key's pairs are spread over chunks of CHUNK series.
+    norm. daily: (keys, combo_id, day_idx, pnl), the same days for each combination of a key. A series is one array. The norm
+    is that of the products of days as well as of those of series, so the smaller matrix is taken: where there are fewer
+    days, the work is linear in the series; else the correlations of a pair are squared and added where the pair is made,
+    and a key's pairs are spread over chunks of CHUNK series.
     """
     w = Window.partitionBy(*keys, "combo_id")
     z = daily.withColumns({"m_": F.avg("pnl").over(w), "s_": F.stddev_pop("pnl").over(w)}).where("s_ > 0")
     z = z.select(*keys, "combo_id", "day_idx", ((F.col("pnl") - F.col("m_")) / F.col("s_")).alias("z"))
     z = z.groupBy(*keys, "combo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("day_idx", "z"))), lambda x: x["z"]).alias("z"))
-    many = z.groupBy(*keys).agg(F.count("*").alias("m"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    z = z.join(many, keys)
-    one = z.withColumn("chunk", F.pmod(F.hash("combo_id"), "chunks"))
-    other = z.select(*keys, F.col("combo_id").alias("c2"), F.col("z").alias("z2"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    many = z.groupBy(*keys).agg(F.count("*").alias("m"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.max(F.size("z")).alias("n"))
+    by_days = (F.col("n") < F.col("m")) & (F.col("n") <= GRAM_DAYS)
+    z = cut(z.join(many.withColumn("by_days", by_days), keys))
+    one = z.where("not by_days").withColumn("chunk", F.pmod(F.hash("combo_id"), "chunks"))
+    other = z.where("not by_days").select(*keys, F.col("combo_id").alias("c2"), F.col("z").alias("z2"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     c = F.aggregate(F.zip_with("z", "z2", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.size("z")
-    pairs = one.join(other, [*keys, "chunk"]).where("combo_id < c2").groupBy(*keys).agg(F.sum(c * c).alias("squares"))
+    pairs = one.join(other, [*keys, "chunk"]).where("combo_id < c2").groupBy(*keys).agg((2 * F.sum(c * c)).alias("squares"))
     m = F.col("m").cast("double")
-    return many.join(pairs, keys, "left").select(*keys, (m * m / (m + 2 * F.coalesce("squares", F.lit(0.0)))).alias("n_eff"))
+    if not z.where("by_days").isEmpty():
+        norm = day_products(z.where("by_days").select(*keys, "z"), keys)
+        pairs = pairs.union(norm.join(many, keys).select(*keys, (F.col("norm") / F.pow("n", F.lit(2)) - m).alias("squares")))
+    return many.join(pairs, keys, "left").select(*keys, (m * m / (m + F.coalesce("squares", F.lit(0.0)))).alias("n_eff"))
+
+
+def day_products(z: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
+    """(keys, norm): the squared Frobenius norm of the products of days, summed over series z. A task adds up the products of
+    all series that it has of a key; the sums of tasks are then added by day."""
+    ship(z.sparkSession)
+    kinds = dict(z.dtypes)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            rows = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
+            for key in dict.fromkeys(rows):
+                some = np.array([table.column("z")[i].values.to_numpy() for i, r in enumerate(rows) if r == key])
+                sums[key] = sums.get(key, 0.0) + some.T @ some
+        for key, g in sums.items():
+            columns = [pa.array([k] * len(g), table.schema.field(name).type) for k, name in zip(key, keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(g)), pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], [*keys, "day", "products"])
+
+    def squared(table: pa.Table) -> pa.Table:
+        total = np.sum([x.values.to_numpy() for x in table.column("products")], axis=0)
+        return table.slice(0, 1).select(keys).append_column("part", pa.array([float(total @ total)]))
+
+    sums = z.mapInArrow(products, f"{named}, day int, products array<double>")
+    return sums.groupBy(*keys, "day").applyInArrow(squared, f"{named}, part double").groupBy(*keys).agg(F.sum("part").alias("norm"))
 
 
 def bootstrap_blocks(n_days: DataFrame, n_boot: int, mean_block: float = 20.0, seed: int = 0, draw=uniform) -> DataFrame:

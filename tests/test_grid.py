@@ -147,6 +147,21 @@ def test_effective_trials(spark):
     assert W.effective_trials(d([[1, -1, 1, -1], [1, 1, -1, -1]])).first().n_eff == pytest.approx(2)
 
 
+def test_effective_trials_of_many_series(spark):
+    """More series than days: the products of days give what the eigenvalues of the correlations do; in tasks of a few series."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 7)) + rng.normal(size=7)
+    x[5] = 2.0
+    d = daily(spark, x.tolist()).withColumn("window", F.lit(1))
+    few = d.where("combo_id < 6").withColumn("window", F.lit(2))
+    got = {r.window: r.n_eff for r in W.effective_trials(d.union(few).repartition(6)).collect()}
+    for window, rows in ((1, np.delete(x, 5, 0)), (2, x[:5])):
+        e = np.linalg.eigvalsh(np.corrcoef(rows))
+        assert got[window] == pytest.approx(e.sum() ** 2 / (e**2).sum())
+
+
 def test_bootstrap_and_reality_check(spark):
     n = spark.createDataFrame([("p", 1, 50)], "project string, window int, n int")
     t = W.bootstrap_days(n, 30)
