@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,10 @@ RUN = 12
 SHARE, LEAST = 0.02, 2
 FIRM_SHARE, FIRM = 0.5, 3
 HOST_TOKENS = 500_000
-#: Runs up to which a table of runs is broadcast.
-SMALL_TABLE = 500_000
+#: Passages, or hosts, up to which a table of them is broadcast; of about 0.1 KB each.
+SMALL_TABLE = 200_000
+#: Tasks that the pages of a host are dealt over, where passages are more.
+DEALT = 64
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z)""", re.S)
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select".split())
@@ -213,37 +215,73 @@ def held(text: str, keys: np.ndarray, passages: list[str], run: int) -> np.ndarr
     return np.array([short.get(k) == p[1:] if p.startswith("\n") else k in where and " ".join(words[where[k] : where[k] + run]) == p for k, p in zip(keys.tolist(), passages, strict=True)], bool)
 
 
+Marks = tuple[np.ndarray, list[str], np.ndarray]
+KEYED = "host string, key long, n long, text string, found array<string>"
+
+
+def keyed_pages(batches: Iterator[pa.RecordBatch], marks: Callable[[str], Marks | None] | None, with_text: bool, run: int) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[str, int]] = set()
+    for b in batches:
+        rows = []
+        for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+            text = page_text(page.as_py() or "")
+            key = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+            if (host, key) in seen:
+                continue
+            seen.add((host, key))
+            found = None
+            if marks and (some := marks(host)):
+                keys, passages, _ = some
+                found = [passages[k] for k in np.flatnonzero(held(text, keys, passages, run))]
+            rows.append((host, key, len(text.split()), text if with_text else None, found))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "key", "n", "text", "found"])
+
+
 def keyed(p: DataFrame, with_text: bool, run: int = RUN) -> DataFrame:
-    """(host, key, n, text) of each page, its copies within a task left out: a hash of its visible text, its words, and the text where wanted; with a column
-    `runs` in p, found: which of these the page holds."""
-    searched = "runs" in p.columns
+    """(host, key, n, text, found) of each page, its copies within a task left out: a hash of its visible text, its words, and the text where wanted."""
+    return p.select("host", "html").mapInArrow(lambda batches: keyed_pages(batches, None, with_text, run), KEYED)
+
+
+def _arrays(rows: list[tuple[int, str, bool]]) -> Marks:
+    return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows], bool)
+
+
+def with_marks(p: DataFrame, marks: DataFrame, each: Callable[[Iterator[pa.RecordBatch], Callable[[str], Marks | None]], Iterator[pa.RecordBatch]], schema: str, small: int | None = None) -> DataFrame:
+    """each(batches of p, a host's marks) as a table. marks: (host, run, passage, firm). Up to SMALL_TABLE of them every task gets
+    them once; beyond, pages are dealt by host, a host's over several tasks, and each task gets a host's marks ahead of its pages."""
+    if marks.count() <= (SMALL_TABLE if small is None else small):
+        by: dict[str, list] = {}
+        for r in marks.select("host", "run", "passage", "firm").collect():
+            by.setdefault(r.host, []).append((r.run, r.passage, r.firm))
+        shared = p.sparkSession.sparkContext.broadcast({h: _arrays(rows) for h, rows in by.items()})
+        return p.mapInArrow(lambda batches: each(batches, lambda host: shared.value.get(host)), schema)
+    deal = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal_")
+    rows = F.collect_list(F.struct("run", "passage", "firm")).alias("marks_")
+    first = marks.groupBy("host").agg(rows).select("host", deal, "marks_")
+    pages = p.select(*p.columns, F.pmod(F.xxhash64("html"), F.lit(DEALT)).cast("int").alias("deal_")).withColumn("marks_", F.lit(None).cast(first.schema["marks_"].dataType))
+    for c, kind in p.dtypes:
+        if c != "host":
+            first = first.withColumn(c, F.lit(None).cast(kind))
+    dealt = pages.unionByName(first).repartition("host", "deal_").sortWithinPartitions("host", "deal_", F.col("marks_").isNull())
 
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
-        for b in batches:
-            rows = []
-            for i, (host, page) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-                text = page_text(page.as_py() or "")
-                key = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                if (host, key) in seen:
-                    continue
-                seen.add((host, key))
-                found = None
-                if searched:
-                    keys, passages = _marks(b.column(2)[i])
-                    found = [passages[k] for k in np.flatnonzero(held(text, keys, passages, run))]
-                rows.append((host, key, len(text.split()), text if with_text else None, found))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "key", "n", "text", "found"])
-
-    return p.select("host", "html", *["runs"] * searched).mapInArrow(pages, "host string, key long, n long, text string, found array<string>")
-
-
-def _marks(runs: pa.Scalar) -> tuple[np.ndarray, list[str]]:
-    """Hashes and words of passages, from an array of (run, passage)."""
-    v = runs.values
-    return v.field("run").to_numpy(), v.field("passage").to_pylist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[str, Marks] = {}
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                heads = np.flatnonzero(b.column("marks_").is_valid().to_numpy(zero_copy_only=False)).tolist()
+                for i, until in zip([-1, *heads], [*heads, b.num_rows], strict=True):
+                    if i >= 0:
+                        now.clear()
+                        now[b.column("host")[i].as_py()] = _arrays([(m["run"], m["passage"], m["firm"]) for m in b.column("marks_")[i].as_py()])
+                    if until > i + 1:
+                        yield b.slice(i + 1, until - i - 1)
+
+        yield from each(parts(), now.get)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def boilerplate(p: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOKENS, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -283,18 +321,14 @@ def boilerplate(p: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOK
     if hosts.where("chunks > 1").isEmpty():
         return out
     wanted = cut(found.where("chunks > 1").select("host", "run", "passage").distinct())
-    runs = wanted.groupBy("host").agg(F.collect_list(F.struct("run", "passage")).alias("runs"))
-    holds = keyed(with_runs(p, runs, wanted.count()).where("runs is not null"), False, run_length).select("host", "key", "found").dropDuplicates(["host", "key"])
+    large = p.select("host", "html").join(F.broadcast(hosts) if hosts.count() <= SMALL_TABLE else hosts, "host").where("chunks > 1").select("host", "html")
+    find = lambda batches, marks: keyed_pages(batches, marks, False, run_length)
+    holds = with_marks(large, wanted.withColumn("firm", F.lit(False)), find, KEYED).select("host", "key", "found").dropDuplicates(["host", "key"])
     counted = holds.select("host", F.explode("found").alias("passage")).groupBy("host", "passage").agg(F.count("*").alias("pages"))
     return out.union(counted.join(wanted, ["host", "passage"]).join(few, "host").where(enough).select(names))
 
 
-def with_runs(p: DataFrame, hosts: DataFrame, n: int) -> DataFrame:
-    """p with the columns of its host, null where there are none; n: the runs in them."""
-    return p.join(F.broadcast(hosts) if n <= SMALL_TABLE else hosts, "host", "left")
-
-
-def extract(pages: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOKENS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int | None = None) -> DataFrame:
     """The query's rows: page_id, url, text and n_chars of every page.
 
     Character references are decoded, white space within a block becomes one space, and blocks are joined by one. A null or
@@ -308,32 +342,43 @@ def extract(pages: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOK
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     gone = cut(boilerplate(p, run_length, host_tokens))
     firm = (F.col("pages") >= FIRM) & (F.col("pages") >= F.col("host_n") * FIRM_SHARE)
-    marks = F.collect_list(F.struct("run", "passage", firm.alias("firm"))).alias("runs")
-    marked = with_runs(p, gone.groupBy("host").agg(marks), gone.count())
+    names = ["page_id", "url", "text", "n_chars"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], marks: Callable[[str], Marks | None]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, tuple] = {}
         for b in batches:
             texts = []
-            for page, runs in zip(b.column(2), b.column(3), strict=True):
-                texts.append(main_text(page.as_py() or "", (*_marks(runs), runs.values.field("firm").to_numpy(zero_copy_only=False)) if runs.is_valid else None, run_length))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+                if host not in ready:
+                    if len(ready) >= 256:
+                        ready.clear()
+                    some = marks(host)
+                    ready[host] = some and prepared(some)
+                texts.append(main_text(page.as_py() or "", ready[host], run_length))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names)
+
+    return with_marks(p, gone.withColumn("firm", firm), run, "page_id long, url string, text string, n_chars long", small)
+
 
-    return marked.select("page_id", "url", "html", "runs").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+def prepared(marks: Marks) -> tuple[tuple[dict[int, str], np.ndarray], ...]:
+    """A host's passages by hash, and their hashes in order: all of them, and those that go from articles too."""
+    every = dict(zip(marks[0].tolist(), marks[1], strict=True))
+    firm = {k: every[k] for k in marks[0][marks[2]].tolist()}
+    return tuple((d, np.sort(np.fromiter(d, np.int64, len(d)))) for d in (every, firm))
 
 
-def main_text(page: str, marks: tuple[np.ndarray, list[str], np.ndarray] | None, run: int = RUN) -> str:
-    """The page's main text; marks: the host's boilerplate by hash and by its words, and which of it goes from articles too."""
+def main_text(page: str, marks: tuple | None, run: int = RUN) -> str:
+    """The page's main text; marks: the host's boilerplate, as `prepared`."""
     found = blocks(page)
     zones = {z for z, _ in found}
     own = "article" if "article" in zones else "main" if "main" in zones else "plain"
     if marks is None:
         return " ".join(t for z, t in found if z == own)
-    keys, passages, firm = marks
-    wanted = {k: p for k, p, f in zip(keys.tolist(), passages, firm.tolist(), strict=True) if f or own == "plain"}
+    wanted, keys = marks[own != "plain"]
     words = [t.split(" ") for _, t in found]
     flat = [w for ws in words for w in ws]
     here = run_keys(word_keys(flat), run)
-    hit = np.isin(here, np.fromiter(wanted, np.int64, len(wanted)))
+    hit = keys[np.minimum(np.searchsorted(keys, here), len(keys) - 1)] == here if len(keys) else np.zeros(len(here), bool)
     hit[[i for i in np.flatnonzero(hit).tolist() if wanted[int(here[i])] != " ".join(flat[i : i + run])]] = False
     hits, at, kept = np.flatnonzero(hit), 0, []
     for (zone, text), ws in zip(found, words, strict=True):

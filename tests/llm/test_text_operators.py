@@ -224,8 +224,8 @@ def brute_extract(pages, run, share, least):
     return out
 
 
-@pytest.mark.parametrize("host_tokens", [10**6, 60])
-def test_extract_equals_brute_force(spark, host_tokens):
+@pytest.mark.parametrize(("host_tokens", "small"), [(10**6, None), (60, None), (60, 0)])
+def test_extract_equals_brute_force(spark, host_tokens, small):
     """Pages of few words with and without an article, so that passages of three words are shared by chance in every way."""
     rng = random.Random(8)
     say = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
@@ -236,7 +236,7 @@ def test_extract_equals_brute_force(spark, host_tokens):
         rows.append((i, f"http://h{i % 3 and 1}/{i}", f"<div>menu one</div>{body}<div>foot of {say(1)}</div>"))
     rows += [(90, "http://h1/9", rows[1][2]), (91, "http://h1/8", "<p>lone</p>" * 30), (92, "http://two/1", "<p>x y z</p>"), (93, "http://two/2", "<p>x y z</p><p>own</p>"), (94, "http://one/1", "<p>x y z</p>")]
     want = brute_extract([(i, u.split("/")[2], h) for i, u, h in rows], 3, H.SHARE, H.LEAST)
-    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), run_length=3, host_tokens=host_tokens)
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), run_length=3, host_tokens=host_tokens, small=small)
     assert {r.page_id: r.text for r in got.collect()} == want
 
 
