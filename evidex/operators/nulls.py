@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.semantics import p_from_counts, uniform
-from evidex.operators.trades import lift, pct_return
+from evidex.operators.trades import lift
 from evidex.session import cut, spread
 
 
@@ -40,6 +40,3 @@ def random_entry_test(based: DataFrame, bars: DataFrame, n_perm: int = 1000, see
     s = d.groupBy("strategy_id").agg(F.avg("null_mean").alias("null_mean"), F.stddev_samp("null_mean").alias("null_std"), F.count_if(F.col("null_mean") >= F.col("observed_mean")).alias("k_ge"), F.count("*").alias("n_perm"))
     out = o.join(s, "strategy_id")
     return out.withColumns({"z": F.try_divide(F.col("observed_mean") - F.col("null_mean"), F.col("null_std")), "p_value": p_from_counts(F.col("k_ge"), F.col("n_perm"))})
-
-
-__all__ = ["pct_return", "random_entry_draws", "random_entry_test"]
