@@ -126,16 +126,27 @@ def suffix_array(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """The starts of all suffixes in order, by doubling; a suffix ends with its stream. tokens: the joined streams, as numbers;
     owner: the stream of each token, ascending. Equal suffixes are in the order of their starts."""
     n = len(tokens)
-    rank, size, before = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1, 0
-    end = np.searchsorted(owner, owner, "right")
-    at = np.arange(n)
-    while rank.max(initial=0) > before:  # a round that tells no more suffixes apart is the last
-        before = rank.max(initial=0)
-        later = np.zeros(n, np.int64)
-        inside = at + size < end
-        later[inside] = rank[at[inside] + size]
-        rank = np.unique(rank * (n + 2) + later, return_inverse=True)[1].astype(np.int64) + 1
-        size *= 2
+    order = np.argsort(tokens, kind="stable")
+    new = np.r_[True, np.diff(tokens[order]) != 0][:n]
+    rank = np.empty(n, np.int64)  # where a suffix's group begins in the order
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    end, size = np.searchsorted(owner, owner, "right"), 1
+    open_ = order[~(new & np.r_[new[1:], True][:n])]  # suffixes that are not alone in their group
+    while len(open_):
+        later = np.zeros(len(open_), np.int64)
+        inside = open_ + size < end[open_]
+        later[inside] = rank[open_[inside] + size] + 1
+        by = np.lexsort((open_, later, rank[open_]))
+        some, group, later = open_[by], rank[open_][by], later[by]
+        starts = np.r_[True, np.diff(group) != 0]
+        new = starts | np.r_[True, np.diff(later) != 0]
+        at = np.arange(len(some))
+        place = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(starts, at, 0))
+        rank[some] = place
+        alone = new & np.r_[new[1:], True]
+        if new.sum() == starts.sum():  # a round that tells no more suffixes apart is the last
+            break
+        open_, size = some[~alone], 2 * size
     return np.argsort(rank, kind="stable")
 
 
@@ -211,7 +222,9 @@ def held(text: str, keys: np.ndarray, passages: list[str], run: int) -> np.ndarr
     """Which of some passages, given by hash and words, a text holds."""
     words = text.split()
     short, at = short_blocks(text, run), run_keys(word_keys(words), run)
-    where = dict(zip(at.tolist(), range(len(at)), strict=True)) if np.isin(at, keys).any() else {}
+    sorted_keys = np.sort(keys)
+    hits = np.flatnonzero(sorted_keys[np.minimum(np.searchsorted(sorted_keys, at), len(keys) - 1)] == at) if len(keys) else []
+    where = {int(at[i]): int(i) for i in hits}
     return np.array([short.get(k) == p[1:] if p.startswith("\n") else k in where and " ".join(words[where[k] : where[k] + run]) == p for k, p in zip(keys.tolist(), passages, strict=True)], bool)
 
 
