@@ -224,3 +224,23 @@ def test_cost_table(spark):
     got = S.with_round_trip(spark.createDataFrame(rows, "symbol string, want double"))
     assert got.count() == len(rows) and got.where("not reference_cost <=> want").collect() == []
     assert len(S.COSTS) == 79
+
+
+def test_random_entries_in_groups_and_ranges(spark, monkeypatch):
+    """Draws made in groups of trades and ranges of bars are those of the MD5 that names each."""
+    from hashlib import md5
+
+    b = synthetic.make_bars(spark, 60, seed=4).select("symbol", "bar_idx", F.when(F.col("bar_idx") % 11 > 0, F.col("open")).otherwise(0.0).alias("open"))
+    b = b.where("bar_idx not in (5, 41)").union(spark.createDataFrame([("@ES", 60, 3.0), ("@ES", 61, 4.0)], b.schema))  # as many bars as before, two missing
+    rows = [(s, "@ES", "x" * 50 if t == 3 else str(t), 1 - 2 * (t % 2), 1 + t % 3) for s in (1, 23) for t in range(14)]
+    based = spark.createDataFrame(rows, "strategy_id long, symbol string, trade_id string, direction int, hold long")
+    monkeypatch.setattr(nulls, "RANGE", 16)
+    monkeypatch.setattr(nulls, "GROUP", 3)
+    got = {(x.strategy_id, x.draw): x.null_mean for x in nulls.random_entry_draws(based, b, 12).collect()}
+    opens, want = {x.bar_idx: x.open for x in b.collect()}, {}
+    for s, _, t, direction, hold in rows:
+        for d in range(12):
+            j = min(int(int(md5(f"0|{s}|{d}|{t}".encode()).hexdigest()[:13], 16) / 2**52 * (60 - hold)), 60 - hold - 1)
+            if opens.get(j) and j + hold in opens:
+                want.setdefault((s, d), []).append(direction * (opens[j + hold] / opens[j] - 1.0))
+    assert got == pytest.approx({k: sum(v) / len(v) for k, v in want.items()})
