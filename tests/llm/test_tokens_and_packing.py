@@ -115,3 +115,15 @@ def test_all_three_limits_bind_and_sequences_are_few():
     assert bound <= len(seqs) < 1.1 * bound
     wide = packing.pack(tokens, loss, packing.Limits(segments=10**6, loss_tokens=10**6))
     assert any(len(s) > limits.segments for s in wide) and any(bearing(s) > limits.loss_tokens for s in wide)
+
+
+def test_words_of_letters_need_the_model_alone():
+    enc, rng = T.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    calls, whole = [], enc.bare.encode
+    enc.bare.encode = enc.spaced.encode = lambda part: calls.append(part) or whole(part)
+    for _ in range(500):
+        text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 20))) + rng.choice(["", "", ",", "."]) for _ in range(8))
+        assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(calls) <= {"\n", ",", ".", ""}
+    assert not T.Encoder(public_tokenizers.path("word_bpe_49k.json")).bare.letters  # folds case, so it is asked whole
