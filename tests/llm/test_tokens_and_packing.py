@@ -119,7 +119,7 @@ def test_all_three_limits_bind_and_sequences_are_few():
 
 def test_words_of_letters_need_the_model_alone():
     enc, rng = T.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
-    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    letters = [chr(c) for c in range(0x250) if len(chr(c).lower()) == 1 and chr(c).isalpha()]  # a dotted capital I is asked whole
     calls, whole = [], enc.bare.encode
     enc.bare.encode = enc.spaced.encode = lambda part: calls.append(part) or whole(part)
     for _ in range(500):
