@@ -153,14 +153,20 @@ def demo_trades(spark: SparkSession, edge: bool = False) -> dict[str, DataFrame]
 
 
 def grid_lines(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
-    """(file, line, s): optimisation files of grids, a line for each combination; grid_exits with n trades a row."""
+    """(file, line, s): optimisation files of grids, a line for each combination; grid_exits with n trades a row.
+
+    A combination's records meet in one aggregation and no join, since lines are long and a join might broadcast them.
+    """
     pnl = F.col("pnl").cast("string")
     day = F.concat_ws(",", F.date_format("date", "yyyyMMdd"), pnl, F.lit("0,0,0,0,0,0"), pnl)
-    daily = grid["grid_daily"].groupBy("project", "combo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day_idx", day.alias("r")))), lambda x: x["r"]), "|").alias("d"))
-    trade = lambda x: F.array_repeat(F.concat(F.date_format(x["date"], "yyyyMMdd"), F.lit(",1000,X,L,100.0,0,0,0")), x["n"].cast("int"))
-    out = grid["grid_exits"].groupBy("project", "combo_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("date", "n"))), trade)), "|").alias("t"))
-    row = F.concat(F.array_join(F.transform("params", lambda x: x.cast("string")), ","), F.lit("~v1,1|"), F.col("d"), F.lit("~v2"), F.coalesce(F.concat(F.lit("|"), F.col("t")), F.lit("")))
-    each = grid["combos"].join(daily, ["project", "combo_id"]).join(out, ["project", "combo_id"], "left").select(F.col("project").alias("file"), (F.col("combo_id") + 1).cast("bigint").alias("line"), row.alias("s"))
+    columns = {"params": "array<double>", "day": "struct<day_idx: int, r: string>", "out": "struct<date: date, n: bigint>"}
+    only = lambda d, name, value: d.select("project", "combo_id", *((value if c == name else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()))
+    records = only(grid["combos"], "params", F.col("params")).union(only(grid["grid_daily"], "day", F.struct("day_idx", day.alias("r")))).union(only(grid["grid_exits"].where("n > 0"), "out", F.struct("date", "n")))
+    got = records.groupBy("project", "combo_id").agg(F.first("params", True).alias("params"), F.array_sort(F.collect_list("day")).alias("days"), F.array_sort(F.collect_list("out")).alias("outs"))
+    trade = lambda x: F.concat(F.date_format(x["date"], "yyyyMMdd"), F.lit(",1000,X,L,100.0,0,0,0"))
+    trades = F.array_join(F.transform("outs", lambda x: F.concat(trade(x), F.repeat(F.concat(F.lit("|"), trade(x)), (x["n"] - 1).cast("int")))), "|")
+    row = F.concat(F.array_join(F.transform("params", lambda x: x.cast("string")), ","), F.lit("~v1,1|"), F.array_join(F.col("days.r"), "|"), F.lit("~v2"), F.when(F.size("outs") > 0, F.concat(F.lit("|"), trades)).otherwise(""))
+    each = got.where("params is not null and size(days) > 0").select(F.col("project").alias("file"), (F.col("combo_id") + 1).cast("bigint").alias("line"), row.alias("s"))
     return each.union(grid["combos"].select("project").distinct().select("project", F.lit(0).cast("bigint"), F.lit(",".join(names))))
 
 

@@ -260,3 +260,16 @@ def test_driver_contract(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_grid_lines_meet_in_no_join(spark):
+    """A line may be many megabytes, and the side of a join that is broadcast passes through the driver."""
+    g = synthetic.make_grid(spark, (2, 2), 12, 6, seed=1)
+    g["grid_exits"] = g["grid_exits"].where("combo_id > 0").withColumn("n", F.when(F.col("combo_id") == 1, F.lit(0)).otherwise(F.col("combo_id")).cast("bigint"))
+    kept = {k: spark.createDataFrame(d.collect(), d.schema) for k, d in g.items()}
+    text = synthetic.grid_lines(kept, ["A", "B"])
+    assert "Join" not in text._jdf.queryExecution().executedPlan().toString()
+    t, v = grid_text.parse_grid(synthetic.grid_text(kept, ["A", "B"]))
+    assert v.count() == 0 and t["combos"].count() == 4
+    count = lambda d: {r.combo_id: r.n for r in d.groupBy("combo_id").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+    assert count(t["grid_exits"]) == count(kept["grid_exits"])
