@@ -10,7 +10,8 @@ the block that it stands in, and a block of under RUN words goes where it stands
 is the main text, and on pages without one everything outside elements which the markup names as menu, footer, advert, form
 or comment.
 
-A host with over HOST_TOKENS words is sorted in chunks of pages. What stands on a share of all pages stands on that share
+A host with over HOST_TOKENS words is sorted in chunks of pages; its words are estimated by the characters outside of tags,
+so that pages need not be parsed for it: the number of chunks does not change results. What stands on a share of all pages stands on that share
 of some chunk's pages, so the chunks name candidates, which are then counted over all pages of the host: the result is
 that of one array. A host's candidates are at most the words of fifty of its pages, as each stands on a fiftieth of them, or
 half its words where these are few. Hashes find passages, and their words decide.
@@ -20,10 +21,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +38,17 @@ RUN = 12
 SHARE, LEAST = 0.02, 2
 FIRM_SHARE, FIRM = 0.5, 3
 HOST_TOKENS = 500_000
+#: Where hosts are measured: characters that count as a word, and roughly what a page does not show.
+WORD_CHARS = 6
+HIDDEN = r"(?is)<(script|style|noscript|template|iframe|svg|math|object|canvas|textarea|title|select)(?=[\s/>]).*?</\1|<!--.*?-->|<[^>]*>"
 #: Passages, or hosts, up to which a table of them is broadcast; of about 0.1 KB each.
 SMALL_TABLE = 200_000
 #: Tasks that the pages of a host are dealt over, where passages are more.
 DEALT = 64
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z)""", re.S)
 _attribute = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: What stands in any attributes that can name boilerplate.
+_telling = re.compile("class|id|role|style")
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
@@ -49,6 +57,7 @@ HINTS = frozenset("ad ads advert advertisement advertising banner breadcrumb bre
 #: Elements that end those which may stay unclosed.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+_raw_ends = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
 
 
 def is_boilerplate(name: str, attributes: str, nested: bool = False) -> bool:
@@ -56,7 +65,7 @@ def is_boilerplate(name: str, attributes: str, nested: bool = False) -> bool:
     element only where it is nested in another one, as comments are."""
     if name in BOILERPLATE:
         return True
-    if not attributes or attributes.isspace() or name in ("html", "body", "main") or name == "article" and not nested:
+    if not _telling.search(attributes) or name in ("html", "body", "main") or name == "article" and not nested:
         return False
     for key, value in _attribute.findall(attributes):
         value = value.strip("\"'").lower()
@@ -90,30 +99,34 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if not m:
             text.append(page[at:])
             break
-        text.append(page[at : m.start()])
+        start = m.start()
+        if start > at:
+            text.append(page[at:start])
         at = m.end()
-        name = (m[2] or "").lower()
+        closing, name, attributes = m.groups()
         if not name:
             continue
-        if name not in INLINE:
+        name = name.lower()
+        inline = name in INLINE
+        if text and not inline:
             flush()
-        if m[1]:
+        if closing:
             if opened.get(name):
                 while stack[-1][0] != name:
                     pop()
                 zone = pop()
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            end = _raw_ends[name].search(page, at)
             at = end.start() if end else len(page)
-        elif name not in VOID and not m[3].endswith("/"):
-            if stack and stack[-1][0] == "p" and name not in INLINE:
+        elif name not in VOID and not attributes.endswith("/"):
+            if stack and stack[-1][0] == "p" and not inline:
                 zone = pop()
             for closed in CLOSES.get(name, ()):
                 if stack and stack[-1][0] == closed:
                     zone = pop()
             stack.append((name, zone))
             opened[name] = opened.get(name, 0) + 1
-            if is_boilerplate(name, m[3], opened.get("article", 0) > (name == "article")):
+            if is_boilerplate(name, attributes, opened.get("article", 0) > (name == "article")):
                 flush()
                 zone = "named"
             elif name in ("article", "main") and zone != "named":
@@ -122,63 +135,111 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def ends_of(owner: np.ndarray) -> np.ndarray:
+    """Where the stream of each token ends."""
+    return np.cumsum(np.bincount(owner))[owner] if len(owner) else owner
+
+
 def suffix_array(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The starts of all suffixes in order, by doubling; a suffix ends with its stream. tokens: the joined streams, as numbers;
-    owner: the stream of each token, ascending. Equal suffixes are in the order of their starts."""
-    n = len(tokens)
-    order = np.argsort(tokens, kind="stable")
-    new = np.r_[True, np.diff(tokens[order]) != 0][:n]
+    """The starts of all suffixes in order, by doubling; a suffix ends with its stream. tokens: the joined streams, as numbers
+    from 0; owner: the stream of each token, ascending. Equal suffixes are in the order of their starts."""
+    n, end = len(tokens), ends_of(owner)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = int(tokens.max() + 1).bit_length()
+    size = max(1, 62 // bits)  # as many tokens as one number holds are compared at once
+    own = tokens.astype(np.int64) + 1
+    key, at = own.copy(), np.arange(n)
+    for k in range(1, min(size, n)):
+        key <<= bits
+        key[: n - k] |= np.where(at[: n - k] + k < end[: n - k], own[k:], 0)
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, np.diff(key[order]) != 0]
     rank = np.empty(n, np.int64)  # where a suffix's group begins in the order
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    end, size = np.searchsorted(owner, owner, "right"), 1
-    open_ = order[~(new & np.r_[new[1:], True][:n])]  # suffixes that are not alone in their group
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    open_ = order[~(new & np.r_[new[1:], True])]  # suffixes that are not alone in their group, by group and start
     while len(open_):
-        later = np.zeros(len(open_), np.int64)
+        group = rank[open_]
+        key = group * (n + 1)
         inside = open_ + size < end[open_]
-        later[inside] = rank[open_[inside] + size] + 1
-        by = np.lexsort((open_, later, rank[open_]))
-        some, group, later = open_[by], rank[open_][by], later[by]
-        starts = np.r_[True, np.diff(group) != 0]
-        new = starts | np.r_[True, np.diff(later) != 0]
-        at = np.arange(len(some))
-        place = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(starts, at, 0))
-        rank[some] = place
-        alone = new & np.r_[new[1:], True]
+        key[inside] += rank[open_[inside] + size] + 1
+        by = np.argsort(key, kind="stable")
+        open_, group, key = open_[by], group[by], key[by]
+        at = np.arange(len(open_))
+        starts, new = np.r_[True, np.diff(group) != 0], np.r_[True, np.diff(key) != 0]
+        first = np.maximum.accumulate(np.where(starts, at, 0))
+        order[group + at - first] = open_
+        rank[open_] = group + np.maximum.accumulate(np.where(new, at, 0)) - first
         if new.sum() == starts.sum():  # a round that tells no more suffixes apart is the last
             break
-        open_, size = some[~alone], 2 * size
-    return np.argsort(rank, kind="stable")
+        open_, size = open_[~(new & np.r_[new[1:], True])], 2 * size
+    return order
 
 
 def shared_runs(tokens: np.ndarray, owner: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, pages): a start of each passage of `run` tokens, and how many streams hold it. In suffix order, equal passages
     are neighbours whose common beginning has `run` tokens."""
     order = suffix_array(tokens, owner)
-    order = order[order + run <= np.searchsorted(owner, owner[order], "right")]
+    order = order[order + run <= ends_of(owner)[order]]
     if not len(order):
         return order, order
-    same = np.ones(len(order) - 1, bool)
+    same = np.arange(1, len(order))  # those that begin like the one before, word by word
     for k in range(run):
-        same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
-    group = np.cumsum(np.r_[True, ~same]) - 1
-    by = np.lexsort((owner[order], group))
-    new = np.r_[True, (np.diff(group[by]) != 0) | (np.diff(owner[order][by]) != 0)]
-    return order[np.flatnonzero(np.r_[True, ~same])], np.bincount(group[by][new])
+        same = same[tokens[order[same] + k] == tokens[order[same - 1] + k]]
+    new = np.ones(len(order), bool)
+    new[same] = False
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    many = np.zeros(len(order), bool)
+    many[same], many[same - 1] = True, True
+    held_by = np.sort(group[many] * (owner[-1] + 1) + owner[order[many]])
+    pages = np.bincount(held_by[np.r_[True, np.diff(held_by) != 0][: len(held_by)]] // (owner[-1] + 1), minlength=len(starts))
+    return order[starts], np.maximum(pages, 1)
 
 
 def run_keys(words: np.ndarray, run: int) -> np.ndarray:
     """A hash of each run of `run` words, by their hashes."""
-    n, out = len(words) - run + 1, np.uint64(run)
+    n = len(words) - run + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    for i in range(run):
-        out = (out ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.astype(np.int64)
-
-
-def word_keys(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = words[:n].copy()
+    for i in range(1, run):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += words[i : i + n]
+    return out.view(np.int64)
+
+
+#: Random odd numbers: for each byte, and for its place in a word.
+_bytes, _places = (np.random.default_rng(k).integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for k, n in ((1, 256), (2, 1024)))
+_bytes[32] = 0
+
+
+class Runs:
+    """The runs of `run` words of a text whose words are parted by single spaces: a hash of each, and its words."""
+
+    def __init__(self, text: str, run: int):
+        self.data, self.run = text.encode(), run
+        codes = np.frombuffer(self.data, np.uint8)
+        gaps = np.flatnonzero(codes == 32)
+        self.starts, self.ends = np.zeros(len(gaps) + 1, np.int64), np.full(len(gaps) + 1, len(codes))
+        self.starts[1:], self.ends[:-1] = gaps + 1, gaps
+        if len(self.starts) < run:
+            self.keys = np.zeros(0, np.int64)
+            return
+        lengths = self.ends - self.starts + 1  # with the space after a word, which counts nothing
+        terms = np.zeros(len(codes) + 1, np.uint64)
+        terms[:-1] = _bytes[codes]
+        terms *= _places[(np.arange(len(terms)) - np.repeat(self.starts, lengths)) & 1023]
+        self.keys = run_keys(np.add.reduceat(terms, self.starts), run)
+
+    def words(self, i: int) -> str:
+        return self.data[self.starts[i] : self.ends[i + self.run - 1]].decode()
+
+    def hits(self, wanted: dict[int, str], keys: np.ndarray) -> list[int]:
+        """Where a wanted passage begins; keys: the hashes of all wanted ones, in order."""
+        if not len(keys) or not len(self.keys):
+            return []
+        alike = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, self.keys), len(keys) - 1)] == self.keys).tolist()
+        return [i for i in alike if wanted[int(self.keys[i])] == self.words(i)]
 
 
 def block_key(block: str) -> int:
@@ -207,33 +268,50 @@ def chunk_runs(texts: list[str], run: int, share: float, least: int) -> list[tup
             counts[k] = counts.get(k, 0) + 1
             named[k] = "\n" + b
     out = [(k, named[k], c) for k, c in counts.items() if c >= need]
-    words = [t.split() for t in texts]
-    flat = [w for ws in words for w in ws]
-    number: dict[str, int] = {}
-    tokens = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
-    owner = np.repeat(np.arange(len(texts)), list(map(len, words)))
+    parted = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts if t], pa.large_string()), " ")
+    words = parted.flatten()
+    tokens = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(parted)), pc.list_value_length(parted).to_numpy())
     starts, pages = shared_runs(tokens, owner, run)
     for i, c in zip(starts[pages >= need].tolist(), pages[pages >= need].tolist(), strict=True):
-        out.append((int(run_keys(word_keys(flat[i : i + run]), run)[0]), " ".join(flat[i : i + run]), c))
+        passage = " ".join(words[i : i + run].to_pylist())
+        out.append((int(Runs(passage, run).keys[0]), passage, c))
     return out
 
 
-def held(text: str, keys: np.ndarray, passages: list[str], run: int) -> np.ndarray:
-    """Which of some passages, given by hash and words, a text holds."""
-    words = text.split()
-    short, at = short_blocks(text, run), run_keys(word_keys(words), run)
-    sorted_keys = np.sort(keys)
-    hits = np.flatnonzero(sorted_keys[np.minimum(np.searchsorted(sorted_keys, at), len(keys) - 1)] == at) if len(keys) else []
-    where = {int(at[i]): int(i) for i in hits}
-    return np.array([short.get(k) == p[1:] if p.startswith("\n") else k in where and " ".join(words[where[k] : where[k] + run]) == p for k, p in zip(keys.tolist(), passages, strict=True)], bool)
+def held(text: str, wanted: dict[int, str], keys: np.ndarray, run: int) -> list[str]:
+    """Which of a host's passages, as `prepared`, a text holds."""
+    runs = Runs(text.replace("\n", " "), run)
+    short = {wanted[k] for k, b in short_blocks(text, run).items() if wanted.get(k) == "\n" + b}
+    return sorted(short | {wanted[int(runs.keys[i])] for i in runs.hits(wanted, keys)})
 
 
 Marks = tuple[np.ndarray, list[str], np.ndarray]
-KEYED = "host string, key long, n long, text string, found array<string>"
+
+
+def prepared(marks: Marks) -> tuple[tuple[dict[int, str], np.ndarray], ...]:
+    """A host's passages by hash, and their hashes in order: all of them, and those that go from articles too."""
+    every = dict(zip(marks[0].tolist(), marks[1], strict=True))
+    firm = {k: every[k] for k in marks[0][marks[2]].tolist()}
+    return tuple((d, np.sort(np.fromiter(d, np.int64, len(d)))) for d in (every, firm))
+
+
+def of_host(ready: dict[str, tuple | None], host: str, marks: Callable[[str], Marks | None]) -> tuple | None:
+    """A host's marks as `prepared`, kept in `ready`, which is cleared when full."""
+    if host not in ready:
+        if len(ready) >= 256:
+            ready.clear()
+        some = marks(host)
+        ready[host] = some and prepared(some)
+    return ready[host]
+
+
+KEYED = "host string, key long, text string, found array<string>"
 
 
 def keyed_pages(batches: Iterator[pa.RecordBatch], marks: Callable[[str], Marks | None] | None, with_text: bool, run: int) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[str, int]] = set()
+    ready: dict[str, tuple | None] = {}
     for b in batches:
         rows = []
         for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
@@ -243,18 +321,12 @@ def keyed_pages(batches: Iterator[pa.RecordBatch], marks: Callable[[str], Marks
                 continue
             seen.add((host, key))
             found = None
-            if marks and (some := marks(host)):
-                keys, passages, _ = some
-                found = [passages[k] for k in np.flatnonzero(held(text, keys, passages, run))]
-            rows.append((host, key, len(text.split()), text if with_text else None, found))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "key", "n", "text", "found"])
-
-
-def keyed(p: DataFrame, with_text: bool, run: int = RUN) -> DataFrame:
-    """(host, key, n, text, found) of each page, its copies within a task left out: a hash of its visible text, its words, and the text where wanted."""
-    return p.select("host", "html").mapInArrow(lambda batches: keyed_pages(batches, None, with_text, run), KEYED)
+            if marks and (some := of_host(ready, host, marks)):
+                found = held(text, *some[0], run)
+            rows.append((host, key, text if with_text else None, found))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "key", "text", "found"])
 
 
 def _arrays(rows: list[tuple[int, str, bool]]) -> Marks:
@@ -301,8 +373,10 @@ def boilerplate(p: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOK
     """(host, run, passage, pages, host_n): passages and short blocks, by hash and words, which a share of the host's different pages hold.
     p: (host, html)."""
     ship(p.sparkSession)
-    hosts = keyed(p, False).select("host", "key", "n").dropDuplicates(["host", "key"]).groupBy("host")
-    hosts = cut(hosts.agg(F.count("*").alias("host_n"), F.greatest(F.lit(1), F.ceil(F.sum("n") / host_tokens)).cast("long").alias("chunks")).where(F.col("host_n") >= least))
+    seen = F.regexp_replace(F.coalesce("html", F.lit("")), HIDDEN, " ")
+    sizes = p.select("host", seen.alias("seen_")).select("host", F.xxhash64("seen_").alias("seen_"), F.length("seen_").alias("n")).groupBy("host", "seen_").agg(F.max("n").alias("n"), F.count("*").alias("rows")).groupBy("host")
+    chunks = F.greatest(F.lit(1), F.ceil(F.sum("n") / (host_tokens * WORD_CHARS))).cast("long").alias("chunks")
+    hosts = cut(sizes.agg(F.sum("rows").alias("rows"), chunks).where(F.col("rows") >= least).select("host", "chunks"))
     few = F.broadcast(hosts) if hosts.count() <= SMALL_TABLE else hosts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,9 +384,9 @@ def boilerplate(p: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOK
 
         def result() -> pa.RecordBatch:
             # Of a chunk of several, a passage may be on fewer pages here than on the whole host.
-            found = chunk_runs(texts, run_length, share, least if at[2] == 1 else 1)
-            columns = list(zip(*found, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.string()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["host", "run", "passage", "pages"])
+            found = [(None, None, len(texts)), *chunk_runs(texts, run_length, share, least if at[2] == 1 else 1)]
+            keys, passages, pages = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.string()), pa.array(keys, pa.int64()), pa.array(passages, pa.string()), pa.array(pages, pa.int64())], ["host", "run", "passage", "pages"])
 
         for b in batches:
             for host, chunk, key, chunks, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
@@ -326,15 +400,20 @@ def boilerplate(p: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOK
         if texts:
             yield result()
 
-    each = keyed(p, True).join(few, "host").select("host", F.pmod("key", "chunks").alias("chunk"), "key", "chunks", "text")
-    found = cut(each.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "key").mapInArrow(run, "host string, run long, passage string, pages long").join(few, "host"))
+    texts = p.select("host", "html").mapInArrow(lambda batches: keyed_pages(batches, None, True, run_length), KEYED)
+    each = texts.join(few, "host").select("host", F.pmod("key", "chunks").alias("chunk"), "key", "chunks", "text")
+    found = cut(each.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "key").mapInArrow(run, "host string, run long, passage string, pages long"))
+    whole = found.where("passage IS NULL").groupBy("host").agg(F.sum("pages").alias("host_n")).join(few, "host")  # a row a chunk says how many pages it has
+    hosts = cut(whole.where(F.col("host_n") >= least))
+    few = F.broadcast(hosts) if hosts.count() <= SMALL_TABLE else hosts
+    found = found.where("passage IS NOT NULL").join(few, "host")
     enough = F.col("pages") >= F.greatest(F.lit(float(least)), F.col("host_n") * F.lit(share))
     names = ["host", "run", "passage", "pages", "host_n"]
     out = found.where("chunks = 1").where(enough).select(names)
     if hosts.where("chunks > 1").isEmpty():
         return out
     wanted = cut(found.where("chunks > 1").select("host", "run", "passage").distinct())
-    large = p.select("host", "html").join(F.broadcast(hosts) if hosts.count() <= SMALL_TABLE else hosts, "host").where("chunks > 1").select("host", "html")
+    large = p.select("host", "html").join(few, "host").where("chunks > 1").select("host", "html")
     find = lambda batches, marks: keyed_pages(batches, marks, False, run_length)
     holds = with_marks(large, wanted.withColumn("firm", F.lit(False)), find, KEYED).select("host", "key", "found").dropDuplicates(["host", "key"])
     counted = holds.select("host", F.explode("found").alias("passage")).groupBy("host", "passage").agg(F.count("*").alias("pages"))
@@ -358,28 +437,16 @@ def extract(pages: DataFrame, run_length: int = RUN, host_tokens: int = HOST_TOK
     names = ["page_id", "url", "text", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch], marks: Callable[[str], Marks | None]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, tuple] = {}
+        ready: dict[str, tuple | None] = {}
         for b in batches:
             texts = []
             for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-                if host not in ready:
-                    if len(ready) >= 256:
-                        ready.clear()
-                    some = marks(host)
-                    ready[host] = some and prepared(some)
-                texts.append(main_text(page.as_py() or "", ready[host], run_length))
+                texts.append(main_text(page.as_py() or "", of_host(ready, host, marks), run_length))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names)
 
     return with_marks(p, gone.withColumn("firm", firm), run, "page_id long, url string, text string, n_chars long", small)
 
 
-def prepared(marks: Marks) -> tuple[tuple[dict[int, str], np.ndarray], ...]:
-    """A host's passages by hash, and their hashes in order: all of them, and those that go from articles too."""
-    every = dict(zip(marks[0].tolist(), marks[1], strict=True))
-    firm = {k: every[k] for k in marks[0][marks[2]].tolist()}
-    return tuple((d, np.sort(np.fromiter(d, np.int64, len(d)))) for d in (every, firm))
-
-
 def main_text(page: str, marks: tuple | None, run: int = RUN) -> str:
     """The page's main text; marks: the host's boilerplate, as `prepared`."""
     found = blocks(page)
@@ -388,25 +455,24 @@ def main_text(page: str, marks: tuple | None, run: int = RUN) -> str:
     if marks is None:
         return " ".join(t for z, t in found if z == own)
     wanted, keys = marks[own != "plain"]
-    words = [t.split(" ") for _, t in found]
-    flat = [w for ws in words for w in ws]
-    here = run_keys(word_keys(flat), run)
-    hit = keys[np.minimum(np.searchsorted(keys, here), len(keys) - 1)] == here if len(keys) else np.zeros(len(here), bool)
-    hit[[i for i in np.flatnonzero(hit).tolist() if wanted[int(here[i])] != " ".join(flat[i : i + run])]] = False
-    hits, at, kept = np.flatnonzero(hit), 0, []
-    for (zone, text), ws in zip(found, words, strict=True):
-        start, at = at, at + len(ws)
+    runs = Runs(" ".join(t for _, t in found), run)
+    hits, at, kept = runs.hits(wanted, keys), 0, []
+    for zone, text in found:
+        start, at = at, at + text.count(" ") + 1
         if zone != own:
             continue
-        if len(ws) < run:  # goes where it stands in one passage, or is one
-            if np.searchsorted(hits, start, "right") == np.searchsorted(hits, at - run) and wanted.get(block_key(text)) != "\n" + text:
+        if at - start < run:  # goes where it stands in one passage, or is one
+            if bisect_right(hits, start) == bisect_left(hits, at - run) and wanted.get(block_key(text)) != "\n" + text:
                 kept.append(text)
             continue
-        over = np.zeros(len(ws) + 1, np.int64)  # only passages within the block part it
-        inside = hits[np.searchsorted(hits, start) : np.searchsorted(hits, at - run, "right")] - start
+        inside = np.array(hits[bisect_left(hits, start) : bisect_right(hits, at - run)], np.int64) - start  # only passages within the block part it
+        if not len(inside):
+            kept.append(text)
+            continue
+        over = np.zeros(at - start + 1, np.int64)
         over[inside] += 1
         over[inside + run] -= 1
-        left = [w for w, n in zip(ws, np.cumsum(over[:-1]).tolist(), strict=True) if not n]
+        left = [w for w, n in zip(text.split(" "), np.cumsum(over[:-1]).tolist(), strict=True) if not n]
         if left:
             kept.append(" ".join(left))
     return " ".join(kept)

@@ -240,6 +240,42 @@ def test_extract_equals_brute_force(spark, host_tokens, small):
     assert {r.page_id: r.text for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("host_tokens", "passes"), [(10**6, 2), (20, 3)])
+def test_pages_are_parsed_once_for_the_array_and_once_for_the_text(spark, monkeypatch, host_tokens, passes):
+    """And once more where chunks only name candidates; hosts are measured without parsing, by what they show."""
+    seen, whole = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *a, **k: (seen.append("html" in df.columns), whole(df, *a, **k))[1])
+    rng = random.Random(6)
+    rows = [(i, f"http://h/{i}", f"<script>{'x ' * 400}</script><!-- {'y ' * 99} --><p>{' '.join(rng.choices('abcdefgh', k=20))}</p>") for i in range(8)]
+    want = brute_extract([(i, "h", h) for i, _, h in rows], 3, H.SHARE, H.LEAST)
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), run_length=3, host_tokens=host_tokens).collect()
+    assert {r.page_id: r.text for r in got} == want and sum(seen) == passes
+
+
+@pytest.mark.parametrize("letters", [1, 3, 70_000])
+def test_short_and_wide_streams_are_sorted(letters):
+    """Fewer tokens than one number holds, and so many different ones that it holds few."""
+    for n in (0, 1, 2, 5, 40):
+        rng = random.Random(n)
+        texts = [[rng.choice([0, letters - 1, rng.randrange(letters)]) for _ in range(rng.randint(1, 9))] for _ in range(n)]
+        tokens, owner = np.array(sum(texts, []), np.int64), np.repeat(np.arange(n), [len(t) for t in texts])
+        ends = np.cumsum([len(t) for t in texts])
+        assert [i for _, i in sorted((tokens[i : ends[owner[i]]].tolist(), i) for i in range(len(tokens)))] == H.suffix_array(tokens, owner).tolist()
+
+
+def test_runs_are_found_by_their_words():
+    rng = random.Random(9)
+    words = [rng.choice(["a", "é", "漢字", "x" * 3000, "\x1c", "ab"]) for _ in range(200)]
+    runs = H.Runs(" ".join(words), 3)
+    by = {}
+    for i in range(198):
+        assert runs.words(i) == " ".join(words[i : i + 3]) and by.setdefault(runs.words(i), int(runs.keys[i])) == int(runs.keys[i])
+    assert len(set(by.values())) == len(by)
+    wanted = {k: p for p, k in list(by.items())[::2]}
+    assert runs.hits(wanted, np.sort(np.array(list(wanted)))) == [i for i in range(198) if runs.words(i) in wanted.values()]
+    assert H.Runs("", 3).hits(wanted, np.sort(np.array(list(wanted)))) == [] and runs.hits({}, np.zeros(0, np.int64)) == []
+
+
 def test_halves_of_passages_are_none(spark):
     """Six words that pages 1-3 share and six that pages 3-5 share stand side by side on page 3: no longer passage repeats."""
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
