@@ -7,6 +7,7 @@ most of the merges; it is cleared when full, so memory stays bounded for any tex
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -31,12 +32,17 @@ def _byte_letters() -> dict[int, str]:
 _byte_chars = _byte_letters()
 
 
+def _latin(part: str) -> bool:
+    """Whether a part is Latin letters alone, none of which normal form C or lower case makes into several characters."""
+    return part.isalpha() and max(part) < "\u0250" and "\u0130" not in part
+
+
 class _Cache(dict):
     """The ids of parts, in two generations: when the young one is full it takes the place of the old one."""
 
     def __init__(self, encode, before: str, limit: int):
         self.encode, self.before, self.limit, self.old = encode, before, limit, {}
-        self.marks, self.lower, self.letters = self, False, None
+        self.marks, self.lower, self.letters, self.folded = self, False, None, None
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= self.limit // 2:
@@ -47,8 +53,10 @@ class _Cache(dict):
             stem = part.rstrip(_marks)
             if stem and stem != part and stem.lower().isalpha():  # letters and the marks after them are never merged
                 ids = self[stem] + self.marks[part[len(stem) :]]
-            elif self.lower and part.isascii() and part != part.lower():
+            elif self.lower and part != part.lower() and (part.isascii() or self.folded and _latin(part)):
                 ids = self[part.lower()]
+            elif self.folded and _latin(part):
+                ids = self.folded(part)
             elif self.letters and part.isalpha() and max(part) < "\u0250":  # Latin letters, one piece for the model
                 ids = self.letters(self.before + part)
             else:
@@ -76,23 +84,43 @@ class Encoder:
             self.spaced.marks = self.bare
         if self._letters_alone():
             self.bare.letters = self.spaced.letters = self._letters
+        elif self.bare.lower and self._folded_alone():
+            self.bare.folded = self._letters
 
     def _encode(self, part: str) -> bytes:
         return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str) -> bytes:
         """The ids of a word of letters by the library's model alone, which takes half the time: nothing splits such a word."""
-        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_byte_chars))]).tobytes()
+        if not word.isascii() or " " in word:
+            word = word.encode().decode("latin-1").translate(_byte_chars)
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _letters_alone(self) -> bool:
         """Whether that holds of this tokenizer: byte-level, no case folded, and no added token of letters."""
         from tokenizers import pre_tokenizers
 
         self.model = self.tokenizer.model
-        if self.tokenizer.normalizer or not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or any(t.content.strip().isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+        if self.tokenizer.normalizer or not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self._adds_letters():
             return False
         return all(self._letters(before + w) == self._encode(before + w) for w in _probes for before in ("", " "))
 
+    def _folded_alone(self) -> bool:
+        """Whether it holds of words in small letters, where normal form C, white space and case are all that is normalised,
+        and runs of letters are split off before the bytes."""
+        if not self.tokenizer.normalizer or not self.tokenizer.pre_tokenizer or self._adds_letters():
+            return False
+        normal, before = (json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        steps, split = normal.get("normalizers", [normal]), before.get("pretokenizers", [before])
+        known = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} for x in steps)
+        if not known or [x["type"] for x in split] != ["Split", "ByteLevel"] or split[1]["use_regex"] or split[1]["add_prefix_space"]:
+            return False
+        whole = r"|[\p{L}]+|" in f"|{split[0]['pattern'].get('Regex', '')}|" and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        return whole and all(self._letters(w.lower()) == self._encode(w) for w in _probes)
+
+    def _adds_letters(self) -> bool:
+        return any(t.content.strip().isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
+
     def ids(self, text: str) -> np.ndarray:
         bare, spaced = self.bare, self.spaced
         words, gaps = text.split(), text.count(" ") + text.count("\n")

@@ -127,3 +127,25 @@ def test_words_of_letters_need_the_model_alone():
         assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
     assert set(calls) <= {"\n", ",", ".", ""}
     assert not T.Encoder(public_tokenizers.path("word_bpe_49k.json")).bare.letters  # folds case, so it is asked whole
+
+
+def test_folded_words_of_letters_need_the_model_alone():
+    """With case and normal form C folded, words of Latin letters in any case go to the model in small letters."""
+    enc, rng = T.Encoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(7)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    plain = [c for c in letters if len(c.lower()) == 1 and c.lower() < "ɐ"]
+    calls, whole = [], enc.bare.encode
+    enc.bare.encode = lambda part: calls.append(part) or whole(part)
+
+    def same(some, ends=("", "", ",", ".")):
+        text = " ".join("".join(rng.choices(some, k=rng.randint(1, 20))) + rng.choice(ends) for _ in range(8))
+        assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+    for _ in range(500):
+        same(plain)
+    assert set(calls) <= {",", "."}
+    for _ in range(500):  # letters that grow, marks that combine, other scripts and what splits words
+        same([*letters, *"aeoAEOİİ̧́̈Σσς漢ⅷ1'-_ⱥⱦK"], ("", "'s", "'ll", "<|endoftext|>"))
+    for c in letters:
+        assert enc.ids(c).tolist() == enc.tokenizer.encode(c, add_special_tokens=False).ids, repr(c)
+    assert T.Encoder(public_tokenizers.path("byte_bpe_50k.json")).bare.folded is None
