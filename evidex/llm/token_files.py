@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.tokens import encoder
+from evidex.llm.tokens import blocks, encoder
 from evidex.session import cut, fresh_path, ship
 
 #: Stands for a null doc_id in an index file.
@@ -54,29 +54,26 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), None
-        dtype = enc.dtype if end_id < 1 << 8 * enc.dtype.itemsize else np.dtype("<u4")
-        end = np.array([end_id], dtype).tobytes()
+        enc = encoder(tokenizer_path)
+        dtype = enc.dtype_with(end_id)
         at, base = file_system(folder)
         at.create_dir(base, recursive=True)
         name = uuid.uuid4().hex
         ids_path, index_path = f"{folder}/ids-{name}.bin", f"{folder}/index-{name}.bin"
-        lengths, doc_ids = [np.zeros(1, np.uint64)], []
+        offsets, doc_ids, n_tokens = [np.zeros(1, np.int64)], [np.empty(0, np.int64)], 0
         with at.open_output_stream(file_system(ids_path)[1]) as out:
-            for b in batches:
-                n = np.empty(b.num_rows, np.uint64)
-                for i, text in enumerate(b.column(1)):
-                    ids = enc.ids(text.as_py() or "")
-                    out.write(ids.astype(dtype, copy=False).tobytes() + end)
-                    n[i] = len(ids) + 1
-                lengths.append(n)
-                doc_ids.append(b.column(0).fill_null(NULL_ID).to_numpy())
-        offsets = np.cumsum(np.concatenate(lengths), dtype=np.uint64)
+            for own, texts in blocks(batches):
+                ids, ends = enc.many(texts, end_id)
+                out.write(ids)
+                offsets.append(n_tokens + ends)
+                doc_ids.append(own.fill_null(NULL_ID).to_numpy())
+                n_tokens += len(ids)
+        offsets = np.concatenate(offsets).astype("<u8")
         with at.open_output_stream(file_system(index_path)[1]) as out:
             out.write(offsets.tobytes())
-            out.write(np.concatenate([*doc_ids, np.empty(0, np.int64)]).tobytes())
+            out.write(np.concatenate(doc_ids).tobytes())
         if len(offsets) > 1:
-            row = [[TaskContext.get().partitionId()], [ids_path], [index_path], [dtype.str], [len(offsets) - 1], [int(offsets[-1])]]
+            row = [[TaskContext.get().partitionId()], [ids_path], [index_path], [dtype.str], [len(offsets) - 1], [n_tokens]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *map(pa.array, row[1:])], ["range", "ids_path", "index_path", "dtype", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))

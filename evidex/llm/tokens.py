@@ -2,7 +2,8 @@
 
 Neither of the pre-tokenizers used here joins a character and the white space after it, so a text may be cut wherever
 white space follows anything else, and the parts encoded alone give the ids of the whole. A cache of parts then saves
-most of the merges; it is cleared when full, so memory stays bounded for any text.
+most of the merges; it is cleared when full, so memory stays bounded for any text. Columns of texts are cut into parts as
+bytes, a block at a time; Arrow tells the parts apart, and only different ones are looked up.
 """
 
 from __future__ import annotations
@@ -10,11 +11,15 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Words that an encoder's cache keeps at most, about 0.2 KB each; where it has two, with spaces and without, a quarter in each.
 CACHE_WORDS = 1_000_000
+#: Bytes of texts, with a little for each row, that are encoded at a time; a longer text is a block of its own.
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 16
 #: Marks that end a word of letters in a piece of their own.
 _marks = ".,;:!?#*$%&|"
 _parts = re.compile(r"(?<=\S)(?=[ \n])")
@@ -30,6 +35,65 @@ def _byte_letters() -> dict[int, str]:
 
 
 _byte_chars = _byte_letters()
+#: The same for whole characters: those of Latin letters, by code point.
+_byte_words = ["".join(_byte_chars[b] for b in chr(c).encode()) for c in range(0x250)]
+
+
+def _bytes_of(some: bytes) -> np.ndarray:
+    """A table of 256 answers: whether a byte is one of some."""
+    return np.isin(np.arange(256), list(some))
+
+
+_gap, _blank, _solid, _letter = _bytes_of(b" \n"), _bytes_of(b"\t\n\v\f\r\x1c\x1d\x1e\x1f "), _bytes_of(bytes(range(33, 127))), _bytes_of(bytes(c for c in range(128) if chr(c).isalpha()))
+#: The last two bytes of any white space outside of ASCII (and of some other characters, after which nothing is cut either).
+_wide = [_bytes_of({ord_[k] for ord_ in (chr(c).encode() for c in range(128, 0x10000) if chr(c).isspace())}) for k in (-2, -1)]
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Two columns, ids and texts, in blocks of about BLOCK_BYTES: small batches together, large ones in slices. A null text is empty."""
+    kept, size = [], 0
+    for b in batches:
+        rows = b.column(0), b.column(1).cast(pa.large_string()).fill_null("")
+        sums = size + np.cumsum(np.diff(_offsets(rows[1])) + ROW_BYTES)
+        first = 0
+        for last in np.flatnonzero(np.diff(sums // BLOCK_BYTES, prepend=0)) + 1:
+            yield _joined([*kept, [x[first:last] for x in rows]])
+            kept, first = [], last
+        if first < b.num_rows:
+            kept.append([x[first:] for x in rows])
+        size = int(sums[-1]) % BLOCK_BYTES if len(sums) else size
+    if kept:
+        yield _joined(kept)
+
+
+def _joined(rows: list[list[pa.Array]]) -> tuple[pa.Array, pa.Array]:
+    return pa.concat_arrays([x[0] for x in rows]), pa.concat_arrays([x[1] for x in rows])
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
+def parts(texts: pa.Array, marks: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts in order, and how many of them lie before each text's end.
+
+    Cut where a space or line end follows anything but white space, between such a lone line end and a visible ASCII
+    character, and between an ASCII letter and a mark. texts: large strings without nulls; marks: a table of bytes.
+    """
+    at = _offsets(texts)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    cut, after = _gap[data], ~_blank[data]
+    after[1:] &= ~(_wide[0][data[:-1]] & _wide[1][data[1:]])
+    cut[1:] &= after[:-1]
+    line = np.flatnonzero(cut & (data == 10)) + 1
+    line = line[line < len(data)]
+    cut[1:] |= marks[data[1:]] & _letter[data[:-1]]
+    cut[line[_solid[data[line]]]] = True
+    cut[at[:-1][at[:-1] < len(data)]] = True
+    starts = np.flatnonzero(cut)
+    buffers = [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), buffers), np.searchsorted(starts, at[1:])
 
 
 def _latin(part: str) -> bool:
@@ -50,15 +114,14 @@ class _Cache(dict):
             self.clear()
         ids = self.old.get(part)
         if ids is None:
-            stem = part.rstrip(_marks)
-            if stem and stem != part and stem.lower().isalpha():  # letters and the marks after them are never merged
+            if self.letters and part.isalpha() and (part.isascii() or max(part) < "\u0250"):  # Latin letters, one piece for the model
+                ids = self.letters(self.before + part)
+            elif (stem := part.rstrip(_marks)) and stem != part and stem.lower().isalpha():  # letters and the marks after them are never merged
                 ids = self[stem] + self.marks[part[len(stem) :]]
             elif self.lower and part != part.lower() and (part.isascii() or self.folded and _latin(part)):
                 ids = self[part.lower()]
             elif self.folded and _latin(part):
                 ids = self.folded(part)
-            elif self.letters and part.isalpha() and max(part) < "\u0250":  # Latin letters, one piece for the model
-                ids = self.letters(self.before + part)
             else:
                 ids = self.encode(self.before + part)
         self[part] = ids
@@ -82,6 +145,8 @@ class Encoder:
         else:
             self.spaced = _Cache(self._encode, " ", limit)
             self.spaced.marks = self.bare
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.cut_marks = _bytes_of("".join(set(_marks) - set(added)).encode())
         if self._letters_alone():
             self.bare.letters = self.spaced.letters = self._letters
         elif self.bare.lower and self._folded_alone():
@@ -92,8 +157,7 @@ class Encoder:
 
     def _letters(self, word: str) -> bytes:
         """The ids of a word of letters by the library's model alone, which takes half the time: nothing splits such a word."""
-        if not word.isascii() or " " in word:
-            word = word.encode().decode("latin-1").translate(_byte_chars)
+        word = word.replace(" ", _byte_chars[32]) if word.isascii() else word.translate(_byte_words)
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _letters_alone(self) -> bool:
@@ -140,6 +204,33 @@ class Encoder:
                 found += map(spaced.__getitem__, rest)
         return np.frombuffer(b"".join(found), self.dtype)
 
+    def dtype_with(self, end_id: int) -> np.dtype:
+        """The type of ids where end_id is one of them."""
+        return self.dtype if end_id < 1 << 8 * self.dtype.itemsize else np.dtype("<u4")
+
+    def many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, end_id after each text's, and how many ids lie before each text's end.
+        texts: large strings without nulls."""
+        found, ends = parts(texts, self.cut_marks)
+        found = found.dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False)
+        dtype = self.dtype_with(end_id)
+        ids = map(self._part, words)
+        if dtype != self.dtype:
+            ids = (np.frombuffer(x, self.dtype).astype(dtype).tobytes() for x in ids)
+        table = pa.array([*ids, np.array([end_id], dtype).tobytes()], pa.large_binary())
+        out = table.take(pa.array(np.insert(found.indices.to_numpy(), ends, len(words))))
+        sums = _offsets(out) // dtype.itemsize
+        return np.frombuffer(out.buffers()[2] or b"", dtype)[: sums[-1]], sums[ends + np.arange(1, len(texts) + 1)]
+
+    def _part(self, part: str) -> bytes:
+        if self.drops_space:
+            return self.bare[part.lstrip(" \n")]
+        if part[0] == " ":
+            return self.spaced[part[1:]]
+        if part[0] == "\n" and not part[1:2].isspace():
+            return self.bare["\n"] + self.bare[part[1:]]
+        return self.bare[part]
 
     def with_head(self, text: str) -> tuple[np.ndarray, int]:
         """The ids of a text, and how many of them are its first line's where other lines with a word follow; else 0."""

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -149,3 +150,36 @@ def test_folded_words_of_letters_need_the_model_alone():
     for c in letters:
         assert enc.ids(c).tolist() == enc.tokenizer.encode(c, add_special_tokens=False).ids, repr(c)
     assert T.Encoder(public_tokenizers.path("byte_bpe_50k.json")).bare.folded is None
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("end_id", [0, 1 << 16])
+def test_blocks_of_texts_give_the_ids_of_whole_texts(name, end_id, monkeypatch):
+    monkeypatch.setattr(T, "CACHE_WORDS", 64)
+    monkeypatch.setattr(T, "BLOCK_BYTES", 900)
+    enc, rng = T.Encoder(public_tokenizers.path(name)), random.Random(11)
+    letters = ["ab cD\n\t .,'é漢1\x1f ", "aé \n.,|$", "a\x85\xa0\u1680\u2005\u2028\u202f\u205f\u3000 \nà.", "x😀Ā\u0300Σİ \n!;"]
+    texts = [None, *ODD, "a|b.c <|endoftext|>.", "x\n\xa0y", "word " * 300]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for some in letters for _ in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([*range(len(texts))][i : i + n], pa.int64()), pa.array(texts[i : i + n], pa.string())], ["i", "t"]) for i, n in [(0, 0), (0, 5), (5, 0), (5, len(texts))]]
+    got, sizes = {}, []
+    for own, block in T.blocks(batches):
+        ids, ends = enc.many(block, end_id)
+        sizes.append(len(block))
+        for i, a, b in zip(own.to_pylist(), [0, *ends], ends, strict=False):
+            got[i] = ids[a:b].tolist()
+    for i, t in enumerate(texts):
+        assert got.pop(i) == [*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], repr(t)
+    assert not got and sum(sizes) == len(texts) and 5 < len(sizes) < len(texts) / 4
+
+
+def test_a_block_asks_for_each_different_part_once(monkeypatch):
+    """The cost of a word that occurs again: none in Python, so that the corpus's size is Arrow's to go through."""
+    enc, asked = T.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    monkeypatch.setattr(T.Encoder, "_part", lambda self, part, whole=T.Encoder._part: asked.append(part) or whole(self, part))
+    rng = random.Random(2)
+    texts = ["\n".join(" ".join(rng.choices(["alpha", "beta,", "gamma."], k=9)) for _ in range(50)) for _ in range(40)]
+    ids, ends = enc.many(pa.array(texts, pa.large_string()), 0)
+    want = [x for t in texts for x in [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
+    assert ids.tolist() == want and len(ends) == len(texts)
+    assert sorted(asked) == sorted(["alpha", " alpha", "beta", " beta", "gamma", " gamma", ",", ".", "\n"])
