@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.tokens import encoder
+from evidex.llm.tokens import blocks, encoder
 from evidex.session import ship
 
 BLOCK_TOKENS, BLOCK_EXAMPLES = 1 << 20, 8192
@@ -149,16 +149,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, next_id = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
-        dtype = enc.dtype if end_id < 1 << 8 * enc.dtype.itemsize else np.dtype("<u4")
-        end = np.array([end_id], dtype)
         ids, heads, doc_ids, n = [], [], [], 0
-        for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                own, head = enc.with_head(text.as_py() or "")
-                ids.append(np.concatenate([own.astype(dtype, copy=False), end]))
+        for own, texts in blocks(batches):
+            all_ids, ends, first_lines = enc.many_with_heads(texts, end_id)
+            for doc_id, part, head in zip(own.to_pylist(), np.split(all_ids, ends[:-1]), first_lines.tolist(), strict=True):
+                ids.append(part)
                 heads.append(head)
-                doc_ids.append(doc_id.as_py())
-                n += len(ids[-1])
+                doc_ids.append(doc_id)
+                n += len(part)
                 if n >= BLOCK_TOKENS or len(ids) >= BLOCK_EXAMPLES:
                     out, next_id = flush(ids, heads, doc_ids, next_id)
                     yield out

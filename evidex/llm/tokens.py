@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that an encoder's cache keeps at most, about 0.2 KB each; where it has two, with spaces and without, a quarter in each.
+#: Words that an encoder's cache keeps at most, about 0.2 KB each; where it has two, half with spaces and a quarter without.
 CACHE_WORDS = 1_000_000
 #: Bytes of texts, with a little for each row, that are encoded at a time; a longer text is a block of its own.
 BLOCK_BYTES, ROW_BYTES = 8 << 20, 16
@@ -138,12 +139,11 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.drops_space = self._encode(" a") == self._encode("a")
-        limit = CACHE_WORDS if self.drops_space else CACHE_WORDS // 4
-        self.bare = self.spaced = _Cache(self._encode, "", limit)
+        self.bare = self.spaced = _Cache(self._encode, "", CACHE_WORDS if self.drops_space else CACHE_WORDS // 4)
         if self.drops_space:  # and so is case
             self.bare.lower = self._encode("A") == self._encode("a")
         else:
-            self.spaced = _Cache(self._encode, " ", limit)
+            self.spaced = _Cache(self._encode, " ", CACHE_WORDS // 2)
             self.spaced.marks = self.bare
         added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.cut_marks = _bytes_of("".join(set(_marks) - set(added)).encode())
@@ -158,13 +158,14 @@ class Encoder:
     def _letters(self, word: str) -> bytes:
         """The ids of a word of letters by the library's model alone, which takes half the time: nothing splits such a word."""
         word = word.replace(" ", _byte_chars[32]) if word.isascii() else word.translate(_byte_words)
-        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(word)]).tobytes()
 
     def _letters_alone(self) -> bool:
         """Whether that holds of this tokenizer: byte-level, no case folded, and no added token of letters."""
         from tokenizers import pre_tokenizers
 
         self.model = self.tokenizer.model
+        self.tokenize = self.model.tokenize
         if self.tokenizer.normalizer or not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self._adds_letters():
             return False
         return all(self._letters(before + w) == self._encode(before + w) for w in _probes for before in ("", " "))
@@ -211,8 +212,25 @@ class Encoder:
     def many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, end_id after each text's, and how many ids lie before each text's end.
         texts: large strings without nulls."""
+        return self._many(texts, end_id)[:2]
+
+    def many_with_heads(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and how many of a text's ids are its first line's where other lines with a word follow; else 0."""
+        ids, ends, starts, sums = self._many(texts, end_id)
+        heads, line = np.zeros(len(texts), np.int64), pc.find_substring(texts, "\n").to_numpy()
+        at = _offsets(texts)[:-1] - _offsets(texts)[0] + line
+        nth = np.searchsorted(starts, at)
+        for k in np.flatnonzero(line >= 0):
+            head, _, tail = texts[k].as_py().partition("\n")
+            if head.strip() and tail.strip():  # a part that begins before the line's end and holds it has ids of both lines
+                own = nth[k] < len(starts) and starts[nth[k]] == at[k]
+                heads[k] = sums[nth[k] + k] - (ends[k - 1] if k else 0) if own else len(self.ids(head))
+        return ids, ends, heads
+
+    def _many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, ...]:
+        """Besides many(): where each part starts in the texts' bytes, and how many ids lie before each part or end_id."""
         found, ends = parts(texts, self.cut_marks)
-        found = found.dictionary_encode()
+        starts, found = _offsets(found)[:-1], found.dictionary_encode()
         words = found.dictionary.to_numpy(zero_copy_only=False)
         dtype = self.dtype_with(end_id)
         ids = map(self._part, words)
@@ -221,7 +239,7 @@ class Encoder:
         table = pa.array([*ids, np.array([end_id], dtype).tobytes()], pa.large_binary())
         out = table.take(pa.array(np.insert(found.indices.to_numpy(), ends, len(words))))
         sums = _offsets(out) // dtype.itemsize
-        return np.frombuffer(out.buffers()[2] or b"", dtype)[: sums[-1]], sums[ends + np.arange(1, len(texts) + 1)]
+        return np.frombuffer(out.buffers()[2] or b"", dtype)[: sums[-1]], sums[ends + np.arange(1, len(texts) + 1)], starts, sums
 
     def _part(self, part: str) -> bytes:
         if self.drops_space:
@@ -232,14 +250,6 @@ class Encoder:
             return self.bare["\n"] + self.bare[part[1:]]
         return self.bare[part]
 
-    def with_head(self, text: str) -> tuple[np.ndarray, int]:
-        """The ids of a text, and how many of them are its first line's where other lines with a word follow; else 0."""
-        head, _, tail = text.partition("\n")
-        if not head.strip() or not tail.strip():
-            return self.ids(text), 0
-        ids = self.ids(head)
-        return np.concatenate([ids, self.ids(tail)]) if self.drops_space else self.ids(text), len(ids)
-
 
 _encoders: dict[str, Encoder] = {}
 

@@ -183,3 +183,14 @@ def test_a_block_asks_for_each_different_part_once(monkeypatch):
     want = [x for t in texts for x in [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 0]]
     assert ids.tolist() == want and len(ends) == len(texts)
     assert sorted(asked) == sorted(["alpha", " alpha", "beta", " beta", "gamma", " gamma", ",", ".", "\n"])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_first_lines_of_a_block(name):
+    enc, rng = T.Encoder(public_tokenizers.path(name)), random.Random(13)
+    texts = [*ODD, "a \nb", "a\xa0\nb", "\n\na", "é,\nb.\n"] + ["".join(rng.choice("ab \n\n é\xa0\x1c.") for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    ids, ends, heads = enc.many_with_heads(pa.array(["left out", *texts], pa.large_string())[1:], 1)
+    for t, a, b, head in zip(texts, [0, *ends], ends, heads, strict=False):
+        first, _, rest = t.partition("\n")
+        assert ids[a:b].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1], repr(t)
+        assert head == (len(enc.tokenizer.encode(first, add_special_tokens=False).ids) if first.strip() and rest.strip() else 0), repr(t)
