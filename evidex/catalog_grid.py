@@ -193,8 +193,8 @@ def _grid_block_scan(i: Inputs) -> DataFrame:
     """The whole grid written as an optimisation file, which is read in blocks and parsed: what each combination has."""
     folder = fresh_path(i.spark, "grids")
     grid = {"combos": i.combos, "grid_daily": i.daily, "grid_exits": i.exits}
-    report.write_lines(synthetic.grid_lines(grid, ["A", "B"]), folder)
-    got, bad = grid_text.parse_grid(report.read_lines(i.spark, folder))
+    grid_text.write_records(synthetic.grid_records(grid, ["A", "B"]), folder)
+    got, bad = grid_text.parse_grid(grid_text.read_records(i.spark, folder))
     report.refuse(bad, report.GridFormatError)
     days = got["grid_daily"].groupBy("combo_id").agg(F.count("*").alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum("pnl").alias("total"), F.sum("closed_pnl").alias("closed_total"))
     exits = got["grid_exits"].groupBy("combo_id").agg(F.sum("n").alias("n_exits"))

@@ -173,3 +173,23 @@ def grid_lines(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
 def grid_text(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
     """(file, text): as grid_lines, each file one text."""
     return whole_text(grid_lines(grid, names))
+
+
+#: Trades of a day that are a row, at most.
+RUN = 1000
+
+
+def grid_records(grid: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """(file, line, place, r, n): the records of optimisation files, each n times over; a line's come in order of place. So no row
+    grows with the trades. A line's last record, and that of its days, is empty."""
+    on = ["project", "combo_id"]
+    combos = grid["combos"].join(grid["grid_daily"].select(*on).distinct(), on, "left_semi")
+    row = lambda d, kind, a, b, r, n=F.lit(1): d.select(F.col("project").alias("file"), (F.col("combo_id") + 1).cast("bigint").alias("line"), F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b")).alias("place"), r.alias("r"), n.cast("int").alias("n"))
+    top = F.when(F.row_number().over(Window.partitionBy("project").orderBy("combo_id")) == 1, F.lit(",".join(names))).otherwise("")
+    heads = row(combos.withColumn("top", top), 0, F.lit(0), F.lit(0), F.concat("top", F.lit("\n"), F.array_join(F.transform("params", lambda x: x.cast("string")), ","), F.lit("~v1,1")))
+    pnl = F.col("pnl").cast("string")
+    day = F.concat_ws(",", F.date_format("date", "yyyyMMdd"), pnl, F.lit("0,0,0,0,0,0"), pnl)
+    days = row(grid["grid_daily"].join(combos, on, "left_semi"), 1, F.col("day_idx"), F.lit(0), day)
+    runs = grid["grid_exits"].where("n > 0").join(combos, on, "left_semi").withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {RUN}"))))
+    trades = row(runs, 3, F.unix_date("date"), F.col("run"), F.concat(F.date_format("date", "yyyyMMdd"), F.lit(",1000,X,L,100.0,0,0,0")), F.least(F.lit(RUN), F.col("n") - RUN * F.col("run")))
+    return heads.union(days).union(row(combos, 2, F.lit(0), F.lit(0), F.lit("~v2"))).union(trades)

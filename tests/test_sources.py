@@ -273,3 +273,50 @@ def test_grid_lines_meet_in_no_join(spark):
     assert v.count() == 0 and t["combos"].count() == 4
     count = lambda d: {r.combo_id: r.n for r in d.groupBy("combo_id").agg(F.sum("n").alias("n")).where("n > 0").collect()}
     assert count(t["grid_exits"]) == count(kept["grid_exits"])
+
+
+def test_grid_records_are_those_of_lines(spark, tmp_path, small_blocks):
+    """Lines, parts and the order of records are carried over blocks, whatever the ends of lines and wherever a record is empty."""
+    text = synthetic.grid_text(synthetic.make_grid(spark, (2, 2), 8, 4, seed=1), ["A", "B"]).first().text
+    files = {
+        "good": text, "torn": text.replace("~v2", "~v3", 2).replace("20150", "2x150", 1), "headless": text.split("\n", 1)[1], "blank": "\n\n", "empty": "", "names": "A,B\n", "no_records": "x,y\n1,2\n3,4", "one_line": "|", "open": GRID.rstrip("\n"),
+        "windows": "\ufeff" + GRID.replace("\n", "\r\n"), "mac": GRID.replace("\n", "\r"), "spaced": "  \n" + GRID.replace("A,B\n", " A , B \n\n").replace("30.00~v2", "30.00||~v2||").replace("\n2,10", "|\n  2,10").replace("0.00\n", "0.00|  \n"), "pipes": GRID.replace("A,B", "A|B,C").replace("1,10~", "1|1,10~"),
+        "parts": GRID.replace(",-10,40", ",-10,40~v9|20240104,1100,X,L,100.5,30,-10,40~more|x"), "late": GRID.replace("X,L,100.5,30", "X,L,100.5,thirty"), "early": GRID.replace("~v2|20240103,1000,E", "~v2|20240103,1000,X"), "tildes": GRID + "~~~|a\n3,10\n",
+    }
+    lines, _ = written(spark, tmp_path, files)
+    records = grid_text.read_records(spark, str(tmp_path))
+    assert records.where("file like '%/good'").select("block").distinct().count() > 5
+    (a, v), (b, w) = grid_text.parse_grid(records), grid_text.parse_grid(lines)
+    same(v, w)
+    for k in a:
+        same(a[k], b[k])
+    assert a["grid_exits"].where("project like '%/early'").count() == 2 and a["combos"].where("project like '%/windows'").count() == 2
+
+
+def test_no_row_holds_a_line_of_a_grid(spark, tmp_path, monkeypatch):
+    """A combination may have millions of trades: neither the writer nor the reader has them in one row."""
+    g = synthetic.make_grid(spark, (2, 2), 12, 6, seed=1)
+    many = F.when(F.col("combo_id") == 1, F.lit(0)).when(F.col("combo_id") == 2, F.lit(40_000)).otherwise(F.lit(1)).cast("bigint")
+    g["grid_exits"] = g["grid_exits"].withColumn("n", many)
+    kept = {k: spark.createDataFrame(d.collect(), d.schema) for k, d in g.items()}
+    rows = synthetic.grid_records(kept, ["A", "B"])
+    assert rows.agg(F.max(F.length("r") * F.col("n"))).first()[0] < 100 * synthetic.RUN
+    grid_text.write_records(rows, str(tmp_path / "grid"))
+    records = grid_text.read_records(spark, str(tmp_path / "grid"))
+    assert records.agg(F.max(F.length("r"))).first()[0] < 200
+    monkeypatch.setattr(grid_text, "SMALL_TABLE", 0)  # the look-up of lines as a shuffle
+    t, v = grid_text.parse_grid(records)
+    assert v.count() == 0 and t["combos"].count() == 4
+    count = lambda d: {r.combo_id: r.n for r in d.groupBy("combo_id").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+    assert count(t["grid_exits"]) == count(kept["grid_exits"]) and max(count(t["grid_exits"]).values()) >= 40_000
+    daily = lambda d: sorted((r.combo_id, r.day_idx, r.date, r.pnl) for r in d.collect())
+    assert daily(t["grid_daily"]) == daily(kept["grid_daily"])
+
+
+def test_the_block_scan_reads_records(spark, sf, monkeypatch):
+    """The query itself goes by records, and gives what it gave by lines."""
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(report, "read_lines", None)
+    monkeypatch.setattr(synthetic, "grid_lines", None)
+    assert e.queries()["grid_block_scan"](spark, sf).count() > 0
